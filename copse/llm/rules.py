@@ -20,7 +20,7 @@ RULES = (
     ("mean_word_chars", ">", 14.0),
     ("symbol_ratio", ">", 0.10),
     ("stop_ratio", "<", 0.02),
-    ("dup_line_ratio", ">", 0.30),
+    ("dup_line_ratio", ">", 0.50),
 )
 
 
