@@ -40,7 +40,7 @@ def mark_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         by_text = winners.join(several, dig, "left_semi").select(dig, F.col(t), "keep_id", "group_size", salts_in(mask).alias(s))
         own = rows.join(several, dig, "left_semi").withColumn(t, text)
         found = found.unionByName(own.join(by_text, [dig, s, t]).drop(t))
-    same = Window.partitionBy(dig, s, "keep_id").orderBy(F.desc_nulls_last(quoted(id_col)), F.xxhash64(text))
+    same = Window.partitionBy(dig, s, "keep_id").orderBy(F.desc_nulls_last(quoted(id_col)))
     kept = F.col(quoted(id_col)).eqNullSafe(F.col("keep_id")) & (F.row_number().over(same) == 1)
     out = put(found, keep_id=F.col("keep_id"), group_size=F.col("group_size"), kept=kept, text_sha256=F.lower(F.hex(dig)) if digest is None else sha)
     return out.drop(dig, s)
