@@ -5,13 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dedup, rules, sharding
+from . import dedup, gam, mixing, rules, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = gam.fit(docs, table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", gam.held_out(F.col("doc_id")).alias("held_out"), model.scores(F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def op2_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = dedup.mark_duplicates(table(spark, sf_dir, "documents"))
     return marked.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -64,6 +76,8 @@ FROM v
 
 def queries() -> dict:
     return {
+        "op1_quality_gam": op1_quality_gam,
+        "op2_pivotal_mix": op2_pivotal_mix,
         "op5_exact_dedup": op5_exact_dedup,
         "op7_sharding": op7_sharding,
         "op9_quality_rules": op9_quality_rules,
