@@ -5,7 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dedup, gam, mixing, rules, sharding
+from . import dedup, gam, licenses, lines, mixing, pieces, rules, sharding, urls
+
+#: The vocabulary file; a parameter of the tokenizer query.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+#: Dated entries of the host list (fixed values of the query).
+URL_ENTRIES = (
+    ("domain", "casino-win.example.com", "block", "2024-01-15"),
+    ("domain", "casino-win.example.com", "remove", "2024-09-01"),
+    ("domain", "casino-win.example.com", "block", "2024-11-01"),
+    ("domain", "cheap-pills.example.com", "block", "2024-03-01"),
+    ("domain", "free-bets.example.com", "block", "2024-02-01"),
+    ("prefix", "free-bets.example.com/en", "allow", "2024-06-01"),
+    ("domain", "example.net", "block", "2024-05-01"),
+    ("domain", "example.net", "allow", "2024-07-01"),
+    ("domain", "example.net", "remove", "2024-08-01"),
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +39,29 @@ def op2_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op4_temporal_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages have no fetch time: page p counts as fetched on day p mod 366 of 2024."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 366).cast("int")).alias("fetched"))
+    entries = spark.createDataFrame([*URL_ENTRIES], "kind string, pattern string, action string, day string").withColumn("day", F.col("day").cast("date"))
+    return urls.judge_urls(pages, entries).select("page_id", "url", F.col("fetched").cast("string").alias("fetched"), "host", "n_active", "matched", "verdict")
+
+
+OP4_SQL = r"""
+WITH e AS (SELECT * FROM (VALUES """ + ", ".join(f"('{'p:' if k == 'prefix' else 'd:'}{p}', '{a}', DATE '{d}')" for k, p, a, d in URL_ENTRIES) + r""") t(key, action, day)),
+i AS (SELECT key, action, day AS starts, lead(day) OVER (PARTITION BY key ORDER BY day) AS ends FROM e),
+p AS (SELECT page_id, url, DATE '2024-01-01' + (page_id % 366)::INT AS fetched,
+             regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1) AS host,
+             regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+m AS (SELECT page_id, count(*) AS n, arg_max(key, length(key)) AS key, arg_max(action, length(key)) AS action
+      FROM p JOIN i ON fetched >= starts AND (ends IS NULL OR fetched < ends) AND action <> 'remove'
+       AND CASE WHEN key[1] = 'd' THEN host = key[3:] OR ends_with(host, '.' || key[3:])
+                ELSE host || path = key[3:] OR starts_with(host || path, key[3:] || '/') END GROUP BY page_id)
+SELECT page_id, url, fetched::VARCHAR AS fetched, host, coalesce(n, 0) AS n_active, key[3:] AS matched,
+       CASE WHEN action = 'block' THEN 'drop' ELSE 'keep' END AS verdict
+FROM p LEFT JOIN m USING (page_id)
+"""
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = dedup.mark_duplicates(table(spark, sf_dir, "documents"))
     return marked.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -36,17 +74,36 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op6_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pieces.tokenized(table(spark, sf_dir, "documents"), PIECES)
+    back = pieces.decoded(F.col("ids"), pieces.shared(spark, PIECES))
+    return out.select("doc_id", "n_ids", "ids", back.eqNullSafe(F.col("text")).alias("round_trip"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.histogram_shards(table(spark, sf_dir, "documents"), n_shards=40)
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")))
     return out.select("doc_id", "size", crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "clean_text")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rules.quality_rules(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_stop_words")
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents have no path: source, language and hundreds of ids are their directories, and a text of
+    under 400 characters counts as its directory's licence file."""
+    docs = table(spark, sf_dir, "documents")
+    name = F.when(F.col("n_chars") < 400, F.lit("LICENSE")).otherwise(F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".txt")))
+    path = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 100).cast("string"), name)
+    return licenses.license_scan(docs.withColumn("path", path)).select("doc_id", "path", "license", "how", "similarity", "license_dir")
+
+
 _STOP = ", ".join(f"'{w}'" for w in rules.STOP_WORDS)
 _FAILS = " OR ".join(f"{name} {sign} {bound}" for name, sign, bound in rules.RULES)
 OP9_SQL = rf"""
@@ -78,11 +135,15 @@ def queries() -> dict:
     return {
         "op1_quality_gam": op1_quality_gam,
         "op2_pivotal_mix": op2_pivotal_mix,
+        "op4_temporal_url_filter": op4_temporal_url_filter,
         "op5_exact_dedup": op5_exact_dedup,
+        "op6_piece_codec": op6_piece_codec,
         "op7_sharding": op7_sharding,
+        "op8_line_dedup": op8_line_dedup,
         "op9_quality_rules": op9_quality_rules,
+        "op10_license_scan": op10_license_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5_SQL, "op9_quality_rules": OP9_SQL}
+    return {"op4_temporal_url_filter": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op9_quality_rules": OP9_SQL}
