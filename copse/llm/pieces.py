@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import put, quoted
+from .common import pinned, put, quoted
 
 #: The white-space marker, and the kinds of pieces in a model file (fixed values).
 MARK = "▁"
@@ -18,7 +18,9 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: How much less than the least score an unknown character scores.
 UNKNOWN_PENALTY = 10.0
 #: Chunks that a worker remembers, and their longest.
-MEMO, MEMO_CHARS = 300_000, 48
+MEMO, MEMO_CHARS = 100_000, 32
+#: Chunks that go through the trie together.
+BATCH = 4096
 
 
 def _fields(data: bytes):
@@ -143,6 +145,9 @@ class Pieces:
         breaks = "".join(re.escape(c) for c in "\n\r\t" if c not in self.codes)
         self.chunks = re.compile(rf" *[^ {breaks}]+| +|[{breaks or ' '}]") if apart else re.compile(r"(?s).+")
         self.memo: dict[str, bytes] = {}
+        self.longest = max(map(len, texts), default=1)
+        self.arrays = (np.array([ord(c) for c in self.codes], np.uint32), np.array(list(self.codes.values())), *(x.astype(np.int64) for x in (trie.base, trie.check, trie.value)))
+        self.score_array = np.array(self.scores, float)
 
     def viterbi(self, text: str) -> list[int]:
         """Ids of the pieces of the best path; of equal paths, the one whose last pieces are longest."""
@@ -180,22 +185,86 @@ class Pieces:
             end = start
         return out[::-1]
 
-    def encode_bytes(self, text: str) -> bytes:
-        """The ids as int32 in a row."""
-        memo, parts = self.memo, []
-        for chunk in self.chunks.findall(" " + text if self.prefix else text):
-            ids = memo.get(chunk)
-            if ids is None:
-                ids = np.array(self.viterbi(chunk), np.int32).tobytes()
-                if len(chunk) <= MEMO_CHARS:
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                    memo[chunk] = ids
-            parts.append(ids)
-        return b"".join(parts)
+    def viterbi_many(self, texts: list[str]) -> list[bytes]:
+        """viterbi() of each text (none empty) as int32 in a row; the steps run over all texts at once."""
+        order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
+        flat = np.frombuffer("".join([texts[i] for i in order]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        sizes = np.array([len(texts[i]) for i in order])
+        points, code_of, base, check, value = self.arrays
+        found = np.searchsorted(points, flat)
+        codes = np.where(points[np.minimum(found, len(points) - 1)] == flat, code_of[np.minimum(found, len(points) - 1)], 0)
+        starts = np.r_[0, np.cumsum(sizes)[:-1]]
+        ends = np.repeat(starts + sizes, sizes)
+        # Matches of each length from each place, all places together.
+        score = np.full((self.longest + 1, len(flat)), -np.inf)
+        piece = np.full((self.longest + 1, len(flat)), -1, np.int32)
+        at, state = np.arange(len(flat)), np.zeros(len(flat), np.int64)
+        for length in range(1, self.longest + 1):
+            inside = at + length <= ends[at]
+            at, state = at[inside], state[inside]
+            code = codes[at + length - 1]
+            to = base[state] + code
+            good = (code > 0) & (base[state] >= 0) & (to < len(check))
+            good[good] = check[to[good]] == state[good]
+            at, state = at[good], to[good]
+            if not len(at):
+                break
+            got = value[state]
+            hit = got >= 0
+            piece[length, at[hit]] = got[hit]
+            score[length, at[hit]] = self.score_array[got[hit]]
+        alone = piece[1] < 0
+        score[1, alone] = self.unknown_score
+        # The best path to each place, place by place of all texts; the longest last piece wins ties.
+        width = int(sizes[0])
+        best = np.full((width + 1, len(texts)), -np.inf)
+        best[0] = 0.0
+        took = np.zeros((width + 1, len(texts)), np.int64)
+        live = len(texts)
+        for end in range(1, width + 1):
+            while sizes[live - 1] < end:
+                live -= 1
+            for length in range(min(end, self.longest), 0, -1):
+                value_ = best[end - length, :live] + score[length, starts[:live] + end - length]
+                more = value_ > best[end, :live]
+                best[end, :live][more] = value_[more]
+                took[end, :live][more] = length
+        back, rows, columns = sizes.copy(), np.arange(len(texts)), []
+        kept = np.full((width, len(texts)), -2, np.int32)  # filled from the end
+        odd = np.zeros(len(texts), bool)
+        for step in range(width):
+            live_ = rows[back > 0]
+            if not len(live_):
+                break
+            length = took[back[live_], live_]
+            got = piece[length, starts[live_] + back[live_] - length]
+            odd[live_[got < 0]] = True
+            kept[width - 1 - step, live_] = got
+            back[live_] -= length
+        out = [b""] * len(texts)
+        table, first = np.ascontiguousarray(kept.T), (kept.T == -2).sum(1)
+        for row, i in enumerate(order):
+            out[i] = np.array(self.viterbi(texts[i]), np.int32).tobytes() if odd[row] else table[row, first[row] :].tobytes()
+        return out
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as int32 in a row; nothing for an empty text or null."""
+        memo, split = self.memo, self.chunks.findall
+        parts = [split(" " + t if self.prefix else t) if t else [] for t in texts]
+        new = [c for c in set().union(*parts) if c not in memo]
+        if len(memo) + len(new) > MEMO:
+            memo.clear()
+            new = list(set().union(*parts))
+        short = sorted((c for c in new if len(c) <= MEMO_CHARS), key=len)
+        known = memo if len(new) <= MEMO else {}
+        for low in range(0, len(short), BATCH):
+            some = short[low : low + BATCH]
+            known.update(zip(some, self.viterbi_many(some), strict=True))
+        known = known | {c: np.array(self.viterbi(c), np.int32).tobytes() for c in new if len(c) > MEMO_CHARS} if len(short) < len(new) else known
+        return [b"".join([known[c] for c in p]) for p in parts]
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(self.encode_bytes(text), np.int32).tolist() if text else []
+        return np.frombuffer(self.encode_all([text])[0], np.int32).tolist()
 
     def decode(self, ids) -> str:
         raw = self.raw
@@ -212,13 +281,12 @@ def encoded(text: Column, pieces) -> Column:
     """Ids as array<int>: none for an empty text, null for null.  pieces: from shared()."""
 
     def of(texts: pa.Array) -> pa.Array:
-        own, ids, ends, at = pieces.value, [], [0], 0
-        for t in texts.to_pylist():
-            got = own.encode_bytes(t) if t else b""
-            ids.append(got)
-            at += len(got) // 4
-            ends.append(at)
-        values = pa.Array.from_buffers(pa.int32(), at, [None, pa.py_buffer(b"".join(ids))])
+        own, ids, ends = pieces.value, bytearray(), [0]
+        for low in range(0, len(texts), 128):
+            for got in own.encode_all(texts.slice(low, 128).to_pylist()):
+                ids += got
+                ends.append(len(ids) // 4)
+        values = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(ids)])
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=texts.is_null())
 
     return F.arrow_udf(of, "array<int>")(text)
@@ -228,8 +296,8 @@ def decoded(ids: Column, pieces) -> Column:
     """The text of an array of ids; null for null."""
 
     def of(lists: pa.Array) -> pa.Array:
-        own = pieces.value
-        return pa.array([None if x is None else own.decode(x) for x in map(lambda v: v.values.to_pylist() if v.is_valid else None, lists)], pa.string())
+        own, flat, ends = pieces.value, lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_pylist()
+        return pa.array([own.decode(flat[a:b].tolist()) if ok else None for a, b, ok in zip(ends, ends[1:], lists.is_valid().to_pylist(), strict=False)], pa.string())
 
     return F.arrow_udf(of, "string")(ids)
 
@@ -239,5 +307,6 @@ def tokenized(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
 
     A null text has null ids and no count of them (0); an empty one has none.  Each row stands alone.
     """
-    out = put(df, ids=encoded(F.col(quoted(text_col)), shared(df.sparkSession, path)))
-    return put(out, n_ids=F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_ids")).withColumn("n_ids", F.greatest(F.col("n_ids"), F.lit(0).cast("long")))
+    rows = df.drop(*[c for c in df.columns if c.lower() in ("ids", "n_ids") and c != text_col])
+    out = pinned(rows, "ids", encoded(F.col(quoted(text_col)), shared(df.sparkSession, path)))  # encoded once
+    return put(out, n_ids=F.when(F.col("ids").isNull(), F.lit(0)).otherwise(F.size("ids")).cast("long"))
