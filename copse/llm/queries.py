@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dedup, gam, licenses, lines, mixing, pieces, rules, sharding, urls
+from . import dedup, gam, jaccard, licenses, lines, mixing, pieces, rules, sharding, urls
 
 #: The vocabulary file; a parameter of the tokenizer query.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -39,6 +39,10 @@ def op2_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op4_temporal_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pages have no fetch time: page p counts as fetched on day p mod 366 of 2024."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 366).cast("int")).alias("fetched"))
@@ -135,6 +139,7 @@ def queries() -> dict:
     return {
         "op1_quality_gam": op1_quality_gam,
         "op2_pivotal_mix": op2_pivotal_mix,
+        "op3_ngram_jaccard": op3_ngram_jaccard,
         "op4_temporal_url_filter": op4_temporal_url_filter,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_piece_codec": op6_piece_codec,
