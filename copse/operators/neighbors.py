@@ -64,6 +64,13 @@ def nearest_vectors(df: DataFrame, queries: DataFrame, k: int, ident: str = "id"
     return rows.select("query", "id", d.alias("distance")).withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= k)
 
 
+def _most_frequent(array: Column) -> Column:
+    """The most frequent known value of a short array; the smallest of equals."""
+    values = F.filter(array, lambda x: x.isNotNull())
+    counts = F.transform(F.array_distinct(values), lambda x: F.struct((-F.size(F.filter(values, lambda y: y == x))).alias("n"), x.alias("v")))
+    return F.try_element_at(F.array_sort(counts), F.lit(1))["v"]
+
+
 def smote(df: DataFrame, features: tuple[Feature, ...], seed, minority: str | None = None, k: int = 5, times: int = 1) -> DataFrame:
     """Made-up rows of the minority class: times for each of its rows.
 
@@ -87,9 +94,8 @@ def smote(df: DataFrame, features: tuple[Feature, ...], seed, minority: str | No
             made = F.col(f.name) + draw * (F.col(f"one.{f.name}") - F.col(f.name))
             out.append(F.when(F.col("near").isNull(), F.col(f.name) + draw).otherwise(made).alias(f.name))
         else:
-            values = F.filter(F.transform("near", lambda x, n=f.name: x["nb"][n]), lambda x: x.isNotNull())
-            counts = F.transform(F.array_distinct(values), lambda x, v=values: F.struct((-F.size(F.filter(v, lambda y: y == x))).alias("n"), x.alias("v")))
-            out.append(F.when(F.col(f.name).isNotNull(), F.coalesce(F.try_element_at(F.array_sort(counts), F.lit(1))["v"], F.col(f.name))).alias(f.name))
+            most = _most_frequent(F.col(f"near.nb.{f.name}"))
+            out.append(F.when(F.col(f.name).isNotNull(), F.coalesce(most, F.col(f.name))).alias(f.name))
     return rows.select(F.col("id").alias("from_id"), F.col("copy").cast("bigint").alias("copy"), F.lit(minority).alias("class"), *out)
 
 

@@ -155,9 +155,9 @@ def _catalogue() -> dict:
     # Trees and forests.
     small = forest.Options(trees=3, max_depth=4, seed=5)
     fitted = lambda s, d, **o: forest.fit(orders(s, d), small, **o)
-    columns = ["tree", "node", "depth", "kind", "feature", R6("threshold"), "category", "class", "n", R6("laplace")]
-    add("tree_depth2_nodes", lambda s, d: fitted(s, d, trees=1, max_depth=2, features="all")[0].nodes.select(*columns))
-    add("exact_tree_nodes", lambda s, d: fitted(s, d, trees=1, max_depth=2, features="all", threshold="exact", example_sampling="nothing")[0].nodes.select(*columns))
+    columns = lambda: ["tree", "node", "depth", "kind", "feature", R6("threshold"), "category", "class", "n", R6("laplace")]
+    add("tree_depth2_nodes", lambda s, d: fitted(s, d, trees=1, max_depth=2, features="all")[0].nodes.select(*columns()))
+    add("exact_tree_nodes", lambda s, d: fitted(s, d, trees=1, max_depth=2, features="all", threshold="exact", example_sampling="nothing")[0].nodes.select(*columns()))
     add("tree_predict", lambda s, d: fitted(s, d, trees=1)[0].leaves(orders(s, d).df).select("id", "actual", "node", "pred", R6("laplace")))
     add("forest_votes", lambda s, d: fitted(s, d, trees=5, max_depth=1)[0].votes(orders(s, d).df))
     add("forest_vote_lists", lambda s, d: fitted(s, d, max_depth=1)[0].vote_lists(orders(s, d).df))
@@ -171,7 +171,7 @@ def _catalogue() -> dict:
     add("variable_importance", lambda s, d: fitted(s, d)[0].importance().select("feature", R6("importance")))
     add("no_rules", lambda s, d: fitted(s, d)[0].n_rules())
     for branch in ("random", "all", "resample", "infinite-resample", "hellinger", "chisquare"):
-        add(f"branch_{branch.replace('-', '_')}", lambda s, d, branch=branch: fitted(s, d, trees=1, max_depth=2, branch=branch, score="hellinger" if branch == "hellinger" else "info")[0].nodes.select(*columns))
+        add(f"branch_{branch.replace('-', '_')}", lambda s, d, branch=branch: fitted(s, d, trees=1, max_depth=2, branch=branch, score="hellinger" if branch == "hellinger" else "info")[0].nodes.select(*columns()))
     add("proximity_topk", lambda s, d: fitted(s, d)[0].proximity(events_as_orders(s, d), events_as_orders(s, d).filter("id % 200 = 0"), 5).select("query", "id", R6("proximity"), "rank"))
 
     def events_as_orders(s, d):
