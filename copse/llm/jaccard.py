@@ -13,10 +13,13 @@ from .common import SALTS, quoted, salt, salts_in, stored
 
 #: Two sets link when LINK * |A or B| <= 100 * |A and B|.
 LINK = 90
-#: Bits of a signature: bit i is the parity of the members that hash to it.
-BITS = 512
+#: Bit i of a bitmap is the parity of the members that hash to it.  Bits of the short one, which tiles hold, and of
+#: the long one, which pairs are held against: half the members or more, to a power of two.
+BITS, LEAST_BITS = 256, 512
+#: Rows of a tile that isn't banded by size, and multiples of the prefix that are searched for common shingles.
+SMALL_TILE, SEARCHED = 256, 4
 #: A shingle in more prefixes than this, and than 1 / MOST_COMMON of all, is common.
-COMMON, MOST_COMMON = 500, 100_000
+COMMON, MOST_COMMON = 50, 1_000_000
 #: Shingles of a prefix that take part in the first round.
 FIRST_ROUND = 3
 SALT = f"cast(pmod(xxhash64(id), {SALTS}) as int)"
@@ -58,8 +61,17 @@ def prefix(u: np.ndarray, common: np.ndarray) -> np.ndarray:
     return u[:n]
 
 
-def signature(u: np.ndarray) -> bytes:
-    return np.packbits((np.bincount((u & np.uint64(BITS - 1)).astype(np.intp), minlength=BITS) & 1).astype(np.uint8)).tobytes()
+def bitmap(u: np.ndarray, bits: int) -> np.ndarray:
+    return np.packbits((np.bincount((u & np.uint64(bits - 1)).astype(np.intp), minlength=bits) & 1).astype(np.uint8))
+
+
+def long_bitmap(u: np.ndarray) -> np.ndarray:
+    return bitmap(u, max(LEAST_BITS, 1 << max(0, len(u) // 2 - 1).bit_length()))
+
+
+def folded(x: np.ndarray, size: int) -> np.ndarray:
+    """The bitmap of the same set with fewer bytes."""
+    return np.bitwise_xor.reduce(x.reshape(-1, size), axis=0)
 
 
 def _set_id(u: np.ndarray) -> bytes | None:
@@ -85,28 +97,30 @@ def _sketches(k: int, common):
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0), pa.array([len(u) for u in sets], pa.int64()), pa.array(map(_set_id, sets), pa.binary()),
-                    pa.array(map(signature, sets), pa.binary()), _lists([prefix(u, common.value) for u in sets]),
+                    pa.array([bitmap(u, BITS).tobytes() for u in sets], pa.binary()), pa.array([long_bitmap(u).tobytes() for u in sets], pa.binary()),
+                    _lists([prefix(u, common.value) for u in sets]),
                 ],
-                ["id", "n", "node", "bits", "prefix"],
+                ["id", "n", "node", "sig", "bits", "prefix"],
             )
 
     return run
 
 
-def _members_of_common(k: int, common):
-    """How often all shingles occur in texts of the batch with a common one in their prefix."""
+def _counts(k: int, common=None):
+    """How often shingles occur in prefixes; or, in texts with a common one there, in a few times the prefix."""
 
     def run(batches):
         for part in _parts(batches, 1024):
-            hit = []
+            found = []
             for text in part.column(1).to_pylist():
                 u = shingles(text, k)
-                p = prefix(u, common.value[:0])
-                if len(p) and np.isin(p, common.value).any():
-                    hit.append(u)
-            if hit:
-                token, n = np.unique(np.concatenate(hit), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n.astype(np.int64))], ["token", "n"])
+                p = prefix(u, u[:0])
+                if common is None:
+                    found.append(p)
+                elif len(p) and np.isin(p, common.value).any():
+                    found.append(u[: SEARCHED * len(p)])
+            token, n = np.unique(np.concatenate([*found, np.zeros(0, np.uint64)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n.astype(np.int64))], ["token", "n"])
 
     return run
 
@@ -148,7 +162,7 @@ def _candidates(first_round: bool):
     def run(batches):
         for t in _whole_tiles(batches):
             token, band, visits, n, cid, root = (t.column(c).to_numpy() for c in ("token", "band", "visits", "n", "cid", "root"))
-            bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(len(n), BITS // 64)
+            bits = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint64).reshape(len(n), BITS // 64)
             tile = np.r_[0, np.cumsum((token[1:] != token[:-1]) | (band[1:] != band[:-1]))]
             out = []
             if first_round:  # each row with the first of its tile, the others with the next one
@@ -181,6 +195,18 @@ def _candidates(first_round: bool):
     return run
 
 
+def _close(batches):
+    """The pairs that may link by their long bitmaps."""
+    for part in _parts(batches, 4096):
+        keep = []
+        for i, (x, y, p, q) in enumerate(zip(*(part.column(c).to_pylist() for c in range(2, 6)), strict=True)):
+            size = min(len(p), len(q))
+            differ = int(np.bitwise_count(folded(np.frombuffer(p, np.uint8), size) ^ folded(np.frombuffer(q, np.uint8), size)).sum())
+            if (100 + LINK) * (x + y - differ) >= 2 * LINK * (x + y):
+                keep.append(i)
+        yield part.take(pa.array(keep, pa.int32())).select(["a", "b"])
+
+
 def _exact(batches):
     """Sorted (a, deal, b): the set of a (b null) comes before the sets that it is compared with."""
     of, lead = None, None
@@ -241,7 +267,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     compares each class with one or two others of a tile; what it links needs no more pairs, so a large
     group of near copies costs about its size.  The second round takes all pairs of different
     components.  Shingles common in prefixes (a passage in many texts) come last in the global order,
-    which keeps tiles small; any such order is exact.
+    which keeps tiles small; any such
+    order is exact.
 
     A set is known by 64-bit hashes of its members.  Nulls: a null or empty text has no set and is its own
     component; a null id counts as a row of its own and names a component only if all its ids are null.
@@ -251,29 +278,23 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     texts = df.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"))
     kind = df.schema[id_col].dataType.simpleString()
 
-    def classes_of(common: np.ndarray) -> tuple[DataFrame, DataFrame]:
-        rows = texts.mapInArrow(_sketches(k, spark.sparkContext.broadcast(common)), f"id {kind}, n long, node binary, bits binary, prefix array<long>")
-        rows = stored(rows, "sketches")
-        per = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("null"), "id", "n", "bits", "prefix")).alias("r"), F.bit_or(F.expr(SALT_BIT)).alias("salts"))
-        per = stored(per.select("node", "salts", "r.id", "r.n", "r.bits", "r.prefix").withColumn("cid", F.monotonically_increasing_id()), "classes")
-        return rows, per
-
-    rows, classes = classes_of(np.zeros(0, np.uint64))
-    counts = classes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    common = _common_of(stored(counts.filter(F.col("n") > COMMON), "common"))
+    counted = lambda common: texts.mapInArrow(_counts(k, common), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    common = _common_of(stored(counted(None).filter(F.col("n") > COMMON), "common"))
     if len(common):
-        near = texts.mapInArrow(_members_of_common(k, spark.sparkContext.broadcast(common)), "token long, n long")
-        more = stored(near.groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") > COMMON), "common")
+        more = stored(counted(spark.sparkContext.broadcast(common)).filter(F.col("n") > COMMON), "common")
         common = np.union1d(common, _common_of(more))
-        rows, classes = classes_of(common)
-
-    tokens = classes.select("cid", F.posexplode("prefix").alias("pos", "token"))
-    shared = tokens.withColumn("times", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("times > 1").drop("times")
+    sketches = texts.mapInArrow(_sketches(k, spark.sparkContext.broadcast(common)), f"id {kind}, n long, node binary, sig binary, bits binary, prefix array<long>")
+    sketches = stored(sketches, "sketches")
+    rows = sketches.select("id", "n", "node")
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "n", "sig", "bits", "prefix"))
+    classes = sketches.filter("node IS NOT NULL").groupBy("node").agg(least.alias("r"), F.bit_or(F.expr(SALT_BIT)).alias("salts"))
+    classes = stored(classes.select("node", "salts", "r.*").drop("none").withColumn("cid", F.monotonically_increasing_id()), "classes")
+
+    tokens = classes.select("cid", F.posexplode("prefix").alias("pos", "token")).withColumn("pos", F.col("pos") < FIRST_ROUND)
+    shared = tokens.withColumn("times", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("times > 1")
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / LINK))).cast("int")
-    tiles = stored(shared.join(classes.select("cid", "n", "bits"), "cid").withColumn("band", band), "tiles")
-
-    of = tiles.select("cid").distinct().join(classes.select("cid", "node", F.col("id")), "cid")
-    found = texts.join(of, texts["id"].eqNullSafe(of["id"])).select("cid", "node", "text")
+    tiles = shared.join(classes.select("cid", "n", "sig"), "cid").withColumn("band", F.when(F.col("times") > SMALL_TILE, band))
+    tiles = stored(tiles, "tiles")
 
     def members(batches):
         for part in _parts(batches):
@@ -281,23 +302,26 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
             keep = [i for i, (u, node) in enumerate(zip(sets, part.column(1).to_pylist(), strict=True)) if _set_id(u) == node]
             yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keep, pa.int32())), _lists([sets[i] for i in keep])], ["cid", "members"])
 
-    sets = found.mapInArrow(members, "cid long, members array<long>")
-    sets = stored(sets, "sets")
-    if classes.count() != classes.select("id").distinct().count():  # rows that repeat an id and a set
-        sets = stored(sets.dropDuplicates(["cid"]), "sets")
-
-    def candidates(rooted: DataFrame, first_round: bool) -> DataFrame:
-        own = rooted.withColumn("visits", F.lit(False))
-        dealt = own.unionByName(rooted.withColumn("visits", F.lit(True)).withColumn("band", F.col("band") + 1))
-        dealt = dealt.select("token", "band", "visits", "n", "cid", "root", "bits").repartition("token", "band")
+    def links_of(rooted: DataFrame, first_round: bool) -> DataFrame:
+        own = rooted.select("token", F.coalesce("band", F.lit(-1)).alias("band"), F.lit(False).alias("visits"), "n", "cid", "root", "sig")
+        dealt = own.unionByName(own.filter("band >= 0").withColumns({"visits": F.lit(True), "band": F.col("band") + 1})).repartition("token", "band")
         dealt = dealt.sortWithinPartitions("token", "band", *([F.xxhash64("token", "cid")] if first_round else ["n", "cid"]))
-        return dealt.mapInArrow(_candidates(first_round), "a long, b long").distinct()
-
-    links = linked(candidates(tiles.filter(F.col("pos") < FIRST_ROUND).withColumn("root", F.col("cid")), True), sets)
+        pairs = dealt.mapInArrow(_candidates(first_round), "a long, b long").distinct()
+        for c in "ab":
+            pairs = pairs.join(classes.select(F.col("cid").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")), c)
+        pairs = stored(pairs.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_close, "a long, b long"), "pairs")
+        asked = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct().join(classes.select("cid", "node", F.col("id").alias("x_id")), "cid")
+        asked = stored(asked, "asked")
+        found = texts.join(asked.hint("merge"), texts["id"].eqNullSafe(asked["x_id"])).select("cid", "node", "text")
+        sets = stored(found.mapInArrow(members, "cid long, members array<long>"), "sets")
+        if sets.count() > asked.count():  # rows that repeat an id and a set
+            sets = stored(sets.dropDuplicates(["cid"]), "sets")
+        return linked(pairs, sets)
+
+    links = links_of(tiles.filter("pos").withColumn("root", F.col("cid")), True)
+    roots = components(links)
+    links = links.unionByName(links_of(tiles.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid")), False))
     roots = components(links)
-    rooted = tiles.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    rest = linked(candidates(rooted, False), sets)
-    roots = components(links.unionByName(rest))
 
     per_class = classes.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     least = per_class.groupBy("root").agg(F.min("id").alias("component_id"))
