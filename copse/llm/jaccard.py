@@ -15,12 +15,12 @@ from .common import SALTS, quoted, salt, salts_in, stored
 LINK = 90
 #: Bit i of a bitmap is the parity of the members that hash to it.  Bits of the short one, which tiles hold, and of
 #: the long one, which pairs are held against: half the members or more, to a power of two.
-BITS, LEAST_BITS = 256, 512
+BITS, LEAST_BITS = 512, 512
 #: Rows of a tile that isn't banded by size, and multiples of the prefix that are searched for common shingles.
 SMALL_TILE, SEARCHED = 256, 4
 #: A shingle in more prefixes than this, and than 1 / MOST_COMMON of all, is common.
 COMMON, MOST_COMMON = 50, 1_000_000
-#: Shingles of a prefix that take part in the first round.
+#: Shared shingles of a prefix that take part in the first round.
 FIRST_ROUND = 3
 SALT = f"cast(pmod(xxhash64(id), {SALTS}) as int)"
 SALT_BIT = f"shiftleft(1L, {SALT})"
@@ -42,6 +42,13 @@ def shingles(text: str | None, k: int) -> np.ndarray:
     return np.unique(h ^ (h >> np.uint64(32)))
 
 
+def _among(u: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Which members are in the sorted common ones."""
+    if not len(common):
+        return np.zeros(len(u), bool)
+    return common[np.minimum(np.searchsorted(common, u), len(common) - 1)] == u
+
+
 def least_overlap_share(n: int) -> int:
     return -(-LINK * n // 100)
 
@@ -55,8 +62,7 @@ def prefix(u: np.ndarray, common: np.ndarray) -> np.ndarray:
         return u[:0]
     n = len(u) - least_overlap_share(len(u)) + 1
     if len(common):
-        at = np.minimum(np.searchsorted(common, u), len(common) - 1)
-        late = common[at] == u
+        late = _among(u, common)
         u = np.concatenate([u[~late], u[late]])
     return u[:n]
 
@@ -117,7 +123,7 @@ def _counts(k: int, common=None):
                 p = prefix(u, u[:0])
                 if common is None:
                     found.append(p)
-                elif len(p) and np.isin(p, common.value).any():
+                elif _among(p, common.value).any():
                     found.append(u[: SEARCHED * len(p)])
             token, n = np.unique(np.concatenate([*found, np.zeros(0, np.uint64)]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n.astype(np.int64))], ["token", "n"])
@@ -132,10 +138,14 @@ def _common_of(counts: DataFrame) -> np.ndarray:
     return np.sort(rows["token"].to_numpy(np.int64).view(np.uint64))
 
 
-def _compatible(n, bits, a, b) -> np.ndarray:
-    """Whether the pairs of rows may link, from sizes and an upper bound of the overlap."""
+def _compatible(n, pos, bits, a, b) -> np.ndarray:
+    """Whether the pairs of rows may link, from sizes and upper bounds of the overlap.
+
+    If the tile's shingle is the first that a pair has in common, all that it has lies from there on; a
+    pair that fails this in a later tile has been met in an earlier one.
+    """
     x, y = n[a], n[b]
-    ok = (100 * np.minimum(x, y) >= LINK * np.maximum(x, y))
+    ok = (100 * np.minimum(x, y) >= LINK * np.maximum(x, y)) & ((100 + LINK) * np.minimum(x - pos[a], y - pos[b]) >= LINK * (x + y))
     differ = np.bitwise_count(bits[a[ok]] ^ bits[b[ok]]).sum(1).astype(np.int64)  # at most |A xor B|
     both = (x + y)[ok]
     ok[ok] = (100 + LINK) * (both - differ) >= 2 * LINK * both
@@ -161,7 +171,7 @@ def _whole_tiles(batches):
 def _candidates(first_round: bool):
     def run(batches):
         for t in _whole_tiles(batches):
-            token, band, visits, n, cid, root = (t.column(c).to_numpy() for c in ("token", "band", "visits", "n", "cid", "root"))
+            token, band, visits, n, cid, root, pos = (t.column(c).to_numpy() for c in ("token", "band", "visits", "n", "cid", "root", "pos"))
             bits = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint64).reshape(len(n), BITS // 64)
             tile = np.r_[0, np.cumsum((token[1:] != token[:-1]) | (band[1:] != band[:-1]))]
             out = []
@@ -173,7 +183,7 @@ def _candidates(first_round: bool):
                     lead = left[np.searchsorted(tile[left], tile[left])]
                     own = lead != left
                     a, b = lead[own], left[own]
-                    ok = _compatible(n, bits, a, b)
+                    ok = _compatible(n, pos, bits, a, b)
                     out.append((a[ok], b[ok]))
                     left = b[~ok]
             else:
@@ -184,7 +194,7 @@ def _candidates(first_round: bool):
                     b = a + step
                     ok = (root[a] != root[b]) & ~(visits[a] & visits[b])
                     a, b = a[ok], b[ok]
-                    ok = _compatible(n, bits, a, b)
+                    ok = _compatible(n, pos, bits, a, b)
                     out.append((a[ok], b[ok]))
             if out:
                 a, b = (cid[np.concatenate(x)] for x in zip(*out, strict=True))
@@ -290,10 +300,11 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     classes = sketches.filter("node IS NOT NULL").groupBy("node").agg(least.alias("r"), F.bit_or(F.expr(SALT_BIT)).alias("salts"))
     classes = stored(classes.select("node", "salts", "r.*").drop("none").withColumn("cid", F.monotonically_increasing_id()), "classes")
 
-    tokens = classes.select("cid", F.posexplode("prefix").alias("pos", "token")).withColumn("pos", F.col("pos") < FIRST_ROUND)
+    tokens = classes.select("cid", F.posexplode("prefix").alias("pos", "token"))
     shared = tokens.withColumn("times", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("times > 1")
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / LINK))).cast("int")
     tiles = shared.join(classes.select("cid", "n", "sig"), "cid").withColumn("band", F.when(F.col("times") > SMALL_TILE, band))
+    tiles = tiles.withColumn("nth", F.row_number().over(Window.partitionBy("cid").orderBy("pos")))
     tiles = stored(tiles, "tiles")
 
     def members(batches):
@@ -303,7 +314,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
             yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keep, pa.int32())), _lists([sets[i] for i in keep])], ["cid", "members"])
 
     def links_of(rooted: DataFrame, first_round: bool) -> DataFrame:
-        own = rooted.select("token", F.coalesce("band", F.lit(-1)).alias("band"), F.lit(False).alias("visits"), "n", "cid", "root", "sig")
+        own = rooted.select("token", F.coalesce("band", F.lit(-1)).alias("band"), F.lit(False).alias("visits"), "n", "pos", "cid", "root", "sig")
         dealt = own.unionByName(own.filter("band >= 0").withColumns({"visits": F.lit(True), "band": F.col("band") + 1})).repartition("token", "band")
         dealt = dealt.sortWithinPartitions("token", "band", *([F.xxhash64("token", "cid")] if first_round else ["n", "cid"]))
         pairs = dealt.mapInArrow(_candidates(first_round), "a long, b long").distinct()
@@ -318,7 +329,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
             sets = stored(sets.dropDuplicates(["cid"]), "sets")
         return linked(pairs, sets)
 
-    links = links_of(tiles.filter("pos").withColumn("root", F.col("cid")), True)
+    links = links_of(tiles.filter(F.col("nth") <= FIRST_ROUND).withColumn("root", F.col("cid")), True)
     roots = components(links)
     links = links.unionByName(links_of(tiles.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid")), False))
     roots = components(links)
