@@ -20,8 +20,8 @@ BITS, LEAST_BITS = 512, 512
 SMALL_TILE, SEARCHED = 256, 4
 #: A shingle in more prefixes than this, and than 1 / MOST_COMMON of all, is common.
 COMMON, MOST_COMMON = 50, 1_000_000
-#: Shared shingles of a prefix that take part in the first round.
-FIRST_ROUND = 3
+#: Shared shingles of a prefix that take part in each of the rounds that compare with a few rows of a tile only.
+FIRST_ROUNDS = (3, 9)
 SALT = f"cast(pmod(xxhash64(id), {SALTS}) as int)"
 SALT_BIT = f"shiftleft(1L, {SALT})"
 
@@ -168,24 +168,24 @@ def _whole_tiles(batches):
         yield rest
 
 
-def _candidates(first_round: bool):
+def _candidates(few: bool):
     def run(batches):
         for t in _whole_tiles(batches):
             token, band, visits, n, cid, root, pos = (t.column(c).to_numpy() for c in ("token", "band", "visits", "n", "cid", "root", "pos"))
             bits = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint64).reshape(len(n), BITS // 64)
             tile = np.r_[0, np.cumsum((token[1:] != token[:-1]) | (band[1:] != band[:-1]))]
             out = []
-            if first_round:  # each row with the first of its tile, the others with the next one
+            if few:  # each row with the first of its tile, the others with the next one
                 left = np.arange(len(n))
                 for _ in range(2):
                     if len(left) < 2:
                         break
                     lead = left[np.searchsorted(tile[left], tile[left])]
-                    own = lead != left
+                    own = (lead != left) & (root[lead] != root[left])
                     a, b = lead[own], left[own]
                     ok = _compatible(n, pos, bits, a, b)
                     out.append((a[ok], b[ok]))
-                    left = b[~ok]
+                    left = b[~ok]  # those with the first one's component have no more to do here
             else:
                 for step in range(1, len(n)):
                     a = np.flatnonzero(tile[step:] == tile[:-step])
@@ -273,9 +273,9 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Rows with equal sets are one class.  Classes meet in tiles: a shingle of their prefixes, and a band
     of sizes (each class also visits the band above).  Within tiles, sizes and the difference of bitmap
-    signatures bound the overlap from above; pairs that may link are compared exactly.  A first round
-    compares each class with one or two others of a tile; what it links needs no more pairs, so a large
-    group of near copies costs about its size.  The second round takes all pairs of different
+    signatures bound the overlap from above; pairs that may link are compared exactly.  The first
+    rounds compare each class with one or two others of a tile; what they link needs no more pairs, so a
+    large group of near copies costs about its size.  The last round takes all pairs of different
     components.  Shingles common in prefixes (a passage in many texts) come last in the global order,
     which keeps tiles small; any such
     order is exact.
@@ -313,11 +313,12 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
             keep = [i for i, (u, node) in enumerate(zip(sets, part.column(1).to_pylist(), strict=True)) if _set_id(u) == node]
             yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keep, pa.int32())), _lists([sets[i] for i in keep])], ["cid", "members"])
 
-    def links_of(rooted: DataFrame, first_round: bool) -> DataFrame:
+    def links_of(rooted: DataFrame, round_: int) -> DataFrame:
+        few = round_ < len(FIRST_ROUNDS)
         own = rooted.select("token", F.coalesce("band", F.lit(-1)).alias("band"), F.lit(False).alias("visits"), "n", "pos", "cid", "root", "sig")
         dealt = own.unionByName(own.filter("band >= 0").withColumns({"visits": F.lit(True), "band": F.col("band") + 1})).repartition("token", "band")
-        dealt = dealt.sortWithinPartitions("token", "band", *([F.xxhash64("token", "cid")] if first_round else ["n", "cid"]))
-        pairs = dealt.mapInArrow(_candidates(first_round), "a long, b long").distinct()
+        dealt = dealt.sortWithinPartitions("token", "band", *([F.xxhash64("token", "cid", F.lit(round_))] if few else ["n", "cid"]))
+        pairs = dealt.mapInArrow(_candidates(few), "a long, b long").distinct()
         for c in "ab":
             pairs = pairs.join(classes.select(F.col("cid").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")), c)
         pairs = stored(pairs.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_close, "a long, b long"), "pairs")
@@ -329,10 +330,12 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
             sets = stored(sets.dropDuplicates(["cid"]), "sets")
         return linked(pairs, sets)
 
-    links = links_of(tiles.filter(F.col("nth") <= FIRST_ROUND).withColumn("root", F.col("cid")), True)
-    roots = components(links)
-    links = links.unionByName(links_of(tiles.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid")), False))
-    roots = components(links)
+    links, rooted = None, tiles.withColumn("root", F.col("cid"))
+    for i, most in enumerate([*FIRST_ROUNDS, None]):
+        found = links_of(rooted if most is None else rooted.filter(F.col("nth") <= most), i)
+        links = found if links is None else links.unionByName(found)
+        roots = components(links)
+        rooted = tiles.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
 
     per_class = classes.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     least = per_class.groupBy("root").agg(F.min("id").alias("component_id"))
