@@ -44,13 +44,13 @@ def ranges_of(df: DataFrame, features: tuple[Feature, ...]) -> dict[str, tuple[C
     return {n: (F.lit(row[f"min_{n}"]), F.lit(row[f"max_{n}"])) for n in names}
 
 
-def nearest(df: DataFrame, queries: DataFrame, features: tuple[Feature, ...], k: int, ranges=None) -> DataFrame:
-    """query, id, distance and rank of the k rows of df nearest to each query (a stated set), itself left out."""
+def nearest(df: DataFrame, queries: DataFrame, features: tuple[Feature, ...], k: int, ranges=None, values: bool = False) -> DataFrame:
+    """query, id, distance and rank of the k rows of df nearest to each query (a stated set), itself left out; values: with their features as v."""
     ranges = ranges or ranges_of(df, features)
     names = [f.name for f in features]
     q = queries.select(F.col("id").alias("query"), F.struct(*names).alias("q"))
     rows = df.select("id", F.struct(*names).alias("v")).crossJoin(q).filter("id <> query")
-    rows = rows.select("query", "id", distance(features, "q", "v", ranges).alias("distance"))
+    rows = rows.select("query", "id", distance(features, "q", "v", ranges).alias("distance"), *(["v"] if values else []))
     order = Window.partitionBy("query").orderBy("distance", "id")
     return rows.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= k)
 
@@ -81,9 +81,8 @@ def smote(df: DataFrame, features: tuple[Feature, ...], seed, minority: str | No
     if minority is None:
         minority = df.groupBy("class").count().orderBy("count", "class").first()["class"]
     own = df.filter(F.col("class") == minority)
-    near = nearest(own, own, features, k, ranges_of(df, features))
-    names = [f.name for f in features]
-    near = near.join(own.select("id", F.struct(*names).alias("nb")), "id").groupBy("query").agg(F.array_sort(F.collect_list(F.struct("rank", "nb"))).alias("near"))
+    near = nearest(own, own, features, k, ranges_of(own, features), values=True)
+    near = near.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("v").alias("nb")))).alias("near"))
     rows = own.join(near, own["id"] == near["query"], "left").withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(times))))
     pick = F.floor(u(seed, "pick", F.col("id"), F.col("copy")) * F.size("near")).cast("int")
     rows = rows.withColumn("one", F.when(F.col("near").isNotNull(), F.col("near")[pick]["nb"]))
