@@ -22,6 +22,10 @@ NODES = """tree int, node string, depth int, kind string, ordinal int, feature s
 n_left double, n_right double, class string, n double, majority_n double, score double, gain double, laplace double"""
 
 
+#: Branching policies that draw again where a node's best split is poor.
+REDRAW = ("resample", "infinite-resample", "hellinger", "chisquare", "random-chisquare", "resquare", "chisquare-decrease", "sample-examples")
+
+
 @dataclass(frozen=True)
 class Options:
     """Names and defaults of the forest's options."""
@@ -31,13 +35,15 @@ class Options:
     min_examples: int = 1
     score: str = "info"
     features: str | int = "default"  # default, sqrt, all or a number
-    branch: str = "subset"  # subset, random, all, resample, infinite-resample, hellinger, chisquare
+    branch: str = "subset"  # subset, random, all, random-subset, or one of REDRAW
     missing: str = "weighted"
     example_sampling: str = "bagging"
     threshold: str = "random"  # random or exact
     resamples: int = 6
     min_gain: float = 0.0
     sigma: float = 0.5
+    variance: float = 2.0  # random-subset: how many features more or less
+    share: float = 0.1  # sample-examples: of the rows, at first
     seed: int = 1
 
     def n_features(self, total: int) -> int:
@@ -95,21 +101,67 @@ def _thresholds(rows: DataFrame, o: Options, round_: int) -> DataFrame:
     return exact.unionByName(pair.filter("category IS NOT NULL"))
 
 
+def _drawn(o: Options, total: int, round_: int) -> tuple[int, int]:
+    """How many features a node draws in a round, and how many earlier rounds have taken."""
+    n = o.n_features(total)
+    if o.branch == "infinite-resample" and round_:
+        return total, n
+    if o.branch == "chisquare-decrease":
+        sizes = [n]
+        for _ in range(round_):
+            sizes.append(max(1, int(sizes[-1] / 2 + 0.5)))
+        return sizes[-1], sum(sizes[:-1])
+    return n, n * round_
+
+
+def _redraws(o: Options, total: int) -> int:
+    """Rounds after the first at most: each takes features that a node hasn't tried yet."""
+    if o.branch == "sample-examples":
+        return math.ceil(math.log2(1 / o.share))
+    return {"resample": o.resamples, "infinite-resample": 1}.get(o.branch, total if o.branch in REDRAW else 0)
+
+
+def _poor(o: Options, round_: int):
+    """Whether a node draws again; one without a split does."""
+    chi = F.col("chi2") < o.sigma
+    gain = F.col("entropy") - F.col("left") - F.col("right") <= o.min_gain
+    poor = F.coalesce({"hellinger": F.col("score") >= 1, "resample": gain, "infinite-resample": gain}.get(o.branch, chi), F.lit(True))
+    if o.branch == "random-chisquare":
+        return poor & (u(o.seed, "policy", F.col("tree"), F.col("node")) <= 0.5)
+    return poor & (u(o.seed, "again", round_, F.col("tree"), F.col("node")) < 0.5) if o.branch == "resquare" else poor
+
+
+def _best(rows: DataFrame, cuts: DataFrame, o: Options) -> DataFrame:
+    """The split of each (tree, node) with the lowest score, then the lowest ordinal."""
+    keys = ["tree", "node", "ordinal"]
+    sided = rows.join(cuts, keys).withColumn("side", _side())
+    counts = measures.class_counts(sided.filter("side <> '?'"), keys)
+    scored = measures.scores(counts, keys, o.score, o.seed)
+    totals = counts.groupBy(*keys).agg(F.sum("l").alias("n_left"), F.sum("r").alias("n_right"))
+    scored = scored.join(totals, keys).join(measures.chi_square(counts, keys), keys)
+    best = scored.groupBy("tree", "node").agg(F.min(F.struct(F.round("score", 9).alias("score"), "ordinal", "left", "right", "n_left", "n_right", "chi2")).alias("b"))
+    return best.select("tree", "node", "b.*").join(cuts, keys)
+
+
 def _candidates(long: DataFrame, o: Options, total: int, round_: int) -> DataFrame:
-    """The best split of each (tree, node) over its drawn features: lowest score, then lowest ordinal."""
-    n = total if o.branch == "infinite-resample" and round_ else o.n_features(total)
+    """The best split of each (tree, node) over the features that it draws in a round.
+
+    sample-examples finds it on a sample, which doubles each round, and scores it on all rows.
+    """
+    (n, tried), at = _drawn(o, total, round_), (F.col("tree"), F.col("node"))
+    size = F.lit(n)
+    if o.branch == "random-subset":
+        size = F.least(F.lit(total), F.greatest(F.lit(1), F.round(n + (2 * u(o.seed, "size", *at) - 1) * o.variance).cast("int")))
     asked = long.select("tree", "node", "ordinal").distinct()
-    order = Window.partitionBy("tree", "node").orderBy(u(o.seed, "feature", round_, F.col("tree"), F.col("node"), F.col("ordinal")), "ordinal")
-    asked = asked.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= n).drop("_r")
+    order = Window.partitionBy("tree", "node").orderBy(u(o.seed, "feature", *at, F.col("ordinal")), "ordinal")
+    asked = asked.withColumn("_r", F.row_number().over(order)).filter((F.col("_r") > tried) & (F.col("_r") <= tried + size)).drop("_r")
     rows = long.join(asked, ["tree", "node", "ordinal"])
-    cuts = stored(_thresholds(rows, o, round_), "cuts")
-    sided = rows.join(cuts, ["tree", "node", "ordinal"]).withColumn("side", _side())
-    counts = measures.class_counts(sided.filter("side <> '?'"), ["tree", "node", "ordinal"])
-    scored = measures.scores(counts, ["tree", "node", "ordinal"], o.score, o.seed)
-    totals = counts.groupBy("tree", "node", "ordinal").agg(F.sum("l").alias("n_left"), F.sum("r").alias("n_right"))
-    scored = scored.join(totals, ["tree", "node", "ordinal"]).join(measures.chi_square(counts, ["tree", "node", "ordinal"]), ["tree", "node", "ordinal"])
-    best = scored.groupBy("tree", "node").agg(F.min(F.struct(F.round("score", 9).alias("score"), "ordinal", "left", "right", "n_left", "n_right", "chi2")).alias("b"))
-    return best.select("tree", "node", "b.*").join(cuts, ["tree", "node", "ordinal"])
+    if o.branch != "sample-examples":
+        return _best(rows, stored(_thresholds(rows, o, round_), "cuts"), o)
+    some = rows.filter(u(o.seed, "sample", round_, *at, F.col("id")) < o.share * 2**round_)
+    cuts = stored(_thresholds(some, o, round_), "cuts")
+    found = stored(_best(some, cuts, o).select("tree", "node", "ordinal"), "found")
+    return _best(rows.join(found, found.columns, "left_semi"), cuts, o)
 
 
 def grow(ex: ExampleSet, o: Options, bags: DataFrame | None = None) -> DataFrame:
@@ -126,20 +178,22 @@ def grow(ex: ExampleSet, o: Options, bags: DataFrame | None = None) -> DataFrame
             (xlnx(F.sum("w")) - F.sum(xlnx(F.col("w")))).alias("entropy"),
         )
         stats = stored(stats, "stats")
-        active = stats.filter((F.col("k") > 1) & (F.col("n") > o.min_examples)).select("tree", "node")
+        active = stats.filter((F.col("k") > 1) & (F.col("n") > o.min_examples)).select("tree", "node", "entropy")
         winners = None
         if depth < o.max_depth and not active.isEmpty():
-            long = _long(state.join(active, ["tree", "node"]), ex.features)
-            winners = stored(_candidates(long, o, len(ex.features), 0), "winners")
-            again = {"resample": o.resamples, "infinite-resample": 1, "hellinger": o.resamples, "chisquare": o.resamples}.get(o.branch, 0)
-            for round_ in range(1, again + 1):
-                gain = stats.select("tree", "node", "entropy").join(winners, ["tree", "node"])
-                poor = {"hellinger": F.col("score") >= 1, "chisquare": F.col("chi2") < o.sigma}.get(o.branch, F.col("entropy") - F.col("left") - F.col("right") <= o.min_gain)
-                poor = stored(gain.filter(poor).select("tree", "node"), "poor")
+            total = len(ex.features)
+            long = _long(state.join(active.select("tree", "node"), ["tree", "node"]), ex.features)
+            winners, asked = stored(_candidates(long, o, total, 0), "winners"), active
+            for round_ in range(1, _redraws(o, total) + 1):
+                poor = stored(asked.join(winners, ["tree", "node"], "left").filter(_poor(o, round_)).select("tree", "node", "entropy"), "poor")
                 if poor.isEmpty():
                     break
-                redo = _candidates(long.join(poor, ["tree", "node"], "left_semi"), o, len(ex.features), round_)
-                winners = stored(winners.join(poor, ["tree", "node"], "left_anti").unionByName(redo), "winners")
+                winners, asked = winners.join(poor, ["tree", "node"], "left_anti"), poor
+                sampled_out = o.branch == "sample-examples" and o.share * 2**round_ >= 1
+                if sampled_out or _drawn(o, total, round_)[1] >= total:  # no features or rows are left: leaves
+                    break
+                redo = _candidates(long.join(poor, ["tree", "node"], "left_semi"), o, total, round_)
+                winners = stored(winners.unionByName(redo), "winners")
             winners = winners.filter("n_left > 0 AND n_right > 0")  # a one-sided winner is a leaf
         base = stats if winners is None else stats.join(winners, ["tree", "node"], "left")
         if winners is None:

@@ -170,7 +170,7 @@ def _catalogue() -> dict:
     add("oob_accuracy_per_tree", oob)
     add("variable_importance", lambda s, d: fitted(s, d)[0].importance().select("feature", R6("importance")))
     add("no_rules", lambda s, d: fitted(s, d)[0].n_rules())
-    for branch in ("random", "all", "resample", "infinite-resample", "hellinger", "chisquare"):
+    for branch in ("random", "all", "random-subset", *forest.REDRAW):
         add(f"branch_{branch.replace('-', '_')}", lambda s, d, branch=branch: fitted(s, d, trees=1, max_depth=2, branch=branch, score="hellinger" if branch == "hellinger" else "info")[0].nodes.select(*columns()))
     add("proximity_topk", lambda s, d: fitted(s, d)[0].proximity(events_as_orders(s, d), events_as_orders(s, d).filter("id % 200 = 0"), 5).select("query", "id", R6("proximity"), "rank"))
 

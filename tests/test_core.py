@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from copse.functions import measures
 from copse.operators import examples, metrics, neighbors, sampling
 from copse.operators.examples import ExampleSet
-from copse.plans.forest import ForestModel, Options, fit
+from copse.plans.forest import ForestModel, Options, _drawn, fit
 from copse.sources import typed_csv
 
 
@@ -113,6 +113,46 @@ def test_forest_end_to_end(spark, tmp_path):
         assert at == leaf
 
 
+def chi_of(rows, n):
+    """Chi-square of a split, from its definition."""
+    side = lambda r: r[n["feature"]] >= n["threshold"] if n["threshold"] is not None else r[n["feature"]] == n["category"]
+    known = [(bool(side(r)), r["class"]) for r in rows if r[n["feature"]] is not None]
+    out = 0.0
+    for c in {c for _, c in known}:
+        for s in (True, False):
+            want = sum(x[1] == c for x in known) * sum(x[0] == s for x in known) / len(known)
+            out += (sum(x == (s, c) for x in known) - want) ** 2 / want if want else 0.0
+    return out
+
+
+def test_policies_take_each_feature_once():
+    of = lambda branch, total, n: [_drawn(Options(branch=branch, features=n), total, r) for r in range(4)]
+    assert of("chisquare", 9, 3) == [(3, 0), (3, 3), (3, 6), (3, 9)]
+    assert of("chisquare-decrease", 9, 5) == [(5, 0), (3, 5), (2, 8), (1, 10)]
+    assert of("infinite-resample", 9, 4)[:2] == [(4, 0), (9, 4)]
+
+
+@pytest.mark.parametrize("branch", ["chisquare", "chisquare-decrease", "sample-examples"])
+def test_splits_of_chi_square_policies_are_significant(spark, branch):
+    ex = iris_like(spark)
+    o = Options(trees=1, max_depth=1, features=1, example_sampling="nothing", branch=branch, sigma=30.0, share=0.3, seed=4)
+    rows, nodes = ex.df.collect(), fit(ex, o)[0].nodes.filter("kind = 'node'").collect()
+    assert all(chi_of(rows, n) >= 30 for n in nodes)
+    if branch != "sample-examples":
+        assert {n["feature"] for n in nodes} == {"good"} and len(nodes) == 1
+    if branch == "chisquare":
+        assert fit(ex, o, sigma=1e9)[0].nodes.count() == 1  # nothing suffices: a leaf
+
+
+@pytest.mark.parametrize("branch", ["random-subset", "random-chisquare", "resquare"])
+def test_random_policies_keep_all_rows(spark, branch):
+    ex = iris_like(spark)
+    nodes = {r["node"]: r for r in fit(ex, Options(trees=1, max_depth=1, branch=branch, example_sampling="nothing", seed=2))[0].nodes.collect()}
+    assert nodes["1"]["n"] == 150 and set(nodes) in ({"1"}, {"1", "10", "11"})
+    if len(nodes) == 3:
+        assert nodes["10"]["n"] + nodes["11"]["n"] == 150
+
+
 def test_typed_csv_round_trip(spark, tmp_path):
     path = tmp_path / "t.txt"
     path.write_bytes(b"numeric, class ,CATEGORIC\r\n a, y, c\r\n.5,no,u\r\n?,yes,?\r\n3.,no,v\r\n")
