@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -11,8 +13,8 @@ from pyspark.sql.window import Window
 
 from .common import SALTS, quoted, salt, salts_in, stored
 
-#: Two sets link when LINK * |A or B| <= 100 * |A and B|.
-LINK = 90
+#: Two sets link when link * |A or B| <= 100 * |A and B|; the contract of the op3 query has words of SHINGLE and this link.
+SHINGLE, LINK = 3, 90
 #: Bit i of a bitmap is the parity of the members that hash to it.  Bits of the short one, which tiles hold, and of
 #: the long one, which pairs are held against: half the members or more, to a power of two.
 BITS, LEAST_BITS = 512, 512
@@ -49,18 +51,24 @@ def _among(u: np.ndarray, common: np.ndarray) -> np.ndarray:
     return common[np.minimum(np.searchsorted(common, u), len(common) - 1)] == u
 
 
-def least_overlap_share(n: int) -> int:
-    return -(-LINK * n // 100)
+def least_overlap_share(n: int, link: int = LINK) -> int:
+    return -(-link * n // 100)
+
+
+def least_linked(link: int = LINK) -> int | None:
+    """The members of the smallest set that links with another than its equals, n of n + 1; none at 100."""
+    return -(-link // (100 - link)) if link < 100 else None
 
 
-def prefix(u: np.ndarray, common: np.ndarray) -> np.ndarray:
+def prefix(u: np.ndarray, common: np.ndarray, link: int = LINK) -> np.ndarray:
     """The first members in the global order (common ones last, then by hash): linked sets share one.
 
-    Sets of under 9 members link with equal ones only and need none.
+    Sets of under least_linked() members (9 at a link of 90) link with equal ones only and need none.
     """
-    if len(u) < 9:
+    least = least_linked(link)
+    if least is None or len(u) < least:
         return u[:0]
-    n = len(u) - least_overlap_share(len(u)) + 1
+    n = len(u) - least_overlap_share(len(u), link) + 1
     if len(common):
         late = _among(u, common)
         u = np.concatenate([u[~late], u[late]])
@@ -96,7 +104,7 @@ def _parts(batches, rows: int = 256):
             yield batch.slice(low, rows)
 
 
-def _sketches(k: int, common):
+def _sketches(k: int, link: int, common):
     def run(batches):
         for part in _parts(batches):
             sets = [shingles(t, k) for t in part.column(1).to_pylist()]
@@ -104,7 +112,7 @@ def _sketches(k: int, common):
                 [
                     part.column(0), pa.array([len(u) for u in sets], pa.int64()), pa.array(map(_set_id, sets), pa.binary()),
                     pa.array([bitmap(u, BITS).tobytes() for u in sets], pa.binary()), pa.array([long_bitmap(u).tobytes() for u in sets], pa.binary()),
-                    _lists([prefix(u, common.value) for u in sets]),
+                    _lists([prefix(u, common.value, link) for u in sets]),
                 ],
                 ["id", "n", "node", "sig", "bits", "prefix"],
             )
@@ -112,7 +120,7 @@ def _sketches(k: int, common):
     return run
 
 
-def _counts(k: int, common=None):
+def _counts(k: int, link: int, common=None):
     """How often shingles occur in prefixes; or, in texts with a common one there, in a few times the prefix."""
 
     def run(batches):
@@ -120,7 +128,7 @@ def _counts(k: int, common=None):
             found = []
             for text in part.column(1).to_pylist():
                 u = shingles(text, k)
-                p = prefix(u, u[:0])
+                p = prefix(u, u[:0], link)
                 if common is None:
                     found.append(p)
                 elif _among(p, common.value).any():
@@ -138,17 +146,17 @@ def _common_of(counts: DataFrame) -> np.ndarray:
     return np.sort(rows["token"].to_numpy(np.int64).view(np.uint64))
 
 
-def _compatible(n, pos, bits, a, b) -> np.ndarray:
+def _compatible(n, pos, bits, a, b, link: int) -> np.ndarray:
     """Whether the pairs of rows may link, from sizes and upper bounds of the overlap.
 
     If the tile's shingle is the first that a pair has in common, all that it has lies from there on; a
     pair that fails this in a later tile has been met in an earlier one.
     """
     x, y = n[a], n[b]
-    ok = (100 * np.minimum(x, y) >= LINK * np.maximum(x, y)) & ((100 + LINK) * np.minimum(x - pos[a], y - pos[b]) >= LINK * (x + y))
+    ok = (100 * np.minimum(x, y) >= link * np.maximum(x, y)) & ((100 + link) * np.minimum(x - pos[a], y - pos[b]) >= link * (x + y))
     differ = np.bitwise_count(bits[a[ok]] ^ bits[b[ok]]).sum(1).astype(np.int64)  # at most |A xor B|
     both = (x + y)[ok]
-    ok[ok] = (100 + LINK) * (both - differ) >= 2 * LINK * both
+    ok[ok] = (100 + link) * (both - differ) >= 2 * link * both
     return ok
 
 
@@ -168,7 +176,7 @@ def _whole_tiles(batches):
         yield rest
 
 
-def _candidates(few: bool):
+def _candidates(few: bool, link: int):
     def run(batches):
         for t in _whole_tiles(batches):
             token, band, visits, n, cid, root, pos = (t.column(c).to_numpy() for c in ("token", "band", "visits", "n", "cid", "root", "pos"))
@@ -183,7 +191,7 @@ def _candidates(few: bool):
                     lead = left[np.searchsorted(tile[left], tile[left])]
                     own = (lead != left) & (root[lead] != root[left])
                     a, b = lead[own], left[own]
-                    ok = _compatible(n, pos, bits, a, b)
+                    ok = _compatible(n, pos, bits, a, b, link)
                     out.append((a[ok], b[ok]))
                     left = b[~ok]  # those with the first one's component have no more to do here
             else:
@@ -194,7 +202,7 @@ def _candidates(few: bool):
                     b = a + step
                     ok = (root[a] != root[b]) & ~(visits[a] & visits[b])
                     a, b = a[ok], b[ok]
-                    ok = _compatible(n, pos, bits, a, b)
+                    ok = _compatible(n, pos, bits, a, b, link)
                     out.append((a[ok], b[ok]))
             if out:
                 a, b = (cid[np.concatenate(x)] for x in zip(*out, strict=True))
@@ -205,45 +213,53 @@ def _candidates(few: bool):
     return run
 
 
-def _close(batches):
+def _close(link: int):
     """The pairs that may link by their long bitmaps."""
-    for part in _parts(batches, 4096):
-        keep = []
-        for i, (x, y, p, q) in enumerate(zip(*(part.column(c).to_pylist() for c in range(2, 6)), strict=True)):
-            size = min(len(p), len(q))
-            differ = int(np.bitwise_count(folded(np.frombuffer(p, np.uint8), size) ^ folded(np.frombuffer(q, np.uint8), size)).sum())
-            if (100 + LINK) * (x + y - differ) >= 2 * LINK * (x + y):
-                keep.append(i)
-        yield part.take(pa.array(keep, pa.int32())).select(["a", "b"])
 
+    def run(batches):
+        for part in _parts(batches, 4096):
+            keep = []
+            for i, (x, y, p, q) in enumerate(zip(*(part.column(c).to_pylist() for c in range(2, 6)), strict=True)):
+                size = min(len(p), len(q))
+                differ = int(np.bitwise_count(folded(np.frombuffer(p, np.uint8), size) ^ folded(np.frombuffer(q, np.uint8), size)).sum())
+                if (100 + link) * (x + y - differ) >= 2 * link * (x + y):
+                    keep.append(i)
+            yield part.take(pa.array(keep, pa.int32())).select(["a", "b"])
+
+    return run
 
-def _exact(batches):
+
+def _exact(link: int):
     """Sorted (a, deal, b): the set of a (b null) comes before the sets that it is compared with."""
-    of, lead = None, None
-    for part in _parts(batches):
-        left, right = [], []
-        flat, ends = part.column(3).values.to_numpy(), part.column(3).offsets.to_numpy()
-        for i, (a, deal, b) in enumerate(zip(*(part.column(c).to_pylist() for c in range(3)), strict=True)):
-            u = flat[ends[i] : ends[i + 1]].view(np.uint64)
-            if b is None:
-                of, lead = (a, deal), u.copy()
-                continue
-            assert of == (a, deal)
-            at = np.minimum(np.searchsorted(lead, u), len(lead) - 1)
-            both = int((lead[at] == u).sum())
-            if 100 * both >= LINK * (len(lead) + len(u) - both):
-                left.append(a)
-                right.append(b)
-        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
-
-
-def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+
+    def run(batches):
+        of, lead = None, None
+        for part in _parts(batches):
+            left, right = [], []
+            flat, ends = part.column(3).values.to_numpy(), part.column(3).offsets.to_numpy()
+            for i, (a, deal, b) in enumerate(zip(*(part.column(c).to_pylist() for c in range(3)), strict=True)):
+                u = flat[ends[i] : ends[i + 1]].view(np.uint64)
+                if b is None:
+                    of, lead = (a, deal), u.copy()
+                    continue
+                assert of == (a, deal)
+                at = np.minimum(np.searchsorted(lead, u), len(lead) - 1)
+                both = int((lead[at] == u).sum())
+                if 100 * both >= link * (len(lead) + len(u) - both):
+                    left.append(a)
+                    right.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def linked(pairs: DataFrame, sets: DataFrame, link: int = LINK) -> DataFrame:
     """The pairs (a, b) whose sets link.  The set of a goes once to each deal of its partners."""
     dealt = pairs.withColumn("deal", salt(F.col("b")))
     wanted = dealt.select("a", "deal", "b", F.col("b").alias("cid")).unionByName(dealt.select("a", "deal").distinct().select("a", "deal", F.lit(None).cast("long").alias("b"), F.col("a").alias("cid")))
     rows = wanted.join(sets, "cid").select("a", "deal", "b", "members")
     rows = rows.repartition("a", "deal").sortWithinPartitions("a", "deal", F.asc_nulls_first("b"))
-    return stored(rows.mapInArrow(_exact, "a long, b long"), "links")
+    return stored(rows.mapInArrow(_exact(link), "a long, b long"), "links")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -268,32 +284,18 @@ def components(edges: DataFrame) -> DataFrame:
     return stored(out, "components")
 
 
-def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3) -> DataFrame:
-    """id, set_id, n_shingles and component_id for each row of df.
-
-    Rows with equal sets are one class.  Classes meet in tiles: a shingle of their prefixes, and a band
-    of sizes (each class also visits the band above).  Within tiles, sizes and the difference of bitmap
-    signatures bound the overlap from above; pairs that may link are compared exactly.  The first
-    rounds compare each class with one or two others of a tile; what they link needs no more pairs, so a
-    large group of near copies costs about its size.  The last round takes all pairs of different
-    components.  Shingles common in prefixes (a passage in many texts) come last in the global order,
-    which keeps tiles small; any such
-    order is exact.
-
-    A set is known by 64-bit hashes of its members.  Nulls: a null or empty text has no set and is its own
-    component; a null id counts as a row of its own and names a component only if all its ids are null.
-    Rows that repeat an id keep their own sets; rows that repeat both have the same result.
-    """
+def _classes(df: DataFrame, id_col: str, text_col: str, k: int, link: int) -> tuple[DataFrame, DataFrame]:
+    """A row for each row of df (id, n, node: none without a set), and one for each class of equal sets (node, id, salts, root)."""
     spark = df.sparkSession
     texts = df.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"))
     kind = df.schema[id_col].dataType.simpleString()
 
-    counted = lambda common: texts.mapInArrow(_counts(k, common), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counted = lambda common: texts.mapInArrow(_counts(k, link, common), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     common = _common_of(stored(counted(None).filter(F.col("n") > COMMON), "common"))
     if len(common):
         more = stored(counted(spark.sparkContext.broadcast(common)).filter(F.col("n") > COMMON), "common")
         common = np.union1d(common, _common_of(more))
-    sketches = texts.mapInArrow(_sketches(k, spark.sparkContext.broadcast(common)), f"id {kind}, n long, node binary, sig binary, bits binary, prefix array<long>")
+    sketches = texts.mapInArrow(_sketches(k, link, spark.sparkContext.broadcast(common)), f"id {kind}, n long, node binary, sig binary, bits binary, prefix array<long>")
     sketches = stored(sketches, "sketches")
     rows = sketches.select("id", "n", "node")
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "n", "sig", "bits", "prefix"))
@@ -302,7 +304,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     tokens = classes.select("cid", F.posexplode("prefix").alias("pos", "token"))
     shared = tokens.withColumn("times", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("times > 1")
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / LINK))).cast("int")
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / link) * (1 + 1e-9) if link < 100 else 1.0)).cast("int")
     tiles = shared.join(classes.select("cid", "n", "sig"), "cid").withColumn("band", F.when(F.col("times") > SMALL_TILE, band))
     tiles = tiles.withColumn("nth", F.row_number().over(Window.partitionBy("cid").orderBy("pos")))
     tiles = stored(tiles, "tiles")
@@ -318,17 +320,17 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         own = rooted.select("token", F.coalesce("band", F.lit(-1)).alias("band"), F.lit(False).alias("visits"), "n", "pos", "cid", "root", "sig")
         dealt = own.unionByName(own.filter("band >= 0").withColumns({"visits": F.lit(True), "band": F.col("band") + 1})).repartition("token", "band")
         dealt = dealt.sortWithinPartitions("token", "band", *([F.xxhash64("token", "cid", F.lit(round_))] if few else ["n", "cid"]))
-        pairs = dealt.mapInArrow(_candidates(few), "a long, b long").distinct()
+        pairs = dealt.mapInArrow(_candidates(few, link), "a long, b long").distinct()
         for c in "ab":
             pairs = pairs.join(classes.select(F.col("cid").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")), c)
-        pairs = stored(pairs.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_close, "a long, b long"), "pairs")
+        pairs = stored(pairs.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_close(link), "a long, b long"), "pairs")
         asked = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct().join(classes.select("cid", "node", F.col("id").alias("x_id")), "cid")
         asked = stored(asked, "asked")
         found = texts.join(asked.hint("merge"), texts["id"].eqNullSafe(asked["x_id"])).select("cid", "node", "text")
         sets = stored(found.mapInArrow(members, "cid long, members array<long>"), "sets")
         if sets.count() > asked.count():  # rows that repeat an id and a set
             sets = stored(sets.dropDuplicates(["cid"]), "sets")
-        return linked(pairs, sets)
+        return linked(pairs, sets, link)
 
     links, rooted = None, tiles.withColumn("root", F.col("cid"))
     for i, most in enumerate([*FIRST_ROUNDS, None]):
@@ -338,6 +340,26 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         rooted = tiles.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
 
     per_class = classes.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    return rows, per_class.select("node", "id", "salts", "root")
+
+
+def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, link: int = LINK) -> DataFrame:
+    """id, set_id, n_shingles and component_id for each row of df; sets of k-word shingles, linked as at LINK.
+
+    Rows with equal sets are one class.  Classes meet in tiles: a shingle of their prefixes, and a band
+    of sizes (each class also visits the band above).  Within tiles, sizes and the difference of bitmap
+    signatures bound the overlap from above; pairs that may link are compared exactly.  The first
+    rounds compare each class with one or two others of a tile; what they link needs no more pairs, so a
+    large group of near copies costs about its size.  The last round takes all pairs of different
+    components.  Shingles common in prefixes (a passage in many texts) come last in the global order,
+    which keeps tiles small; any such
+    order is exact.
+
+    A set is known by 64-bit hashes of its members.  Nulls: a null or empty text has no set and is its own
+    component; a null id counts as a row of its own and names a component only if all its ids are null.
+    Rows that repeat an id keep their own sets; rows that repeat both have the same result.
+    """
+    rows, per_class = _classes(df, id_col, text_col, k, link)
     least = per_class.groupBy("root").agg(F.min("id").alias("component_id"))
     per_class = stored(per_class.join(least, "root").select("node", "salts", "component_id"), "per-class")
     named = per_class.select(F.col("node").alias("x_node"), "component_id", salts_in("salts").alias("x_salt"))
@@ -346,9 +368,9 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return out.select(F.col("id").alias(id_col), F.col("node").alias("set_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
-def one_per_component(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3) -> DataFrame:
+def one_per_component(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, link: int = LINK) -> DataFrame:
     """The rows of df whose id names their component: its least.  Of rows that repeat it, one stays."""
-    kept = jaccard_components(df, id_col, text_col, k).filter(F.col(quoted(id_col)).eqNullSafe(F.col("component_id")))
+    kept = jaccard_components(df, id_col, text_col, k, link).filter(F.col(quoted(id_col)).eqNullSafe(F.col("component_id")))
     kept = kept.select(F.col(quoted(id_col)).alias("x_kept")).distinct()
     rows = df.join(kept, F.col(quoted(id_col)).eqNullSafe(F.col("x_kept")), "left_semi")
     return rows

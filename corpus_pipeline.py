@@ -15,6 +15,8 @@ from copse.llm.queries import PIECES
 
 #: Documents that score less are rejected.
 LEAST_QUALITY = 0.3
+#: Near copies: sets of so many words a shingle with a Jaccard similarity of so many hundredths or more.
+NEAR_WORDS, NEAR_LINK = 5, 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +32,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id."""
-    return jaccard.one_per_component(docs)
+    return jaccard.one_per_component(docs, k=NEAR_WORDS, link=NEAR_LINK)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

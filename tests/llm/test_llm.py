@@ -142,6 +142,37 @@ def test_jaccard(spark, monkeypatch):
     assert jaccard.jaccard_components(empty(spark)).count() == 0
 
 
+def test_near_stage_links_five_words_at_four_fifths(spark, monkeypatch):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    monkeypatch.setattr(jaccard, "COMMON", 5)
+    rng = np.random.default_rng(4)
+    vocabulary, rows = [f"w{i}" for i in range(5000)], []
+    for group in range(30):  # copies with up to six scattered edits of texts of all lengths, two of them with a passage in common
+        base = list(rng.choice(vocabulary, int(rng.choice([6, 8, 9, 12, 40, 200])))) + ([f"p{i}" for i in range(60)] if group < 2 else [])
+        for _ in range(6):
+            words = list(base)
+            for at in rng.choice(len(words), int(rng.integers(0, min(7, len(words)))), replace=False):
+                words[at] = str(rng.choice(vocabulary))
+            rows.append((len(rows), " ".join(words)))
+    base = [f"q{i}" for i in range(200)]
+    rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join("x" if i in (40, 80, 120, 160) else w for i, w in enumerate(base)))]
+    sets = {i: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} for i, t in rows for w in [t.lower().split()]}
+    root = {i: i for i in sets}
+
+    def top(i):
+        return i if root[i] == i else top(root[i])
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"] for r in corpus_pipeline.near(spark, docs, "").collect()}
+    assert kept == {i for i in sets if top(i) == i}
+    assert len(rows) - 2 in kept and len(rows) - 1 not in kept
+
+
 def test_piece_codec(spark):
     own = pieces.Pieces.load(MODEL)
     texts = ["", " ", "the  cat\n sat", "é ▁ 日本 😀\r\n\x00", PROSE, "x" * 3000, "\tlead"]
