@@ -5,6 +5,9 @@ from __future__ import annotations
 from functools import reduce
 from operator import add
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,45 +17,91 @@ from copse.plans.tables import stored
 
 from .examples import Feature
 
+#: Rows of a block whose distances are measured in one group, and distances at hand at once.
+BLOCK, CELLS = 2000, 500_000
 
-def _scaled_difference(a: Column, b: Column, low: Column, high: Column) -> Column:
-    """Missing both: 1; missing one: the other's place in the range; no width: 0 (1 if one is missing)."""
-    width = high - low
-    one = F.coalesce(a, b)
-    known = F.when(width == 0, 0.0).otherwise((a - b) / width)
-    return F.when(a.isNull() & b.isNull(), 1.0).when(a.isNull() | b.isNull(), F.when(width == 0, 1.0).otherwise((one - low) / width)).otherwise(known)
 
+def _terms(f: Feature, a: pa.ChunkedArray, b: pa.ChunkedArray, bounds: tuple[float | None, float | None] | None):
+    """What f adds to the distance, as a function of a range of a's rows against all of b's.
 
-def distance(features: tuple[Feature, ...], left: str, right: str, ranges: dict[str, tuple[Column, Column]]) -> Column:
-    """The sum of squared scaled differences; categories differ by 0 or 1."""
-    terms = []
-    for f in features:
-        a, b = F.col(f"{left}.{f.name}"), F.col(f"{right}.{f.name}")
-        if f.kind == "numeric":
-            d = _scaled_difference(a, b, *ranges[f.name])
-            terms.append(d * d)
-        else:
-            terms.append(F.when(a.isNull() & b.isNull(), 1.0).when(a == b, 0.0).otherwise(1.0))
-    return reduce(add, terms, F.lit(0.0))
-
-
-def ranges_of(df: DataFrame, features: tuple[Feature, ...]) -> dict[str, tuple[Column, Column]]:
+    Numeric, the square of the scaled difference.  Missing both: 1; missing one: the other's place in the
+    range; no width: 0 (1 if one is missing).  Categories differ by 0 or 1, missing ones by 1.
+    """
+    lost_a, lost_b = (pc.is_null(x).to_numpy() for x in (a, b))
+    if f.kind != "numeric":
+        codes = pa.chunked_array([*a.chunks, *b.chunks], a.type).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        x, y = codes[: len(a)], codes[len(a) :]
+        return lambda s: 1.0 - (x[s, None] == y) * ~(lost_a[s, None] | lost_b)
+    x, y = (v.cast(pa.float64()).to_numpy() for v in (a, b))
+    low, width = (np.nan, np.nan) if bounds is None or None in bounds else (bounds[0], bounds[1] - bounds[0])
+    place = lambda v: np.ones(len(v)) if width == 0 else (v - low) / width
+    at_x, at_y = place(x), place(y)
+
+    def term(s):
+        d = np.zeros((len(x[s]), len(y))) if width == 0 else (x[s, None] - y) / width
+        if lost_a[s].any() or lost_b.any():
+            p, q = lost_a[s, None], lost_b[None, :]
+            d = np.where(p & q, 1.0, np.where(p, at_y[None, :], np.where(q, at_x[s, None], d)))
+        return d * d
+
+    return term
+
+
+def _nearest_of_block(features: tuple[Feature, ...], k: int, ranges: dict):
+    """The k candidates of a block nearest to each query of a block, of equals those with the least ids."""
+
+    def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("id")
+        terms = [_terms(f, queries.column(f.name), rows.column(f.name), ranges.get(f.name)) for f in features]
+        both = pa.chunked_array([*queries.column("_query").chunks, *rows.column("id").chunks]).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        mine, others = both[: len(queries)], both[len(queries) :]
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        step = max(1, CELLS // max(1, len(rows)))
+        for low in range(0, len(queries) if len(rows) else 0, step):
+            s = slice(low, low + step)
+            d = reduce(add, (t(s) for t in terms), np.zeros((len(mine[s]), len(rows))))
+            other = mine[s, None] != others
+            order = np.where(other & ~np.isnan(d), d, np.inf)
+            most = np.partition(order, k - 1, axis=1)[:, k - 1 : k] if k < len(rows) else np.inf
+            q, c = np.nonzero(other & (order <= most))
+            place = np.lexsort((c, order[q, c], q))
+            q, c = q[place], c[place]
+            first = np.arange(len(q)) - np.searchsorted(q, q) < k
+            out.append((q[first] + low, c[first], d[q[first], c[first]]))
+        q, c, d = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.table({"query": queries.column("_query").take(pa.array(q)), "id": rows.column("id").take(pa.array(c)), "distance": pa.array(d)})
+
+    return run
+
+
+def ranges_of(df: DataFrame, features: tuple[Feature, ...]) -> dict[str, tuple[float | None, float | None]]:
     names = [f.name for f in features if f.kind == "numeric"]
     if not names:
         return {}
     row = df.agg(*[g(n).alias(f"{g.__name__}_{n}") for n in names for g in (F.min, F.max)]).first()
-    return {n: (F.lit(row[f"min_{n}"]), F.lit(row[f"max_{n}"])) for n in names}
+    return {n: (row[f"min_{n}"], row[f"max_{n}"]) for n in names}
 
 
 def nearest(df: DataFrame, queries: DataFrame, features: tuple[Feature, ...], k: int, ranges=None, values: bool = False) -> DataFrame:
-    """query, id, distance and rank of the k rows of df nearest to each query (a stated set), itself left out; values: with their features as v."""
+    """query, id, distance and rank of the k rows of df nearest to each query (a stated set), itself left out; values: with their features as v.
+
+    The distance is the sum of squared scaled differences, see _terms().  Every query meets every row: blocks of
+    queries meet blocks of rows, each pair of blocks in one group, of which k rows for each query go on.
+    """
     ranges = ranges or ranges_of(df, features)
     names = [f.name for f in features]
-    q = queries.select(F.col("id").alias("query"), F.struct(*names).alias("q"))
-    rows = df.select("id", F.struct(*names).alias("v")).crossJoin(q).filter("id <> query")
-    rows = rows.select("query", "id", distance(features, "q", "v", ranges).alias("distance"), *(["v"] if values else []))
+    n_rows, n_queries = (max(1, -(-x.count() // BLOCK)) for x in (df, queries))
+    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.select(F.col("id").alias("_query"), *names, block(n_queries).alias("_of"), every(n_rows).alias("_to"))
+    rows = df.select("id", *names, block(n_rows).alias("_to"), every(n_queries).alias("_of"))
+    kind = f"query {queries.schema['id'].dataType.simpleString()}, id {df.schema['id'].dataType.simpleString()}, distance double"
+    found = q.groupBy("_of", "_to").cogroup(rows.groupBy("_of", "_to")).applyInArrow(_nearest_of_block(features, k, ranges), kind)
     order = Window.partitionBy("query").orderBy("distance", "id")
-    return rows.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= k)
+    found = found.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= k)
+    if not values:
+        return found
+    return found.join(df.select("id", F.struct(*names).alias("v")), "id").select("query", "id", "distance", "v", "rank")
 
 
 def nearest_vectors(df: DataFrame, queries: DataFrame, k: int, ident: str = "id", vector: str = "vector") -> DataFrame:

@@ -224,11 +224,7 @@ def _catalogue() -> dict:
     add("rbf_features", lambda s, d: neighbors.radial_features(vectors(s, d), vectors(s, d).filter("id < 3"), 0.5).select("id", "centroid", R6("value")), f"SELECT v.vec_id AS id, q.vec_id AS centroid, round(exp(-0.5 * {dist}), 6) AS value FROM embeddings v, embeddings q WHERE q.vec_id < 3")
     add("kmeans", lambda s, d: neighbors.kmeans(vectors(s, d), 4, "k", 5))
 
-    def scarce(s, d):
-        ex = events(s, d)
-        return ex, ex.df.filter("id % 50 = 0")
-
-    add("smote_rows", lambda s, d: neighbors.smote(scarce(s, d)[1], scarce(s, d)[0].features, "m", minority="click", k=5).select("from_id", "copy", R6("value"), R6("hour")),
+    add("smote_rows", lambda s, d: neighbors.smote(events(s, d).df, events(s, d).features, "m", minority="click", k=5).select("from_id", "copy", R6("value"), R6("hour")),
         f"""WITH e AS (SELECT * FROM ({E_SQL}) WHERE id % 50 = 0 AND class = 'click'), g AS (SELECT max(value) - min(value) AS wv, max(hour) - min(hour) AS wh FROM e),
         n AS (SELECT a.id AS from_id, b.id, b.value, b.hour, row_number() OVER (PARTITION BY a.id ORDER BY ((a.value - b.value) / wv) ** 2 + ((a.hour - b.hour) / wh) ** 2, b.id) AS r FROM e a, e b, g WHERE a.id <> b.id),
         c AS (SELECT from_id, max(least(r, 5)) AS k FROM n GROUP BY from_id), p AS (SELECT e.id, e.value, e.hour, floor({U('m', q1('pick'), 'e.id', '1')} * k)::INT + 1 AS r FROM e JOIN c ON e.id = from_id)

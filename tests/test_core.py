@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from copse import queries
 from copse.functions import measures
 from copse.operators import examples, metrics, neighbors, sampling
 from copse.operators.examples import ExampleSet
@@ -174,6 +175,41 @@ def test_smote_lies_between_neighbours(spark):
     assert len(made) == len(own) and all(low <= r["good"] <= high and r["cat"] in "uvw" for r in made)
 
 
+def test_smote_query_uses_all_rows(spark):
+    d = "/root/testdata/sf0.001"
+    ex = queries.events(spark, d)
+    own = sorted((r["id"], r["value"], r["hour"]) for r in ex.df.filter("class = 'click'").collect())
+    made = {r["from_id"]: r for r in queries.queries()["smote_rows"](spark, d).collect()}
+    assert sorted(made) == [i for i, *_ in own] and len(own) > 100
+    wv, wh = (max(c) - min(c) for c in list(zip(*own, strict=True))[1:])
+    for i, v, h in own:
+        near = sorted((((v - y) / wv) ** 2 + ((h - z) / wh) ** 2, j, y, z) for j, y, z in own if j != i)[:5]
+        between = lambda x, a, b: min(a, b) - 1e-6 <= x <= max(a, b) + 1e-6
+        assert any(between(made[i]["value"], v, y) and between(made[i]["hour"], h, z) for *_, y, z in near)
+
+
+def test_nearest_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "BLOCK", 7)
+    monkeypatch.setattr(neighbors, "CELLS", 20)
+    rows = [(i, None if i % 7 == 0 else float(i * i % 11), None if i % 5 == 0 else "abc"[i % 3], 2.0 if i % 4 else None) for i in range(40)]
+    ex = ExampleSet.of(spark.createDataFrame([(*r, "x") for r in rows], "id long, n double, c string, w double, class string"), "id", "class", ("n", "w"), ("c",))
+
+    low, high = (g(r[1] for r in rows if r[1] is not None) for g in (min, max))
+
+    def apart(a, b):  # w has no width
+        n = 1.0 if a[1] is None and b[1] is None else b[1] - low if a[1] is None else a[1] - low if b[1] is None else a[1] - b[1]
+        n = n if a[1] is None and b[1] is None else n / (high - low)
+        return n * n + (0.0 if a[2] == b[2] and a[2] is not None else 1.0) + (1.0 if a[3] is None or b[3] is None else 0.0)
+
+    got = neighbors.nearest(ex.df, ex.df.filter("id % 3 = 0"), ex.features, 4, values=True).collect()
+    want = set()
+    for a in rows[::3]:
+        near = sorted((round(apart(a, b), 9), b[0]) for b in rows if b[0] != a[0])[:4]
+        want |= {(a[0], b, d, r + 1) for r, (d, b) in enumerate(near)}
+    assert {(r["query"], r["id"], round(r["distance"], 9), r["rank"]) for r in got} == want
+    assert all(r["v"]["n"] == rows[r["id"]][1] for r in got)
+
+
 def test_queries_have_their_sql():
     import __spark_entry__ as e
 
