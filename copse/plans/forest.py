@@ -18,6 +18,8 @@ from copse.operators.examples import ExampleSet, Feature
 from .tables import stored
 
 VERSION = "1"
+#: Salts of a leaf, and of the queries that are in the same leaves.
+DEALS = 16
 NODES = """tree int, node string, depth int, kind string, ordinal int, feature string, threshold double, category string,
 n_left double, n_right double, class string, n double, majority_n double, score double, gain double, laplace double"""
 
@@ -285,10 +287,24 @@ class ForestModel:
         return rows.groupBy("tree").agg(F.avg(F.when(F.col("pred") == F.col("actual"), 1.0).otherwise(0.0)).alias("accuracy"), F.count(F.lit(1)).alias("n"))
 
     def proximity(self, df: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-        """The k rows that share most leaves with each query (a stated set), by the share of trees."""
-        at = self.leaves(df).select("tree", "node", "id")
-        q = self.leaves(queries).select("tree", "node", F.col("id").alias("query"))
-        pairs = at.join(q, ["tree", "node"]).filter("id <> query").groupBy("query", "id").agg((F.count(F.lit(1)) / float(self.options.trees)).alias("proximity"))
+        """The k rows that share most leaves with each query (a stated set), by the share of trees.
+
+        Rows in the same leaf of every tree are one class: to a query all are as near, so the k + 1 with the least
+        ids speak for it.  Classes meet in leaves, those of rows spread by salts.
+        """
+        key = lambda rows, name: rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("tree", "node"))).alias(name))
+        at = key(self.leaves(df), "theirs").withColumn("nth", F.row_number().over(Window.partitionBy("theirs").orderBy("id")))
+        at = stored(at.filter(F.col("nth") <= k + 1).groupBy("theirs").agg(F.collect_list("id").alias("ids")), "classes")  # k + 1 at most
+        q = stored(key(self.leaves(queries), "mine").withColumnRenamed("id", "query"), "queries")
+        theirs = at.select("theirs", F.pmod(F.xxhash64("theirs"), F.lit(DEALS)).cast("int").alias("deal"), F.explode("theirs").alias("leaf"))
+        mine = q.select("mine").distinct().select("mine", F.explode("mine").alias("leaf")).withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))))
+        shared = theirs.join(mine, ["leaf", "deal"]).groupBy("mine", "theirs").agg((F.count(F.lit(1)) / float(self.options.trees)).alias("proximity"))
+        near = shared.join(at, "theirs").select("mine", "proximity", F.explode("ids").alias("id"))
+        near = near.withColumn("place", F.row_number().over(Window.partitionBy("mine").orderBy(F.desc("proximity"), "id"))).filter(F.col("place") <= k + 1)
+        near = near.groupBy("mine").agg(F.collect_list(F.struct("proximity", "id")).alias("near"))  # k + 1 at most
+        dealt = q.withColumn("deal", F.pmod(F.xxhash64("query"), F.lit(DEALS)).cast("int"))
+        near = near.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))))
+        pairs = dealt.join(near, ["mine", "deal"]).select("query", F.explode("near").alias("n")).select("query", "n.id", "n.proximity").filter("id <> query")
         order = Window.partitionBy("query").orderBy(F.desc("proximity"), "id")
         return pairs.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= k)
 

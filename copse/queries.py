@@ -172,10 +172,7 @@ def _catalogue() -> dict:
     add("no_rules", lambda s, d: fitted(s, d)[0].n_rules())
     for branch in ("random", "all", "random-subset", *forest.REDRAW):
         add(f"branch_{branch.replace('-', '_')}", lambda s, d, branch=branch: fitted(s, d, trees=1, max_depth=2, branch=branch, score="hellinger" if branch == "hellinger" else "info")[0].nodes.select(*columns()))
-    add("proximity_topk", lambda s, d: fitted(s, d)[0].proximity(events_as_orders(s, d), events_as_orders(s, d).filter("id % 200 = 0"), 5).select("query", "id", R6("proximity"), "rank"))
-
-    def events_as_orders(s, d):
-        return orders(s, d).df.join(_table(s, d, "customer").selectExpr("c_custkey as id"), "id", "left_semi")
+    add("proximity_topk", lambda s, d: fitted(s, d)[0].proximity(orders(s, d).df, orders(s, d).df.filter("id % 20 = 0"), 5).select("query", "id", R6("proximity"), "rank"))
 
     # Measures.
     pred_sql = f"SELECT id, actual, class AS pred, prob FROM ({P_SQL}) WHERE rank = 1"

@@ -210,6 +210,22 @@ def test_nearest_in_blocks(spark, monkeypatch):
     assert all(r["v"]["n"] == rows[r["id"]][1] for r in got)
 
 
+def test_proximity_query_searches_all_orders(spark):
+    d = "/root/testdata/sf0.001"
+    ex = queries.orders(spark, d)
+    model, _ = fit(ex, Options(trees=3, max_depth=4, seed=5))
+    at = {}
+    for r in model.leaves(ex.df).collect():
+        at.setdefault(r["id"], set()).add((r["tree"], r["node"]))
+    want = set()
+    for a in at:
+        if a % 20 == 0:
+            near = sorted((-len(at[a] & at[b]), b) for b in at if b != a and at[a] & at[b])[:5]
+            want |= {(a, b, round(-n / 3, 6), i + 1) for i, (n, b) in enumerate(near)}
+    assert len(want) == 5 * sum(i % 20 == 0 for i in at)
+    assert {tuple(r) for r in queries.queries()["proximity_topk"](spark, d).collect()} == want
+
+
 def test_queries_have_their_sql():
     import __spark_entry__ as e
 
