@@ -7,8 +7,9 @@ import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import fresh, put, quoted, salt, salt_bit, salts_in, stored
+from .common import fresh, pinned, put, quoted, salt, salt_bit, salts_in, stored
 
 #: Statements and opening passages of public licences (fixed values).
 TEMPLATES = (
@@ -29,18 +30,49 @@ TEMPLATES = (
 #: File names that speak for their directory.
 LICENSE_FILE = r"(?i)^(un)?(licen[cs]e|copying|notice)([.\-_].*)?$"
 
+#: Starts of runs in a part of a text; parts overlap by the longest template.
+STARTS = 64
+
 
 def _terms(text: str) -> list[str]:
     return [t for t in re.split("[^a-z0-9]+", text.lower()) if t]
 
 
+def _runs(base: DataFrame, weights: list[dict[str, float]], lengths: list[int], threshold: float) -> DataFrame:
+    """id, path, unit (below 0) and line: distinct runs of a text's terms, as long as a template, that may reach the threshold.
+
+    A unit vector's cosine to a template is at most the root of the squared weights of the terms that both have.
+    """
+    terms = pinned(base.select("id", "path", "text"), "terms", F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda t: t != ""))
+    part = lambda j: F.struct(j.alias("j"), F.slice("terms", j * STARTS + 1, STARTS + max(lengths) - 1).alias("terms"))
+    parts = terms.select("id", "path", F.explode(F.transform(F.sequence(F.lit(0), F.floor(F.size("terms") / STARTS).cast("int")), part)).alias("part"))
+    parts = stored(parts, "parts").withColumn("held", F.array_intersect("part.terms", F.array(*map(F.lit, sorted({t for w in weights for t in w})))))  # distinct
+    squares = [F.create_map(*[F.lit(x) for t, v in w.items() for x in (t, v * v)]) for w in weights]
+    share = lambda of, own: F.aggregate(of, F.lit(0.0), lambda s, t: s + F.coalesce(F.element_at(own, t), F.lit(0.0)))
+    least = (threshold - 1e-6) ** 2
+    chosen = F.filter(F.array(*[F.when(share(F.col("held"), own) >= least, F.struct(F.lit(i).alias("i"), F.lit(n).alias("n"))) for i, (own, n) in enumerate(zip(squares, lengths, strict=True))]), lambda c: c.isNotNull())
+    parts = stored(parts.select("id", "path", "part", chosen.alias("chosen")), "parts").select("id", "path", "part", F.explode("chosen").alias("c"))
+    starts = parts.select("id", "path", "part", "c", F.explode(F.sequence(F.lit(1), F.lit(STARTS))).alias("start"))
+    whole = F.col("start") + F.col("c.n") - 1 <= F.size("part.terms")
+    starts = starts.filter(whole | ((F.col("part.j") == 0) & (F.col("start") == 1)))  # a shorter text is a run as it is
+    runs = starts.select("id", "path", F.col("c.i").alias("i"), F.slice("part.terms", F.col("start"), F.col("c.n")).alias("run"))
+    alike = F.lit(False)
+    for i, own in enumerate(squares):
+        alike = F.when(F.col("i") == i, share(F.array_distinct("run"), own) >= least).otherwise(alike)
+    runs = stored(pinned(runs, "alike", alike).filter("alike").select("id", "path", "run"), "runs")
+    runs = runs.select("id", "path", F.array_join("run", " ").alias("line")).distinct()
+    return runs.withColumn("unit", (-1 - F.row_number().over(Window.partitionBy("id", "path").orderBy("line"))).cast("int"))
+
+
 def license_scan(files: DataFrame, path_col: str = "path", text_col: str = "text", id_col: str = "doc_id", templates=TEMPLATES, threshold: float = 0.8) -> DataFrame:
     """files with license, how (own, inherited or none), similarity and license_dir.
 
-    Each line of each file, and each licence file as a whole, is a vector of term frequency times inverse
-    document frequency over all files; terms outside of the templates count as terms of no document.  The
-    template with the greatest cosine, at or above threshold, is the file's own licence (ties: by name).
-    Lines that share none of a template's heaviest terms can't reach the threshold and aren't scored.
+    Each line of each file, each licence file as a whole, and each run of as many terms as a template has,
+    across lines and comment signs, is a vector of term frequency times inverse document frequency over all
+    files; terms outside of the templates count as terms of no document.  So a wrapped header is found, and a
+    template that is a passage of a longer text.  The template with the greatest cosine, at or above threshold,
+    is the file's own licence (ties: by name).  Lines that share none of a template's heaviest terms can't reach
+    the threshold and aren't scored; nor are runs whose terms have too little of the template's squared weight.
     Files without their own inherit from the licence files of the nearest directory at or above them (of
     several, the most similar).  Directories are joined once each, spread by salts, then files by
     directory and salt; so neither a large directory nor a common ancestor meets in one task.
@@ -79,6 +111,7 @@ def license_scan(files: DataFrame, path_col: str = "path", text_col: str = "text
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(pattern))
     units = F.concat(lines, F.when(is_license & F.col("text").rlike(pattern), F.array("text")).otherwise(F.array().cast("array<string>")))
     units = base.select("id", "path", F.posexplode(units).alias("unit", "line"))
+    units = units.unionByName(_runs(base.filter(F.col("text").rlike(pattern)), weights, [len(v) for _, v in vectors], threshold))
     terms = units.select("id", "path", "unit", F.explode(F.filter(F.split(F.lower("line"), "[^a-z0-9]+"), lambda t: t != "")).alias("t"))
     tf = terms.groupBy("id", "path", "unit", "t").agg(F.count(F.lit(1)).alias("n"))
     value = lambda of, other: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for e in of.items() for x in e]), F.col("t")), F.lit(other))

@@ -1,6 +1,7 @@
 """Operators against brute force, and their odd inputs: nulls, empty and long texts, repeats, clashing names."""
 
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -241,6 +242,28 @@ def test_licenses(spark):
     assert licenses.license_scan(docs.limit(0)).count() == 0
 
 
+def test_licenses_in_wrapped_headers(spark):
+    def wrapped(text, sign):
+        return "\n".join(f"{sign} {x}" for x in textwrap.wrap(text, 72))
+
+    full = {t[0]: t[1] for t in licenses.TEMPLATES if len(t[1]) > 100}
+    mit = full["MIT"] + ", including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+    rest = "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND"
+    files = [
+        ("s/mit.py", "#!/bin/python\n# Copyright (c) 2020 A. Author\n#\n" + wrapped(mit, "#") + "\n\nimport os\n"),
+        ("s/gpl.c", "/* tool\n" + wrapped(full["GPL-3.0"] + ", or (at your option) any later version.", " *") + "\n */\nint main;\n"),
+        ("s/bsd.js", wrapped("Copyright A. Author. All rights reserved. " + full["BSD-3-Clause"] + ":", "//") + "\nvar x;\n"),
+        ("s/apache.sh", wrapped(full["Apache-2.0"] + " http://www.apache.org/licenses/LICENSE-2.0", "#")),
+        ("m/LICENSE", "MIT License\n\nCopyright (c) 2020 A. Author\n\n" + textwrap.fill(mit, 78) + "\n\n" + rest),
+        ("m/src/x.py", "import os\n"),
+        ("t.txt", "the software may use files free of charge with this notice\nand documentation without restriction"),
+    ]
+    docs = spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(files)], "doc_id long, path string, text string")
+    got = [(r["license"], r["how"], r["license_dir"]) for r in licenses.license_scan(docs).orderBy("doc_id").collect()]
+    own = [("MIT", "own", None), ("GPL-3.0", "own", None), ("BSD-3-Clause", "own", None), ("Apache-2.0", "own", None), ("MIT", "own", None)]
+    assert got == [*own, ("MIT", "inherited", "m"), (None, "none", None)]
+
+
 def test_pipeline_returns_documents(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
