@@ -1,4 +1,4 @@
-"""Random numbers from a hash of a seed and keys, equal on every engine and in every run."""
+"""Random numbers from a hash of a seed and keys, equal on every engine and in every run; ranks and running sums."""
 
 from __future__ import annotations
 
@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BUCKETS = 256
+from copse.plans.tables import stored
+
+#: Rows of a piece that one task sorts, about, and the most pieces (a row each in the table of offsets).
+PIECE, PIECES = 1_000_000, 100_000
 
 
 def u(seed, *keys) -> Column:
@@ -29,13 +32,32 @@ def ranked(df: DataFrame, by: Column, ident: str, within: list[str] | None = Non
     """df with the rank (from 1) of each row in the order of by, in [0, 1), and ident.
 
     within: ranks start again for each value; ahead: columns that order before by.  Rows are sorted in
-    BUCKETS pieces each and offset by the counts before, so no task sorts them all.
+    pieces of about PIECE rows and offset by the counts before, so no task sorts them all.
     """
     within, ahead = within or [], ahead or []
-    rows = df.withColumn("_by", by).withColumn("_bucket", F.floor(F.col("_by") * BUCKETS).cast("int"))
+    pieces = max(16, min(PIECES, df.count() // PIECE))
+    rows = df.withColumn("_by", by).withColumn("_bucket", F.floor(F.col("_by") * pieces).cast("int"))
     counts = rows.groupBy(*within, *ahead, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over((Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))).orderBy(*ahead, "_bucket")) - F.col("_n")
     counts = counts.withColumn("_before", before).drop("_n")
     order = Window.partitionBy(*within, *ahead, "_bucket").orderBy("_by", ident)
     rows = rows.withColumn("_own", F.row_number().over(order)).join(counts, [*within, *ahead, "_bucket"])
     return rows.withColumn(name, (F.col("_own") + F.col("_before")).cast("bigint")).drop("_by", "_bucket", "_own", "_before")
+
+
+def running(df: DataFrame, keys: list[str], by: str, sums: dict[str, str], following: str | None = None) -> DataFrame:
+    """df with running sums (new column: summed column) within keys in the order of by; following: the next by.
+
+    Rows are dealt by range of keys and by into pieces; sums of the pieces before are added to those within a
+    piece.  The table of offsets has a row for each piece and key that meet.
+    """
+    rows = stored(df.repartitionByRange(*keys, by).withColumn("_piece", F.spark_partition_id()), "pieces")
+    total = [F.sum(c).alias(f"_s{i}") for i, c in enumerate(sums.values())]
+    heads = rows.groupBy(*keys, "_piece").agg(*total, F.min(by).alias("_first"))
+    order = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("_piece")
+    heads = heads.withColumns({f"_s{i}": F.sum(f"_s{i}").over(order) - F.col(f"_s{i}") for i in range(len(sums))} | {"_first": F.lead("_first").over(order)})
+    within = Window.partitionBy(*keys, "_piece").orderBy(by)
+    rows = rows.withColumns({new: F.sum(c).over(within) for new, c in sums.items()} | ({following: F.lead(by).over(within)} if following else {}))
+    rows = rows.join(heads, [*keys, "_piece"])
+    rows = rows.withColumns({new: F.col(new) + F.col(f"_s{i}") for i, new in enumerate(sums)} | ({following: F.coalesce(following, "_first")} if following else {}))
+    return rows.drop("_piece", "_first", *[f"_s{i}" for i in range(len(sums))])

@@ -1,60 +1,27 @@
-"""Random forests grown level by level, all trees in one plan, and stored as a table of nodes."""
+"""Random forests: fitting, prediction, importance, proximity, storage.  A model is a table of nodes."""
 
 from __future__ import annotations
 
 import json
-import math
 from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from copse.functions import measures
 from copse.functions.rng import u
 from copse.operators import metrics, sampling, split
 from copse.operators.examples import ExampleSet, Feature
 
-from .tables import stored
+from .grow import AT, SPLIT_COLUMNS, drawn, grow, side_of, values_of
+from .options import ALIASES, BRANCHES, REDRAW, Options
+from .tables import small, stored
 
-VERSION = "1"
+__all__ = ["ALIASES", "BRANCHES", "REDRAW", "ForestModel", "Options", "drawn", "fit", "impute_by_proximity"]
+
+VERSION = "2"
 #: Salts of a leaf, and of the queries that are in the same leaves.
 DEALS = 16
-NODES = """tree int, node string, depth int, kind string, ordinal int, feature string, threshold double, category string,
-n_left double, n_right double, class string, n double, majority_n double, score double, gain double, laplace double"""
-
-
-#: Branching policies that draw again where a node's best split is poor.
-REDRAW = ("resample", "infinite-resample", "hellinger", "chisquare", "random-chisquare", "resquare", "chisquare-decrease", "sample-examples")
-
-
-@dataclass(frozen=True)
-class Options:
-    """Names and defaults of the forest's options."""
-
-    trees: int = 10
-    max_depth: int = 12
-    min_examples: int = 1
-    score: str = "info"
-    features: str | int = "default"  # default, sqrt, all or a number
-    branch: str = "subset"  # subset, random, all, random-subset, or one of REDRAW
-    missing: str = "weighted"
-    example_sampling: str = "bagging"
-    threshold: str = "random"  # random or exact
-    resamples: int = 6
-    min_gain: float = 0.0
-    sigma: float = 0.5
-    variance: float = 2.0  # random-subset: how many features more or less
-    share: float = 0.1  # sample-examples: of the rows, at first
-    seed: int = 1
-
-    def n_features(self, total: int) -> int:
-        if self.branch in ("random", "hellinger"):
-            return 1
-        if self.features == "all" or self.branch == "all":
-            return total
-        n = int(math.log2(total)) + 1 if self.features == "default" else round(math.sqrt(total)) if self.features == "sqrt" else int(self.features)
-        return max(1, min(total, n))
 
 
 def _bags(ex: ExampleSet, o: Options) -> DataFrame:
@@ -64,7 +31,11 @@ def _bags(ex: ExampleSet, o: Options) -> DataFrame:
         return sampling.bootstrap(ex.df, o.seed, o.trees)
     if kind in ("nothing", "oversample"):
         return each(ex.df if kind == "nothing" else sampling.oversample(ex.df))
-    per = {"subagging": sampling.subagging, "undersample": sampling.undersample, "triangle-variance": sampling.triangle_sample, "uniform-variance": sampling.uniform_sample, "random": sampling.random_sample}[kind]
+    spread = o.variance_options or ()
+    per = kind if callable(kind) else {
+        "subagging": sampling.subagging, "undersample": sampling.undersample, "random": sampling.random_sample,
+        "triangle-variance": lambda df, seed: sampling.triangle_sample(df, seed, *spread), "uniform-variance": lambda df, seed: sampling.uniform_sample(df, seed, *spread[:3]),
+    }[kind]
     out = None
     for t in range(1, o.trees + 1):
         bag = per(ex.df, f"{o.seed}-{t}").withColumn("tree", F.lit(t)).select(*ex.df.columns, "tree")
@@ -72,169 +43,6 @@ def _bags(ex: ExampleSet, o: Options) -> DataFrame:
     return out
 
 
-def _long(rows: DataFrame, features: tuple[Feature, ...]) -> DataFrame:
-    """A row for each feature: ordinal, num and cat."""
-    cells = [
-        F.struct(
-            F.lit(f.ordinal).alias("ordinal"),
-            (F.col(f.name) if f.kind == "numeric" else F.lit(None)).cast("double").alias("num"),
-            (F.col(f.name) if f.kind == "categoric" else F.lit(None)).cast("string").alias("cat"),
-        )
-        for f in features
-    ]
-    return rows.withColumn("_f", F.explode(F.array(*cells))).select(*[c for c in rows.columns if c not in {f.name for f in features}], "_f.*")
-
-
-def _side():
-    return F.when(F.col("threshold").isNotNull(), split.numeric_side(F.col("num"), F.col("threshold"))).otherwise(split.categoric_side(F.col("cat"), F.col("category")))
-
-
-def _thresholds(rows: DataFrame, o: Options, round_: int) -> DataFrame:
-    """A candidate for each (tree, node, ordinal): from a pair of rows of two classes, or the exact best."""
-    keys = ["tree", "node", "ordinal"]
-    known = rows.filter("num IS NOT NULL OR cat IS NOT NULL")
-    draw = u(o.seed, round_, *[F.col(k) for k in keys], F.col("id"))
-    per = known.groupBy(*keys, "class").agg(F.min_by(F.struct("num", "cat"), F.struct(draw, F.col("id"))).alias("v"))
-    both = per.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(u(o.seed, round_, *[F.col(k) for k in keys], F.col("class")).alias("d"), "class", "v"))).alias("s"))
-    pair = both.filter(F.size("s") > 1).select(*keys, ((F.col("s")[0]["v"]["num"] + F.col("s")[1]["v"]["num"]) / 2).alias("threshold"), F.col("s")[0]["v"]["cat"].alias("category"))
-    if o.threshold == "random":
-        return pair
-    exact = split.exact_thresholds(known.filter("num IS NOT NULL"), "num", keys).select(*keys, "threshold", F.lit(None).cast("string").alias("category"))
-    return exact.unionByName(pair.filter("category IS NOT NULL"))
-
-
-def _drawn(o: Options, total: int, round_: int) -> tuple[int, int]:
-    """How many features a node draws in a round, and how many earlier rounds have taken."""
-    n = o.n_features(total)
-    if o.branch == "infinite-resample" and round_:
-        return total, n
-    if o.branch == "chisquare-decrease":
-        sizes = [n]
-        for _ in range(round_):
-            sizes.append(max(1, int(sizes[-1] / 2 + 0.5)))
-        return sizes[-1], sum(sizes[:-1])
-    return n, n * round_
-
-
-def _redraws(o: Options, total: int) -> int:
-    """Rounds after the first at most: each takes features that a node hasn't tried yet."""
-    if o.branch == "sample-examples":
-        return math.ceil(math.log2(1 / o.share))
-    return {"resample": o.resamples, "infinite-resample": 1}.get(o.branch, total if o.branch in REDRAW else 0)
-
-
-def _poor(o: Options, round_: int):
-    """Whether a node draws again; one without a split does."""
-    chi = F.col("chi2") < o.sigma
-    gain = F.col("entropy") - F.col("left") - F.col("right") <= o.min_gain
-    poor = F.coalesce({"hellinger": F.col("score") >= 1, "resample": gain, "infinite-resample": gain}.get(o.branch, chi), F.lit(True))
-    if o.branch == "random-chisquare":
-        return poor & (u(o.seed, "policy", F.col("tree"), F.col("node")) <= 0.5)
-    return poor & (u(o.seed, "again", round_, F.col("tree"), F.col("node")) < 0.5) if o.branch == "resquare" else poor
-
-
-def _best(rows: DataFrame, cuts: DataFrame, o: Options) -> DataFrame:
-    """The split of each (tree, node) with the lowest score, then the lowest ordinal."""
-    keys = ["tree", "node", "ordinal"]
-    sided = rows.join(cuts, keys).withColumn("side", _side())
-    counts = measures.class_counts(sided.filter("side <> '?'"), keys)
-    scored = measures.scores(counts, keys, o.score, o.seed)
-    totals = counts.groupBy(*keys).agg(F.sum("l").alias("n_left"), F.sum("r").alias("n_right"))
-    scored = scored.join(totals, keys).join(measures.chi_square(counts, keys), keys)
-    best = scored.groupBy("tree", "node").agg(F.min(F.struct(F.round("score", 9).alias("score"), "ordinal", "left", "right", "n_left", "n_right", "chi2")).alias("b"))
-    return best.select("tree", "node", "b.*").join(cuts, keys)
-
-
-def _candidates(long: DataFrame, o: Options, total: int, round_: int) -> DataFrame:
-    """The best split of each (tree, node) over the features that it draws in a round.
-
-    sample-examples finds it on a sample, which doubles each round, and scores it on all rows.
-    """
-    (n, tried), at = _drawn(o, total, round_), (F.col("tree"), F.col("node"))
-    size = F.lit(n)
-    if o.branch == "random-subset":
-        size = F.least(F.lit(total), F.greatest(F.lit(1), F.round(n + (2 * u(o.seed, "size", *at) - 1) * o.variance).cast("int")))
-    asked = long.select("tree", "node", "ordinal").distinct()
-    order = Window.partitionBy("tree", "node").orderBy(u(o.seed, "feature", *at, F.col("ordinal")), "ordinal")
-    asked = asked.withColumn("_r", F.row_number().over(order)).filter((F.col("_r") > tried) & (F.col("_r") <= tried + size)).drop("_r")
-    rows = long.join(asked, ["tree", "node", "ordinal"])
-    if o.branch != "sample-examples":
-        return _best(rows, stored(_thresholds(rows, o, round_), "cuts"), o)
-    some = rows.filter(u(o.seed, "sample", round_, *at, F.col("id")) < o.share * 2**round_)
-    cuts = stored(_thresholds(some, o, round_), "cuts")
-    found = stored(_best(some, cuts, o).select("tree", "node", "ordinal"), "found")
-    return _best(rows.join(found, found.columns, "left_semi"), cuts, o)
-
-
-def grow(ex: ExampleSet, o: Options, bags: DataFrame | None = None) -> DataFrame:
-    """The table of nodes.  A level of all trees is one round of plans; its rows are a table."""
-    state = stored((bags if bags is not None else _bags(ex, o)).withColumns({"node": F.lit("1"), "tree": F.col("tree").cast("int")}), "level")
-    spark, by_name = state.sparkSession, {f.ordinal: f.name for f in ex.features}
-    names = F.create_map(*[F.lit(x) for e in by_name.items() for x in e])
-    tables = []
-    for depth in range(o.max_depth + 1):
-        per = state.groupBy("tree", "node", "class").agg(F.sum("weight").alias("w"))
-        xlnx = lambda x: F.when(x > 0, x * F.log(x)).otherwise(0.0)
-        stats = per.groupBy("tree", "node").agg(
-            F.sum("w").alias("n"), F.count(F.lit(1)).alias("k"), F.min_by("class", F.struct(-F.col("w"), "class")).alias("class"), F.max("w").alias("majority_n"),
-            (xlnx(F.sum("w")) - F.sum(xlnx(F.col("w")))).alias("entropy"),
-        )
-        stats = stored(stats, "stats")
-        active = stats.filter((F.col("k") > 1) & (F.col("n") > o.min_examples)).select("tree", "node", "entropy")
-        winners = None
-        if depth < o.max_depth and not active.isEmpty():
-            total = len(ex.features)
-            long = _long(state.join(active.select("tree", "node"), ["tree", "node"]), ex.features)
-            winners, asked = stored(_candidates(long, o, total, 0), "winners"), active
-            for round_ in range(1, _redraws(o, total) + 1):
-                poor = stored(asked.join(winners, ["tree", "node"], "left").filter(_poor(o, round_)).select("tree", "node", "entropy"), "poor")
-                if poor.isEmpty():
-                    break
-                winners, asked = winners.join(poor, ["tree", "node"], "left_anti"), poor
-                sampled_out = o.branch == "sample-examples" and o.share * 2**round_ >= 1
-                if sampled_out or _drawn(o, total, round_)[1] >= total:  # no features or rows are left: leaves
-                    break
-                redo = _candidates(long.join(poor, ["tree", "node"], "left_semi"), o, total, round_)
-                winners = stored(winners.unionByName(redo), "winners")
-            winners = winners.filter("n_left > 0 AND n_right > 0")  # a one-sided winner is a leaf
-        base = stats if winners is None else stats.join(winners, ["tree", "node"], "left")
-        if winners is None:
-            base = base.withColumns({c: F.lit(None).cast(t) for c, t in (("ordinal", "int"), ("threshold", "double"), ("category", "string"), ("n_left", "double"), ("n_right", "double"), ("score", "double"), ("left", "double"), ("right", "double"))})
-        tables.append(
-            stored(
-                base.select(
-                    "tree", "node", F.lit(depth).alias("depth"), F.when(F.col("ordinal").isNull(), "leaf").otherwise("node").alias("kind"), "ordinal", names[F.col("ordinal")].alias("feature"), "threshold", "category",
-                    "n_left", "n_right", "class", "n", "majority_n", "score", (F.col("entropy") - F.col("left") - F.col("right")).alias("gain"), ((F.col("majority_n") + 1) / (F.col("n") + 2)).alias("laplace"),
-                ), "nodes",
-            )
-        )
-        if winners is None:
-            break
-        state = stored(_route(state, winners, ex, o.missing, o.seed), "level")
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.unionByName(t)
-    return spark.createDataFrame([], NODES).unionByName(out)
-
-
-def _value_of(features: tuple[Feature, ...], kind: str, type_: str):
-    out = F.lit(None).cast(type_)
-    for f in features:
-        if f.kind == kind:
-            out = F.when(F.col("ordinal") == f.ordinal, F.col(f.name)).otherwise(out)
-    return out
-
-
-def _route(state: DataFrame, winners: DataFrame, ex: ExampleSet, missing: str, seed) -> DataFrame:
-    cols = state.columns
-    rows = state.join(winners.select("tree", "node", "ordinal", "threshold", "category"), ["tree", "node"])
-    rows = rows.withColumns({"num": _value_of(ex.features, "numeric", "double"), "cat": _value_of(ex.features, "categoric", "string")}).withColumn("side", _side())
-    rows = split.place_missing(rows, missing, ["tree", "node"], seed)
-    rows = rows.withColumn("node", F.concat("node", F.when(F.col("side") == "left", "0").otherwise("1")))
-    others = [c for c in cols if c not in ("tree", "node", "id", "weight")]
-    return rows.groupBy("tree", "node", "id").agg(F.sum("weight").alias("weight"), *[F.first(c).alias(c) for c in others]).select(*cols)
-
-
 @dataclass
 class ForestModel:
     nodes: DataFrame
@@ -242,22 +50,25 @@ class ForestModel:
     options: Options
 
     def leaves(self, df: DataFrame) -> DataFrame:
-        """id, actual, tree, node, pred and score of each row in each tree."""
-        spark, o = df.sparkSession, self.options
-        nodes = self.nodes
-        depth = nodes.agg(F.max("depth")).first()[0] or 0
-        names = [f.name for f in self.features]
-        at = df.select("id", F.col("class").alias("actual"), *names).withColumn("tree", F.explode(F.sequence(F.lit(1), F.lit(o.trees)))).withColumn("node", F.lit("1"))
-        step = nodes.select("tree", "node", "kind", "ordinal", "threshold", "category", "n_left", "n_right")
-        for _ in range(depth):
-            rows = at.join(step, ["tree", "node"]).withColumns({"num": _value_of(self.features, "numeric", "double"), "cat": _value_of(self.features, "categoric", "string")})
-            side = _side()
-            lost = split.missing_side("weighted" if o.missing == "proximity" else o.missing, F.col("n_left"), F.col("n_right"), u(o.seed, "predict", F.col("tree"), F.col("node"), F.col("id")))
-            side = F.when(side == "?", lost).otherwise(side)  # null with ignore: it stays
-            to = F.when((F.col("kind") == "leaf") | side.isNull(), F.col("node")).when(side == "left", F.concat("node", F.lit("0"))).otherwise(F.concat("node", F.lit("1")))
-            at = rows.withColumn("node", to).select(*at.columns)
-        del spark
-        return at.join(nodes.select("tree", "node", F.col("class").alias("pred"), "laplace"), ["tree", "node"]).select("id", "actual", "tree", "node", "pred", "laplace")
+        """id, actual, tree, node, pred and laplace of each row in each tree.
+
+        Rows walk a level a time, joined with the nodes of that level: by broadcast where these are few enough.
+        A missing value goes where most of the known ones went, or as the strategy draws; with ignore it stays.
+        """
+        o, nodes = self.options, self.nodes
+        sizes = dict(map(tuple, nodes.groupBy("depth").count().collect()))  # a row for each depth
+        at = df.select("id", F.col("class").alias("actual"), *[v.alias(k) for k, v in values_of(self.features).items()])
+        at = at.withColumn("tree", F.explode(F.sequence(F.lit(1), F.lit(o.trees)))).withColumns({"node": F.lit("1"), "pred": F.lit(None).cast("string"), "laplace": F.lit(None).cast("double")})
+        draw = u(o.seed, "predict", F.col("tree"), F.col("node"), F.col("id"))
+        lost = split.missing_side("weighted" if o.missing == "proximity" else o.missing, F.col("n_left"), F.col("n_right"), draw)
+        side = side_of(o)
+        side = F.when(F.col("kind") == "node", F.when(side == split.MISSING, lost).otherwise(side))
+        here = nodes.select(*AT, "kind", *SPLIT_COLUMNS, "n_left", "n_right", F.col("class").alias("_class"), F.col("laplace").alias("_laplace"), "depth")
+        for depth in sorted(sizes):
+            rows = at.join(small(here.filter(F.col("depth") == depth).drop("depth"), sizes[depth]), AT, "left")
+            moved = F.when(side == "left", F.concat("node", F.lit("0"))).when(side == "right", F.concat("node", F.lit("1"))).otherwise(F.col("node"))
+            at = rows.withColumns({"node": moved, "pred": F.coalesce("_class", "pred"), "laplace": F.coalesce("_laplace", "laplace")}).select(*at.columns)
+        return at.select("id", "actual", "tree", "node", "pred", "laplace")
 
     def votes(self, df: DataFrame) -> DataFrame:
         return self.leaves(df).select("id", "actual", "tree", "pred")
@@ -268,9 +79,12 @@ class ForestModel:
     def vote_lists(self, df: DataFrame) -> DataFrame:
         """id, class and a 0 or 1 for each tree in order."""
         v = self.votes(df)
-        grid = v.select("id").distinct().crossJoin(F.broadcast(v.select(F.col("pred").alias("class")).distinct()))
-        rows = grid.join(v.select("id", "tree", "pred"), "id").groupBy("id", "class").agg(F.array_sort(F.collect_list(F.struct("tree", (F.col("pred") == F.col("class")).cast("int").alias("v")))).alias("s"))
-        return rows.select("id", "class", F.transform("s", lambda s: s["v"]).alias("votes"))
+        classes = self.nodes.select("class").distinct().agg(F.collect_list("class").alias("all"))  # the classes of the examples
+        lists = v.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("tree", "pred"))), lambda s: s["pred"]).alias("preds"))  # a vote for each tree
+        rows = lists.crossJoin(F.broadcast(classes)).select("id", "preds", F.explode("all").alias("class"))  # one row
+        voted = rows.select("id", "class", F.transform("preds", lambda p: (p == F.col("class")).cast("int")).alias("votes"))
+        some = v.select(F.col("pred").alias("class")).distinct()
+        return voted.join(F.broadcast(some), "class", "left_semi").select("id", "class", "votes")
 
     def importance(self) -> DataFrame:
         """feature and importance: gains as shares of their tree's, over the number of trees."""
@@ -310,7 +124,7 @@ class ForestModel:
 
     def save(self, path: str) -> None:
         self.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
-        meta = {"version": VERSION, "options": asdict(self.options), "features": [asdict(f) for f in self.features]}
+        meta = {"version": VERSION, "options": self.options.as_dict(), "features": [asdict(f) for f in self.features]}
         self.nodes.sparkSession.createDataFrame([(json.dumps(meta),)], "value string").write.mode("overwrite").text(f"{path}/meta")
 
     @classmethod

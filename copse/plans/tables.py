@@ -1,4 +1,4 @@
-"""Tables in the shared folder, which cut the lineage of iterative plans."""
+"""Tables in the shared folder, which cut the lineage of iterative plans, and checked broadcasts."""
 
 from __future__ import annotations
 
@@ -8,11 +8,18 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a table that may be broadcast; the tables of nodes and splits have a few hundred bytes a row.
+BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir; only a local session (tests) gets a temporary one where it is unset."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="copse-")
         atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", root)
@@ -24,4 +31,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}-{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that stored() wrote and nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """df, broadcast if it has few enough rows; else it is joined by its keys."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df

@@ -9,7 +9,7 @@ from copse import queries
 from copse.functions import measures
 from copse.operators import examples, metrics, neighbors, sampling
 from copse.operators.examples import ExampleSet
-from copse.plans.forest import ForestModel, Options, _drawn, fit
+from copse.plans.forest import ForestModel, Options, drawn, fit
 from copse.sources import typed_csv
 
 
@@ -127,7 +127,7 @@ def chi_of(rows, n):
 
 
 def test_policies_take_each_feature_once():
-    of = lambda branch, total, n: [_drawn(Options(branch=branch, features=n), total, r) for r in range(4)]
+    of = lambda branch, total, n: [drawn(Options(branch=branch, features=n), total, r) for r in range(4)]
     assert of("chisquare", 9, 3) == [(3, 0), (3, 3), (3, 6), (3, 9)]
     assert of("chisquare-decrease", 9, 5) == [(5, 0), (3, 5), (2, 8), (1, 10)]
     assert of("infinite-resample", 9, 4)[:2] == [(4, 0), (9, 4)]
