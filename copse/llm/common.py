@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +18,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Salts of a key; a bitmap of those in use fits into a long.
 SALTS = 64
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_LOCK, _WRITES = threading.Lock(), {"now": 0, "before": "false"}
 
 
 def words(text: Column) -> Column:
@@ -49,26 +52,53 @@ def quoted(name: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset, as in tests, a temporary one."""
+    """The folder named in spark.checkpoint.dir; only a local session (tests) gets a temporary one where it is unset."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="copse-")
         atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+@contextmanager
+def _cleanup(spark: SparkSession):
+    """Shuffle files go with the execution that wrote them, while a table is written.
+
+    The setting is the session's: of writes at the same time, the first sets it and the last puts it back.
+    """
+    with _LOCK:
+        if not _WRITES["now"]:
+            _WRITES["before"] = spark.conf.get(CLEANUP, "false")
+            spark.conf.set(CLEANUP, "true")
+        _WRITES["now"] += 1
+    try:
+        yield
+    finally:
+        with _LOCK:
+            _WRITES["now"] -= 1
+            if not _WRITES["now"]:
+                spark.conf.set(CLEANUP, _WRITES["before"])
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as a Parquet table in the shared folder and read again: lineage ends here."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}-{name}-{uuid.uuid4().hex[:12]}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")  # nothing reads the shuffle files of this execution again
-    try:
+    with _cleanup(spark):  # nothing reads the shuffle files of this execution again
         df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that stored() wrote and nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def salt(*columns: Column) -> Column:

@@ -27,13 +27,14 @@ def key_columns(text: Column, ident: Column) -> tuple[Column, Column]:
     return F.shiftrightunsigned(F.xxhash64(F.coalesce(text, F.lit(""))), top), F.shiftrightunsigned(F.xxhash64(ident), top)
 
 
-def splitters(keys: DataFrame, n_shards: int, tolerance: float) -> list[tuple[int, int]]:
+def splitters(keys: DataFrame, n_shards: int, tolerance: float, of_group: float = 0.0) -> list[tuple[int, int]]:
     """n_shards - 1 lower bounds (h, k) of the shards after the first, in order.
 
     keys has h, k and size.  Round by round the exact bytes below evenly spaced probes are counted in
     the intervals that still hold a target.  An interval closes when a probe is within tolerance (a
     share of a shard) of its target, or when one row or one key is left in it; then the nearer edge
-    counts.  The driver gets (n_shards - 1) * 2 ** ROUND_BITS counts a round, at most.
+    counts.  The rows of one h are a group of equal texts: its nearer edge counts too if it is within of_group
+    (a share of a shard), or within one row of the group, of the target.  The driver gets (n_shards - 1) * 2 ** ROUND_BITS counts a round, at most.
     """
     total = keys.agg(F.sum("size")).first()[0] or 0
     if total == 0:
@@ -70,7 +71,8 @@ def splitters(keys: DataFrame, n_shards: int, tolerance: float) -> list[tuple[in
                 low, high, d, n = edges[max(0, bisect_left([e[1] for e in edges], goal))] if edges and edges[-1][1] >= goal else edges[-1]
                 left = goal - low <= high - goal
                 x, y = ((at[0] << ROUND_BITS | d) if in_h else at[0]), (0 if in_h else at[1] << ROUND_BITS | d)
-                if min(goal - low, high - goal) <= near or n == 1 or depth == 2 * parts - 1:
+                group = max(of_group * total / n_shards, (high - low) / n) if depth == parts - 1 else 0
+                if min(goal - low, high - goal) <= max(near, group) or n == 1 or depth == 2 * parts - 1:
                     step = 0 if left else 1
                     out[i] = (x + step << shift, 0) if in_h else (x, y + step << shift)
                 else:
@@ -95,12 +97,12 @@ def shard_of(h: Column, k: Column, bounds: list[tuple[int, int]]) -> Column:
     return search(0, len(bounds)).cast("int")
 
 
-def histogram_shards(df: DataFrame, n_shards: int, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 0.01) -> DataFrame:
+def histogram_shards(df: DataFrame, n_shards: int, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 0.01, of_group: float = 0.03) -> DataFrame:
     """df with size, shard (0 to n_shards - 1) and slot (0, 1, ... in each shard).
 
     Rows are in the order of a hash of the text and then of the id; shards are runs of that order with
-    near-equal bytes, exact to tolerance of a shard or half a row.  Equal texts share a shard unless
-    that would break the tolerance; then they part between ids.  After the rounds of counting, the rows
+    near-equal bytes, exact to tolerance of a shard or half a row; an edge moves by up to of_group of a
+    shard, or by one row, to keep equal texts in one shard.  Only larger groups part, between ids.  After the rounds of counting, the rows
     are exchanged once, by shard and a part of the hash of the id, so no shard waits for one task.
 
     Nulls: a null text has the size 16; null ids have one hash.  Rows that repeat an id and a text have
@@ -111,7 +113,7 @@ def histogram_shards(df: DataFrame, n_shards: int, id_col: str = "doc_id", text_
     text, ident = F.col(quoted(text_col)), F.col(quoted(id_col))
     of_text, of_id = key_columns(text, ident)
     keys = stored(df.select(of_text.alias("h"), of_id.alias("k"), row_size(text).alias("size")), "keys")
-    bounds = splitters(keys, n_shards, tolerance)
+    bounds = splitters(keys, n_shards, tolerance, of_group)
     per_shard = keys.count() // max(1, n_shards)
     bits = 6
     while (1 << bits) * 50_000 < per_shard and (2 << bits) * n_shards <= OFFSETS:
