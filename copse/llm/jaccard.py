@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SALTS, quoted, salt, salts_in, stored
+from .common import SALTS, discard, perhaps_in, quoted, salt, salt_bit, salts_in, stored
 
 #: Two sets link when link * |A or B| <= 100 * |A and B|; the contract of the op3 query has words of SHINGLE and this link.
 SHINGLE, LINK = 3, 90
@@ -20,6 +20,8 @@ SHINGLE, LINK = 3, 90
 BITS, LEAST_BITS = 512, 512
 #: Rows of a tile that isn't banded by size, and multiples of the prefix that are searched for common shingles.
 SMALL_TILE, SEARCHED = 256, 4
+#: Rows of a tile that a task compares with the tile's first one, about.
+DEAL = 1024
 #: A shingle in more prefixes than this, and than 1 / MOST_COMMON of all, is common.
 COMMON, MOST_COMMON = 50, 1_000_000
 #: Shared shingles of a prefix that take part in each of the rounds that compare with a few rows of a tile only.
@@ -110,11 +112,11 @@ def _sketches(k: int, link: int, common):
             sets = [shingles(t, k) for t in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
-                    part.column(0), pa.array([len(u) for u in sets], pa.int64()), pa.array(map(_set_id, sets), pa.binary()),
+                    part.column(0), part.column(2), pa.array([len(u) for u in sets], pa.int64()), pa.array(map(_set_id, sets), pa.binary()),
                     pa.array([bitmap(u, BITS).tobytes() for u in sets], pa.binary()), pa.array([long_bitmap(u).tobytes() for u in sets], pa.binary()),
                     _lists([prefix(u, common.value, link) for u in sets]),
                 ],
-                ["id", "n", "node", "sig", "bits", "prefix"],
+                ["id", "key", "n", "node", "sig", "bits", "prefix"],
             )
 
     return run
@@ -160,13 +162,17 @@ def _compatible(n, pos, bits, a, b, link: int) -> np.ndarray:
     return ok
 
 
+def _changes(table: pa.Table) -> np.ndarray:
+    """Where a row is of another tile than the one before."""
+    return np.logical_or.reduce([x[1:] != x[:-1] for x in (table.column(c).to_numpy() for c in ("token", "band", "deal"))])
+
+
 def _whole_tiles(batches):
-    """The batches again, cut so that a tile (token, band) is never in two."""
+    """The batches again, cut so that a tile (token, band, deal) is never in two."""
     rest = None
     for batch in batches:
         table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-        token, band = (table.column(c).to_numpy() for c in ("token", "band"))
-        new = np.flatnonzero((token[1:] != token[:-1]) | (band[1:] != band[:-1])) + 1
+        new = np.flatnonzero(_changes(table)) + 1
         if not len(new):
             rest = table
             continue
@@ -179,9 +185,9 @@ def _whole_tiles(batches):
 def _candidates(few: bool, link: int):
     def run(batches):
         for t in _whole_tiles(batches):
-            token, band, visits, n, cid, root, pos = (t.column(c).to_numpy() for c in ("token", "band", "visits", "n", "cid", "root", "pos"))
+            visits, n, cid, root, pos = (t.column(c).to_numpy() for c in ("visits", "n", "cid", "root", "pos"))
             bits = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint64).reshape(len(n), BITS // 64)
-            tile = np.r_[0, np.cumsum((token[1:] != token[:-1]) | (band[1:] != band[:-1]))]
+            tile = np.r_[0, np.cumsum(_changes(t))]
             out = []
             if few:  # each row with the first of its tile, the others with the next one
                 left = np.arange(len(n))
@@ -285,9 +291,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _classes(df: DataFrame, id_col: str, text_col: str, k: int, link: int) -> tuple[DataFrame, DataFrame]:
-    """A row for each row of df (id, n, node: none without a set), and one for each class of equal sets (node, id, salts, root)."""
+    """A row for each row of df (id, key, n, node: none without a set), and one for each class of equal sets (node, id, salts, root)."""
     spark = df.sparkSession
-    texts = df.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"))
+    text = F.col(quoted(text_col))
+    texts = df.select(F.col(quoted(id_col)).alias("id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("key"))
     kind = df.schema[id_col].dataType.simpleString()
 
     counted = lambda common: texts.mapInArrow(_counts(k, link, common), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
@@ -295,42 +302,68 @@ def _classes(df: DataFrame, id_col: str, text_col: str, k: int, link: int) -> tu
     if len(common):
         more = stored(counted(spark.sparkContext.broadcast(common)).filter(F.col("n") > COMMON), "common")
         common = np.union1d(common, _common_of(more))
-    sketches = texts.mapInArrow(_sketches(k, link, spark.sparkContext.broadcast(common)), f"id {kind}, n long, node binary, sig binary, bits binary, prefix array<long>")
+    sketches = texts.mapInArrow(_sketches(k, link, spark.sparkContext.broadcast(common)), f"id {kind}, key long, n long, node binary, sig binary, bits binary, prefix array<long>")
     sketches = stored(sketches, "sketches")
-    rows = sketches.select("id", "n", "node")
+    rows = sketches.select("id", "key", "n", "node")
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "n", "sig", "bits", "prefix"))
     classes = sketches.filter("node IS NOT NULL").groupBy("node").agg(least.alias("r"), F.bit_or(F.expr(SALT_BIT)).alias("salts"))
     classes = stored(classes.select("node", "salts", "r.*").drop("none").withColumn("cid", F.monotonically_increasing_id()), "classes")
 
-    tokens = classes.select("cid", F.posexplode("prefix").alias("pos", "token"))
-    shared = tokens.withColumn("times", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("times > 1")
+    # Tokens in more than one prefix, and in how many: counted by salt, and back to the salts in use.
+    tokens = classes.select("cid", F.posexplode("prefix").alias("pos", "token")).withColumn("salt", salt(F.col("cid")))
+    counts = tokens.groupBy("token", "salt").agg(F.count(F.lit(1)).alias("own")).groupBy("token").agg(F.sum("own").alias("times"), F.bit_or(salt_bit("salt")).alias("salts"))
+    counts = counts.filter("times > 1").select("token", "times", salts_in("salts").alias("salt"))
+    shared = tokens.join(counts, ["token", "salt"]).select("cid", "pos", "token", "times")
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / link) * (1 + 1e-9) if link < 100 else 1.0)).cast("int")
-    tiles = shared.join(classes.select("cid", "n", "sig"), "cid").withColumn("band", F.when(F.col("times") > SMALL_TILE, band))
+    tiles = shared.join(classes.select("cid", "n", "sig"), "cid").withColumn("band", F.when(F.col("times") > SMALL_TILE, band).otherwise(F.lit(-1)))
     tiles = tiles.withColumn("nth", F.row_number().over(Window.partitionBy("cid").orderBy("pos")))
     tiles = stored(tiles, "tiles")
 
+    # The members of the classes that may be compared: those with a shared token.  Their texts are read once.
+    few = classes.join(tiles.select("cid").distinct(), "cid", "left_semi").select("cid", "node", F.col("id").alias("x_id"))
+    few = stored(few, "few")
+    n_few = few.count()
+
     def members(batches):
         for part in _parts(batches):
             sets = [shingles(t, k) for t in part.column(2).to_pylist()]
             keep = [i for i, (u, node) in enumerate(zip(sets, part.column(1).to_pylist(), strict=True)) if _set_id(u) == node]
             yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keep, pa.int32())), _lists([sets[i] for i in keep])], ["cid", "members"])
 
+    some = perhaps_in(texts, F.col("id"), few.select("x_id"), n_few)
+    found = some.join(few.hint("merge"), some["id"].eqNullSafe(few["x_id"])).select("cid", "node", "text")
+    sets = stored(found.mapInArrow(members, "cid long, members array<long>"), "sets")
+    if sets.count() > n_few:  # rows that repeat an id and a set
+        sets = stored(sets.dropDuplicates(["cid"]), "sets")
+
     def links_of(rooted: DataFrame, round_: int) -> DataFrame:
-        few = round_ < len(FIRST_ROUNDS)
-        own = rooted.select("token", F.coalesce("band", F.lit(-1)).alias("band"), F.lit(False).alias("visits"), "n", "pos", "cid", "root", "sig")
-        dealt = own.unionByName(own.filter("band >= 0").withColumns({"visits": F.lit(True), "band": F.col("band") + 1})).repartition("token", "band")
-        dealt = dealt.sortWithinPartitions("token", "band", *([F.xxhash64("token", "cid", F.lit(round_))] if few else ["n", "cid"]))
-        pairs = dealt.mapInArrow(_candidates(few, link), "a long, b long").distinct()
+        few_rows, last = round_ < len(FIRST_ROUNDS), round_ == len(FIRST_ROUNDS)
+        own = rooted.select("token", "band", F.lit(False).alias("visits"), "n", "pos", "cid", "root", "sig", "times")
+        dealt = own.unionByName(own.filter("band >= 0").withColumns({"visits": F.lit(True), "band": F.col("band") + 1}))
+        if last:  # a tile of one component has no pairs
+            dealt = dealt.withColumn("salt", salt(F.col("cid")))
+            roots = dealt.groupBy("token", "band", "salt").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+            mixed = roots.groupBy("token", "band").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.bit_or(salt_bit("salt")).alias("salts")).filter("low < high")
+            dealt = dealt.join(mixed.select("token", "band", salts_in("salts").alias("salt")), ["token", "band", "salt"]).drop("salt")
+        order = F.xxhash64("token", "cid", F.lit(round_))
+        if few_rows:  # large tiles fall into deals, each with the first row of the tile
+            deals = F.when(F.col("times") > DEAL, F.ceil(F.col("times") / DEAL)).otherwise(F.lit(1)).cast("int")
+            large = dealt.filter(F.col("times") > DEAL).withColumn("salt", salt(F.col("cid")))
+            row = F.struct(*dealt.columns)
+            first = large.groupBy("token", "band", "salt").agg(F.min_by(row, order).alias("r"), F.min(order).alias("o")).groupBy("token", "band").agg(F.min_by("r", "o").alias("r")).select("r.*")
+            first = first.withColumn("deal", F.explode(F.sequence(F.lit(0), deals - 1)))
+            dealt = dealt.withColumn("deal", F.pmod(F.xxhash64("cid", F.lit(round_)), deals).cast("int")).unionByName(first)
+        else:
+            dealt = dealt.withColumn("deal", F.lit(0))
+        dealt = dealt.drop("times").repartition("token", "band", "deal")
+        dealt = dealt.sortWithinPartitions("token", "band", "deal", *([order, "cid"] if few_rows else ["n", "cid"]))
+        pairs = dealt.mapInArrow(_candidates(few_rows, link), "a long, b long").distinct()
         for c in "ab":
             pairs = pairs.join(classes.select(F.col("cid").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")), c)
         pairs = stored(pairs.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_close(link), "a long, b long"), "pairs")
-        asked = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct().join(classes.select("cid", "node", F.col("id").alias("x_id")), "cid")
-        asked = stored(asked, "asked")
-        found = texts.join(asked.hint("merge"), texts["id"].eqNullSafe(asked["x_id"])).select("cid", "node", "text")
-        sets = stored(found.mapInArrow(members, "cid long, members array<long>"), "sets")
-        if sets.count() > asked.count():  # rows that repeat an id and a set
-            sets = stored(sets.dropDuplicates(["cid"]), "sets")
-        return linked(pairs, sets, link)
+        out = linked(pairs, sets, link)
+        discard(pairs)
+        return out
 
     links, rooted = None, tiles.withColumn("root", F.col("cid"))
     for i, most in enumerate([*FIRST_ROUNDS, None]):
@@ -343,6 +376,17 @@ def _classes(df: DataFrame, id_col: str, text_col: str, k: int, link: int) -> tu
     return rows, per_class.select("node", "id", "salts", "root")
 
 
+def _components(df: DataFrame, id_col: str, text_col: str, k: int, link: int) -> DataFrame:
+    """id, key (of the text), node (of the set), n, root and component_id of each row of df."""
+    rows, per_class = _classes(df, id_col, text_col, k, link)
+    least = per_class.groupBy("root").agg(F.min("id").alias("component_id"))
+    per_class = stored(per_class.join(least, "root").select("node", "salts", "root", "component_id"), "per-class")
+    named = per_class.select(F.col("node").alias("x_node"), "root", "component_id", salts_in("salts").alias("x_salt"))
+    mine = rows.withColumn("salt", F.expr(SALT))
+    out = mine.join(named, (F.col("node") == F.col("x_node")) & (F.col("salt") == F.col("x_salt")), "left")
+    return out.select("id", "key", "node", "n", "root", F.coalesce("component_id", "id").alias("component_id"))
+
+
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, link: int = LINK) -> DataFrame:
     """id, set_id, n_shingles and component_id for each row of df; sets of k-word shingles, linked as at LINK.
 
@@ -350,27 +394,29 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     of sizes (each class also visits the band above).  Within tiles, sizes and the difference of bitmap
     signatures bound the overlap from above; pairs that may link are compared exactly.  The first
     rounds compare each class with one or two others of a tile; what they link needs no more pairs, so a
-    large group of near copies costs about its size.  The last round takes all pairs of different
-    components.  Shingles common in prefixes (a passage in many texts) come last in the global order,
-    which keeps tiles small; any such
-    order is exact.
+    large group of near copies costs about its size.  There, a large tile falls into deals, each with the
+    tile's first row.  The last round takes all pairs of different components, in tiles that have several.
+    Shingles common in prefixes (a passage in many texts) come last in the global order, which keeps tiles
+    small; any such order is exact.
 
     A set is known by 64-bit hashes of its members.  Nulls: a null or empty text has no set and is its own
     component; a null id counts as a row of its own and names a component only if all its ids are null.
-    Rows that repeat an id keep their own sets; rows that repeat both have the same result.
+    Rows that repeat an id keep their own sets; rows that repeat both have the same result.  An empty df
+    gives an empty result.  Other columns of df don't matter.
     """
-    rows, per_class = _classes(df, id_col, text_col, k, link)
-    least = per_class.groupBy("root").agg(F.min("id").alias("component_id"))
-    per_class = stored(per_class.join(least, "root").select("node", "salts", "component_id"), "per-class")
-    named = per_class.select(F.col("node").alias("x_node"), "component_id", salts_in("salts").alias("x_salt"))
-    mine = rows.select("id", "node", "n", F.expr(SALT).alias("salt"))
-    out = mine.join(named, (F.col("node") == F.col("x_node")) & (F.col("salt") == F.col("x_salt")), "left")
-    return out.select(F.col("id").alias(id_col), F.col("node").alias("set_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    out = _components(df, id_col, text_col, k, link)
+    return out.select(F.col("id").alias(id_col), F.col("node").alias("set_id"), F.col("n").alias("n_shingles"), "component_id")
 
 
 def one_per_component(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, link: int = LINK) -> DataFrame:
-    """The rows of df whose id names their component: its least.  Of rows that repeat it, one stays."""
-    kept = jaccard_components(df, id_col, text_col, k, link).filter(F.col(quoted(id_col)).eqNullSafe(F.col("component_id")))
-    kept = kept.select(F.col(quoted(id_col)).alias("x_kept")).distinct()
-    rows = df.join(kept, F.col(quoted(id_col)).eqNullSafe(F.col("x_kept")), "left_semi")
-    return rows
+    """The rows of df that stay: of each component the one with the least id, and rows without a set.
+
+    Rows are told apart by id and text: of rows with the least id and different texts, the one with the least
+    hash of its text stays; rows that repeat both stay or go together.  Null ids stay only where a component
+    has no other.
+    """
+    marked = _components(df, id_col, text_col, k, link).filter(F.col("id").eqNullSafe(F.col("component_id")))
+    one = marked.filter("node IS NOT NULL").groupBy("root").agg(F.min(F.struct("id", "key")).alias("k")).select("k.id", "k.key")
+    kept = one.unionByName(marked.filter("node IS NULL").select("id", "key").distinct()).select(F.col("id").alias("x_kept"), F.col("key").alias("x_key"))
+    own = F.xxhash64(F.coalesce(F.col(quoted(text_col)), F.lit("")))
+    return df.join(kept, F.col(quoted(id_col)).eqNullSafe(kept["x_kept"]) & (own == kept["x_key"]), "left_semi")
