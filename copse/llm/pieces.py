@@ -94,18 +94,71 @@ class DoubleArray:
                 setattr(self, name, np.concatenate([getattr(self, name), np.full(more, -1, np.int32)]))
 
 
+class CharacterMap:
+    """The normalisation rules of a model file: a trie of 32-bit units, then the texts that it leads to.
+
+    A unit holds a label (or, as a leaf, the place of a text), whether it has a leaf, and an offset.
+    """
+
+    def __init__(self, blob: bytes):
+        (size,) = struct.unpack_from("<I", blob)
+        self.units = struct.unpack_from(f"<{size // 4}I", blob, 4)
+        self.texts = blob[4 + size :]
+        self.known: dict[str, bool] = {}
+
+    def longest(self, raw: bytes, at: int) -> tuple[int, int] | None:
+        """The end of the longest key that starts there and the place of its text."""
+        units, found = self.units, None
+        offset = lambda unit: (unit >> 10) << ((unit & 512) >> 6)
+        place = offset(units[0])
+        for end in range(at, len(raw)):
+            place ^= raw[end]
+            if place >= len(units) or units[place] & 0x800000FF != raw[end]:
+                break
+            unit = units[place]
+            place ^= offset(unit)
+            if unit >> 8 & 1:
+                found = (end + 1, units[place] & 0x7FFFFFFF)
+        return found
+
+    def _starts(self, char: str) -> bool:
+        if char not in self.known:
+            raw, place = char.encode("utf-8", "surrogatepass"), (self.units[0] >> 10) << ((self.units[0] & 512) >> 6)
+            place ^= raw[0]
+            self.known[char] = self.longest(raw, 0) is not None or place < len(self.units) and self.units[place] & 0x800000FF == raw[0]
+        return self.known[char]
+
+    def apply(self, text: str) -> str:
+        if not any(map(self._starts, set(text))):
+            return text
+        raw, at, out = text.encode("utf-8", "surrogatepass"), 0, bytearray()
+        while at < len(raw):
+            found = self.longest(raw, at)
+            if found:
+                at, place = found
+                out += self.texts[place : self.texts.index(0, place)]
+            else:
+                n = 1
+                while at + n < len(raw) and raw[at + n] & 0xC0 == 0x80:
+                    n += 1
+                out += raw[at : at + n]
+                at += n
+        return out.decode("utf-8", "surrogatepass")
+
+
 class Pieces:
     """A vocabulary of pieces with log scores.
 
-    A model file of any piece algorithm serves; its scores are taken as unigram log scores.  Models with
-    a character map (normalisation rules) are refused.  White space stays as it is: a space becomes the
-    marker, and one marker comes before the text where the model says so.  A marker character of the
-    text itself goes to bytes, so that decoding gives the text back.
+    A model file of any piece algorithm serves; its scores are taken as unigram log scores and added up in
+    double precision.  A space becomes the marker, and one marker comes before the text where the model says
+    so.  Where the model has normalisation rules or takes out extra spaces, texts are normalised first, and
+    decoding gives the normalised text; else white space stays as it is, and a marker character of the text
+    itself goes to bytes, so that decoding gives the text back.
     """
 
     def __init__(self, data: bytes):
         self.pieces, self.scores, self.kinds = [], [], []
-        self.prefix, self.to_bytes = True, False
+        self.prefix, self.to_bytes, self.map, self.squeeze = True, False, None, True
         for number, value in _fields(data):
             if number == 1:
                 piece = {1: b"", 2: b"\0\0\0\0", 3: NORMAL} | dict(_fields(value))
@@ -116,9 +169,8 @@ class Pieces:
                 self.to_bytes = bool(dict(_fields(value)).get(35, 0))
             elif number == 3:
                 rules = dict(_fields(value))
-                self.prefix = bool(rules.get(3, 1))
-                if rules.get(2) or rules.get(4, 1):
-                    raise ValueError("the model normalises its input; only models that leave it alone are supported")
+                self.prefix, self.squeeze = bool(rules.get(3, 1)), bool(rules.get(4, 1))
+                self.map = CharacterMap(rules[2]) if rules.get(2) else None
         self._build()
 
     @classmethod
@@ -149,6 +201,13 @@ class Pieces:
         self.arrays = (np.array([ord(c) for c in self.codes], np.uint32), np.array(list(self.codes.values())), *(x.astype(np.int64) for x in (trie.base, trie.check, trie.value)))
         self.score_array = np.array(self.scores, float)
 
+    def normalised(self, text: str | None) -> str | None:
+        """The text by the model's rules: mapped characters, and single spaces within."""
+        if not text:
+            return text
+        text = self.map.apply(text) if self.map else text
+        return re.sub(" +", " ", text).strip(" ") if self.squeeze else text
+
     def viterbi(self, text: str) -> list[int]:
         """Ids of the pieces of the best path; of equal paths, the one whose last pieces are longest."""
         n, codes, base, check, value, scores = len(text), self.codes, self.base, self.check, self.value, self.scores
@@ -250,6 +309,7 @@ class Pieces:
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as int32 in a row; nothing for an empty text or null."""
         memo, split = self.memo, self.chunks.findall
+        texts = map(self.normalised, texts)
         parts = [split(" " + t if self.prefix else t) if t else [] for t in texts]
         new = [c for c in set().union(*parts) if c not in memo]
         if len(memo) + len(new) > MEMO:
