@@ -124,19 +124,26 @@ LEAST_BITS, MOST_BITS = 16, 1 << 27
 _BUCKET = 32768  # bits of a row of the filter: those of bitmap_construct_agg
 
 
-def perhaps_in(df: DataFrame, key: Column, keys: DataFrame, n: int) -> DataFrame:
-    """The rows of df whose key may be among the n values of the one column of keys: all that are, few others.
+def perhaps(df: DataFrame, key: Column, keys: DataFrame, n: int, name: str) -> DataFrame:
+    """df with name: whether key may be among the n values of the one column of keys.  True for all that are, and few others.
 
-    Values are hashed to bits of a bitmap of a fixed size, which is broadcast; with very many keys it passes all.
+    Values are hashed to bits of a bitmap of a fixed size, which is broadcast; with very many keys it is true for all.
     """
     bits = _BUCKET
     while bits < min(MOST_BITS, LEAST_BITS * n):
         bits *= 2
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits)) + 1
     own = keys.select(place(F.col(quoted(keys.columns[0]))).alias("h")).select(F.bitmap_bucket_number("h").alias("x_bucket"), F.bitmap_bit_position("h").alias("at"))
-    bitmap = F.broadcast(own.groupBy("x_bucket").agg(F.bitmap_construct_agg("at").alias("x_bits")))  # MOST_BITS / _BUCKET rows of 4 KB at most
+    bitmap = F.broadcast(own.groupBy("x_bucket").agg(F.bitmap_construct_agg("at").alias("x_bitmap")))  # MOST_BITS / _BUCKET rows of 4 KB at most
     bucket, at = fresh(df, "x_bucket_of", "x_at_of")
     rows = df.withColumns({bucket: F.bitmap_bucket_number(place(key)), at: F.bitmap_bit_position(place(key))})
-    rows = rows.join(bitmap, rows[bucket] == bitmap["x_bucket"])
-    byte = F.conv(F.hex(F.expr(f"substring(x_bits, cast({quoted(at)} div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    return rows.filter(byte.bitwiseAND(F.expr(f"shiftleft(1, cast({quoted(at)} % 8 as int))")) != 0).select(*[rows[quoted(c)] for c in df.columns])
+    rows = rows.join(bitmap, rows[bucket] == bitmap["x_bucket"], "left")
+    byte = F.conv(F.hex(F.substring(bitmap["x_bitmap"], (F.floor(rows[at] / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = F.coalesce(F.pmod(F.floor(byte / F.pow(F.lit(2.0), rows[at] % 8)), F.lit(2)) == 1, F.lit(False))
+    return rows.select(*[rows[quoted(c)] for c in df.columns], found.alias(name))
+
+
+def perhaps_in(df: DataFrame, key: Column, keys: DataFrame, n: int) -> DataFrame:
+    """The rows of df for which perhaps() is true."""
+    (name,) = fresh(df, "x_perhaps")
+    return perhaps(df, key, keys, n, name).filter(F.col(name)).select(*map(quoted, df.columns))

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, fresh, put, quoted, salt, salt_bit, salts_in, stored
+from .common import discard, fresh, perhaps, put, quoted, salt, salt_bit, salts_in, stored
 
 #: White space, as in words: a line of nothing else is blank.
 SPACE = " \t\n\x0b\x0c\r"
@@ -175,10 +175,15 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     ranges = stored(later.groupBy("id", "key").agg(F.collect_set(F.struct("first", "n")).alias("ranges")), "ranges")  # two for each line at most
     discard(lines, shared, runs)
 
-    hashed, found = fresh(df, "x_key", "x_ranges")
+    # Only texts that may lose lines meet the ranges; the others stay where they are.
+    hashed, found, maybe, of, its = fresh(df, "x_key", "x_ranges", "x_maybe", "x_of", "x_its")
     rows = df.withColumn(hashed, key)
-    ranges = ranges.select(F.col("id").alias("x_of"), F.col("key").alias("x_text"), F.col("ranges").alias(found))
-    rows = rows.join(ranges, rows[who].eqNullSafe(ranges["x_of"]) & (rows[hashed] == ranges["x_text"]), "left").drop(ranges["x_of"], ranges["x_text"])
+    ranges = ranges.select(F.col("id").alias(of), F.col("key").alias(its), F.col("ranges").alias(found))
+    rows = perhaps(rows, F.xxhash64(quoted(id_col), hashed), ranges.select(F.xxhash64(of, its).alias("k")), ranges.count(), maybe)
+    touched, same = rows.filter(maybe).drop(maybe), rows.filter(~F.col(maybe)).drop(maybe)
+    on = touched[who].eqNullSafe(ranges[of]) & (touched[hashed] == ranges[its])
+    touched = touched.join(ranges.hint("merge"), on, "left").drop(of, its)
+    rows = touched.unionByName(same.withColumn(found, F.lit(None).cast(ranges.schema[found].dataType)))
 
     def clean(text: pa.Array, ranges: pa.Array) -> pa.Array:
         return pa.array([cut(t, r) for t, r in zip(text.to_pylist(), ranges.to_pylist(), strict=True)], pa.string())
