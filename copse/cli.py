@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import argparse
+import json
 import logging
 import os
 import shlex
 import sys
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -17,28 +19,42 @@ from copse.plans.forest import ForestModel, Options, fit
 from copse.sources import typed_csv
 
 log = logging.getLogger("copse")
+LEVELS = {"none": 100, "error": 40, "info": 20, "debug": 10}
 
 
-def forest_options(text: str) -> Options:
-    """Options from a string such as: rf -n 100 --score gini"""
+def forest_parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser("rf", add_help=False)
     p.add_argument("-n", "--no-trees", type=int, default=10, dest="trees")
+    p.add_argument("-c", "--cores", help="left to the cluster")
+    p.add_argument("--progress", default="none", choices=("dots", "numeric", "none"), help="the session's progress bar shows it")
     p.add_argument("--score", default="info")
+    p.add_argument("--rule-score", default="laplace")
+    p.add_argument("--no-rules", default="ss", dest="rules", type=lambda x: int(x) if x.isdigit() else x)
+    p.add_argument("-d", "--distribute", default="default")
+    p.add_argument("--variance-options", default=None, type=lambda x: tuple(float(v) for v in x.split(",")))
+    p.add_argument("--pre-prune", type=float, default=None, dest="prune")
     p.add_argument("--max-depth", type=int, default=12)
     p.add_argument("--min-examples", type=int, default=1)
     p.add_argument("--feature-sampling", default="subset", dest="branch")
     p.add_argument("-m", "--missing", default="weighted")
     p.add_argument("--example-sampling", default="bagging")
-    p.add_argument("--no-features", default="default", dest="features")
+    p.add_argument("--no-features", default="default", dest="features", type=lambda x: int(x) if x.isdigit() else x)
     p.add_argument("--no-resample", type=int, default=6, dest="resamples")
     p.add_argument("--min-gain", type=float, default=0.0)
     p.add_argument("--weight-factor", type=float, default=0.5, dest="sigma")
-    p.add_argument("--threshold", default="random", choices=("random", "exact"))
+    p.add_argument("--threshold", default="random")
     p.add_argument("--seed", type=int, default=1)
+    return p
+
+
+def forest_options(text: str) -> Options:
+    """Options from a string such as: rf -n 100 --score gini"""
     words = shlex.split(text)
     if not words or words[0] != "rf":
         raise ValueError(f"unknown classifier: {text}")
-    return Options(**vars(p.parse_args(words[1:])))
+    given = vars(forest_parser().parse_args(words[1:]))
+    del given["cores"], given["progress"]
+    return Options(**given, factor=given["sigma"])  # one option for both
 
 
 def evaluator(text: str):
@@ -63,7 +79,9 @@ def evaluator(text: str):
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser("copse")
-    top.add_argument("--log-level", default="info", choices=("none", "error", "info", "debug"))
+    top.add_argument("--log-level", default=None, choices=("none", "error", "info", "debug"))
+    top.add_argument("--log-file", default=None)
+    top.add_argument("--config", default=None, help="a JSON file of log-level and log-file")
     sub = top.add_subparsers(dest="command", required=True)
 
     def command(name, *options, **text):
@@ -73,7 +91,7 @@ def parser() -> argparse.ArgumentParser:
 
     data, model = (("-i", "--input"), {"required": True}), (("-m", "--model"), {"required": True})
     classifier, ev = (("-c", "--classifier"), {"default": "rf"}), (("-e", "--evaluator"), {"default": "cv --folds 10"})
-    output = (("-o", "--output"), {"default": "default", "choices": ("default", "csv")})
+    output = (("-o", "--output"), {"default": "default", "choices": ("default", "csv", "predictions")})
     command("test", data, classifier, ev, output, help="evaluate a classifier on a data set")
     command("deploy", data, classifier, (("-o", "--output"), {"required": True}), help="train on all rows and save the model")
     command("employ", data, model, output, help="evaluate a saved model")
@@ -86,16 +104,47 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
-def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> str:
-    """Runs a command and returns what it prints."""
+def _logging(args) -> None:
+    """What the command line says, then the configuration file, then the defaults."""
+    config = {}
+    if args.config:
+        with open(args.config) as file:
+            config = json.load(file)
+        if unknown := set(config) - {"log-level", "log-file"}:
+            raise ValueError(f"unknown setting: {sorted(unknown)[0]}")
+    level = args.log_level or config.get("log-level", "info")
+    if level not in LEVELS:
+        raise ValueError(f"unknown log level: {level}")
+    logging.basicConfig(level=LEVELS[level], filename=args.log_file or config.get("log-file"), force=True)
+
+
+def _results(results: list[dict], output: str) -> str:
+    return validate.as_csv(results) if output == "csv" else validate.as_text(results)
+
+
+def main(argv: list[str] | None = None, spark: SparkSession | None = None, emit=None) -> str:
+    """Runs a command and returns what it prints; rows of predictions go to emit one by one, where given."""
     args = parser().parse_args(argv)
-    logging.basicConfig(level={"none": 100, "error": 40, "info": 20, "debug": 10}[args.log_level])
+    _logging(args)
     if args.command == "help":
-        return parser().format_help()
+        return help_of(args.topic)
     spark = spark or SparkSession.builder.appName("copse").getOrCreate()
+
+    def each(model: ForestModel, df) -> str:
+        line = lambda r: ",".join([str(r["id"]), r["actual"], r["pred"], *[f"{p['class']}:{p['prob']:.4f}" for p in r["probs"]]]) + "\n"
+        rows = map(line, validate.predictions(model, df).orderBy("id").toLocalIterator())  # a partition at a time
+        if emit is None:
+            return "".join(rows)
+        for row in rows:
+            emit(row)
+        return ""
+
     if args.command == "test":
-        results = evaluator(args.evaluator)(typed_csv.read(spark, args.input), forest_options(args.classifier))
-        return validate.as_csv(results) if args.output == "csv" else validate.as_text(results)
+        ex, options = typed_csv.read(spark, args.input), forest_options(args.classifier)
+        log.info("loaded %s", args.input)
+        if args.output == "predictions":
+            return each(fit(ex, options)[0], ex.df)
+        return _results(evaluator(args.evaluator)(ex, options), args.output)
     if args.command == "deploy":
         fit(typed_csv.read(spark, args.input), forest_options(args.classifier))[0].save(args.output)
         return f"saved {args.output}\n"
@@ -113,16 +162,35 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> st
         return validate.as_csv(out)
     model = ForestModel.load(spark, args.model)
     if args.command == "employ":
-        results = [{"fold": "all"} | validate.evaluate(model, typed_csv.read(spark, args.input).df)]
-        return validate.as_csv(results) if args.output == "csv" else validate.as_text(results)
+        df = typed_csv.read(spark, args.input).df
+        return each(model, df) if args.output == "predictions" else _results([{"fold": "all"} | validate.evaluate(model, df)], args.output)
     if args.command == "vi":
         return "".join(f"{r['feature']},{r['importance']:.6f}\n" for r in model.importance().orderBy(F.desc("importance"), "feature").collect())
     if args.command == "predict":
         one = typed_csv.inline(spark, args.input)
         return model.transform(one.withColumnsRenamed({f"x{i}": f.name for i, f in enumerate(model.features)})).filter("rank = 1").first()["class"] + "\n"
-    rows = model.transform(typed_csv.read(spark, args.input).df).filter("rank = 1").orderBy("id").toLocalIterator()
-    return "".join(f"{r['class']}:{r['prob']:.4f}\n" for r in rows)
+    return each(model, typed_csv.read(spark, args.input).df)
+
+
+def help_of(topic: str | None) -> str:
+    """All commands, or the options of one (rf: of the classifier)."""
+    if topic == "rf":
+        return forest_parser().format_help()
+    commands = parser()._subparsers._group_actions[0].choices
+    if topic is not None and topic not in commands:
+        raise ValueError(f"unknown command: {topic}")
+    return commands[topic].format_help() if topic else parser().format_help()
+
+
+def run(argv: list[str] | None = None) -> int:
+    """The process: prints, and maps errors of its input to a line and the code 1."""
+    try:
+        sys.stdout.write(main(argv, emit=sys.stdout.write))
+    except (ValueError, FileNotFoundError, AnalysisException) as error:
+        sys.stderr.write(f"error: {str(error).splitlines()[0]}\n")
+        return 1
+    return 0
 
 
 if __name__ == "__main__":
-    sys.stdout.write(main())
+    sys.exit(run())

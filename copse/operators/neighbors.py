@@ -104,13 +104,45 @@ def nearest(df: DataFrame, queries: DataFrame, features: tuple[Feature, ...], k:
     return found.join(df.select("id", F.struct(*names).alias("v")), "id").select("query", "id", "distance", "v", "rank")
 
 
+def _nearest_of_vectors(k: int):
+    """As _nearest_of_block(), by squared Euclidean distance."""
+
+    def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("id")
+        table = lambda c: np.stack(c.to_numpy()).astype(float) if len(c) else np.zeros((0, 1))
+        a, b = table(queries.column("_v")), table(rows.column("v"))
+        both = pa.chunked_array([*queries.column("_query").chunks, *rows.column("id").chunks]).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        mine, others = both[: len(a)], both[len(a) :]
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        step = max(1, CELLS * 4 // max(1, b.size))
+        for low in range(0, len(a) if len(b) else 0, step):
+            d = ((a[low : low + step, None, :] - b) ** 2).sum(2)
+            d = np.where(mine[low : low + step, None] != others, d, np.inf)
+            most = np.partition(d, k - 1, axis=1)[:, k - 1 : k] if k < len(b) else np.inf
+            q, c = np.nonzero(np.isfinite(d) & (d <= most))
+            place = np.lexsort((c, d[q, c], q))
+            q, c = q[place], c[place]
+            first = np.arange(len(q)) - np.searchsorted(q, q) < k
+            out.append((q[first] + low, c[first], d[q[first], c[first]]))
+        q, c, d = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.table({"query": queries.column("_query").take(pa.array(q)), "id": rows.column("id").take(pa.array(c)), "distance": pa.array(d)})
+
+    return run
+
+
 def nearest_vectors(df: DataFrame, queries: DataFrame, k: int, ident: str = "id", vector: str = "vector") -> DataFrame:
-    """As nearest(), by squared Euclidean distance of arrays."""
-    q = queries.select(F.col(ident).alias("query"), F.col(vector).alias("q"))
-    rows = df.select(F.col(ident).alias("id"), F.col(vector).alias("v")).crossJoin(q).filter("id <> query")
-    d = F.aggregate(F.zip_with("v", "q", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, x: s + x)
+    """As nearest(), by squared Euclidean distance of arrays; rows and queries without a vector are left out."""
+    rows = df.select(F.col(ident).alias("id"), F.col(vector).alias("v")).filter("v IS NOT NULL")
+    asked = queries.select(F.col(ident).alias("id"), F.col(vector).alias("_v")).filter("_v IS NOT NULL")
+    n_rows, n_queries = (max(1, -(-x.count() // BLOCK)) for x in (rows, asked))
+    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = asked.select(F.col("id").alias("_query"), "_v", block(n_queries).alias("_of"), every(n_rows).alias("_to"))
+    r = rows.select("id", "v", block(n_rows).alias("_to"), every(n_queries).alias("_of"))
+    kind = f"query {asked.schema['id'].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, distance double"
+    found = q.groupBy("_of", "_to").cogroup(r.groupBy("_of", "_to")).applyInArrow(_nearest_of_vectors(k), kind)
     order = Window.partitionBy("query").orderBy("distance", "id")
-    return rows.select("query", "id", d.alias("distance")).withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= k)
 
 
 def _most_frequent(array: Column) -> Column:
@@ -181,6 +213,15 @@ def radial_features(df: DataFrame, centroids: DataFrame, gamma: float = 1.0, vec
     return df.crossJoin(F.broadcast(c)).select("id", "centroid", F.exp(-gamma * d).alias("value"))
 
 
+def radial_examples(df: DataFrame, centroids: DataFrame, vector: str = "vector") -> DataFrame:
+    """id, class, weight and near0, near1, ...: exp(-distance) to each centroid (a few rows), features of a forest."""
+    names = [r[0] for r in centroids.select("id").orderBy("id").collect()]  # the centroids' ids
+    gathered = centroids.agg(F.array_sort(F.collect_list(F.struct("id", F.col(vector).alias("c")))).alias("_all"))
+    d = lambda c: F.aggregate(F.zip_with(F.col(vector), c, lambda a, b: (a.cast("double") - b.cast("double")) ** 2), F.lit(0.0), lambda s, x: s + x)
+    rows = df.crossJoin(F.broadcast(gathered)).withColumn("_near", F.transform("_all", lambda s: F.exp(-F.sqrt(d(s["c"])))))  # one row
+    return rows.select("id", "class", "weight", *[F.col("_near")[i].alias(f"near{i}") for i in range(len(names))])
+
+
 def bootstrap_average(bags: DataFrame, numeric: list[str], categoric: list[str]) -> DataFrame:
     """For each tree's sample the weighted mean of numeric and the weighted mode of categoric features."""
     mean = [F.try_divide(F.sum(F.col(n) * F.col("weight")), F.sum(F.when(F.col(n).isNotNull(), F.col("weight")))).alias(n) for n in numeric]

@@ -32,38 +32,36 @@ def rule_score(pos: Column, neg: Column, kind: str = "laplace", classes: int = 2
     return measures.purity(pos, neg)
 
 
-def learn_rule(ex: ExampleSet, positive: str, seed, kind: str = "laplace", longest: int = 5) -> list[tuple[str, str, object, bool]]:
-    """Separate and conquer: conditions are added while the score falls; a few aggregates a step reach the driver."""
+def learn_rule(ex: ExampleSet, positive: str, seed, kind: str = "laplace", longest: int | None = None) -> list[tuple[str, str, object, bool]]:
+    """Separate and conquer: the best condition on a feature that the rule hasn't yet, while the score falls.
+
+    It ends where no features, positive or negative rows are left (or at longest conditions).  A step takes two
+    aggregations over the rows that the rule covers; a row of each reaches the driver.
+    """
     rows = ex.df.withColumn("_pos", (F.col("class") == positive).cast("double"))
     classes = ex.df.select("class").distinct().count()
-    first = rows.agg(F.sum("_pos"), F.sum(1 - F.col("_pos"))).first()
-    total, prior = sum(x or 0 for x in first), (first[0] or 0) / max(1, sum(x or 0 for x in first))
-    rule, best, have = [], 1.0, first
-    while len(rule) < longest and total and have[0] and have[1]:
+    have = rows.agg(F.coalesce(F.sum("_pos"), F.lit(0.0)), F.coalesce(F.sum(1 - F.col("_pos")), F.lit(0.0))).first()
+    total = have[0] + have[1]
+    prior = have[0] / total if total else 0.0
+    score = lambda p, n: {"laplace": 1 - (p + 1) / (p + n + classes), "m": 1 - (p + classes * prior) / (p + n + classes)}.get(kind, 1 - p / (p + n))
+    rule, best, left = [], 1.0, list(ex.features)
+    while left and have[0] and have[1] and (longest is None or len(rule) < longest):
         here = covered(rows, rule)
-        options = []
-        for f in ex.features:
-            draw = u(seed, len(rule), f.name, F.col("id"))
-            pick = here.filter(F.col(f.name).isNotNull()).agg(F.min_by(f.name, F.struct(F.when(F.col("_pos") == 1, draw).otherwise(2.0), F.col("id"))).alias("v")).first()[0]
-            if pick is not None:
-                options += [(f.name, f.kind, pick, True), (f.name, f.kind, pick, False)]
+        # A value of each feature: that of the positive row with the least draw.
+        order = lambda f: F.when(F.col(f.name).isNotNull(), F.struct(F.when(F.col("_pos") == 1, u(seed, len(rule), f.name, F.col("id"))).otherwise(2.0), F.col("id")))  # noqa: E731, B023
+        values = here.agg(*[F.min_by(f.name, order(f)) for f in left]).first()
+        options = [(f.name, f.kind, v, holds) for f, v in zip(left, values, strict=True) if v is not None for holds in (True, False)]
         if not options:
             break
-        sums = []
-        for c in options:
-            on = condition(*c)
-            sums += [F.coalesce(F.sum(F.when(on, F.col("_pos") * F.col("weight"))), F.lit(0.0)), F.coalesce(F.sum(F.when(on, (1 - F.col("_pos")) * F.col("weight"))), F.lit(0.0))]
-        got = here.agg(*sums).first()
-        scored = []
-        for i, c in enumerate(options):
-            p, n = got[2 * i], got[2 * i + 1]
-            if p:
-                s = {"laplace": 1 - (p + 1) / (p + n + classes), "m": 1 - (p + classes * prior) / (p + n + classes)}.get(kind, 1 - p / (p + n))
-                scored.append((s, i, c, (p, n)))
+        part = lambda c, pos: F.coalesce(F.sum(F.when(condition(*c), (F.col("_pos") if pos else 1 - F.col("_pos")) * F.col("weight"))), F.lit(0.0))
+        got = here.agg(*[part(c, pos) for c in options for pos in (True, False)]).first()
+        scored = [(score(got[2 * i], got[2 * i + 1]), i) for i in range(len(options)) if got[2 * i]]
         if not scored or min(scored)[0] >= best:
             break
-        best, _, c, have = min(scored)
-        rule.append(c)
+        best, i = min(scored)
+        have = (got[2 * i], got[2 * i + 1])
+        rule.append(options[i])
+        left = [f for f in left if f.name != options[i][0]]
     return rule
 
 
@@ -74,7 +72,10 @@ def extract_rules(nodes: DataFrame, total: float, min_confidence: float = 0.7, m
     ok = F.when(leaf, (confidence > min_confidence) & (share > min_coverage)).otherwise((confidence >= min_confidence) & (share >= min_coverage))
     good = nodes.filter(ok).select("tree", "node", "kind", F.col("class").alias("class"), confidence.alias("confidence"), share.alias("coverage"))
     steps = good.select("tree", "node", F.explode(F.expr("transform(sequence(1, length(node)), i -> struct(i as depth, substring(node, 1, i) as up, substring(node, i + 1, 1) as turn))")).alias("s")).select("tree", "node", "s.*").filter("turn <> ''")
-    above = nodes.select("tree", F.col("node").alias("up"), "feature", "threshold", "category")
-    text = F.concat_ws(" ", "feature", F.when(F.col("threshold").isNotNull(), F.when(F.col("turn") == "0", ">=").otherwise("<")).otherwise(F.when(F.col("turn") == "0", "=").otherwise("<>")), F.coalesce(F.round("threshold", 6).cast("string"), "category"))
+    above = nodes.select("tree", F.col("node").alias("up"), "feature", "threshold", "category", *(["ordinal_b", "conditions"] if "conditions" in nodes.columns else []))
+    plain = F.concat_ws(" ", "feature", F.when(F.col("threshold").isNotNull(), F.when(F.col("turn") == "0", ">=").otherwise("<")).otherwise(F.when(F.col("turn") == "0", "=").otherwise("<>")), F.coalesce(F.round("threshold", 6).cast("string"), "category"))
+    text = plain
+    if "conditions" in nodes.columns:  # pairs of features and rules by their name, with the side
+        text = F.when(F.col("ordinal_b").isNotNull() | F.col("conditions").isNotNull(), F.concat(F.when(F.col("turn") == "1", "not ").otherwise(""), F.lit("("), F.col("feature"), F.lit(")"))).otherwise(plain)
     paths = steps.join(above, ["tree", "up"]).groupBy("tree", "node").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("depth", text.alias("t")))), lambda s: s["t"]), " & ").alias("rule"))
     return good.join(paths, ["tree", "node"], "left").withColumn("rule", F.coalesce("rule", F.lit("")))

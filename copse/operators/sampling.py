@@ -116,6 +116,21 @@ def random_features(spark, names: list[str], n: int, seed, keys: DataFrame | Non
     return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n).drop("rank")
 
 
+def partition(ex: DataFrame, parts: int, seed) -> DataFrame:
+    """ex with part, 0 to parts - 1: dealt in turn in hash order."""
+    rows = ranked(ex, u(seed, "part", F.col("id")), "id")
+    return rows.withColumn("part", ((F.col("rank") - 1) % parts).cast("bigint")).drop("rank")
+
+
+def sample_one(ex: DataFrame, seed, keys: tuple[str, ...] = ()) -> DataFrame:
+    """For each key a class, all alike, and a member of it."""
+    values = [c for c in ex.columns if c not in keys]
+    draw = lambda tag, c: u(seed, tag, *[F.col(k) for k in keys], F.col(c))
+    per = ex.groupBy(*keys, "class").agg(F.min_by(F.struct(*values), F.struct(draw("member", "id"), F.col("id"))).alias("v"))
+    one = F.min_by("v", F.struct(draw("class", "class"), F.col("class"))).alias("v")
+    return (per.groupBy(*keys) if keys else per).agg(one).select(*keys, "v.*")
+
+
 def sample_pair(ex: DataFrame, seed, keys: tuple[str, ...] = ()) -> DataFrame:
     """For each key two classes, a and b, drawn alike, and a member of each (its values as a struct)."""
     values = [c for c in ex.columns if c not in (*keys, "class", "weight")]

@@ -340,7 +340,7 @@ def drawn(o: Options, total: int, round_: int) -> tuple[int, int]:
     """How many features a node draws in a round, and how many earlier rounds have taken."""
     n = o.n_features(total)
     if o.branch == "infinite-resample" and round_:
-        return total, n
+        return (total, n) if round_ == 1 else (0, total)
     if o.branch == "chisquare-decrease":
         sizes = [n]
         for _ in range(round_):
@@ -353,7 +353,7 @@ def redraws(o: Options, total: int) -> int:
     """Rounds after the first at most: each takes features that a node hasn't tried yet."""
     if o.branch == "sample-examples":
         return math.ceil(math.log2(1 / o.share))
-    return {"resample": o.resamples, "infinite-resample": 1, "hellinger": total}.get(o.branch, total if o.branch in ("chisquare", "random-chisquare", "resquare", "chisquare-decrease") else 0)
+    return {"resample": o.resamples, "infinite-resample": 2, "hellinger": total}.get(o.branch, total if o.branch in ("chisquare", "random-chisquare", "resquare", "chisquare-decrease") else 0)
 
 
 def stats_of(weights: DataFrame) -> DataFrame:

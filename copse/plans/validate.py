@@ -21,6 +21,7 @@ def evaluate(model: ForestModel, test: DataFrame, train: DataFrame | None = None
     votes = stored(model.votes(test), "votes")
     probs = stored(metrics.probabilities(votes, model.options.trees), "probs")
     pred = metrics.predicted(probs)
+    per_class = per_class_of(probs, pred)
     auc = metrics.average_auc(metrics.auc(probs)).first()
     mac = metrics.macro(metrics.precision_recall(pred)).first()
     strength, corr, mse = metrics.strength(probs).first(), metrics.correlation(votes, probs).first(), metrics.mse(probs).first()
@@ -30,9 +31,30 @@ def evaluate(model: ForestModel, test: DataFrame, train: DataFrame | None = None
         "base-accuracy": metrics.base_accuracy(votes, probs).agg(F.avg("a")).first()[0], "strength": strength[0], "margin-variance": strength[1],
         "correlation": corr[0], "c/s^2": corr[1], "precision": mac[0], "recall": mac[1], "prc": metrics.prc(probs).agg(F.avg("prc")).first()[0],
         "f-measure": mac[2], "no-rules": float(model.n_rules().first()[0]), "brier": metrics.brier(probs).first()[0], "variance": mse[1], "mse": mse[0],
+        "classes": per_class,
     }
 
 
+def per_class_of(probs: DataFrame, pred: DataFrame) -> dict[str, dict[str, float]]:
+    """auc, prc, precision, recall and f_measure of each class."""
+    rows = metrics.auc(probs).select("class", "auc").join(metrics.prc(probs), "class").join(metrics.precision_recall(pred), "class", "left")
+    return {r["class"]: {c: r[c] for c in ("auc", "prc", "precision", "recall", "f_measure")} for r in rows.collect()}  # a row for each class
+
+
+def predictions(model: ForestModel, df: DataFrame) -> DataFrame:
+    """id, actual, pred and probs: the share of trees for each class, the greatest first."""
+    probs = model.transform(df)
+    all_ = F.array_sort(F.collect_list(F.struct("rank", "class", "prob")))  # a struct for each voted class
+    per = probs.groupBy("id", "actual").agg(F.transform(all_, lambda s: F.struct(s["class"].alias("class"), s["prob"].alias("prob"))).alias("probs"))
+    return per.select("id", "actual", F.col("probs")[0]["class"].alias("pred"), "probs")
+
+
+def write_predictions(rows: DataFrame, path: str) -> None:
+    """predictions() as text, a line a row: id,actual,pred,class:prob,...  Written by all tasks."""
+    probs = F.array_join(F.transform("probs", lambda s: F.concat(s["class"], F.lit(":"), F.format_string("%.4f", s["prob"]))), ",")
+    rows.select(F.concat_ws(",", F.col("id").cast("string"), "actual", "pred", probs).alias("value")).write.mode("overwrite").text(path)
+
+
 def _one(ex: ExampleSet, train: DataFrame, test: DataFrame, options: Options, processor=None) -> dict[str, float]:
     began = time.time()
     part = ex.with_df(train)
@@ -47,7 +69,9 @@ def cross_validation(ex: ExampleSet, options: Options, folds: int = 10, seed=1,
     for fold in range(1, folds + 1):
         test, train = sampling.merge_folds(dealt, fold)
         out.append({"fold": str(fold)} | _one(ex, train.drop("fold"), test.drop("fold"), options, processor))
-    mean = {k: sum(r[k] or 0.0 for r in out) / folds for k in out[0] if k != "fold"}
+    mean = {k: sum(r[k] or 0.0 for r in out) / folds for k in out[0] if k not in ("fold", "classes")}
+    names = sorted({c for r in out for c in r["classes"]})
+    mean["classes"] = {c: {m: sum(r["classes"].get(c, {}).get(m) or 0.0 for r in out) / folds for m in ("auc", "prc", "precision", "recall", "f_measure")} for c in names}
     return [*out, {"fold": "average"} | mean]
 
 
@@ -74,7 +98,11 @@ def smote_processor(k: int = 5, times: int = 1, seed=1):
 
     def run(ex: ExampleSet) -> ExampleSet:
         made = smote(ex.df, ex.features, seed, k=k, times=times)
-        ident = -(F.col("from_id") * times + F.col("copy"))  # not an id of a row
+        if ex.df.schema["id"].dataType.simpleString() == "string":
+            ident = F.concat(F.col("from_id"), F.lit("#made-"), F.col("copy").cast("string"))
+        else:  # above all ids
+            low, high = ex.df.agg(F.min("id"), F.max("id")).first()
+            ident = F.lit(high or 0) + (F.col("from_id") - F.lit(low or 0)) * times + F.col("copy")
         rows = made.select(ident.alias("id"), "class", F.lit(1.0).alias("weight"), *ex.names())
         return ex.with_df(stored(ex.df.unionByName(rows), "smote"))
 
@@ -102,6 +130,8 @@ def as_text(results: list[dict], importance: DataFrame | None = None, folds: boo
     out = []
     for r in results if folds else results[-1:]:
         out += [f"** {r['fold']} **", *[f"  {c}: {r[c]:.4f}" for c in COLUMNS[1:] if r.get(c) is not None]]
+        for name, of in sorted(r.get("classes", {}).items()):
+            out.append(f"  class {name}: " + ", ".join(f"{m} {v:.4f}" for m, v in of.items() if v is not None))
     if importance is not None:
         out += ["variable importance", *[f"  {x['feature']}: {x['importance']:.4f}" for x in importance.orderBy(F.desc("importance"), "feature").limit(10).collect()]]
     return "\n".join(out) + "\n"

@@ -6,16 +6,22 @@ hashes, for the measures.  Missing values are made by hashes too.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from copse import oracles
 from copse.functions import measures
 from copse.functions.rng import u
 from copse.operators import examples, metrics, neighbors, rules, sampling, split
 from copse.operators.examples import ExampleSet
+from copse.oracles import U, ForestSQL
 from copse.plans import forest, validate
 
 TREES = 5
+#: Features of example set O, in order.
+O_FEATURES = [("o_totalprice", "numeric"), ("month", "numeric"), ("o_orderpriority", "categoric")]
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -47,18 +53,12 @@ def probs(spark, d) -> DataFrame:
     return metrics.probabilities(votes(spark, d), TREES)
 
 
-def U(seed, *keys) -> str:
-    """The number of copse.functions.rng.u() in SQL."""
-    return f"(('0x' || substr(md5(concat_ws(':', {', '.join([repr(str(seed)), *keys])})), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
-
-
 O_SQL = "SELECT o_orderkey AS id, o_orderstatus AS class, o_totalprice, month(o_orderdate)::DOUBLE AS month, o_orderpriority FROM orders"
 G_SQL = f"SELECT id, class, CASE WHEN {U('gap', 'id')} >= 0.1 THEN o_totalprice END AS o_totalprice, month, o_orderpriority FROM ({O_SQL})"
 E_SQL = "SELECT event_id AS id, event_type AS class, value, hour(ts)::DOUBLE AS hour FROM events"
 V_SQL = f"""SELECT id, class AS actual, tree, CASE WHEN {U('hit', 'tree', 'id')} < 0.6 THEN class
   ELSE ['F', 'O', 'P'][(floor({U('other', 'tree', 'id')} * 3) + 1)::INT] END AS pred FROM ({O_SQL}), range(1, {TREES + 1}) t(tree)"""
-P_SQL = f"""SELECT *, row_number() OVER (PARTITION BY id ORDER BY prob DESC, class) AS rank
-  FROM (SELECT id, actual, pred AS class, count(*) / {TREES}.0::DOUBLE AS prob FROM ({V_SQL}) GROUP BY ALL)"""
+P_SQL = oracles.probabilities(V_SQL, TREES)
 R6 = lambda c: F.round(c, 6).alias(c)
 
 
@@ -104,6 +104,9 @@ def _catalogue() -> dict:
       r AS (SELECT *, row_number() OVER (ORDER BY {U('p', q1('class'), 'class')}, class) AS r FROM m)
       SELECT a.class AS class_a, b.class AS class_b, x.value AS a, y.value AS b, (x.value + y.value) / 2 AS threshold FROM r a, r b, ({E_SQL}) x, ({E_SQL}) y WHERE a.r = 1 AND b.r = 2 AND x.id = a.id AND y.id = b.id"""
     add("random_threshold_pair", lambda s, d: sampling.sample_pair(events(s, d).df, "p").select("class_a", "class_b", F.col("a.value").alias("a"), F.col("b.value").alias("b"), ((F.col("a.value") + F.col("b.value")) / 2).alias("threshold")), pick)
+    add("partition_round_robin", lambda s, d: sampling.partition(orders(s, d).df, 7, "s").select("id", "part"), f"SELECT id, (row_number() OVER (ORDER BY {U('s', q1('part'), 'id')}, id) - 1) % 7 AS part FROM ({O_SQL})")
+    one = f"SELECT class, arg_min(id, ({U('p', q1('member'), 'id')}, id)) AS id FROM ({E_SQL}) GROUP BY class"
+    add("random_example", lambda s, d: sampling.sample_one(events(s, d).df, "p").select("id", "class"), f"SELECT id, class FROM ({one}) ORDER BY {U('p', q1('class'), 'class')}, class LIMIT 1")
     add("weighted_random_pick", lambda s, d: sampling.weighted_pick(_table(s, d, "nation").selectExpr("n_nationkey as item", "cast(n_nationkey + 1 as double) as weight"), 1000, "w").groupBy("item").agg(F.count(F.lit(1)).alias("n")),
         f"WITH e AS (SELECT n_nationkey AS item, sum(n_nationkey + 1.0::DOUBLE) OVER (ORDER BY n_nationkey) / (SELECT sum(n_nationkey + 1.0::DOUBLE) FROM nation) AS e FROM nation), x AS (SELECT draw, {U('w', q1('pick'), 'draw')} AS x FROM range(1, 1001) t(draw)) SELECT item, count(*) AS n FROM (SELECT draw, min(item) AS item FROM x JOIN e ON e > x GROUP BY draw) GROUP BY item")
 
@@ -150,43 +153,74 @@ def _catalogue() -> dict:
     chi = f"""WITH k AS (SELECT month >= 6 AS side, class, count(*)::DOUBLE AS n FROM ({O_SQL}) GROUP BY ALL), t AS (SELECT *, sum(n) OVER (PARTITION BY side) AS ns, sum(n) OVER (PARTITION BY class) AS nc, sum(n) OVER () AS nn FROM k)
       SELECT round(sum((n - nc * ns / nn) ** 2 / (nc * ns / nn)), 6) AS chi2 FROM t"""
     add("chisquare_split", lambda s, d: measures.chi_square(counted(s, d).filter("cut = 6").drop("cut"), []).select(R6("chi2")), chi)
-    add("best_feature_per_node", lambda s, d: measures.scores(counted(s, d), ["cut"]).agg(F.min(F.struct(F.round("score", 6).alias("score"), "cut")).alias("b")).select("b.cut", "b.score"), f"SELECT * FROM ({k.format('info')}) ORDER BY score, cut LIMIT 1")
+    def candidates(s, d):
+        """Three features' cuts for each priority, as if it were a node."""
+        cut = lambda f, v: F.struct(F.lit(f).alias("feature"), F.lit(float(v)).alias("cut"))
+        some = [cut("month", m) for m in range(2, 13)] + [cut("o_totalprice", p) for p in range(50_000, 450_000, 50_000)] + [cut("day", x) for x in (8, 15, 22)]
+        df = orders(s, d).df.join(_table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.dayofmonth("o_orderdate").cast("double").alias("day")), "id")
+        df = df.withColumn("c", F.explode(F.array(*some))).select("*", "c.*")
+        value = F.when(F.col("feature") == "month", F.col("month")).when(F.col("feature") == "day", F.col("day")).otherwise(F.col("o_totalprice"))
+        keys = ["o_orderpriority", "feature", "cut"]
+        best = F.min(F.struct(F.round("score", 6).alias("score"), "feature", "cut")).alias("b")
+        scored = measures.scores(measures.class_counts(df.withColumn("side", split.numeric_side(value, F.col("cut"))), keys), keys)
+        return scored.groupBy("o_orderpriority").agg(best).select("o_orderpriority", "b.feature", "b.cut", "b.score")
+
+    days = "SELECT o.*, day(o_orderdate)::DOUBLE AS day FROM (" + O_SQL + ") o JOIN orders ON o_orderkey = o.id"
+    cells = " UNION ALL ".join(f"SELECT o_orderpriority, '{f}' AS feature, cut::DOUBLE AS cut, class, sum(({f} >= cut)::INT)::DOUBLE AS l, sum(({f} < cut)::INT)::DOUBLE AS r FROM d, {cuts} GROUP BY ALL" for f, cuts in (("month", "range(2, 13) t(cut)"), ("o_totalprice", "range(50000, 450000, 50000) t(cut)"), ("day", "(VALUES (8), (15), (22)) t(cut)")))
+    x = oracles.xlnx
+    add("best_feature_per_node", candidates,
+        f"WITH d AS ({days}), k AS ({cells}), s AS (SELECT o_orderpriority, feature, cut, round({x('sum(l)')} - sum({x('l')}) + {x('sum(r)')} - sum({x('r')}), 6) AS score FROM k GROUP BY ALL) SELECT o_orderpriority, feature, cut, score FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY score, feature, cut) AS nth FROM s) WHERE nth = 1")
 
     # Trees and forests.
     small = forest.Options(trees=3, max_depth=4, seed=5)
     fitted = lambda s, d, **o: forest.fit(orders(s, d), small, **o)
-    columns = lambda: ["tree", "node", "depth", "kind", "feature", R6("threshold"), "category", "class", "n", R6("laplace")]
-    add("tree_depth2_nodes", lambda s, d: fitted(s, d, trees=1, max_depth=2, features="all")[0].nodes.select(*columns()))
-    add("exact_tree_nodes", lambda s, d: fitted(s, d, trees=1, max_depth=2, features="all", threshold="exact", example_sampling="nothing")[0].nodes.select(*columns()))
-    add("tree_predict", lambda s, d: fitted(s, d, trees=1)[0].leaves(orders(s, d).df).select("id", "actual", "node", "pred", R6("laplace")))
-    add("forest_votes", lambda s, d: fitted(s, d, trees=5, max_depth=1)[0].votes(orders(s, d).df))
-    add("forest_vote_lists", lambda s, d: fitted(s, d, max_depth=1)[0].vote_lists(orders(s, d).df))
-    add("forest_majority", lambda s, d: metrics.predicted(fitted(s, d, trees=5)[0].transform(orders(s, d).df)))
+    sql_of = lambda rows=O_SQL, **o: ForestSQL(rows, O_FEATURES, replace(small, **o))
+    columns = lambda: ["tree", "node", "depth", "kind", "feature", R6("threshold"), "category", "class", R6("n"), R6("laplace")]
+    nodes_sql = lambda f: f.query(f"SELECT tree, node, depth::INT AS depth, kind, feature, round(threshold, 6) AS threshold, category, class, round(n, 6) AS n, round(laplace, 6) AS laplace FROM {f.nodes}")
+
+    def on_leaves(select, **o):
+        f = sql_of(**o)
+        at = f.leaves(O_SQL)
+        return f.query(select.format(at=at, nodes=f.nodes, bag=f.bag))
+
+    for name, o in {"tree_depth2_nodes": {"features": "all"}, "exact_tree_nodes": {"features": "all", "threshold": "exact", "example_sampling": "nothing"}}.items():
+        add(name, lambda s, d, o=o: fitted(s, d, trees=1, max_depth=2, **o)[0].nodes.select(*columns()), nodes_sql(sql_of(trees=1, max_depth=2, **o)))
+    add("missing_tree_nodes", lambda s, d: forest.fit(gappy_orders(s, d), small, trees=2, max_depth=3)[0].nodes.select(*columns()), nodes_sql(sql_of(G_SQL, trees=2, max_depth=3)))
+    add("tree_predict", lambda s, d: fitted(s, d, trees=1)[0].leaves(orders(s, d).df).select("id", "actual", "node", "pred", R6("laplace")),
+        on_leaves("SELECT id, actual, node, pred, round(laplace, 6) AS laplace FROM {at}", trees=1))
+    add("forest_votes", lambda s, d: fitted(s, d, trees=5, max_depth=1)[0].votes(orders(s, d).df), on_leaves("SELECT id, actual, tree, pred FROM {at}", trees=5, max_depth=1))
+    add("forest_vote_lists", lambda s, d: fitted(s, d, max_depth=1)[0].vote_lists(orders(s, d).df).withColumn("votes", F.array_join("votes", ",")),
+        on_leaves("SELECT id, class, string_agg((pred = class)::INT::VARCHAR, ',' ORDER BY tree) AS votes FROM {at}, (SELECT DISTINCT pred AS class FROM {at}) GROUP BY id, class", max_depth=1))
+    add("forest_majority", lambda s, d: metrics.predicted(fitted(s, d, trees=5)[0].transform(orders(s, d).df)), on_leaves(oracles.predicted(oracles.probabilities("SELECT * FROM {at}", 5)), trees=5))
 
     def oob(s, d):
         model, bags = fitted(s, d)
         return model.oob_accuracy(orders(s, d).df, bags).select("tree", R6("accuracy"), "n")
 
-    add("oob_accuracy_per_tree", oob)
-    add("variable_importance", lambda s, d: fitted(s, d)[0].importance().select("feature", R6("importance")))
-    add("no_rules", lambda s, d: fitted(s, d)[0].n_rules())
-    for branch in ("random", "all", "random-subset", *forest.REDRAW):
-        add(f"branch_{branch.replace('-', '_')}", lambda s, d, branch=branch: fitted(s, d, trees=1, max_depth=2, branch=branch, score="hellinger" if branch == "hellinger" else "info")[0].nodes.select(*columns()))
-    add("proximity_topk", lambda s, d: fitted(s, d)[0].proximity(orders(s, d).df, orders(s, d).df.filter("id % 20 = 0"), 5).select("query", "id", R6("proximity"), "rank"))
+    add("oob_accuracy_per_tree", oob, on_leaves("SELECT tree, round(avg((pred = actual)::INT), 6) AS accuracy, count(*) AS n FROM {at} l WHERE NOT EXISTS (SELECT 1 FROM {bag} b WHERE b.tree = l.tree AND b.id = l.id) GROUP BY tree"))
+    add("variable_importance", lambda s, d: fitted(s, d)[0].importance().select("feature", R6("importance")),
+        on_leaves("SELECT feature, round(sum(g / whole) / 3, 6) AS importance FROM (SELECT *, sum(g) OVER (PARTITION BY tree) AS whole FROM (SELECT tree, feature, sum(gain) AS g FROM {nodes} WHERE kind = 'node' GROUP BY ALL)) GROUP BY feature"))
+    add("no_rules", lambda s, d: fitted(s, d)[0].n_rules(), on_leaves("SELECT count(*) AS n_rules FROM {nodes} WHERE kind = 'leaf'"))
+    for branch in forest.BRANCHES:
+        o = {"trees": 1, "max_depth": 2, "branch": branch} | ({"score": "hellinger"} if branch == "hellinger" else {})
+        sampled = branch == "sample-examples" or branch in ("rule", "random-rule", "choose-rule")  # sampled rows and rules grown in turns: tested against brute force
+        add(f"branch_{branch.replace('-', '_')}", lambda s, d, o=o: fitted(s, d, **o)[0].nodes.select(*columns()), None if sampled else nodes_sql(sql_of(**o)))
+    add("rule_weighted_nodes", lambda s, d: fitted(s, d, trees=1, max_depth=2, branch="rule", distribute="rulew")[0].nodes.select(*columns()))
+    near = "SELECT q.id AS query, l.id, round(count(*) / 3.0::DOUBLE, 6) AS proximity FROM {at} q JOIN {at} l ON q.tree = l.tree AND q.node = l.node AND q.id <> l.id WHERE q.id % 20 = 0 GROUP BY ALL"
+    add("proximity_topk", lambda s, d: fitted(s, d)[0].proximity(orders(s, d).df, orders(s, d).df.filter("id % 20 = 0"), 5).select("query", "id", R6("proximity"), "rank"),
+        on_leaves(f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY proximity DESC, id) AS rank FROM ({near})) WHERE rank <= 5"))
 
     # Measures.
-    pred_sql = f"SELECT id, actual, class AS pred, prob FROM ({P_SQL}) WHERE rank = 1"
+    pred_sql = oracles.predicted(P_SQL)
     pred = lambda s, d: metrics.predicted(probs(s, d))
     add("majority_vote", lambda s, d: pred(s, d), pred_sql)
     add("accuracy", lambda s, d: metrics.accuracy(pred(s, d)).select(R6("accuracy")), f"SELECT round(avg((pred = actual)::INT), 6) AS accuracy FROM ({pred_sql})")
     add("confusion", lambda s, d: metrics.confusion_matrix(pred(s, d)), f"SELECT actual, pred, count(*) AS n FROM ({pred_sql}) GROUP BY ALL")
-    pr = f"""WITH p AS ({pred_sql}), x AS (SELECT class, sum((pred = class AND actual = class)::INT)::DOUBLE AS tp, sum((pred = class)::INT) AS np, sum((actual = class)::INT) AS na FROM p, (SELECT DISTINCT actual AS class FROM p) GROUP BY class),
-      y AS (SELECT class, tp / np AS precision, tp / na AS recall FROM x), z AS (SELECT *, 2 * precision * recall / (precision + recall) AS f_measure FROM y)"""
+    pr = oracles.precision_recall(pred_sql)
     add("precision_recall", lambda s, d: metrics.precision_recall(pred(s, d)).select("class", R6("precision"), R6("recall"), R6("f_measure")), pr + " SELECT class, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f_measure, 6) AS f_measure FROM z")
     add("f_measure", lambda s, d: metrics.macro(metrics.precision_recall(pred(s, d))).select(R6("precision"), R6("recall"), R6("f_measure")),
         pr + " SELECT round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(2 * avg(precision) * avg(recall) / (avg(precision) + avg(recall)), 6) AS f_measure FROM z")
-    ovr = f"WITH p AS ({P_SQL}), o AS (SELECT a.id, c.class, coalesce(p.prob, 0) AS prob, a.actual = c.class AS pos FROM (SELECT DISTINCT id, actual FROM p) a CROSS JOIN (SELECT DISTINCT actual AS class FROM p) c LEFT JOIN p ON p.id = a.id AND p.class = c.class)"
-    auc = ovr + ", r AS (SELECT *, rank() OVER (PARTITION BY class ORDER BY prob) + (count(*) OVER (PARTITION BY class, prob) - 1) / 2.0 AS r FROM o), a AS (SELECT class, sum(pos::INT)::BIGINT AS n_pos, (sum(CASE WHEN pos THEN r ELSE 0 END)::DOUBLE - sum(pos::INT) * (sum(pos::INT) + 1) / 2) / (sum(pos::INT)::DOUBLE * sum((NOT pos)::INT)) AS auc FROM r GROUP BY class)"
+    ovr, auc = oracles.one_vs_rest(P_SQL), oracles.auc(P_SQL)
     add("auc_ovr", lambda s, d: metrics.auc(probs(s, d)).select("class", "n_pos", R6("auc")), auc + " SELECT class, n_pos, round(auc, 6) AS auc FROM a")
     add("auc_average", lambda s, d: metrics.average_auc(metrics.auc(probs(s, d))).select(R6("weighted_auc"), R6("average_auc")), auc + " SELECT round(sum(n_pos * auc) / sum(n_pos), 6) AS weighted_auc, round(avg(auc), 6) AS average_auc FROM a")
     add("prc_ovr", lambda s, d: metrics.prc(probs(s, d)).select("class", R6("prc")),
@@ -202,16 +236,25 @@ def _catalogue() -> dict:
         f"SELECT round(c, 6) AS correlation, round(c / strength ** 2, 6) AS c_s2 FROM (SELECT strength, margin_variance / (SELECT avg(sqrt(a + b + (a - b) ** 2)) FROM ({bas})) ** 2 AS c FROM ({stre}))")
     add("mse", lambda s, d: metrics.mse(probs(s, d)).select(R6("mse"), R6("variance")),
         f"WITH p AS ({P_SQL}), m AS (SELECT *, avg(prob) OVER (PARTITION BY actual, class) AS mean FROM p) SELECT (SELECT round(avg(e), 6) FROM (SELECT id, sum((prob - (class = actual)::INT) ** 2) AS e FROM p GROUP BY id)) AS mse, round(sum((prob - mean) ** 2) / count(DISTINCT id), 6) AS variance FROM m")
-    add("trapz", lambda s, d: metrics.trapezoid(s.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(zip((0, .2, .4, .6, .6, .6, .8, 1), (1, 1, 1, 1, .75, .6, .8, .8)))], "i int, x double, y double")).select(R6("area")), "SELECT 0.9::DOUBLE AS area")
+    add("trapz", lambda s, d: metrics.trapezoid(probs(s, d).groupBy(F.col("prob").alias("x")).agg(F.avg((F.col("class") == F.col("actual")).cast("double")).alias("y")), order="x").select(R6("area")),
+        f"WITH p AS ({P_SQL}), c AS (SELECT prob AS x, avg((actual = class)::INT) AS y FROM p GROUP BY prob) SELECT round(sum((x - px) * (y + py)) / 2, 6) AS area FROM (SELECT x, y, lag(x) OVER (ORDER BY x) AS px, lag(y) OVER (ORDER BY x) AS py FROM c)")
 
     # Validation.
     row = "fold string, accuracy double, average_auc double, brier double, f_measure double"
     frame = lambda s, rs: s.createDataFrame([(r["fold"], *[None if r[c] is None else round(r[c], 6) for c in ("accuracy", "average auc", "brier", "f-measure")]) for r in rs], row)
     tiny = forest.Options(trees=3, max_depth=2, seed=3)
-    add("cv_average", lambda s, d: frame(s, validate.cross_validation(orders(s, d), tiny, 2)))
-    add("split_validation", lambda s, d: frame(s, validate.split_validation(orders(s, d), tiny)))
-    add("in_sample_validation", lambda s, d: frame(s, validate.in_sample_validation(orders(s, d), tiny)))
-    add("bootstrap_validation", lambda s, d: frame(s, validate.bootstrap_validation(orders(s, d), tiny)))
+    folds = f"SELECT *, (row_number() OVER (ORDER BY class, {U(1, q1('fold'), 'id')}, id) - 1) % 2 + 1 AS fold FROM ({O_SQL})"
+    parts = {
+        "cv_average": ([(str(i), f"SELECT * EXCLUDE (fold) FROM ({folds}) WHERE fold <> {i}", f"SELECT * EXCLUDE (fold) FROM ({folds}) WHERE fold = {i}") for i in (1, 2)], lambda ex: validate.cross_validation(ex, tiny, 2)),
+        "in_sample_validation": ([("in-sample", O_SQL, O_SQL)], lambda ex: validate.in_sample_validation(ex, tiny)),
+    }
+    of_split = lambda test: f"SELECT id, class, o_totalprice, month, o_orderpriority FROM (SELECT *, row_number() OVER (PARTITION BY class ORDER BY {U(1, q1('split'), 'id')}, id) AS r, count(*) OVER (PARTITION BY class) AS n FROM ({O_SQL})) WHERE {'NOT ' if test else ''}r <= floor(n * 0.66::DOUBLE + 0.5)"
+    parts["split_validation"] = ([("split 0.66", of_split(False), of_split(True))], lambda ex: validate.split_validation(ex, tiny))
+    for name, (rows, run) in parts.items():
+        add(name, lambda s, d, run=run: frame(s, run(orders(s, d))), oracles.validations(rows, O_FEATURES, tiny, name == "cv_average"))
+    bag1 = f"SELECT id, class, o_totalprice, month, o_orderpriority, times::DOUBLE AS weight FROM (SELECT *, row_number() OVER (ORDER BY {U(1, q1('order'), 'id')}, id) AS place FROM ({O_SQL})) JOIN (SELECT place, count(*) AS times FROM (SELECT (floor({U(1, 'draw')} * (SELECT count(*) FROM orders)) + 1)::BIGINT AS place FROM range(1, (SELECT count(*) FROM orders) + 1) t(draw)) GROUP BY place) USING (place)"
+    add("bootstrap_validation", lambda s, d: frame(s, validate.bootstrap_validation(orders(s, d), tiny)),
+        oracles.validations([("bootstrap", bag1, f"SELECT * FROM ({O_SQL}) WHERE id NOT IN (SELECT id FROM ({bag1}))")], O_FEATURES, tiny, weighted=True))
 
     # Neighbours.
     vectors = lambda s, d: _table(s, d, "embeddings").selectExpr("vec_id as id", "embedding as vector")
@@ -219,14 +262,20 @@ def _catalogue() -> dict:
     add("knn_topk", lambda s, d: neighbors.nearest_vectors(vectors(s, d), vectors(s, d).filter("id % 20 = 0"), 5).select("query", "id", R6("distance"), "rank"),
         f"SELECT * FROM (SELECT q.vec_id AS query, v.vec_id AS id, round({dist}, 6) AS distance, row_number() OVER (PARTITION BY q.vec_id ORDER BY {dist}, v.vec_id) AS rank FROM embeddings v, embeddings q WHERE q.vec_id % 20 = 0 AND v.vec_id <> q.vec_id) WHERE rank <= 5")
     add("rbf_features", lambda s, d: neighbors.radial_features(vectors(s, d), vectors(s, d).filter("id < 3"), 0.5).select("id", "centroid", R6("value")), f"SELECT v.vec_id AS id, q.vec_id AS centroid, round(exp(-0.5 * {dist}), 6) AS value FROM embeddings v, embeddings q WHERE q.vec_id < 3")
-    add("kmeans", lambda s, d: neighbors.kmeans(vectors(s, d), 4, "k", 5))
+    gap = lambda v, c: f"list_sum(list_transform(list_zip({v}, {c}), lambda z: (z[1] - z[2]) ** 2))"
+    steps = [f"v AS MATERIALIZED (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)", f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY {U('k', q1('centroid'), 'id')}, id) AS cluster, v AS c FROM v ORDER BY 1 LIMIT 4)"]
+    for i in range(6):  # each row to its centroid; the last step is the result
+        steps.append(f"a{i} AS MATERIALIZED (SELECT id, v, cluster FROM (SELECT id, v, cluster, row_number() OVER (PARTITION BY id ORDER BY round({gap('v', 'c')}, 9), cluster) AS nth FROM v, c{i}) WHERE nth = 1)")
+        steps.append(f"c{i + 1} AS MATERIALIZED (SELECT cluster, list(x ORDER BY pos) AS c FROM (SELECT cluster, pos, avg(x) AS x FROM (SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM a{i}) GROUP BY ALL) GROUP BY cluster)")
+    add("kmeans", lambda s, d: neighbors.kmeans(vectors(s, d), 4, "k", 5), f"WITH {', '.join(steps)} SELECT id, cluster FROM a5")
 
     add("smote_rows", lambda s, d: neighbors.smote(events(s, d).df, events(s, d).features, "m", minority="click", k=5).select("from_id", "copy", R6("value"), R6("hour")),
-        f"""WITH e AS (SELECT * FROM ({E_SQL}) WHERE id % 50 = 0 AND class = 'click'), g AS (SELECT max(value) - min(value) AS wv, max(hour) - min(hour) AS wh FROM e),
+        f"""WITH e AS (SELECT * FROM ({E_SQL}) WHERE class = 'click'), g AS (SELECT max(value) - min(value) AS wv, max(hour) - min(hour) AS wh FROM e),
         n AS (SELECT a.id AS from_id, b.id, b.value, b.hour, row_number() OVER (PARTITION BY a.id ORDER BY ((a.value - b.value) / wv) ** 2 + ((a.hour - b.hour) / wh) ** 2, b.id) AS r FROM e a, e b, g WHERE a.id <> b.id),
         c AS (SELECT from_id, max(least(r, 5)) AS k FROM n GROUP BY from_id), p AS (SELECT e.id, e.value, e.hour, floor({U('m', q1('pick'), 'e.id', '1')} * k)::INT + 1 AS r FROM e JOIN c ON e.id = from_id)
         SELECT p.id AS from_id, 1::BIGINT AS copy, round(p.value + {U('m', q1('value'), 'p.id', '1')} * (n.value - p.value), 6) AS value, round(p.hour + {U('m', q1('hour'), 'p.id', '1')} * (n.hour - p.hour), 6) AS hour FROM p JOIN n ON p.id = n.from_id AND p.r = n.r""")
-    add("bootstrap_average_example", lambda s, d: neighbors.bootstrap_average(sampling.bootstrap(orders(s, d).df, "a", 3), ["o_totalprice", "month"], ["o_orderpriority"]).select("tree", R6("o_totalprice"), R6("month"), "o_orderpriority"))
+    add("bootstrap_average_example", lambda s, d: neighbors.bootstrap_average(sampling.bootstrap(orders(s, d).df, "a", 3), ["o_totalprice", "month"], ["o_orderpriority"]).select("tree", R6("o_totalprice"), R6("month"), "o_orderpriority"),
+        f"WITH b AS ({oracles.bag_sql(O_SQL, 'a', 3)}), m AS (SELECT tree, o_orderpriority, row_number() OVER (PARTITION BY tree ORDER BY sum(weight) DESC, o_orderpriority) AS nth FROM b GROUP BY tree, o_orderpriority) SELECT tree::INT AS tree, round(sum(o_totalprice * weight) / sum(weight), 6) AS o_totalprice, round(sum(month * weight) / sum(weight), 6) AS month, any_value(m.o_orderpriority) AS o_orderpriority FROM b JOIN m USING (tree) WHERE nth = 1 GROUP BY tree")
 
     # Rules.
     pn = f"SELECT sum((class = 'F')::INT)::DOUBLE AS p, sum((class <> 'F')::INT)::DOUBLE AS n, (SELECT avg((class = 'F')::INT) FROM ({O_SQL})) AS pi FROM ({O_SQL}) WHERE month >= 6 AND o_orderpriority = '1-URGENT'"
@@ -240,9 +289,24 @@ def _catalogue() -> dict:
     for kind, form in (("laplace", "1 - (p + 1) / (p + n + 3)"), ("m", "1 - (p + 3 * pi) / (p + n + 3)"), ("purity", "1 - p / (p + n)")):
         add(f"rule_{'m_estimate' if kind == 'm' else kind}", lambda s, d, kind=kind: scored(s, d, kind), f"SELECT p AS pos, n AS neg, round({form}, 6) AS score FROM ({pn})")
     add("rule_learning", lambda s, d: s.createDataFrame([(i, f, k, str(v), h) for i, (f, k, v, h) in enumerate(rules.learn_rule(orders(s, d), "F", "r"))], "step int, feature string, kind string, value string, holds boolean"))
-    add("rule_extraction", lambda s, d: rules.extract_rules(fitted(s, d, trees=1)[0].nodes, orders(s, d).df.count(), 0.35, 0.05).select("node", "kind", "class", R6("confidence"), R6("coverage"), "rule"))
-    add("decision_grid", lambda s, d: s.range(0, 101).selectExpr("id as i").crossJoin(s.range(0, 101).selectExpr("id as j")).select("i", "j", F.round(F.sin(F.col("i") / 10.0) + F.col("j") / 100.0, 6).alias("z"), F.signum(F.sin(F.col("i") / 10.0) - F.col("j") / 100.0).alias("side")),
-        "SELECT i, j, round(sin(i / 10.0) + j / 100.0, 6) AS z, sign(sin(i / 10.0) - j / 100.0)::DOUBLE AS side FROM range(0, 101) a(i), range(0, 101) b(j)")
+    text = lambda n, turn: f"{n}.feature || ' ' || CASE WHEN {n}.threshold IS NOT NULL THEN CASE WHEN {turn} = '0' THEN '>=' ELSE '<' END ELSE CASE WHEN {turn} = '0' THEN '=' ELSE '<>' END END || ' ' || coalesce(round({n}.threshold, 6)::VARCHAR, {n}.category)"
+    extracted = (
+        "SELECT * FROM (WITH g AS (SELECT tree, node, kind, class, majority_n / n AS confidence, n / (SELECT count(*) FROM orders) AS coverage FROM {nodes} WHERE CASE WHEN kind = 'leaf' THEN majority_n / n > 0.35 AND n / (SELECT count(*) FROM orders) > 0.05 ELSE majority_n / n >= 0.35 AND n / (SELECT count(*) FROM orders) >= 0.05 END), "
+        "s AS (SELECT g.tree, g.node, i, " + text("a", "substr(g.node, (i + 1)::INT, 1)") + " AS t FROM g, range(1, 9) r(i), {nodes} a WHERE i < length(g.node) AND a.tree = g.tree AND a.node = substr(g.node, 1, i::INT)) "
+        "SELECT g.node, g.kind, g.class, round(confidence, 6) AS confidence, round(coverage, 6) AS coverage, coalesce(string_agg(t, ' & ' ORDER BY i), '') AS rule FROM g LEFT JOIN s USING (tree, node) GROUP BY ALL)"
+    )
+    add("rule_extraction", lambda s, d: rules.extract_rules(fitted(s, d, trees=1)[0].nodes, orders(s, d).df.count(), 0.35, 0.05).select("node", "kind", "class", R6("confidence"), R6("coverage"), "rule"), on_leaves(extracted, trees=1))
+
+    def grid(s, d):
+        """The classes that a tree gives a grid of two features."""
+        cells = s.range(0, 101).selectExpr("id as i", "explode(sequence(0, 100)) as j")
+        rows = cells.selectExpr("i * 101 + j as id", "'?' as class", "1.0D as weight", "i * 5000.0D as o_totalprice", "1 + j * 0.11D as month", "'3-MEDIUM' as o_orderpriority")
+        return fitted(s, d, trees=3)[0].transform(rows).filter("rank = 1").select(F.floor(F.col("id") / 101).alias("i"), (F.col("id") % 101).alias("j"), "class", R6("prob"))
+
+    cells = "SELECT i * 101 + j AS id, '?' AS class, i * 5000.0::DOUBLE AS o_totalprice, 1 + j * 0.11::DOUBLE AS month, '3-MEDIUM' AS o_orderpriority FROM range(0, 101) a(i), range(0, 101) b(j)"
+    f = sql_of()
+    at = f.leaves(cells)
+    add("decision_grid", grid, f.query(f"SELECT id // 101 AS i, id % 101 AS j, class, round(prob, 6) AS prob FROM ({oracles.probabilities(f'SELECT * FROM {at}', 3)}) WHERE rank = 1"))
     return q
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from copse.operators.examples import ExampleSet, Feature
@@ -20,17 +20,11 @@ def _header(types: list[str], names: list[str]) -> list[tuple[str, str]]:
     return list(zip(types, [n.strip() for n in names], strict=True))
 
 
-def read(spark: SparkSession, path: str) -> ExampleSet:
-    """Rows in the order of their line; ids count them from 1, unless a column has the type id.
+def _numbered(lines: DataFrame) -> DataFrame:
+    """The lines that aren't blank with _line, their number from 1.
 
-    Blanks around tokens go; ? is missing; a value that is no number fails the job that reads it.
+    A text file keeps its order within a partition; numbers are offsets of partitions plus places in them.
     """
-    lines = spark.read.text(path).withColumn("value", F.regexp_replace("value", "\r$", ""))
-    head = [r[0] for r in lines.limit(2).collect()]
-    if len(head) < 2:
-        raise ValueError("invalid type declaration: the file has no two header rows")
-    fields = _header(head[0].split(","), head[1].split(","))
-    # A text file keeps its order within a partition; ids are offsets of partitions plus places in them.
     numbered = lines.withColumn("_m", F.monotonically_increasing_id()).filter(F.trim("value") != "")
     numbered = numbered.withColumns({"_part": F.shiftright("_m", 33), "_at": F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))})
     counts = dict(sorted(map(tuple, numbered.groupBy("_part").agg(F.max("_at") + 1).collect())))  # a row a partition
@@ -38,9 +32,13 @@ def read(spark: SparkSession, path: str) -> ExampleSet:
     for part, n in counts.items():
         offsets += [F.lit(part), F.lit(before)]
         before += n
-    rows = numbered.withColumn("_line", F.element_at(F.create_map(*offsets), F.col("_part")) + F.col("_at") + 1).filter("_line > 2")
-    cells = F.transform(F.split("value", ",", -1), lambda x: F.trim(x))
-    rows = rows.select((F.col("_line") - 2).cast("bigint").alias("id"), cells.alias("_c"))
+    if not offsets:
+        return numbered.select("value", F.lit(0).cast("bigint").alias("_line"))
+    return numbered.select("value", (F.element_at(F.create_map(*offsets), F.col("_part")) + F.col("_at") + 1).alias("_line"))
+
+
+def _examples(rows: DataFrame, fields: list[tuple[str, str]]) -> ExampleSet:
+    """rows: id and _c, an array of cells."""
     columns, features, ident, klass = [], [], F.col("id"), F.lit("?")
     for i, (kind, name) in enumerate(fields):
         raw = F.col("_c")[i]
@@ -60,6 +58,24 @@ def read(spark: SparkSession, path: str) -> ExampleSet:
     return ExampleSet(rows.select(ident.alias("id"), klass.alias("class"), F.lit(1.0).alias("weight"), *columns), tuple(features))
 
 
+def _cells(value: str) -> Column:
+    return F.transform(F.split(value, ",", -1), lambda x: F.trim(x))
+
+
+def read(spark: SparkSession, path: str) -> ExampleSet:
+    """Rows in the order of their line; ids count them from 1, unless a column has the type id.
+
+    Blanks around tokens go; ? is missing; a value that is no number fails the job that reads it.
+    """
+    lines = spark.read.text(path).withColumn("value", F.regexp_replace("value", "\r$", ""))
+    head = [r[0] for r in lines.limit(2).collect()]
+    if len(head) < 2:
+        raise ValueError("invalid type declaration: the file has no two header rows")
+    fields = _header(head[0].split(","), head[1].split(","))
+    rows = _numbered(lines).filter("_line > 2")
+    return _examples(rows.select((F.col("_line") - 2).cast("bigint").alias("id"), _cells("value").alias("_c")), fields)
+
+
 def inline(spark: SparkSession, text: str) -> DataFrame:
     """One example of comma-separated numbers, with the id 1 and columns x0, x1, ..."""
     values = [float(x) for x in text.split(",")]
@@ -80,22 +96,30 @@ def write(ex: ExampleSet, path: str, decimals: int | None = None) -> None:
     rows.orderBy("id").select("value").write.mode("overwrite").text(path)
 
 
-def from_keel(lines: list[str]) -> list[str]:
-    """A KEEL file's lines as typed rows: bracketed ranges are numeric, <null> is missing."""
-    types, names, rows, data, output = [], [], [], False, None
-    for line in map(str.strip, lines):
+def read_keel(spark: SparkSession, path: str) -> ExampleSet:
+    """A KEEL file: attributes with bracketed ranges are numeric, <null> is missing, the output (or last) is the class.
+
+    The lines with @ reach the driver, one for each attribute or so; data are read as by read().
+    """
+    lines = spark.read.text(path).withColumn("value", F.trim(F.regexp_replace("value", "\r$", "")))
+    fields = _keel_header([r[0] for r in lines.filter(F.col("value").startswith("@")).collect()])
+    rows = _numbered(lines).filter(~F.col("value").startswith("@") & ~F.col("value").startswith("%"))
+    first = rows.agg(F.min("_line")).first()[0] or 1
+    cells = F.transform(_cells("value"), lambda x: F.when(x == "<null>", "?").otherwise(x))
+    return _examples(rows.select((F.col("_line") - first + 1).cast("bigint").alias("id"), cells.alias("_c")), fields)
+
+
+def _keel_header(lines: list[str]) -> list[tuple[str, str]]:
+    types, names, output = [], [], None
+    for line in lines:
         low = line.lower()
         if low.startswith("@attribute"):
             rest = line.split(None, 1)[1]
-            name = rest.split("{")[0].split()[0].strip("'\"")
-            names.append(name)
-            types.append("numeric" if rest.endswith("]") else "categoric")
+            names.append(rest.split("{")[0].split("[")[0].split()[0].strip("'\""))
+            types.append("numeric" if rest.rstrip().endswith("]") else "categoric")
         elif low.startswith("@output"):
             output = line.split(None, 1)[1].strip()
-        elif low.startswith("@data"):
-            data = True
-        elif data and line:
-            rows.append(",".join("?" if x.strip() == "<null>" else x.strip() for x in line.split(",")))
-    at = names.index(output) if output in names else len(names) - 1
-    types[at] = "class"
-    return [",".join(types), ",".join(names), *rows]
+    if not names:
+        raise ValueError("invalid type declaration: the file has no attributes")
+    types[names.index(output) if output in names else len(names) - 1] = "class"
+    return list(zip(types, names, strict=True))
