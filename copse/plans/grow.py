@@ -29,8 +29,7 @@ CONDITIONS = "array<struct<ordinal: int, threshold: double, category: string, ho
 #: A split: one condition, two (b) or a rule for a target class; null where it isn't of that form.
 SPLIT = "ordinal int, threshold double, category string, ordinal_b int, threshold_b double, category_b string, conditions " + CONDITIONS + ", target string"
 SPLIT_COLUMNS = [c.split()[0] for c in SPLIT.replace(CONDITIONS, "x").split(", ")]
-NODES = f"""tree int, node string, depth int, kind string, feature string, {SPLIT}, n_left double, n_right double, class string,
-n double, majority_n double, score double, gain double, laplace double"""
+
 
 
 def values_of(features: tuple[Feature, ...]) -> dict[str, Column]:
@@ -378,7 +377,8 @@ def grow(ex: ExampleSet, o: Options, bags: DataFrame) -> DataFrame:
         last = depth == o.max_depth or not ex.features
         if last:
             stats, count = stored(stats_of(state.groupBy(*AT, "class").agg(F.sum("weight").alias("w"))), "stats"), 0
-            winners = spark.createDataFrame([], f"tree int, node string, {SPLIT}, n_left double, n_right double, score double, left double, right double")
+            none = dict.fromkeys(("n_left", "n_right", "score", "left", "right"), F.lit(None).cast("double"))
+            winners = nodes.limit(0).select(*AT, *grower._columns(nodes), *[v.alias(k) for k, v in none.items()])
         else:
             stats, winners = grower.winners(state, nodes, n)
             count = winners.count()
@@ -396,4 +396,4 @@ def grow(ex: ExampleSet, o: Options, bags: DataFrame) -> DataFrame:
         discard(before)
         nodes = winners.select("tree", F.explode(F.array(F.concat("node", F.lit("0")), F.concat("node", F.lit("1")))).alias("node"))
         n = 2 * count
-    return reduce(DataFrame.unionByName, tables, spark.createDataFrame([], NODES))
+    return reduce(DataFrame.unionByName, tables)
