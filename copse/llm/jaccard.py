@@ -319,23 +319,12 @@ def _classes(df: DataFrame, id_col: str, text_col: str, k: int, link: int) -> tu
     tiles = tiles.withColumn("nth", F.row_number().over(Window.partitionBy("cid").orderBy("pos")))
     tiles = stored(tiles, "tiles")
 
-    # The members of the classes that may be compared: those with a shared token.  Their texts are read once.
-    few = classes.join(tiles.select("cid").distinct(), "cid", "left_semi").select("cid", "node", F.col("id").alias("x_id"))
-    few = stored(few, "few")
-    n_few = few.count()
-
     def members(batches):
         for part in _parts(batches):
             sets = [shingles(t, k) for t in part.column(2).to_pylist()]
             keep = [i for i, (u, node) in enumerate(zip(sets, part.column(1).to_pylist(), strict=True)) if _set_id(u) == node]
             yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keep, pa.int32())), _lists([sets[i] for i in keep])], ["cid", "members"])
 
-    some = perhaps_in(texts, F.col("id"), few.select("x_id"), n_few)
-    found = some.join(few.hint("merge"), some["id"].eqNullSafe(few["x_id"])).select("cid", "node", "text")
-    sets = stored(found.mapInArrow(members, "cid long, members array<long>"), "sets")
-    if sets.count() > n_few:  # rows that repeat an id and a set
-        sets = stored(sets.dropDuplicates(["cid"]), "sets")
-
     def links_of(rooted: DataFrame, round_: int) -> DataFrame:
         few_rows, last = round_ < len(FIRST_ROUNDS), round_ == len(FIRST_ROUNDS)
         own = rooted.select("token", "band", F.lit(False).alias("visits"), "n", "pos", "cid", "root", "sig", "times")
@@ -361,8 +350,19 @@ def _classes(df: DataFrame, id_col: str, text_col: str, k: int, link: int) -> tu
         for c in "ab":
             pairs = pairs.join(classes.select(F.col("cid").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")), c)
         pairs = stored(pairs.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_close(link), "a long, b long"), "pairs")
+        # Only texts of the classes asked are shuffled to them, and theirs alone become sets again.
+        asked = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct().join(classes.select("cid", "node", F.col("id").alias("x_id")), "cid")
+        asked = stored(asked, "asked")
+        n_asked = asked.count()
+        some = perhaps_in(texts, F.col("id"), asked.select("x_id"), n_asked)
+        found = some.join(asked.hint("merge"), some["id"].eqNullSafe(asked["x_id"])).select("cid", "node", "text")
+        sets = stored(found.mapInArrow(members, "cid long, members array<long>"), "sets")
+        used = [pairs, asked, sets]
+        if sets.count() > n_asked:  # rows that repeat an id and a set
+            sets = stored(sets.dropDuplicates(["cid"]), "sets")
+            used.append(sets)
         out = linked(pairs, sets, link)
-        discard(pairs)
+        discard(*used)
         return out
 
     links, rooted = None, tiles.withColumn("root", F.col("cid"))
