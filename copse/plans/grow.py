@@ -1,10 +1,10 @@
 """Growing trees level by level, all trees in one plan.
 
-The rows of a level are a table (tree, node, id, class, weight, nums, cats), with a value for each feature in nums or
-cats.  What a node may inspect is drawn before rows are read.  Then a level takes two aggregations over its rows, one
-for class weights and candidate thresholds, one for what each candidate puts on either side, and a projection that
-moves rows to their child.  Splits meet rows by broadcast joins, so rows aren't shuffled; where a level has more nodes
-than may be broadcast, they are joined by (tree, node).
+The rows of a level are (tree, node, id, class, weight, nums, cats), with a value for each feature in nums or cats.
+What a node may inspect is drawn before rows are read.  Then a level takes two aggregations over its rows, one for
+class weights and candidate thresholds, one for what each candidate puts on either side; a projection moves rows to
+their child.  Splits meet rows by broadcast joins, so rows aren't shuffled; where a level has more nodes than may be
+broadcast, they are joined by (tree, node).  Every few levels the rows are written, which bounds the plans.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from .options import PAIRED, RULED, Options
 from .tables import discard, small, stored
 
 AT = ["tree", "node"]
+#: Levels after which the rows are written; between, they are routed again from the last table.
+STORE_LEVELS = 4
 CONDITIONS = "array<struct<ordinal: int, threshold: double, category: string, holds: boolean>>"
 #: A split: one condition, two (b) or a rule for a target class; null where it isn't of that form.
 SPLIT = "ordinal int, threshold double, category string, ordinal_b int, threshold_b double, category_b string, conditions " + CONDITIONS + ", target string"
@@ -120,15 +122,23 @@ class Grower:
 
     # Aggregations over rows.
 
-    def members(self, rows: DataFrame, key: str, klass: str, round_, known: Column | None = None) -> DataFrame:
+    def members(self, rows: DataFrame, key: str, klass: str, round_) -> DataFrame:
         """tree, node, key, class: weight and the values of the row with the least draw, for rows (.., ordinal, ordinal_b)."""
-        two = lambda array: _value(array, F.col("ordinal_b"))
-        v = F.struct(_value("nums", F.col("ordinal")).alias("num"), _value("cats", F.col("ordinal")).alias("cat"), two("nums").alias("num_b"), two("cats").alias("cat_b"))
-        has = lambda a, b: F.coalesce(v[a].isNotNull() | v[b].isNotNull(), F.lit(False))
-        some = has("num", "cat") | has("num_b", "cat_b")
+        one, two = (lambda array, c=c: _value(array, F.col(c)) for c in ("ordinal", "ordinal_b"))
         draw = u(self.o.seed, round_, F.col("tree"), F.col("node"), F.col(key), F.col("id"))
-        order = F.when(some & (known if known is not None else F.lit(True)), F.struct(draw, F.col("id")))
-        return rows.groupBy(*AT, key, klass).agg(F.sum("weight").alias("w"), F.min_by(v, order).alias("v"))
+        weight = F.sum("weight").alias("w")
+        if all(f.kind == "numeric" for f in self.features):  # numbers alone: a hash aggregation, without a sort
+            num, num_b = one("nums"), two("nums")
+            order = (draw * 4294967296).cast("bigint") * 2147483648 + F.pmod(F.xxhash64("id"), F.lit(2147483648))
+            order = F.when(num.isNotNull() | num_b.isNotNull(), order)
+            found = rows.groupBy(*AT, key, klass).agg(weight, F.min(order).alias("o"), F.min_by(num, order).alias("num"), F.min_by(num_b, order).alias("num_b"))
+            none = F.lit(None).cast("string")
+            v = F.struct("num", none.alias("cat"), "num_b", none.alias("cat_b"))
+            return found.select(*AT, key, klass, "w", F.when(F.col("o").isNotNull(), v).alias("v"))
+        v = F.struct(one("nums").alias("num"), one("cats").alias("cat"), two("nums").alias("num_b"), two("cats").alias("cat_b"))
+        has = lambda a, b: F.coalesce(v[a].isNotNull() | v[b].isNotNull(), F.lit(False))
+        order = F.when(has("num", "cat") | has("num_b", "cat_b"), F.struct(draw, F.col("id")))
+        return rows.groupBy(*AT, key, klass).agg(weight, F.min_by(v, order).alias("v"))
 
     def cuts(self, members: DataFrame, key: str, klass: str, round_) -> DataFrame:
         """A candidate for each key: midway between the rows of two classes (a category: that of the first)."""
@@ -370,13 +380,13 @@ def grow(ex: ExampleSet, o: Options, bags: DataFrame) -> DataFrame:
     names = F.create_map(*[F.lit(x) for f in ex.features for x in (f.ordinal, f.name)])
     rule = F.concat(F.lit("rule: "), F.array_join(F.transform("conditions", lambda c: F.element_at(names, c["ordinal"])), ", "))
     feature = F.when(F.col("conditions").isNotNull(), rule).when(F.col("ordinal_b").isNotNull(), F.concat_ws(" & ", names[F.col("ordinal")], names[F.col("ordinal_b")])).otherwise(names[F.col("ordinal")])
-    state = stored(bags.select(F.col("tree").cast("int").alias("tree"), F.lit("1").alias("node"), "id", "class", "weight", *[v.alias(k) for k, v in values_of(ex.features).items()]), "level")
+    state, written = bags.select(F.col("tree").cast("int").alias("tree"), F.lit("1").alias("node"), "id", "class", "weight", *[v.alias(k) for k, v in values_of(ex.features).items()]), None
     nodes, n = spark.range(1, o.trees + 1).select(F.col("id").cast("int").alias("tree"), F.lit("1").alias("node")), o.trees
     tables = []
     for depth in range(o.max_depth + 1):
         last = depth == o.max_depth or not ex.features
         if last:
-            stats, count = stored(stats_of(state.groupBy(*AT, "class").agg(F.sum("weight").alias("w"))), "stats"), 0
+            stats, count = stats_of(state.groupBy(*AT, "class").agg(F.sum("weight").alias("w"))), 0
             none = dict.fromkeys(("n_left", "n_right", "score", "left", "right"), F.lit(None).cast("double"))
             winners = nodes.limit(0).select(*AT, *grower._columns(nodes), *[v.alias(k) for k, v in none.items()])
         else:
@@ -392,8 +402,12 @@ def grow(ex: ExampleSet, o: Options, bags: DataFrame) -> DataFrame:
         )
         if not count:
             break
-        before, state = state, stored(grower.route(state, winners, count), "level")
-        discard(before)
+        state = grower.route(state, winners, count)
+        if (depth + 1) % STORE_LEVELS == 0:
+            before, written = written, stored(state, "level")
+            state = written
+            if before is not None:
+                discard(before)
         nodes = winners.select("tree", F.explode(F.array(F.concat("node", F.lit("0")), F.concat("node", F.lit("1")))).alias("node"))
         n = 2 * count
     return reduce(DataFrame.unionByName, tables)
