@@ -92,8 +92,8 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     A document of a source with target / source_size = c + p takes c copies and, with probability p, one
     more.  Leaves of about FAN_IN documents of a source round among themselves and leave one fractional
     document each; these meet in the nodes of a tree, until one is left per source and drawn alone.  So a
-    source's taken words differ from its target by less than one document, but for rounding errors.  All
-    draws are hashes of the seed, the id and the text: runs agree, whatever the partitions.
+    source's taken words differ from its target by less than one document (or one set of repeated rows), but
+    for rounding errors.  All draws are hashes of the seed, the id and the text: runs agree, whatever the partitions.
 
     Nulls: a null text has size 0; null sources are one source, ranked last; null ids are told apart by
     text.  Documents without words take no words.  Rows that repeat id, source and text share one draw.

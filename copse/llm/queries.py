@@ -28,6 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents, and whether a document is held out of the training of its labels."""
     docs = table(spark, sf_dir, "documents")
     model = gam.fit(docs, table(spark, sf_dir, "labels"))
     scored = docs.select("doc_id", gam.held_out(F.col("doc_id")).alias("held_out"), model.scores(F.col("text")).alias("score"))
@@ -35,11 +36,13 @@ def op1_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents: sizes, targets of their sources and the words taken."""
     out = mixing.mix(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sets of three-word shingles of all documents and their components at a similarity of 0.9."""
     return jaccard.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
@@ -67,6 +70,7 @@ FROM p LEFT JOIN m USING (page_id)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts of all documents and the row that stays of each."""
     marked = dedup.mark_duplicates(table(spark, sf_dir, "documents"))
     return marked.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -79,22 +83,26 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 
 
 def op6_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of the pieces of all documents, and whether decoding gives the text back."""
     out = pieces.tokenized(table(spark, sf_dir, "documents"), PIECES)
     back = pieces.decoded(F.col("ids"), pieces.shared(spark, PIECES))
     return out.select("doc_id", "n_ids", "ids", back.eqNullSafe(F.col("text")).alias("round_trip"))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of near-equal bytes."""
     out = sharding.histogram_shards(table(spark, sf_dir, "documents"), n_shards=40)
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")))
     return out.select("doc_id", "size", crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines of passages of 50 words or more that occurred before."""
     return lines.line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "clean_text")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of all documents and the verdicts of the rules."""
     out = rules.quality_rules(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_stop_words")
 
