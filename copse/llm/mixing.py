@@ -151,9 +151,9 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
 def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mix itself: each row of df as many times as mix() takes it, with df's columns."""
     decided = mix(df, id_col, text_col, source_col, **options).filter("copies > 0")
-    decided = decided.select(F.col(quoted(id_col)).alias("x_id"), F.col(quoted(source_col)).alias("x_src"), "x_hash", "copies").distinct()
+    decided = decided.select(F.col(quoted(id_col)).alias("x_id"), F.col(quoted(source_col)).alias("x_src"), "x_hash", F.col("copies").alias("x_times")).distinct()
     h, copies = fresh(df, "x_text_hash", "x_copies")
     rows = df.withColumn(h, F.xxhash64(F.coalesce(F.col(quoted(text_col)), F.lit(""))))
     on = rows[quoted(id_col)].eqNullSafe(decided["x_id"]) & rows[quoted(source_col)].eqNullSafe(decided["x_src"]) & (rows[h] == decided["x_hash"])
-    out = rows.join(decided, on).withColumn(copies, F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
+    out = rows.join(decided, on).withColumn(copies, F.explode(F.array_repeat(F.lit(0), decided["x_times"].cast("int"))))
     return out.select(*[rows[quoted(c)] for c in df.columns])
