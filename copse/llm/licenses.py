@@ -63,7 +63,7 @@ def _share(of: Column, own: dict[str, float]) -> Column:
 
 
 def _runs(base: DataFrame, weights: list[dict[str, float]], lengths: list[int], threshold: float) -> DataFrame:
-    """KEY, unit (below 0) and terms: distinct runs of a text's terms, as long as a template, that may reach the threshold.
+    """KEY, unit (below 0), terms and template: distinct runs of a text's terms, as long as a template, that may reach the threshold.
 
     A unit vector's cosine to a template is at most the root of the squared weights of the terms that both have.
     Parts of a text whose terms have too little of a template's weight are left first, then runs.
@@ -84,8 +84,9 @@ def _runs(base: DataFrame, weights: list[dict[str, float]], lengths: list[int],
     alike = F.lit(False)
     for i, own in enumerate(weights):
         alike = F.when(F.col("i") == i, _share(F.array_distinct("terms"), own) >= least).otherwise(alike)
-    runs = stored(pinned(runs, "alike", alike).filter("alike").select(*KEY, "terms").distinct(), "runs")
-    return runs.select(*KEY, (-1 - F.row_number().over(Window.partitionBy(*KEY).orderBy(F.array_join("terms", " ")))).cast("int").alias("unit"), "terms")
+    runs = stored(pinned(runs, "alike", alike).filter("alike").select(*KEY, "terms", F.col("i").alias("template")).distinct(), "runs")
+    order = Window.partitionBy(*KEY).orderBy(F.array_join("terms", " "), "template")
+    return runs.select(*KEY, (-1 - F.row_number().over(order)).cast("int").alias("unit"), "terms", "template")
 
 
 def document_frequencies(texts: DataFrame) -> DataFrame:
@@ -118,11 +119,11 @@ def anchors_of(weights: list[dict[str, float]], threshold: float) -> set[str]:
 
 
 def scored_units(units: DataFrame, frequencies: DataFrame, n_files: int, templates, weights: list[dict[str, float]]) -> DataFrame:
-    """KEY, unit and best (similarity, license) of the units (KEY, unit, terms).
+    """KEY, unit and best (similarity, license) of the units (KEY, unit, terms, template: the only one asked, or null).
 
     The frequencies of the terms that units have are joined by term and salt.
     """
-    tf = units.select(*KEY, "unit", F.explode("terms").alias("t")).groupBy(*KEY, "unit", "t").agg(F.count(F.lit(1)).alias("n"))
+    tf = units.select(*KEY, "unit", "template", F.explode("terms").alias("t")).groupBy(*KEY, "unit", "template", "t").agg(F.count(F.lit(1)).alias("n"))
     tf = stored(tf.withColumn("salt", salt(*[F.col(k) for k in KEY], F.col("unit"))), "terms")
     asked = tf.groupBy("t", "salt").agg(F.count(F.lit(1)).alias("times")).groupBy("t").agg(F.bit_or(salt_bit("salt")).alias("salts"))
     idf = F.log((F.lit(1.0) + n_files) / (F.lit(1.0) + F.col("df"))) + 1
@@ -132,8 +133,9 @@ def scored_units(units: DataFrame, frequencies: DataFrame, n_files: int, templat
     table = F.broadcast(units.sparkSession.createDataFrame(rows, "t string, ws array<double>"))  # the terms of the templates
     value = F.col("n") * F.col("idf")
     joined = tf.join(known, ["t", "salt"]).join(table, "t", "left").withColumn("value", value)
-    sums = joined.groupBy(*KEY, "unit").agg(F.sum(F.col("value") * F.col("value")).alias("norm"), *[F.coalesce(F.sum(F.col("value") * F.col("ws")[i]), F.lit(0.0)).alias(f"dot{i}") for i in range(len(weights))])
-    cosines = F.array(*[F.struct((-F.round(F.col(f"dot{i}") / F.sqrt("norm"), 6)).alias("s"), F.lit(name).alias("license")) for i, (name, _) in enumerate(templates)])
+    sums = joined.groupBy(*KEY, "unit", "template").agg(F.sum(F.col("value") * F.col("value")).alias("norm"), *[F.coalesce(F.sum(F.col("value") * F.col("ws")[i]), F.lit(0.0)).alias(f"dot{i}") for i in range(len(weights))])
+    asked_of = lambda i: F.coalesce(F.col("template") == i, F.lit(True))
+    cosines = F.array(*[F.struct(F.when(asked_of(i), -F.round(F.col(f"dot{i}") / F.sqrt("norm"), 6)).otherwise(1.0).alias("s"), F.lit(name).alias("license")) for i, (name, _) in enumerate(templates)])
     best = F.array_min(cosines)  # the greatest cosine, then the least name
     return sums.select(*KEY, "unit", F.struct((-best["s"]).alias("similarity"), best["license"].alias("license")).alias("b"))
 
@@ -141,8 +143,8 @@ def scored_units(units: DataFrame, frequencies: DataFrame, n_files: int, templat
 def license_scan(files: DataFrame, path_col: str = "path", text_col: str = "text", id_col: str = "doc_id", templates=TEMPLATES, threshold: float = 0.8) -> DataFrame:
     """files with license, how (own, inherited or none), similarity and license_dir.
 
-    Each line of each file, each licence file as a whole, and each run of as many terms as a template has,
-    across lines and comment signs, is a vector of term frequency times inverse document frequency,
+    Each line of each file, each licence file as a whole, and, for each template, each run of as many terms as
+    it has, across lines and comment signs, is a vector of term frequency times inverse document frequency,
     log((1 + files) / (1 + files with the term)) + 1, of all its terms over all files.  So a wrapped header
     is found, and a template that is a passage of a longer text.  The template with the greatest cosine, at
     or above threshold, is the file's own licence (ties: the least name).  Lines that share none of a
@@ -170,7 +172,7 @@ def license_scan(files: DataFrame, path_col: str = "path", text_col: str = "text
     some = stored(base.filter(F.col("text").rlike(pattern)).dropDuplicates(KEY), "some")
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(pattern))
     units = some.select(*KEY, F.posexplode(F.concat(lines, F.when(is_license, F.array("text")).otherwise(F.array().cast("array<string>")))).alias("unit", "line"))
-    units = units.select(*KEY, "unit", _split("line").alias("terms")).unionByName(_runs(some, weights, [len(_terms(x)) for _, x in templates], threshold))
+    units = units.select(*KEY, "unit", _split("line").alias("terms"), F.lit(None).cast("int").alias("template")).unionByName(_runs(some, weights, [len(_terms(x)) for _, x in templates], threshold))
     scored = scored_units(units, frequencies, n_files, templates, weights).filter(F.col("b.similarity") >= threshold)
     scored = stored(scored.groupBy(*KEY).agg(F.min_by("b", F.struct(-F.col("b.similarity"), "b.license")).alias("b")), "licensed")
 
