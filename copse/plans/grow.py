@@ -84,6 +84,8 @@ def _shares(o: Options, side: Column) -> Column:
 class Grower:
     features: tuple[Feature, ...]
     o: Options
+    codes: DataFrame | None = None  # ordinal, code and word of the categories
+    n_codes: int = 0
 
     @property
     def total(self) -> int:
@@ -125,20 +127,25 @@ class Grower:
     def members(self, rows: DataFrame, key: str, klass: str, round_) -> DataFrame:
         """tree, node, key, class: weight and the values of the row with the least draw, for rows (.., ordinal, ordinal_b)."""
         one, two = (lambda array, c=c: _value(array, F.col(c)) for c in ("ordinal", "ordinal_b"))
+        code = lambda x: F.when(x.isNotNull(), F.xxhash64(x))
+        values = {"num": one("nums"), "cat": code(one("cats")), "num_b": two("nums"), "cat_b": code(two("cats"))}
+        # One number orders rows, and categories are codes, so that the aggregation needs no sort.
         draw = u(self.o.seed, round_, F.col("tree"), F.col("node"), F.col(key), F.col("id"))
-        weight = F.sum("weight").alias("w")
-        if all(f.kind == "numeric" for f in self.features):  # numbers alone: a hash aggregation, without a sort
-            num, num_b = one("nums"), two("nums")
-            order = (draw * 4294967296).cast("bigint") * 2147483648 + F.pmod(F.xxhash64("id"), F.lit(2147483648))
-            order = F.when(num.isNotNull() | num_b.isNotNull(), order)
-            found = rows.groupBy(*AT, key, klass).agg(weight, F.min(order).alias("o"), F.min_by(num, order).alias("num"), F.min_by(num_b, order).alias("num_b"))
-            none = F.lit(None).cast("string")
-            v = F.struct("num", none.alias("cat"), "num_b", none.alias("cat_b"))
-            return found.select(*AT, key, klass, "w", F.when(F.col("o").isNotNull(), v).alias("v"))
-        v = F.struct(one("nums").alias("num"), one("cats").alias("cat"), two("nums").alias("num_b"), two("cats").alias("cat_b"))
-        has = lambda a, b: F.coalesce(v[a].isNotNull() | v[b].isNotNull(), F.lit(False))
-        order = F.when(has("num", "cat") | has("num_b", "cat_b"), F.struct(draw, F.col("id")))
-        return rows.groupBy(*AT, key, klass).agg(weight, F.min_by(v, order).alias("v"))
+        order = (draw * 4294967296).cast("bigint") * 2147483648 + F.pmod(F.xxhash64("id"), F.lit(2147483648))
+        order = F.when(F.coalesce(*[F.when(v.isNotNull(), F.lit(True)) for v in values.values()]), order)
+        found = rows.groupBy(*AT, key, klass).agg(F.sum("weight").alias("w"), F.min(order).alias("o"), *[F.min_by(v, order).alias(k) for k, v in values.items()])
+        return found.select(*AT, key, klass, "w", F.when(F.col("o").isNotNull(), F.struct(*values)).alias("v"))
+
+    def named(self, cuts: DataFrame) -> DataFrame:
+        """cuts with categories instead of their codes."""
+        if self.codes is None:
+            return cuts.withColumns({c: F.lit(None).cast("string") for c in ("category", "category_b") if c in cuts.columns})
+        for b in ("", "_b"):
+            if f"ordinal{b}" in cuts.columns:
+                words = small(self.codes.select(F.col("ordinal").alias("_o"), F.col("code").alias("_c"), F.col("word").alias("_w")), self.n_codes)
+                found = cuts.join(words, (F.col(f"ordinal{b}") == F.col("_o")) & (F.col(f"category{b}") == F.col("_c")), "left")
+                cuts = found.withColumn(f"category{b}", F.col("_w")).drop("_o", "_c", "_w")
+        return cuts
 
     def cuts(self, members: DataFrame, key: str, klass: str, round_) -> DataFrame:
         """A candidate for each key: midway between the rows of two classes (a category: that of the first)."""
@@ -201,7 +208,7 @@ class Grower:
         o, sampled = self.o, self.o.branch == "sample-examples"
         cuts = self.cuts(members.filter("cand >= 0"), "cand", "class", round_)
         asks = asked.select(*AT, F.explode("asks").alias("a")).select(*AT, "a.*")
-        cuts = asks.join(cuts, [*AT, "cand"])
+        cuts = self.named(asks.join(cuts, [*AT, "cand"]))
         if o.threshold == "exact":
             long = state.join(small(asks, n * self.total), AT).filter("ordinal_b IS NULL")
             cuts = cuts.join(self.exact(long, "cand").withColumnRenamed("threshold", "_exact"), [*AT, "cand"], "left")
@@ -252,7 +259,8 @@ class Grower:
             if o.threshold == "exact":
                 exact = self.exact(keyed.withColumn("class", F.col("pos").cast("string")), "cand").withColumnRenamed("threshold", "_exact")
                 cuts = cuts.join(exact, [*AT, "cand"], "left").withColumn("threshold", F.when(F.col("threshold").isNotNull(), F.col("_exact")))
-            cuts = stored(cuts.withColumns({"rule": F.floor(F.col("cand") / self.total).cast("int"), "ordinal": (F.col("cand") % self.total).cast("int")}).drop("cand", "threshold_b", "category_b"), "cuts")
+            cuts = cuts.withColumns({"rule": F.floor(F.col("cand") / self.total).cast("int"), "ordinal": (F.col("cand") % self.total).cast("int")}).drop("cand", "threshold_b", "category_b")
+            cuts = stored(self.named(cuts), "cuts")
             rules_ = stored(self._longer(rules_, keyed.drop("cand", "ordinal_b"), cuts, n * count), "rules")
         chosen = rules_.filter(F.size("conditions") > 0).select(*AT, F.col("rule").alias("cand"), "conditions", "target")
         cuts = stored(chosen.select(*AT, "cand", *self._columns(chosen)), "cuts")
@@ -377,6 +385,11 @@ def stats_of(weights: DataFrame) -> DataFrame:
 def grow(ex: ExampleSet, o: Options, bags: DataFrame) -> DataFrame:
     """The table of nodes of bags (tree, id, class, weight and the features of ex)."""
     grower, spark = Grower(ex.features, o), bags.sparkSession
+    words = [F.struct(F.lit(f.ordinal).alias("ordinal"), F.col(f"`{f.name}`").cast("string").alias("word")) for f in ex.features if f.kind == "categoric"]
+    if words:
+        known = bags.select(F.explode(F.array(*words)).alias("w")).select("w.*").filter("word IS NOT NULL").distinct()
+        grower.codes = stored(known.withColumn("code", F.xxhash64("word")), "codes")
+        grower.n_codes = grower.codes.count()
     names = F.create_map(*[F.lit(x) for f in ex.features for x in (f.ordinal, f.name)])
     rule = F.concat(F.lit("rule: "), F.array_join(F.transform("conditions", lambda c: F.element_at(names, c["ordinal"])), ", "))
     feature = F.when(F.col("conditions").isNotNull(), rule).when(F.col("ordinal_b").isNotNull(), F.concat_ws(" & ", names[F.col("ordinal")], names[F.col("ordinal_b")])).otherwise(names[F.col("ordinal")])
