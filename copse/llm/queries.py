@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dedup, gam, jaccard, licenses, lines, mixing, pieces, rules, sharding, urls
+from . import dedup, divergence, gam, jaccard, licenses, lines, manifest, mixing, pieces, rules, sharding, simhash, urls
 
 #: The vocabulary file; a parameter of the tokenizer query.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -116,6 +116,88 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(docs.withColumn("path", path)).select("doc_id", "path", "license", "how", "similarity", "license_dir")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of all pairs of sources of a language, and the terms that each source has more of."""
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT lang, source, row, unnest(w) AS term FROM (SELECT *, row_number() OVER () AS row FROM d)),
+k AS (SELECT lang, term, count(*) AS lang_n FROM t GROUP BY ALL HAVING count(DISTINCT row) >= 3),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+s AS (SELECT g.lang, g.source, coalesce(sum(n), 0)::HUGEINT AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+l AS (SELECT lang, count(*)::HUGEINT AS v, sum(lang_n)::HUGEINT AS total FROM k GROUP BY ALL),
+p AS (SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (s.total + l.v) AS p,
+             1 + (1000000000::HUGEINT * (k.lang_n + 1)) // (l.total + l.v) AS q
+      FROM s JOIN k USING (lang) JOIN l USING (lang) LEFT JOIN c USING (lang, source, term)),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0) AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value
+                     FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) x
+          ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value FROM p WHERE n > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+      FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM r WHERE part = 'pair' OR rank <= 200
+"""
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and their components at 4 differing bits."""
+    return simhash.simhash_components(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents against the manifest of the table; those with an even crc32 of their id have lost their line ends."""
+    lost = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    return manifest.verified(table(spark, sf_dir, "documents"), {"text": F.replace(F.col("text"), F.lit("\n"), F.lit(""))}, lost)
+
+
+def _tree_sql(name: str, leaves: str, levels: int) -> list[str]:
+    """name{levels}: tops of trees of leaves (key, pos, n, node); name_p{levels}: for each leaf what stands beside it."""
+    out = [f"{name}0 AS (SELECT key, pos, n, node FROM {leaves})", f"{name}_p0 AS (SELECT key, pos, pos AS at, []::STRUCT(l VARCHAR, r VARCHAR)[] AS path FROM {leaves})"]
+    for k in range(levels):
+        out.append(f"{name}_r{k} AS (SELECT key, pos // 3 AS pos, any_value(n) AS n, list(node ORDER BY pos) AS nodes FROM {name}{k} WHERE n > 1 GROUP BY ALL)")
+        out.append(f"{name}{k + 1} AS (SELECT key, pos, (n + 2) // 3 AS n, sha256(array_to_string(nodes, '')) AS node FROM {name}_r{k} UNION ALL SELECT key, pos, n, node FROM {name}{k} WHERE n = 1)")
+        step = "{'l': array_to_string(nodes[1:p.at % 3], ''), 'r': array_to_string(nodes[p.at % 3 + 2:], '')}"
+        out.append(f"{name}_p{k + 1} AS (SELECT p.key, p.pos, p.at // 3 AS at, CASE WHEN nodes IS NULL THEN path ELSE list_append(path, {step}) END AS path FROM {name}_p{k} p LEFT JOIN {name}_r{k} r ON r.key = p.key AND r.pos = p.at // 3)")
+    return out
+
+
+def _op13_sql(levels: int = 12, outer: int = 6) -> str:
+    of = lambda c: f"coalesce(octet_length(encode({c}::VARCHAR)) || ':' || {c}, '-')"
+    leaf = lambda text: f"sha256({of('doc_id')} || {of('source')} || {of('lang')} || {of('n_chars')} || {of(text)})"
+    odd = "(crc32 & 1) = 1"
+    fold = lambda k: f"SELECT * EXCLUDE (node), CASE WHEN len(path) > {k} THEN sha256(path[{k + 1}].l || node || path[{k + 1}].r) ELSE node END AS node FROM f{k}"
+    # The CRC of a few digits, bit by bit.
+    ctes = [
+        "crc0 AS (SELECT doc_id, encode(doc_id::VARCHAR) AS b, 4294967295::BIGINT AS c, 0 AS i FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) UNION ALL "
+        "SELECT doc_id, b, " + _crc_step() + ", i + 1 FROM crc0 WHERE i < octet_length(b))",
+        "crc AS (SELECT doc_id, xor(c, 4294967295) AS crc32 FROM crc0 WHERE i = octet_length(b))",
+        "docs AS (SELECT d.*, " + leaf("text") + " AS leaf, CASE WHEN " + odd.replace("= 1", "= 0") + " THEN " + leaf("replace(text, chr(10), '')") + " END AS other, coalesce('1' || source, '0') AS key FROM documents d LEFT JOIN crc USING (doc_id))",
+        "leaves AS (SELECT key, doc_id, leaf AS node, coalesce(other, leaf) AS other, row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY key) AS n FROM docs)",
+        *_tree_sql("s", "leaves", levels),
+        f"tops AS (SELECT '' AS key, key AS source, node, row_number() OVER (ORDER BY key) - 1 AS pos, count(*) OVER () AS n FROM s{levels})",
+        *_tree_sql("o", "tops", outer),
+        f"f0 AS (SELECT l.doc_id, l.node AS leaf, t.node AS subroot, o.node AS root, list_concat(a.path, b.path) AS path, l.other AS node FROM leaves l JOIN s_p{levels} a USING (key, pos) JOIN tops t ON t.source = l.key JOIN o_p{outer} b ON b.pos = t.pos, o{outer} o)",
+        *[f"f{k + 1} AS ({fold(k)})" for k in range(levels + outer)],
+    ]
+    return (
+        "WITH RECURSIVE " + ",\n".join(ctes) + f"\nSELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda s: s.l || s.r), '')) AS proof_sha256, node AS folded_root, node = root AS verified FROM f{levels + outer}"
+    )
+
+
+def _crc_step() -> str:
+    """One more byte of the CRC-32 with the polynomial EDB88320."""
+    c = "xor(c, ascii(decode(b[i + 1:i + 1])))"
+    for _ in range(8):
+        c = f"list_transform([{c}], lambda v: xor(v >> 1, CASE WHEN (v & 1) = 1 THEN 3988292384 ELSE 0 END))[1]"
+    return c
+
+
 _STOP = ", ".join(f"'{w}'" for w in rules.STOP_WORDS)
 _FAILS = " OR ".join(f"{name} {sign} {bound}" for name, sign, bound in rules.RULES)
 OP9_SQL = rf"""
@@ -155,8 +237,11 @@ def queries() -> dict:
         "op8_line_dedup": op8_line_dedup,
         "op9_quality_rules": op9_quality_rules,
         "op10_license_scan": op10_license_scan,
+        "op11_source_divergence": op11_source_divergence,
+        "op12_simhash": op12_simhash,
+        "op13_merkle_manifest": op13_merkle_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_temporal_url_filter": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op9_quality_rules": OP9_SQL}
+    return {"op4_temporal_url_filter": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op9_quality_rules": OP9_SQL, "op11_source_divergence": OP11_SQL, "op13_merkle_manifest": _op13_sql()}
