@@ -20,8 +20,8 @@ SHINGLE, LINK = 3, 90
 BITS, LEAST_BITS = 512, 512
 #: Rows of a tile that isn't banded by size, and multiples of the prefix that are searched for common shingles.
 SMALL_TILE, SEARCHED = 256, 4
-#: Rows of a tile that a task compares with the tile's first one, about.
-DEAL = 1024
+#: Rows of a tile that a task compares with the tile's first one, about; of one side of a cell of a split tile; pairs at hand.
+DEAL, CELL, PAIRS = 1024, 4096, 1_000_000
 #: A shingle in more prefixes than this, and than 1 / MOST_COMMON of all, is common.
 COMMON, MOST_COMMON = 50, 1_000_000
 #: Shared shingles of a prefix that take part in each of the rounds that compare with a few rows of a tile only.
@@ -182,39 +182,88 @@ def _whole_tiles(batches):
         yield rest
 
 
-def _candidates(few: bool, link: int):
+def _distinct_pairs(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    a, b = (np.concatenate([np.zeros(0, np.int64), *[x[i] for x in pairs]]) for i in (0, 1))
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    both = np.unique(np.stack([low, high], 1)[low != high], axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
+
+
+def _with_first(link: int):
+    """Candidates of the first rounds: each row with the first of its tile, the others with the next one."""
+
     def run(batches):
         for t in _whole_tiles(batches):
-            visits, n, cid, root, pos = (t.column(c).to_numpy() for c in ("visits", "n", "cid", "root", "pos"))
+            n, cid, root, pos = (t.column(c).to_numpy() for c in ("n", "cid", "root", "pos"))
+            bits = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint64).reshape(len(n), BITS // 64)
+            tile, out, left = np.r_[0, np.cumsum(_changes(t))], [], np.arange(len(n))
+            for _ in range(2):
+                if len(left) < 2:
+                    break
+                lead = left[np.searchsorted(tile[left], tile[left])]
+                own = (lead != left) & (root[lead] != root[left])
+                a, b = lead[own], left[own]
+                ok = _compatible(n, pos, bits, a, b, link)
+                out.append((cid[a[ok]], cid[b[ok]]))
+                left = b[~ok]  # those with the first one's component have no more to do here
+            yield _distinct_pairs(out)
+
+    return run
+
+
+def _most_frequent_root(tile: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """Which rows have the root that most rows of their tile have."""
+    order = np.lexsort((root, tile))
+    new = np.r_[True, (tile[order][1:] != tile[order][:-1]) | (root[order][1:] != root[order][:-1])]
+    run = np.cumsum(new) - 1
+    size, of = np.bincount(run), tile[order][new]
+    best = np.lexsort((-size, of))
+    best = best[np.r_[True, of[best][1:] != of[best][:-1]]]
+    out = np.zeros(len(tile), bool)
+    out[order] = np.isin(run, best)
+    return out
+
+
+def _ranges(low: np.ndarray, high: np.ndarray):
+    """Chunks of (i, j) with j from low[i] to high[i], of about PAIRS pairs each."""
+    some = np.flatnonzero(low < high)
+    upto = np.cumsum(high[some] - low[some])
+    for part in np.split(some, np.searchsorted(upto, np.arange(PAIRS, upto[-1], PAIRS)) if len(upto) else []):
+        size = high[part] - low[part]
+        if size.sum():
+            yield np.repeat(part, size), np.repeat(low[part], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+
+
+def _between_roots(link: int):
+    """Candidates of the last round: rows of different components of a tile, the smaller of each pair first.
+
+    In a pair that may link, the larger is no larger than what the smaller one's place in the tile allows, so
+    rows whose place rules out all sets of their size or more start no pair.  Sorted by size, the partners of a row are
+    a range.  Rows of the tile's most frequent component start pairs with other rows only.  Cells of a split tile have two
+    sides, and pairs have one row of each.
+    """
+
+    def run(batches):
+        for t in _whole_tiles(batches):
+            visits, n, cid, root, pos, side, sides = (t.column(c).to_numpy(zero_copy_only=False) for c in ("visits", "n", "cid", "root", "pos", "side", "sides"))
             bits = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint64).reshape(len(n), BITS // 64)
             tile = np.r_[0, np.cumsum(_changes(t))]
+            key = (2 * tile + side) << 40 | n  # rises: rows are sorted by tile, side and size
+            largest = np.minimum((100 + link) * (n - pos) // link - n, 100 * n // link)
+            frequent = _most_frequent_root(tile, root)
             out = []
-            if few:  # each row with the first of its tile, the others with the next one
-                left = np.arange(len(n))
-                for _ in range(2):
-                    if len(left) < 2:
-                        break
-                    lead = left[np.searchsorted(tile[left], tile[left])]
-                    own = (lead != left) & (root[lead] != root[left])
-                    a, b = lead[own], left[own]
-                    ok = _compatible(n, pos, bits, a, b, link)
-                    out.append((a[ok], b[ok]))
-                    left = b[~ok]  # those with the first one's component have no more to do here
-            else:
-                for step in range(1, len(n)):
-                    a = np.flatnonzero(tile[step:] == tile[:-step])
-                    if not len(a):
-                        break
-                    b = a + step
+            for first, second in ((~frequent, np.ones(len(n), bool)), (frequent, ~frequent)):
+                start, at = np.flatnonzero(first & (largest >= n)), np.flatnonzero(second)
+                to, own = (2 * tile + np.where(sides == 2, 1 - side, side))[start] << 40, key[at]
+                low = np.searchsorted(own, to | n[start], "left")
+                high = np.searchsorted(own, to | largest[start], "right")
+                for i, j in _ranges(low, high):
+                    a, b = start[i], at[j]
                     ok = (root[a] != root[b]) & ~(visits[a] & visits[b])
                     a, b = a[ok], b[ok]
                     ok = _compatible(n, pos, bits, a, b, link)
-                    out.append((a[ok], b[ok]))
-            if out:
-                a, b = (cid[np.concatenate(x)] for x in zip(*out, strict=True))
-                pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-                pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+                    out.append((cid[a[ok]], cid[b[ok]]))
+            yield _distinct_pairs(out)
 
     return run
 
@@ -270,24 +319,44 @@ def linked(pairs: DataFrame, sets: DataFrame, link: int = LINK) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """cid and root (the same for all of a component) of the edges' ends, by hooking and pointer jumping."""
-    maps = []
+    maps, used = [], []
     while True:
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = stored(both.groupBy("a").agg(F.min("b").alias("p")).select("a", F.least("a", "p").alias("p")), "parents")
         while True:
             nxt = stored(up.join(up.select(F.col("a").alias("p"), F.col("p").alias("q")), "p", "left").select("a", F.coalesce("q", "p").alias("p"), (F.col("q") < F.col("p")).alias("moved")), "parents")
-            up = nxt.select("a", "p")
-            if nxt.filter("moved").isEmpty():
+            discard(up)
+            up = nxt
+            if up.filter("moved").isEmpty():
                 break
         maps.append(up)
         ends = edges.join(up, "a").select(F.col("p").alias("x"), F.col("b").alias("a")).join(up, "a").select("x", F.col("p").alias("y"))
         edges = stored(ends.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        used += [up, edges]
         if edges.isEmpty():
             break
     out = maps[0].select(F.col("a").alias("cid"), F.col("p").alias("root"))
     for up in maps[1:]:
         out = out.join(up.select(F.col("a").alias("root"), "p"), "root", "left").select("cid", F.coalesce("p", "root").alias("root"))
-    return stored(out, "components")
+    out = stored(out, "components")
+    discard(*used)
+    return out
+
+
+def joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """cid and root of all linked so far, after more links: these are contracted onto the roots that there are."""
+    if roots is None:
+        return components(links)
+    of = lambda c: roots.select(F.col("cid").alias(c), F.col("root").alias(f"root_{c}"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    ends = stored(ends.filter("a <> b").distinct(), "edges")
+    if ends.isEmpty():
+        return roots
+    more = components(ends)
+    moved = roots.join(more.select(F.col("cid").alias("root"), F.col("root").alias("to")), "root", "left").select("cid", F.coalesce("to", "root").alias("root"))
+    out = stored(moved.unionByName(more.join(roots, "cid", "left_anti").select("cid", "root")), "components")
+    discard(ends, more, roots)
+    return out
 
 
 def _classes(df: DataFrame, id_col: str, text_col: str, k: int, link: int) -> tuple[DataFrame, DataFrame]:
@@ -325,28 +394,34 @@ def _classes(df: DataFrame, id_col: str, text_col: str, k: int, link: int) -> tu
             keep = [i for i, (u, node) in enumerate(zip(sets, part.column(1).to_pylist(), strict=True)) if _set_id(u) == node]
             yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keep, pa.int32())), _lists([sets[i] for i in keep])], ["cid", "members"])
 
-    def links_of(rooted: DataFrame, round_: int) -> DataFrame:
-        few_rows, last = round_ < len(FIRST_ROUNDS), round_ == len(FIRST_ROUNDS)
+    def links_of(rooted: DataFrame, round_: int) -> DataFrame | None:
+        last = round_ == len(FIRST_ROUNDS)
         own = rooted.select("token", "band", F.lit(False).alias("visits"), "n", "pos", "cid", "root", "sig", "times")
         dealt = own.unionByName(own.filter("band >= 0").withColumns({"visits": F.lit(True), "band": F.col("band") + 1}))
-        if last:  # a tile of one component has no pairs
+        if last:  # a tile of one component has no pairs; large ones are split in blocks, of which any two meet in a cell
             dealt = dealt.withColumn("salt", salt(F.col("cid")))
-            roots = dealt.groupBy("token", "band", "salt").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-            mixed = roots.groupBy("token", "band").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.bit_or(salt_bit("salt")).alias("salts")).filter("low < high")
-            dealt = dealt.join(mixed.select("token", "band", salts_in("salts").alias("salt")), ["token", "band", "salt"]).drop("salt")
-        order = F.xxhash64("token", "cid", F.lit(round_))
-        if few_rows:  # large tiles fall into deals, each with the first row of the tile
+            roots = dealt.groupBy("token", "band", "salt").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("rows"))
+            mixed = roots.groupBy("token", "band").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.bit_or(salt_bit("salt")).alias("salts"), F.sum("rows").alias("rows"))
+            mixed = stored(mixed.filter("low < high").select("token", "band", "rows", "salts"), "mixed")
+            if mixed.isEmpty():
+                return None
+            dealt = dealt.join(mixed.select("token", "band", "rows", salts_in("salts").alias("salt")), ["token", "band", "salt"]).drop("salt")
+            dealt = dealt.withColumn("blocks", F.ceil(F.col("rows") / CELL).cast("int")).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+            cell = lambda j: F.struct((F.least("block", j) * F.col("blocks") + F.greatest("block", j)).alias("deal"), (F.col("block") > j).cast("int").alias("side"), F.when(F.col("block") == j, 1).otherwise(2).alias("sides"))
+            dealt = dealt.withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), cell))).select("token", "band", "visits", "n", "pos", "cid", "root", "sig", "cell.*")
+            dealt = dealt.repartition("token", "band", "deal").sortWithinPartitions("token", "band", "deal", "side", "n", "cid")
+            candidates = _between_roots(link)
+        else:  # large tiles fall into deals, each with the first row of the tile
+            order = F.xxhash64("token", "cid", F.lit(round_))
             deals = F.when(F.col("times") > DEAL, F.ceil(F.col("times") / DEAL)).otherwise(F.lit(1)).cast("int")
             large = dealt.filter(F.col("times") > DEAL).withColumn("salt", salt(F.col("cid")))
             row = F.struct(*dealt.columns)
             first = large.groupBy("token", "band", "salt").agg(F.min_by(row, order).alias("r"), F.min(order).alias("o")).groupBy("token", "band").agg(F.min_by("r", "o").alias("r")).select("r.*")
             first = first.withColumn("deal", F.explode(F.sequence(F.lit(0), deals - 1)))
             dealt = dealt.withColumn("deal", F.pmod(F.xxhash64("cid", F.lit(round_)), deals).cast("int")).unionByName(first)
-        else:
-            dealt = dealt.withColumn("deal", F.lit(0))
-        dealt = dealt.drop("times").repartition("token", "band", "deal")
-        dealt = dealt.sortWithinPartitions("token", "band", "deal", *([order, "cid"] if few_rows else ["n", "cid"]))
-        pairs = dealt.mapInArrow(_candidates(few_rows, link), "a long, b long").distinct()
+            dealt = dealt.drop("times").repartition("token", "band", "deal").sortWithinPartitions("token", "band", "deal", order, "cid")
+            candidates = _with_first(link)
+        pairs = dealt.mapInArrow(candidates, "a long, b long").distinct()
         for c in "ab":
             pairs = pairs.join(classes.select(F.col("cid").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")), c)
         pairs = stored(pairs.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_close(link), "a long, b long"), "pairs")
@@ -365,15 +440,17 @@ def _classes(df: DataFrame, id_col: str, text_col: str, k: int, link: int) -> tu
         discard(*used)
         return out
 
-    links, rooted = None, tiles.withColumn("root", F.col("cid"))
+    roots, rooted = None, tiles.withColumn("root", F.col("cid"))
     for i, most in enumerate([*FIRST_ROUNDS, None]):
         found = links_of(rooted if most is None else rooted.filter(F.col("nth") <= most), i)
-        links = found if links is None else links.unionByName(found)
-        roots = components(links)
+        if found is not None:
+            roots = joined(roots, found)
+            discard(found)
         rooted = tiles.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
 
-    per_class = classes.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    return rows, per_class.select("node", "id", "salts", "root")
+    per_class = stored(classes.join(roots, "cid", "left").select("node", "id", "salts", F.coalesce("root", "cid").alias("root")), "rooted")
+    discard(tiles, classes, roots)
+    return rows, per_class
 
 
 def _components(df: DataFrame, id_col: str, text_col: str, k: int, link: int) -> DataFrame:

@@ -190,10 +190,11 @@ def components(rows, k, link):
     return sets, [top(i) for i in range(len(rows))]
 
 
-@pytest.mark.parametrize("deal", [3, 1024])
-def test_near_copies_of_odd_rows(spark, monkeypatch, deal):
+@pytest.mark.parametrize(("deal", "cell"), [(3, 4), (1024, 4096)])
+def test_near_copies_of_odd_rows(spark, monkeypatch, deal, cell):
     monkeypatch.setattr(jaccard, "COMMON", 5)
     monkeypatch.setattr(jaccard, "DEAL", deal)  # large tiles, at this size
+    monkeypatch.setattr(jaccard, "CELL", cell)
     rng = np.random.default_rng(9)
     vocabulary, rows = [f"w{i}" for i in range(3000)], []
     for g in range(12):
@@ -221,6 +222,46 @@ def test_near_copies_of_odd_rows(spark, monkeypatch, deal):
     assert all(i == names[r] for r, v in per.items() for i, _ in v) and got[500, None] == got[501, " \t\n"] == 1
 
 
+def tile_table(rng, n, cell, blocks):
+    """Rows of two tiles as the last round has them, split in blocks: sizes, places and roots at random."""
+    import pyarrow as pa
+
+    rows = []
+    for cid in range(n):
+        size, token = int(rng.integers(50, 61)), int(rng.integers(0, 2))
+        row = {"token": token, "band": 0, "visits": bool(rng.random() < 0.3), "n": size, "pos": int(rng.integers(0, 7)), "cid": cid, "root": int(rng.choice([1, 1, 1, 2, cid])), "sig": b"\0" * (jaccard.BITS // 8)}
+        block = int(rng.integers(0, blocks))
+        rows += [row | {"deal": min(block, j) * blocks + max(block, j), "side": int(block > j), "sides": 1 if block == j else 2} for j in range(blocks)]
+    rows.sort(key=lambda r: (r["token"], r["band"], r["deal"], r["side"], r["n"], r["cid"]))
+    table = pa.Table.from_pylist(rows, schema=pa.schema([("token", pa.int64()), ("band", pa.int32()), ("visits", pa.bool_()), ("n", pa.int64()), ("pos", pa.int32()), ("cid", pa.int64()), ("root", pa.int64()), ("sig", pa.binary()), ("deal", pa.int32()), ("side", pa.int32()), ("sides", pa.int32())]))
+    return rows, table
+
+
+@pytest.mark.parametrize(("blocks", "pairs"), [(1, 1_000_000), (3, 7)])
+def test_cells_meet_all_pairs_that_may_link(monkeypatch, blocks, pairs):
+    monkeypatch.setattr(jaccard, "PAIRS", pairs)
+    rows, table = tile_table(np.random.default_rng(4), 150, 10, blocks)
+    one = {r["cid"]: r for r in rows}
+    want = set()
+    for a in one.values():
+        for b in one.values():
+            if a["cid"] < b["cid"] and a["token"] == b["token"] and a["root"] != b["root"] and not (a["visits"] and b["visits"]):
+                x, y = a["n"], b["n"]
+                if 100 * min(x, y) >= 90 * max(x, y) and 190 * min(x - a["pos"], y - b["pos"]) >= 90 * (x + y):
+                    want.add((a["cid"], b["cid"]))
+    got = [(r["a"], r["b"]) for batch in jaccard._between_roots(90)(table.to_batches(40)) for r in batch.to_pylist()]
+    assert want and set(got) == want
+
+
+def test_texts_of_one_passage_and_a_tenth_of_their_own_words(spark):
+    passage = " ".join(f"p{i}" for i in range(200))
+    rows = [(i, passage + " " + " ".join(f"o{i}x{j}" for j in range(22 if i % 50 else 2)), "s") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sets, root = components([r[:2] for r in rows], 3, 90)
+    got = {r[0]: r[1] for r in jaccard.jaccard_components(docs).select("doc_id", "component_id").collect()}
+    assert got == dict(enumerate(root)) and len(set(root)) > 500
+
+
 def test_a_filter_of_keys_loses_none(spark):
     rows = spark.range(5000).withColumn("x_bits", F.lit(1))
     keys = spark.range(0, 5000, 50).withColumnRenamed("id", "k")
