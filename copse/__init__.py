@@ -1,0 +1,7 @@
+"""Ensemble analytics on Spark.  Functions that run in Python workers are pickled by value: executors need no copy of this package."""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -157,12 +157,14 @@ def smote(df: DataFrame, features: tuple[Feature, ...], seed, minority: str | No
 
     A numeric value lies between the row's and that of one of its k nearest in the class, with a draw for
     each feature; a category is the most frequent of the neighbours; a value missing on either side is
-    missing.  A row without neighbour gets its own value plus the draw.
+    missing.  A row without neighbour gets its own value plus the draw.  Neighbours are searched in cells.
     """
     if minority is None:
         minority = df.groupBy("class").count().orderBy("count", "class").first()["class"]
     own = df.filter(F.col("class") == minority)
-    near = nearest(own, own, features, k, ranges_of(own, features), values=True)
+    from .cells import nearest_in_cells
+
+    near = nearest_in_cells(own, own, features, k, ranges_of(own, features), values=True)
     near = near.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("v").alias("nb")))).alias("near"))
     rows = own.join(near, own["id"] == near["query"], "left").withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(times))))
     pick = F.floor(u(seed, "pick", F.col("id"), F.col("copy")) * F.size("near")).cast("int")

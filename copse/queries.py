@@ -15,6 +15,7 @@ from copse import oracles
 from copse.functions import measures
 from copse.functions.rng import u
 from copse.operators import examples, metrics, neighbors, rules, sampling, split
+from copse.operators.cells import nearest_in_cells
 from copse.operators.examples import ExampleSet
 from copse.oracles import U, ForestSQL
 from copse.plans import forest, validate
@@ -261,6 +262,17 @@ def _catalogue() -> dict:
     dist = "list_sum(list_transform(list_zip(v.embedding, q.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) ** 2))"
     add("knn_topk", lambda s, d: neighbors.nearest_vectors(vectors(s, d), vectors(s, d).filter("id % 20 = 0"), 5).select("query", "id", R6("distance"), "rank"),
         f"SELECT * FROM (SELECT q.vec_id AS query, v.vec_id AS id, round({dist}, 6) AS distance, row_number() OVER (PARTITION BY q.vec_id ORDER BY {dist}, v.vec_id) AS rank FROM embeddings v, embeddings q WHERE q.vec_id % 20 = 0 AND v.vec_id <> q.vec_id) WHERE rank <= 5")
+    def kd_topk(ex):
+        return nearest_in_cells(ex.df, ex.df.filter("id % 20 = 0"), ex.features, 5).select("query", "id", R6("distance"), "rank")
+
+    part = lambda f: f"CASE WHEN a.{f} IS NULL AND b.{f} IS NULL THEN 1 WHEN a.{f} IS NULL THEN (b.{f} - low_{f}) / (high_{f} - low_{f}) WHEN b.{f} IS NULL THEN (a.{f} - low_{f}) / (high_{f} - low_{f}) ELSE (a.{f} - b.{f}) / (high_{f} - low_{f}) END"
+    ends = lambda fs: ", ".join(f"min({f})::DOUBLE AS low_{f}, max({f})::DOUBLE AS high_{f}" for f in fs)
+    nearest_sql = lambda rows, fs, cs=(): (
+        f"WITH x AS MATERIALIZED ({rows}), r AS (SELECT {ends(fs)} FROM x), d AS (SELECT a.id AS query, b.id, {' + '.join([f'({part(f)}) ** 2' for f in fs] + [f'(a.{c} IS DISTINCT FROM b.{c} OR a.{c} IS NULL)::INT' for c in cs])} AS distance FROM x a, x b, r WHERE a.id % 20 = 0 AND a.id <> b.id) "
+        "SELECT query, id, round(distance, 6) AS distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, id) AS rank FROM d) WHERE rank <= 5"
+    )
+    add("kd_topk", lambda s, d: kd_topk(events(s, d)), nearest_sql(E_SQL, ("value", "hour")))
+    add("kd_topk_mixed", lambda s, d: kd_topk(gappy_orders(s, d)), nearest_sql(G_SQL, ("o_totalprice", "month"), ("o_orderpriority",)))
     add("rbf_features", lambda s, d: neighbors.radial_features(vectors(s, d), vectors(s, d).filter("id < 3"), 0.5).select("id", "centroid", R6("value")), f"SELECT v.vec_id AS id, q.vec_id AS centroid, round(exp(-0.5 * {dist}), 6) AS value FROM embeddings v, embeddings q WHERE q.vec_id < 3")
     gap = lambda v, c: f"list_sum(list_transform(list_zip({v}, {c}), lambda z: (z[1] - z[2]) ** 2))"
     steps = [f"v AS MATERIALIZED (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)", f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY {U('k', q1('centroid'), 'id')}, id) AS cluster, v AS c FROM v ORDER BY 1 LIMIT 4)"]
