@@ -90,10 +90,10 @@ def chi_of() -> Column:
     return F.when(all_ > 0, fold(lambda e: cell(e, "l", "wl") + cell(e, "r", "wr"))).otherwise(0.0)
 
 
-def scored(rows: DataFrame, keys: list[str], measure: str, seed=0) -> DataFrame:
-    """The rows of by_candidate() with score, left, right and chi2."""
+def scored(rows: DataFrame, keys: list[str], measure: str, seed=0, draws: list[Column] | None = None) -> DataFrame:
+    """The rows of by_candidate() with score, left, right and chi2.  draws: by which a coin is drawn, the keys if not given."""
     rows = _shares(rows) if measure not in ("info", "gini", "gini-info") else rows
-    score, left, right = score_of(measure, u(seed, "gini-info", *[F.col(k) for k in keys]))
+    score, left, right = score_of(measure, u(seed, "gini-info", *(draws or [F.col(k) for k in keys])))
     return rows.select(*rows.columns, score.alias("score"), left.alias("left"), right.alias("right"), chi_of().alias("chi2"))
 
 

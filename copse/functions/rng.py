@@ -14,7 +14,7 @@ PIECE, PIECES = 1_000_000, 100_000
 
 def u(seed, *keys) -> Column:
     """Uniform in [0, 1): the first 32 bits of the MD5 of seed:key:..., over 2 ** 32."""
-    text = F.concat_ws(":", F.lit(str(seed)), *[k.cast("string") if isinstance(k, Column) else F.lit(str(k)) for k in keys])
+    text = F.concat_ws(":", *[k.cast("string") if isinstance(k, Column) else F.lit(str(k)) for k in (seed, *keys)])
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
 
 

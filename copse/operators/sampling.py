@@ -4,28 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from copse.functions.rng import ranked, triangle, u, uniform_between
+from copse.functions.rng import ranked, running, triangle, u, uniform_between
+from copse.plans.tables import small, stored
 
 
 def _round(x: Column) -> Column:
     return F.floor(x + 0.5).cast("bigint")
 
 
-def bootstrap(ex: DataFrame, seed, trees: int | None = None) -> DataFrame:
+def bootstrap(ex: DataFrame, seed, trees: int | None = None, within: list[str] | None = None) -> DataFrame:
     """In-bag rows: as many draws with replacement as rows; how often a row was drawn scales its weight.
 
-    trees: as many samples, told apart by the column tree.
+    trees: as many samples, told apart by the column tree.  within: apart for each value of these columns (few values).
     """
-    n = ex.count()
-    rows = ranked(ex, u(seed, "order", F.col("id")), "id", name="place")
-    draws = ex.sparkSession.range(1, n + 1).withColumnRenamed("id", "draw")
-    keys = []
-    if trees is not None:
-        draws, keys = draws.withColumn("tree", F.explode(F.sequence(F.lit(1), F.lit(trees)))), ["tree"]
-    place = (F.floor(u(seed, *[F.col(k) for k in keys], F.col("draw")) * n) + 1).cast("bigint")
-    times = draws.select(*keys, place.alias("place")).groupBy(*keys, "place").agg(F.count(F.lit(1)).alias("times"))
-    return rows.join(times, "place").withColumn("weight", F.col("weight") * F.col("times")).drop("place", "times")
+    keys, tree = within or [], ["tree"] if trees is not None else []
+    rows = ranked(ex, u(seed, "order", F.col("id")), "id", keys, name="place")
+    sizes = [r.asDict() for r in ex.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).collect()]  # a row for each value
+    draws = ex.sparkSession.range(1, max([r["n"] for r in sizes], default=0) + 1).withColumnRenamed("id", "draw")
+    each = F.array(*[F.struct(*[F.lit(v).cast(ex.schema[k].dataType if k != "n" else "long").alias(k) for k, v in r.items()]) for r in sizes]) if sizes else F.array(F.struct(F.lit(0).alias("n")))
+    draws = draws.withColumn("_of", F.explode(each)).select("draw", "_of.*").filter(F.col("draw") <= F.col("n"))
+    if tree:
+        draws = draws.withColumn("tree", F.explode(F.sequence(F.lit(1), F.lit(trees))))
+    place = (F.floor(u(seed, *map(F.col, tree), F.col("draw")) * F.col("n")) + 1).cast("bigint")
+    times = draws.select(*keys, *tree, place.alias("place")).groupBy(*keys, *tree, "place").agg(F.count(F.lit(1)).alias("times"))
+    return rows.join(times, [*keys, "place"]).withColumn("weight", F.col("weight") * F.col("times")).drop("place", "times")
 
 
 def out_of_bag(ex: DataFrame, bag: DataFrame, trees: int | None = None) -> DataFrame:
@@ -51,40 +55,44 @@ def random_sample(ex: DataFrame, seed) -> DataFrame:
     return triangle_sample(ex, seed) if x <= 0.33 else uniform_sample(ex, seed) if x >= 0.66 else bootstrap(ex, seed)
 
 
-def oversample(ex: DataFrame) -> DataFrame:
-    """Every class weighs as much as the largest."""
-    per = ex.groupBy("class").agg(F.sum("weight").alias("own"))
-    most = per.agg(F.max("own").alias("most"))
-    return ex.join(F.broadcast(per.crossJoin(most)), "class").withColumn("weight", F.col("weight") * F.col("most") / F.col("own")).drop("own", "most")
+def oversample(ex: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Every class weighs as much as the largest; apart for each value of keys."""
+    per = ex.groupBy(*keys, "class").agg(F.sum("weight").alias("own"))
+    per = stored(per.withColumn("most", F.max("own").over(Window.partitionBy(*(keys or [F.lit(0)])))), "classes")  # a row for each class
+    return ex.join(small(per, per.count()), [*keys, "class"]).withColumn("weight", F.col("weight") * F.col("most") / F.col("own")).drop("own", "most")
 
 
-def undersample(ex: DataFrame, seed) -> DataFrame:
-    """As many random rows of each class as the smallest has."""
-    least = ex.groupBy("class").count().agg(F.min("count")).first()[0] or 0
-    return ranked(ex, u(seed, "under", F.col("id")), "id", ["class"]).filter(F.col("rank") <= least).drop("rank")
+def undersample(ex: DataFrame, seed, keys: tuple[str, ...] = ()) -> DataFrame:
+    """As many random rows of each class as the smallest has; apart for each value of keys."""
+    per = ex.groupBy(*keys, "class").agg(F.count(F.lit(1)).alias("n"))
+    rows = ranked(ex, u(seed, "under", F.col("id")), "id", [*keys, "class"])
+    if not keys:
+        return rows.filter(F.col("rank") <= (per.agg(F.min("n")).first()[0] or 0)).drop("rank")
+    least = per.groupBy(*keys).agg(F.min("n").alias("_least"))
+    return rows.join(least, [*keys]).filter(F.col("rank") <= F.col("_least")).drop("rank", "_least")
 
 
 def nothing(ex: DataFrame) -> DataFrame:
     return ex
 
 
-def subset(ex: DataFrame, size, seed) -> DataFrame:
-    """A float in [0, 1]: that share of each class, rounded; an integer: so many rows at most."""
+def subset(ex: DataFrame, size, seed, keys: tuple[str, ...] = ()) -> DataFrame:
+    """A float in [0, 1]: that share of each class, rounded; an integer: so many rows at most.  Apart for each value of keys."""
     if isinstance(size, float):
-        counts = ex.groupBy("class").agg(F.count(F.lit(1)).alias("n"))
-        rows = ranked(ex, u(seed, "subset", F.col("id")), "id", ["class"]).join(F.broadcast(counts), "class")
+        counts = stored(ex.groupBy(*keys, "class").agg(F.count(F.lit(1)).alias("n")), "classes")
+        rows = ranked(ex, u(seed, "subset", F.col("id")), "id", [*keys, "class"]).join(small(counts, counts.count()), [*keys, "class"])
         return rows.filter(F.col("rank") <= _round(F.col("n") * F.lit(size))).drop("rank", "n")
-    return ranked(ex, u(seed, "subset", F.col("id")), "id").filter(F.col("rank") <= size).drop("rank")
+    return ranked(ex, u(seed, "subset", F.col("id")), "id", [*keys]).filter(F.col("rank") <= size).drop("rank")
 
 
-def subagging(ex: DataFrame, seed, fraction: float = 0.5) -> DataFrame:
-    return subset(ex, float(fraction), seed)
+def subagging(ex: DataFrame, seed, fraction: float = 0.5, keys: tuple[str, ...] = ()) -> DataFrame:
+    return subset(ex, float(fraction), seed, keys)
 
 
 def train_test_split(ex: DataFrame, ratio: float, seed) -> DataFrame:
     """ex with train: the first share of each class in hash order."""
-    counts = ex.groupBy("class").agg(F.count(F.lit(1)).alias("n"))
-    rows = ranked(ex, u(seed, "split", F.col("id")), "id", ["class"]).join(F.broadcast(counts), "class")
+    counts = stored(ex.groupBy("class").agg(F.count(F.lit(1)).alias("n")), "classes")
+    rows = ranked(ex, u(seed, "split", F.col("id")), "id", ["class"]).join(small(counts, counts.count()), "class")
     return rows.withColumn("train", F.col("rank") <= _round(F.col("n") * F.lit(ratio))).drop("rank", "n")
 
 
@@ -109,8 +117,6 @@ def random_features(spark, names: list[str], n: int, seed, keys: DataFrame | Non
     per = spark.createDataFrame([(x,) for x in names], "feature string")
     cols = keys.columns if keys is not None else []
     rows = keys.withColumn("feature", F.explode(F.array(*map(F.lit, names)))) if keys is not None else per
-    from pyspark.sql.window import Window
-
     draw = u(seed, "feature", *[F.col(c) for c in cols], F.col("feature"))
     order = Window.partitionBy(*(cols or [F.lit(0)])).orderBy(draw, "feature")
     return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n).drop("rank")
@@ -142,11 +148,21 @@ def sample_pair(ex: DataFrame, seed, keys: tuple[str, ...] = ()) -> DataFrame:
 
 
 def weighted_pick(weights: DataFrame, n: int, seed) -> DataFrame:
-    """n draws of item in proportion to weight (a small table): draw and item."""
-    from pyspark.sql.window import Window
+    """n draws of item in proportion to weight: draw and item.
 
-    upto = weights.withColumn("upto", F.sum("weight").over(Window.partitionBy(F.lit(0)).orderBy("item")))
-    total = weights.agg(F.sum("weight").alias("total"))
-    wheel = upto.crossJoin(total).agg(F.array_sort(F.collect_list(F.struct((F.col("upto") / F.col("total")).alias("e"), "item"))).alias("wheel"))
+    Items have an edge each on a line of the total weight; draws and edges are sorted together in pieces, and a draw takes
+    the first edge above it, in its piece or the next one that has any.
+    """
+    upto = stored(running(weights, [], "item", {"upto": "weight"}), "edges")
+    total = upto.agg(F.max("upto")).first()[0] or 0.0
     draws = weights.sparkSession.range(1, n + 1).withColumnRenamed("id", "draw").withColumn("x", u(seed, "pick", F.col("draw")))
-    return draws.crossJoin(F.broadcast(wheel)).select("draw", F.expr("filter(wheel, w -> w.e > x)[0].item").alias("item"))
+    edge = upto.select((F.col("upto") / F.lit(total)).alias("x"), F.lit(1).alias("is_draw"), F.lit(None).cast("long").alias("draw"), "item")
+    # A draw goes after an edge that it equals.
+    line = draws.select("x", F.lit(2).alias("is_draw"), "draw", F.lit(None).cast(weights.schema["item"].dataType).alias("item")).unionByName(edge)
+    line = stored(line.repartitionByRange("x", "is_draw").withColumn("_piece", F.spark_partition_id()), "line")
+    after = Window.partitionBy("_piece").orderBy(F.desc("x"), F.desc("is_draw"), F.desc("item")).rowsBetween(Window.unboundedPreceding, 0)
+    heads = line.filter("is_draw = 1").groupBy("_piece").agg(F.min_by("item", F.struct("x", "item")).alias("head"))
+    pieces = line.select("_piece").distinct().join(heads, "_piece", "left")
+    pieces = pieces.select("_piece", F.first("head", True).over(Window.partitionBy(F.lit(0)).orderBy("_piece").rowsBetween(1, Window.unboundedFollowing)).alias("next"))  # a row for each piece
+    out = line.withColumn("item", F.coalesce("item", F.last("item", True).over(after))).filter("is_draw = 2").join(pieces, "_piece")
+    return out.select("draw", F.coalesce("item", "next").alias("item"))

@@ -4,43 +4,65 @@ from __future__ import annotations
 
 import json
 from dataclasses import asdict, dataclass, replace
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 from pyspark.sql.window import Window
 
 from copse.functions.rng import u
+from copse.functions.tops import top
 from copse.operators import metrics, sampling, split
 from copse.operators.examples import ExampleSet, Feature
 
 from .grow import AT, SPLIT_COLUMNS, drawn, grow, side_of, values_of
 from .options import ALIASES, BRANCHES, REDRAW, Options
-from .tables import small, stored
+from .tables import dealt, discard, small, stored
 
 __all__ = ["ALIASES", "BRANCHES", "REDRAW", "ForestModel", "Options", "drawn", "fit", "impute_by_proximity"]
 
 VERSION = "2"
-#: Salts of a leaf, and of the queries that are in the same leaves.
-DEALS = 16
+#: Nodes of a model that is a literal of the plan; salts of queries in the same leaves; classes of a leaf's list in one deal.
+LITERAL, DEALS, LIST = 2000, 16, 10_000
 
 
-def _bags(ex: ExampleSet, o: Options) -> DataFrame:
-    each = lambda df: df.withColumn("tree", F.explode(F.sequence(F.lit(1), F.lit(o.trees))))
-    kind = o.example_sampling
+def _bags(ex: ExampleSet, o: Options, group: str | None = None) -> DataFrame:
+    """The rows of each tree.  group: a column of ex with numbers 1 to o.groups; the forest of each grows on the rows of the others."""
+    df, n, kind = ex.df, o.trees, o.example_sampling
+    if group:
+        df = df.withColumn("_for", F.explode(F.filter(F.sequence(F.lit(1), F.lit(o.groups)), lambda g: g != F.col(group)))).drop(group)
+    number = (F.col("_for") - 1) * n + F.col("tree") if group else F.col("tree")
     if kind == "bagging":
-        return sampling.bootstrap(ex.df, o.seed, o.trees)
-    if kind in ("nothing", "oversample"):
-        return each(ex.df if kind == "nothing" else sampling.oversample(ex.df))
-    spread = o.variance_options or ()
-    per = kind if callable(kind) else {
-        "subagging": sampling.subagging, "undersample": sampling.undersample, "random": sampling.random_sample,
-        "triangle-variance": lambda df, seed: sampling.triangle_sample(df, seed, *spread), "uniform-variance": lambda df, seed: sampling.uniform_sample(df, seed, *spread[:3]),
-    }[kind]
-    out = None
-    for t in range(1, o.trees + 1):
-        bag = per(ex.df, f"{o.seed}-{t}").withColumn("tree", F.lit(t)).select(*ex.df.columns, "tree")
-        out = bag if out is None else out.unionByName(bag)
-    return out
+        return sampling.bootstrap(df, o.seed, n, ["_for"] if group else None).withColumn("tree", number.cast("int")).drop("_for")
+    rows = df.withColumn("tree", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    seed = F.concat(F.lit(f"{o.seed}-"), F.col("tree").cast("string"))
+    keys, spread = (*(["_for"] if group else []), "tree"), o.variance_options or ()
+    if kind == "oversample":
+        out = sampling.oversample(df, keys[:-1]).withColumn("tree", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    elif callable(kind):  # a function of the rows of one tree
+        parts = [kind(rows.filter(F.col("tree") == t).drop("tree"), f"{o.seed}-{t}").withColumn("tree", F.lit(t)).select(*rows.columns) for t in range(1, n + 1)]
+        out = reduce(DataFrame.unionByName, parts)
+    elif kind == "random":
+        out = _random_samples(rows, df, o, seed, keys)
+    else:
+        out = {
+            "nothing": lambda: rows, "subagging": lambda: sampling.subagging(rows, seed, keys=keys), "undersample": lambda: sampling.undersample(rows, seed, keys),
+            "triangle-variance": lambda: sampling.triangle_sample(rows, seed, *spread), "uniform-variance": lambda: sampling.uniform_sample(rows, seed, *spread[:3]),
+        }[kind]()
+    return out.withColumn("tree", number.cast("int")).select(*[c for c in df.columns if c != "_for"], "tree")
+
+
+def _random_samples(rows: DataFrame, df: DataFrame, o: Options, seed: Column, keys: tuple[str, ...]) -> DataFrame:
+    """For each tree a triangle, uniform or bootstrap sample, by one draw of its seed."""
+    each = df.sparkSession.range(1, o.trees + 1).withColumnRenamed("id", "tree")
+    x = {r[0]: r[1] for r in each.select("tree", u(seed, "choice")).collect()}  # a row for each tree
+    among = lambda ts: rows.filter(F.col("tree").isin(ts))
+    low, high, mid = [t for t, v in x.items() if v <= 0.33], [t for t, v in x.items() if v >= 0.66], [t for t, v in x.items() if 0.33 < v < 0.66]
+    parts = [sampling.triangle_sample(among(low), seed)] * bool(low) + [sampling.uniform_sample(among(high), seed)] * bool(high)
+    group = [k for k in keys if k != "tree"]
+    parts += [sampling.bootstrap(df, f"{o.seed}-{t}", within=group or None).withColumn("tree", F.lit(t)) for t in mid]
+    return reduce(DataFrame.unionByName, [p.select(*rows.columns) for p in parts])
 
 
 @dataclass
@@ -52,13 +74,51 @@ class ForestModel:
     def leaves(self, df: DataFrame) -> DataFrame:
         """id, actual, tree, node, pred and laplace of each row in each tree.
 
-        Rows walk a level a time, joined with the nodes of that level: by broadcast where these are few enough.
-        A missing value goes where most of the known ones went, or as the strategy draws; with ignore it stays.
+        A missing value goes where most of the known ones went, or as the strategy draws; with ignore the row stays.
+        Up to LITERAL nodes are a literal of the plan, an array for each tree, which rows walk.  Rows of larger models walk a
+        level a time, joined with its nodes.
         """
-        o, nodes = self.options, self.nodes
-        sizes = dict(map(tuple, nodes.groupBy("depth").count().collect()))  # a row for each depth
+        sizes = dict(map(tuple, self.nodes.groupBy("depth").count().collect()))  # a row for each depth
         at = df.select("id", F.col("class").alias("actual"), *[v.alias(k) for k, v in values_of(self.features).items()])
-        at = at.withColumn("tree", F.explode(F.sequence(F.lit(1), F.lit(o.trees)))).withColumns({"node": F.lit("1"), "pred": F.lit(None).cast("string"), "laplace": F.lit(None).cast("double")})
+        at = dealt(at, "id").withColumn("tree", F.explode(F.sequence(F.lit(1), F.lit(self.options.trees))))  # votes meet by id anyway
+        if not 0 < sum(sizes.values()) <= LITERAL:
+            return self._by_level(at, sizes)
+        nodes = self._packed()
+        end = F.get(F.get(nodes, F.col("tree") - 1), self._walked(nodes, max(sizes)))
+        rows = at.select("id", "actual", "tree", end.alias("_end"))
+        return rows.select("id", "actual", "tree", F.col("_end.node").alias("node"), F.col("_end.class").alias("pred"), F.col("_end.laplace").alias("laplace"))
+
+    def _packed(self) -> Column:
+        """For each tree an array of its nodes, in which a node knows the places of its children."""
+        own = self.nodes.select("tree", F.struct("node", *SPLIT_COLUMNS, "kind", "n_left", "n_right", "class", "laplace").alias("n"))
+        trees = [[] for _ in range(self.options.trees)]
+        for r in own.collect():  # LITERAL nodes at most
+            trees[r["tree"] - 1].append(r["n"].asDict(True))
+        for nodes in trees:
+            nodes.sort(key=lambda n: (len(n["node"]), n["node"]))
+            place = {n["node"]: i for i, n in enumerate(nodes)}
+            for n in nodes:
+                n |= {"left": place.get(n["node"] + "0"), "right": place.get(n["node"] + "1")}
+        kind = own.schema["n"].dataType.add("left", IntegerType()).add("right", IntegerType()).simpleString()
+        return F.from_json(F.lit(json.dumps(trees)), f"array<array<{kind}>>")
+
+    def _walked(self, nodes: Column, depth: int) -> Column:
+        """The place of the node where a row ends."""
+        o = self.options
+
+        def step(at: Column, _: Column) -> Column:
+            n = lambda c: F.get(F.get(nodes, F.col("tree") - 1), at)[c]
+            draw = u(o.seed, "predict", F.col("tree"), n("node"), F.col("id"))
+            lost = split.missing_side("weighted" if o.missing == "proximity" else o.missing, n("n_left"), n("n_right"), draw)
+            to = lambda side: F.when(side == split.LEFT, n("left")).when(side == split.RIGHT, n("right")).otherwise(at)
+            moved = lambda _, side: F.when(side == split.MISSING, to(lost)).otherwise(to(side))
+            return F.when(n("kind") == "node", F.aggregate(F.array(side_of(o, n)), at, moved)).otherwise(at)  # the side is found once
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(0), step) if depth else F.lit(0)
+
+    def _by_level(self, at: DataFrame, sizes: dict[int, int]) -> DataFrame:
+        o, nodes = self.options, self.nodes
+        at = at.withColumns({"node": F.lit("1"), "pred": F.lit(None).cast("string"), "laplace": F.lit(None).cast("double")})
         draw = u(o.seed, "predict", F.col("tree"), F.col("node"), F.col("id"))
         lost = split.missing_side("weighted" if o.missing == "proximity" else o.missing, F.col("n_left"), F.col("n_right"), draw)
         side = side_of(o)
@@ -100,27 +160,59 @@ class ForestModel:
         rows = self.votes(ex).join(out, ["tree", "id"])
         return rows.groupBy("tree").agg(F.avg(F.when(F.col("pred") == F.col("actual"), 1.0).otherwise(0.0)).alias("accuracy"), F.count(F.lit(1)).alias("n"))
 
-    def proximity(self, df: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-        """The k rows that share most leaves with each query (a stated set), by the share of trees.
+    def proximity(self, df: DataFrame, queries: DataFrame, k: int = 5, counts: dict | None = None) -> DataFrame:
+        """The k rows that share most leaves with each query (a stated set), by the share of trees; of equals the least ids.
 
-        Rows in the same leaf of every tree are one class: to a query all are as near, so the k + 1 with the least
-        ids speak for it.  Classes meet in leaves, those of rows spread by salts.
+        Rows in the same leaf of every tree are one class, for which the k + 1 with the least ids speak.  Leaves list
+        their classes.  A query reads the lists of its leaves, the rarest first; what it finds is compared in all trees
+        at once.  A class in none of the lists read shares no more than the other trees, so a query ends when its k + 1-th
+        place shares more than that.  Long lists are split in deals.  counts: gets the classes compared, and all pairs.
         """
-        key = lambda rows, name: rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("tree", "node"))).alias(name))
-        at = key(self.leaves(df), "theirs").withColumn("nth", F.row_number().over(Window.partitionBy("theirs").orderBy("id")))
-        at = stored(at.filter(F.col("nth") <= k + 1).groupBy("theirs").agg(F.collect_list("id").alias("ids")), "classes")  # k + 1 at most
-        q = stored(key(self.leaves(queries), "mine").withColumnRenamed("id", "query"), "queries")
-        theirs = at.select("theirs", F.pmod(F.xxhash64("theirs"), F.lit(DEALS)).cast("int").alias("deal"), F.explode("theirs").alias("leaf"))
-        mine = q.select("mine").distinct().select("mine", F.explode("mine").alias("leaf")).withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))))
-        shared = theirs.join(mine, ["leaf", "deal"]).groupBy("mine", "theirs").agg((F.count(F.lit(1)) / float(self.options.trees)).alias("proximity"))
-        near = shared.join(at, "theirs").select("mine", "proximity", F.explode("ids").alias("id"))
-        near = near.withColumn("place", F.row_number().over(Window.partitionBy("mine").orderBy(F.desc("proximity"), "id"))).filter(F.col("place") <= k + 1)
-        near = near.groupBy("mine").agg(F.collect_list(F.struct("proximity", "id")).alias("near"))  # k + 1 at most
-        dealt = q.withColumn("deal", F.pmod(F.xxhash64("query"), F.lit(DEALS)).cast("int"))
-        near = near.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))))
-        pairs = dealt.join(near, ["mine", "deal"]).select("query", F.explode("near").alias("n")).select("query", "n.id", "n.proximity").filter("id <> query")
-        order = Window.partitionBy("query").orderBy(F.desc("proximity"), "id")
-        return pairs.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= k)
+        n_trees = self.options.trees
+
+        def paths(rows: DataFrame, name: str) -> DataFrame:
+            by_tree = F.array_sort(F.collect_list(F.struct("tree", F.xxhash64("node").alias("leaf"))))  # a struct for each tree
+            return self.leaves(rows).groupBy("id").agg(F.transform(by_tree, lambda s: s["leaf"]).alias(name))
+
+        least = top(paths(df, "theirs"), ["theirs"], ["id"], k + 1, by=F.col("id"))
+        classes = stored(least.groupBy("theirs").agg(F.collect_list("id").alias("ids")), "classes")  # k + 1 at most
+        q = stored(paths(queries, "mine").withColumnRenamed("id", "query"), "queries")
+        lists = classes.select("theirs", "ids", F.posexplode("theirs").alias("tree", "leaf"))
+        sizes = stored(lists.groupBy("tree", "leaf").agg(F.count(F.lit(1)).alias("n")), "sizes")
+        deals = sizes.select("tree", "leaf", F.ceil(F.col("n") / LIST).cast("int").alias("deals"))
+        long = deals.filter("deals > 1")
+        dealt = lists.join(long, ["tree", "leaf"], "left").withColumn("deal", F.when(F.col("deals").isNotNull(), F.pmod(F.xxhash64("theirs"), F.col("deals"))).otherwise(0).cast("int")).drop("deals")
+        own = q.select("mine").distinct().select("mine", F.posexplode("mine").alias("tree", "leaf")).join(sizes, ["tree", "leaf"], "left")
+        rarest = F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "tree"))), lambda s: s["tree"])  # a struct for each tree
+        active = asked = stored(own.groupBy("mine").agg(rarest.alias("order")), "asked")
+        best, read, compared = None, 0, 0
+        while read < n_trees:
+            now = max(1, min(read, n_trees - read))  # 1, 1, 2, 4, ...
+            wanted = active.select("mine", "order", F.explode(F.sequence(F.lit(read), F.lit(read + now - 1))).alias("nth")).withColumn("tree", F.get("order", F.col("nth")))
+            wanted = wanted.withColumn("leaf", F.get("mine", F.col("tree"))).join(long, ["tree", "leaf"], "left")
+            wanted = wanted.withColumn("deal", F.explode(F.sequence(F.lit(0), F.coalesce("deals", F.lit(1)) - 1))).drop("deals")
+            before = F.exists(F.slice("order", F.lit(1), F.col("nth")), lambda t: F.get("mine", t) == F.get("theirs", t))
+            pairs = wanted.join(dealt, ["tree", "leaf", "deal"]).filter(~before)
+            same = F.aggregate(F.zip_with("mine", "theirs", lambda a, b: (a == b).cast("int")), F.lit(0), lambda s, x: s + x)
+            if counts is not None:
+                compared += pairs.count()
+            found = pairs.select("mine", same.alias("shared"), F.explode("ids").alias("id"))
+            found = found if best is None else found.unionByName(best)
+            last, best = best, stored(top(found, ["mine"], [F.desc("shared"), "id"], k + 1, by=F.col("id")), "best")
+            read += now
+            if last is not None:
+                discard(last)
+            if read < n_trees:
+                worst = best.groupBy("mine").agg(F.when(F.count(F.lit(1)) > k, F.min("shared")).alias("worst"))
+                active = stored(active.join(worst, "mine", "left").filter(F.coalesce("worst", F.lit(0)) <= n_trees - read).select("mine", "order"), "active")
+                if active.isEmpty():
+                    break
+        if counts is not None:
+            counts |= {"compared": compared, "all": asked.count() * classes.count(), "read": read}
+        near = best.groupBy("mine").agg(F.collect_list(F.struct("shared", "id")).alias("near")).withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))))  # k + 1 at most
+        pairs = q.withColumn("deal", F.pmod(F.xxhash64("query"), F.lit(DEALS)).cast("int")).join(near, ["mine", "deal"])
+        pairs = pairs.select("query", F.explode("near").alias("n")).select("query", "n.id", (F.col("n.shared") / float(n_trees)).alias("proximity")).filter("id <> query")
+        return top(pairs, ["query"], [F.desc("proximity"), "id"], k, rank="rank", parts=1)
 
     def save(self, path: str) -> None:
         self.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
@@ -151,5 +243,17 @@ def fit(ex: ExampleSet, options: Options = Options(), **changes) -> tuple[Forest
         first, _ = fit(ex, replace(o, missing="weighted"))
         ex = impute_by_proximity(ex, first)
         o = replace(o, missing="weighted")
-    bags = stored(_bags(ex, o), "bags")
+    bags = stored(dealt(_bags(ex, o), "tree", "id"), "bags")
     return ForestModel(stored(grow(ex, o, bags), "forest"), ex.features, o), bags
+
+
+def fit_groups(ex: ExampleSet, group: str, groups: int, options: Options) -> list[tuple[ForestModel, DataFrame]]:
+    """For each number of the column group a model of the other rows and its in-bag rows, as fit() of these gives.
+
+    All of them grow in one plan: a tree of a group is a tree like any other, so the jobs don't grow with the groups.
+    """
+    o = replace(options, groups=groups)
+    bags = stored(dealt(_bags(ex, o, group), "tree", "id"), "bags")
+    nodes = stored(grow(ex, o, bags), "forests")
+    own = lambda df, g: df.filter(F.ceil(F.col("tree") / o.trees) == g).withColumn("tree", F.col("tree") - (g - 1) * o.trees)
+    return [(ForestModel(own(nodes, g), ex.features, options), own(bags, g)) for g in range(1, groups + 1)]

@@ -49,23 +49,28 @@ def condition_side(ordinal: Column, threshold: Column, category: Column) -> Colu
     return F.when(threshold.isNotNull(), split.numeric_side(number, threshold)).otherwise(split.categoric_side(word, category))
 
 
-def _of_rule() -> Column:
+def own_tree(o: Options) -> Column:
+    """The number of a tree in its own forest, by which it draws."""
+    return F.col("tree") if o.groups == 1 else F.pmod(F.col("tree") - 1, F.lit(o.trees)) + 1
+
+
+def _of_rule(conditions: Column | str = "conditions") -> Column:
     def side(c):
         plain = condition_side(c["ordinal"], c["threshold"], c["category"])
         return F.when((plain == split.MISSING) | c["holds"], plain).when(plain == split.LEFT, split.RIGHT).otherwise(split.LEFT)
 
-    return F.transform("conditions", side)
+    return F.transform(conditions, side)
 
 
-def side_of(o: Options) -> Column:
-    """The side of a row by the columns of SPLIT."""
-    one = condition_side(F.col("ordinal"), F.col("threshold"), F.col("category"))
+def side_of(o: Options, of=F.col) -> Column:
+    """The side of a row by the columns of SPLIT and its node, or by what else of() gives for their names."""
+    one = condition_side(of("ordinal"), of("threshold"), of("category"))
     if o.branch in PAIRED or callable(o.branch):
-        two = condition_side(F.col("ordinal_b"), F.col("threshold_b"), F.col("category_b"))
-        coin = u(o.seed, "coin", F.col("tree"), F.col("node"), F.col("id"))
-        one = F.when(F.col("ordinal_b").isNotNull(), split.combined_side(one, two, coin)).otherwise(one)
+        two = condition_side(of("ordinal_b"), of("threshold_b"), of("category_b"))
+        coin = u(o.seed, "coin", own_tree(o), of("node"), F.col("id"))
+        one = F.when(of("ordinal_b").isNotNull(), split.combined_side(one, two, coin)).otherwise(one)
     if o.branch in RULED or callable(o.branch):
-        one = F.when(F.col("conditions").isNotNull(), split.rule_side(_of_rule())).otherwise(one)
+        one = F.when(of("conditions").isNotNull(), split.rule_side(_of_rule(of("conditions")))).otherwise(one)
     return one
 
 
@@ -95,11 +100,11 @@ class Grower:
 
     def _order(self, *tag) -> Column:
         """All ordinals in the order of their draws."""
-        draw = lambda i: F.struct(u(self.o.seed, *tag, F.col("tree"), F.col("node"), i).alias("d"), i.alias("i"))
+        draw = lambda i: F.struct(u(self.o.seed, *tag, own_tree(self.o), F.col("node"), i).alias("d"), i.alias("i"))
         return F.transform(F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(self.total - 1)), draw)), lambda s: s["i"])
 
     def coin(self) -> Column:
-        return u(self.o.seed, "policy", F.col("tree"), F.col("node"))
+        return u(self.o.seed, "policy", own_tree(self.o), F.col("node"))
 
     def drawn(self, round_: int) -> tuple[int, int]:
         """How many features a node draws in a round, and how many earlier rounds have taken."""
@@ -110,7 +115,7 @@ class Grower:
         o, (n, tried) = self.o, self.drawn(round_)
         size = F.lit(n)
         if o.branch == "random-subset":
-            spread = (2 * u(o.seed, "size", F.col("tree"), F.col("node")) - 1) * o.variance
+            spread = (2 * u(o.seed, "size", own_tree(o), F.col("node")) - 1) * o.variance
             size = F.least(F.lit(self.total), F.greatest(F.lit(1), F.round(n + spread).cast("int")))
         none = F.lit(None).cast("int")
         one = F.transform(F.slice(self._order("feature"), tried + 1, size), lambda i: F.struct(i.alias("cand"), i.alias("ordinal"), none.alias("ordinal_b")))
@@ -130,7 +135,7 @@ class Grower:
         code = lambda x: F.when(x.isNotNull(), F.xxhash64(x))
         values = {"num": one("nums"), "cat": code(one("cats")), "num_b": two("nums"), "cat_b": code(two("cats"))}
         # One number orders rows, and categories are codes, so that the aggregation needs no sort.
-        draw = u(self.o.seed, round_, F.col("tree"), F.col("node"), F.col(key), F.col("id"))
+        draw = u(self.o.seed, round_, own_tree(self.o), F.col("node"), F.col(key), F.col("id"))
         order = (draw * 4294967296).cast("bigint") * 2147483648 + F.pmod(F.xxhash64("id"), F.lit(2147483648))
         order = F.when(F.coalesce(*[F.when(v.isNotNull(), F.lit(True)) for v in values.values()]), order)
         found = rows.groupBy(*AT, key, klass).agg(F.sum("weight").alias("w"), F.min(order).alias("o"), *[F.min_by(v, order).alias(k) for k, v in values.items()])
@@ -149,7 +154,7 @@ class Grower:
 
     def cuts(self, members: DataFrame, key: str, klass: str, round_) -> DataFrame:
         """A candidate for each key: midway between the rows of two classes (a category: that of the first)."""
-        draw = u(self.o.seed, round_, F.col("tree"), F.col("node"), F.col(key), F.col(klass).cast("string")).alias("d")
+        draw = u(self.o.seed, round_, own_tree(self.o), F.col("node"), F.col(key), F.col(klass).cast("string")).alias("d")
         both = members.filter("v IS NOT NULL").groupBy(*AT, key).agg(F.array_sort(F.collect_list(F.struct(draw, klass, "v"))).alias("s"))  # a row for each class
         a, b = F.col("s")[0]["v"], F.col("s")[1]["v"]
         mid = lambda c: (a[c] if self.o.threshold == "value" else F.coalesce((a[c] + b[c]) / 2, a[c], b[c]))
@@ -180,7 +185,7 @@ class Grower:
             rows = rows.join(made.select(*keys, "score", "left", "right"), keys)
             rows = measures.weighed(rows)
             return rows.select(*keys, "score", "left", "right", "n_left", "n_right", F.col("wl").alias("all_left"), F.col("wr").alias("all_right"), measures.chi_of().alias("chi2"))
-        rows = measures.scored(measures.weighed(rows), keys, o.score, o.seed)
+        rows = measures.scored(measures.weighed(rows), keys, o.score, o.seed, [own_tree(o), F.col("node"), F.col(key)])
         return rows.select(*keys, "score", "left", "right", "n_left", "n_right", F.col("wl").alias("all_left"), F.col("wr").alias("all_right"), "chi2")
 
     def best(self, scored: DataFrame, key: str) -> DataFrame:
@@ -196,7 +201,7 @@ class Grower:
         stats = F.struct(F.lit(-1).alias("cand"), F.lit(None).cast("int").alias("ordinal"), F.lit(None).cast("int").alias("ordinal_b"))
         asks = F.explode(F.concat(F.array(stats), "asks") if first else F.col("asks")).alias("a")
         rows = state.join(small(asked, n), AT).select(*state.columns, asks).select(*state.columns, "a.*")
-        on_sample = F.col("ordinal").isNull() | (u(o.seed, "sample", round_, F.col("tree"), F.col("node"), F.col("id")) < o.share * 2**round_) if sampled else None
+        on_sample = F.col("ordinal").isNull() | (u(o.seed, "sample", round_, own_tree(o), F.col("node"), F.col("id")) < o.share * 2**round_) if sampled else None
         members = stored(self.members(rows.filter(on_sample) if sampled else rows, "cand", "class", round_), "members")
         weights = members.filter("cand = -1").select(*AT, "class", "w") if first else None
         if first:
@@ -218,7 +223,7 @@ class Grower:
         if sampled or o.threshold == "exact":
             cuts = stored(cuts, "cuts")
         if sampled:  # found on the sample, scored on all rows
-            some = state.filter(u(o.seed, "sample", round_, F.col("tree"), F.col("node"), F.col("id")) < o.share * 2**round_)
+            some = state.filter(u(o.seed, "sample", round_, own_tree(o), F.col("node"), F.col("id")) < o.share * 2**round_)
             found = stored(self.best(self.scored(self.sided(some, cuts, n), "cand"), "cand").select(*AT, "cand"), "found")
             cuts = cuts.join(found, [*AT, "cand"], "left_semi")
         return self.best(self.scored(self.sided(state, cuts, n), "cand"), "cand").join(cuts, [*AT, "cand"]).drop("cand")
@@ -240,7 +245,7 @@ class Grower:
         """
         o, count = self.o, self.o.n_rules(self.total)
         per = weights.groupBy(*AT).agg(F.array_sort(F.collect_list("class")).alias("classes"), F.map_from_entries(F.collect_list(F.struct("class", "w"))).alias("of"), F.sum("w").alias("all"))  # a row for each class
-        at = [F.col("tree"), F.col("node"), F.col("rule")]
+        at = [own_tree(o), F.col("node"), F.col("rule")]
         start = nodes.select(*AT).join(per, AT).withColumn("rule", F.explode(F.sequence(F.lit(1), F.lit(count))))
         pick = F.floor(u(o.seed, "target", *at) * F.size("classes")).cast("int")
         draw = lambda i: F.struct(u(o.seed, "rule", *at, i).alias("d"), i.alias("i"))
@@ -298,7 +303,7 @@ class Grower:
         poor = F.coalesce({"hellinger": F.col("score") >= 1, "resample": gain, "infinite-resample": gain}.get(o.branch, chi), F.lit(True))
         if o.branch == "random-chisquare":
             return poor & (self.coin() <= 0.5)
-        return poor & (u(o.seed, "again", round_, F.col("tree"), F.col("node")) < 0.5) if o.branch == "resquare" else poor
+        return poor & (u(o.seed, "again", round_, own_tree(o), F.col("node")) < 0.5) if o.branch == "resquare" else poor
 
     def winners(self, state: DataFrame, nodes: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
         """Class weights of the state's nodes, and the splits of those that don't end here."""
@@ -344,7 +349,7 @@ class Grower:
         """The rows of split nodes, in their children."""
         o = self.o
         rows = state.join(small(winners.select(*AT, *SPLIT_COLUMNS, "n_left", "n_right"), n), AT)
-        draw = u(o.seed, "missing", F.col("tree"), F.col("node"), F.col("id"))
+        draw = u(o.seed, "missing", own_tree(o), F.col("node"), F.col("id"))
         if o.distribute == "rulew":
             rows = rows.withColumn("_p", F.explode(_shares(o, side_of(o)))).withColumns({"side": F.col("_p.side"), "weight": F.col("weight") * F.col("_p.share")})
         else:
@@ -394,7 +399,8 @@ def grow(ex: ExampleSet, o: Options, bags: DataFrame) -> DataFrame:
     rule = F.concat(F.lit("rule: "), F.array_join(F.transform("conditions", lambda c: F.element_at(names, c["ordinal"])), ", "))
     feature = F.when(F.col("conditions").isNotNull(), rule).when(F.col("ordinal_b").isNotNull(), F.concat_ws(" & ", names[F.col("ordinal")], names[F.col("ordinal_b")])).otherwise(names[F.col("ordinal")])
     state, written = bags.select(F.col("tree").cast("int").alias("tree"), F.lit("1").alias("node"), "id", "class", "weight", *[v.alias(k) for k, v in values_of(ex.features).items()]), None
-    nodes, n = spark.range(1, o.trees + 1).select(F.col("id").cast("int").alias("tree"), F.lit("1").alias("node")), o.trees
+    n = o.trees * o.groups
+    nodes = spark.range(1, n + 1).select(F.col("id").cast("int").alias("tree"), F.lit("1").alias("node"))
     tables = []
     for depth in range(o.max_depth + 1):
         last = depth == o.max_depth or not ex.features

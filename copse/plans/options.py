@@ -48,6 +48,7 @@ class Options:
     variance_options: tuple[float, ...] | None = None  # of the variance samplings: threshold, low, high (and mode)
     share: float = 0.1  # sample-examples: of the rows, at first
     seed: int = 1
+    groups: int = 1  # forests that grow in one plan: trees are numbered on from one to the next
 
     def __post_init__(self):
         for name in ("branch", "missing"):

@@ -46,3 +46,9 @@ def discard(*tables: DataFrame) -> None:
 def small(df: DataFrame, rows: int) -> DataFrame:
     """df, broadcast if it has few enough rows; else it is joined by its keys."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df by hash of keys in as many partitions as shuffles have, or cores: few bytes may stand for much work, so none are merged."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
