@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from copse.functions.rng import running
+
 
 def probabilities(votes: DataFrame, trees: int) -> DataFrame:
     """The share of the configured trees that votes for each class; unvoted classes are absent."""
@@ -44,17 +46,26 @@ def macro(per_class: DataFrame) -> DataFrame:
 
 
 def _one_vs_rest(probs: DataFrame) -> DataFrame:
-    """id, class (of all actual ones), prob (0 if unvoted) and whether it is the row's class."""
-    rows = probs.select("id", "actual").distinct()
-    grid = rows.crossJoin(F.broadcast(rows.select(F.col("actual").alias("class")).distinct()))
-    return grid.join(probs.select("id", "class", "prob"), ["id", "class"], "left").select("id", "class", F.coalesce("prob", F.lit(0.0)).alias("prob"), (F.col("class") == F.col("actual")).alias("pos"))
+    """class (of all actual ones), prob, p and n: rows of the class and of the others that have this probability of it.
+
+    Voted rows are counted by class and probability; those that no tree gave the class are what the class totals leave.
+    """
+    pos = (F.col("class") == F.col("actual")).cast("bigint")
+    seen = probs.groupBy("class", "prob").agg(F.sum(pos).alias("p"), F.sum(1 - pos).alias("n"))
+    ids = probs.filter("rank = 1") if "rank" in probs.columns else probs.select("id", "actual").distinct()  # a row for each id
+    totals = ids.groupBy(F.col("actual").alias("class")).agg(F.count(F.lit(1)).alias("own"))
+    totals = totals.crossJoin(totals.agg(F.sum("own").alias("all")))  # one row
+    voted = seen.groupBy("class").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    rest = totals.join(voted, "class", "left").select("class", F.lit(0.0).alias("prob"), (F.col("own") - zero("p")).alias("p"), (F.col("all") - F.col("own") - zero("n")).alias("n"))
+    some = seen.join(totals.select("class"), "class", "left_semi").select("class", "prob", "p", "n").unionByName(rest.filter("p + n > 0"))
+    return some.groupBy("class", "prob").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
 
 
 def auc(probs: DataFrame) -> DataFrame:
     """class, n and auc against the rest, ties halved.  Counts of each probability come first."""
-    per = _one_vs_rest(probs).groupBy("class", "prob").agg(F.sum(F.col("pos").cast("bigint")).alias("p"), F.sum((~F.col("pos")).cast("bigint")).alias("n"))
     below = Window.partitionBy("class").orderBy("prob")
-    rows = per.withColumn("less", F.sum("n").over(below) - F.col("n"))
+    rows = _one_vs_rest(probs).withColumn("less", F.sum("n").over(below) - F.col("n"))
     wins = F.sum(F.col("p") * (F.col("less") + F.col("n") / 2.0))
     return rows.groupBy("class").agg(F.sum("p").alias("n_pos"), F.try_divide(wins, F.sum("p").cast("double") * F.sum("n")).alias("auc"))
 
@@ -66,7 +77,7 @@ def average_auc(per_class: DataFrame) -> DataFrame:
 
 def prc(probs: DataFrame) -> DataFrame:
     """The area under precision over recall of each class; equal probabilities are one step."""
-    per = _one_vs_rest(probs).groupBy("class", "prob").agg(F.sum(F.col("pos").cast("bigint")).alias("p"), F.count(F.lit(1)).alias("n"))
+    per = _one_vs_rest(probs).withColumn("n", F.col("p") + F.col("n"))
     upto = Window.partitionBy("class").orderBy(F.desc("prob"))
     rows = per.withColumns({"tp": F.sum("p").over(upto), "all": F.sum("n").over(upto), "pos": F.sum("p").over(Window.partitionBy("class"))})
     rows = rows.select("class", "prob", F.try_divide("tp", "pos").alias("x"), (F.col("tp") / F.col("all")).alias("y"))
@@ -75,9 +86,9 @@ def prc(probs: DataFrame) -> DataFrame:
 
 
 def trapezoid(points: DataFrame, x: str = "x", y: str = "y", order: str = "i") -> DataFrame:
-    w = Window.partitionBy(F.lit(0)).orderBy(order)
-    steps = points.withColumns({"_x": F.lag(x).over(w), "_y": F.lag(y).over(w)})
-    return steps.agg((F.sum((F.col(x) - F.col("_x")) * (F.col(y) + F.col("_y"))) / 2).alias("area"))
+    """The area under points in their order; they are dealt by range, and a piece knows the first point of the next one."""
+    rows = running(points.select(F.struct(F.col(order).alias("o"), F.col(x).alias("x"), F.col(y).alias("y")).alias("_at")), [], "_at", {}, following="_next")
+    return rows.agg((F.sum((F.col("_next.x") - F.col("_at.x")) * (F.col("_next.y") + F.col("_at.y"))) / 2).alias("area"))
 
 
 def brier(probs: DataFrame) -> DataFrame:

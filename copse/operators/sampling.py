@@ -32,6 +32,12 @@ def bootstrap(ex: DataFrame, seed, trees: int | None = None, within: list[str] |
     return rows.join(times, [*keys, "place"]).withColumn("weight", F.col("weight") * F.col("times")).drop("place", "times")
 
 
+def class_bootstrap(ex: DataFrame, seed, trees: int, target: str, overlap: float) -> DataFrame:
+    """In-bag rows of the target class in each of the samples, and a share of those of the other classes."""
+    some = u(seed, "overlap", F.col("tree"), F.col("id")) < overlap
+    return bootstrap(ex, seed, trees).filter((F.col("class") == target) | some)
+
+
 def out_of_bag(ex: DataFrame, bag: DataFrame, trees: int | None = None) -> DataFrame:
     if trees is None:
         return ex.join(bag.select("id"), "id", "left_anti")

@@ -17,10 +17,11 @@ from copse.operators import metrics, sampling, split
 from copse.operators.examples import ExampleSet, Feature
 
 from .grow import AT, SPLIT_COLUMNS, drawn, grow, side_of, values_of
+from .folds import folded
 from .options import ALIASES, BRANCHES, REDRAW, Options
 from .tables import dealt, discard, small, stored
 
-__all__ = ["ALIASES", "BRANCHES", "REDRAW", "ForestModel", "Options", "drawn", "fit", "impute_by_proximity"]
+__all__ = ["ALIASES", "BRANCHES", "REDRAW", "ForestModel", "Options", "build", "drawn", "fit", "fit_groups", "impute_by_proximity", "partial"]
 
 VERSION = "2"
 #: Nodes of a model that is a literal of the plan; salts of queries in the same leaves; classes of a leaf's list in one deal.
@@ -139,12 +140,19 @@ class ForestModel:
     def vote_lists(self, df: DataFrame) -> DataFrame:
         """id, class and a 0 or 1 for each tree in order."""
         v = self.votes(df)
-        classes = self.nodes.select("class").distinct().agg(F.collect_list("class").alias("all"))  # the classes of the examples
+        v = stored(v, "votes")
+        some = stored(v.select(F.col("pred").alias("class")).distinct(), "classes")  # those that any row got
         lists = v.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("tree", "pred"))), lambda s: s["pred"]).alias("preds"))  # a vote for each tree
-        rows = lists.crossJoin(F.broadcast(classes)).select("id", "preds", F.explode("all").alias("class"))  # one row
-        voted = rows.select("id", "class", F.transform("preds", lambda p: (p == F.col("class")).cast("int")).alias("votes"))
-        some = v.select(F.col("pred").alias("class")).distinct()
-        return voted.join(F.broadcast(some), "class", "left_semi").select("id", "class", "votes")
+        rows = lists.crossJoin(small(some, some.count()))
+        return rows.select("id", "class", F.transform("preds", lambda p: (p == F.col("class")).cast("int")).alias("votes"))
+
+    def query_trees(self, df: DataFrame, keys: list[str], values: list, fold, only: DataFrame | None = None) -> DataFrame:
+        """A fold of what all trees say: values are columns of leaves() (id, actual, tree, node, pred, laplace), keys some of them.
+
+        only: (tree, id) of the rows to ask of each tree.
+        """
+        rows = self.leaves(df)
+        return folded(rows if only is None else rows.join(only.select("tree", "id"), ["tree", "id"], "left_semi"), keys, values, fold)
 
     def importance(self) -> DataFrame:
         """feature and importance: gains as shares of their tree's, over the number of trees."""
@@ -247,6 +255,51 @@ def fit(ex: ExampleSet, options: Options = Options(), **changes) -> tuple[Forest
     return ForestModel(stored(grow(ex, o, bags), "forest"), ex.features, o), bags
 
 
+def build(ex: ExampleSet, options: Options, path: str, batch: int = 5, most: int | None = None) -> ForestModel:
+    """fit() in batches of trees, each a table under path: a later run takes up those that are there and grows the others.
+
+    A tree draws by its own number, so batches give the trees that one run gives.  Other options or another batch size than
+    those of the path are an error.  most: batches to grow in this run.
+    """
+    spark = ex.df.sparkSession
+    if options.missing == "proximity":
+        raise ValueError("missing=proximity needs all trees at once")
+    meta = json.dumps({"version": VERSION, "options": options.as_dict(), "features": [asdict(f) for f in ex.features], "batch": batch}, sort_keys=True)
+    if _exists(spark, f"{path}/meta/_SUCCESS"):
+        if (have := spark.read.text(f"{path}/meta").first()[0]) != meta:
+            raise ValueError(f"{path} has trees of other settings: {have}")
+    else:
+        spark.createDataFrame([(meta,)], "value string").write.mode("overwrite").text(f"{path}/meta")
+    todo = [b for b in range(-(-options.trees // batch)) if not _exists(spark, f"{path}/batch-{b}/_SUCCESS")][:most]
+    bags = stored(dealt(_bags(ex, options), "tree", "id"), "bags") if todo else None
+    for b in todo:
+        own = range(b * batch + 1, min(options.trees, (b + 1) * batch) + 1)
+        grow(ex, options, bags.filter(F.col("tree").between(own[0], own[-1])), own).write.mode("overwrite").parquet(f"{path}/batch-{b}")
+    if todo:
+        discard(bags)
+    return partial(spark, path)
+
+
+def partial(spark: SparkSession, path: str) -> ForestModel:
+    """The forest of the batches that build() has finished; it votes with the trees that there are."""
+    meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
+    o, size = Options(**meta["options"]), meta["batch"]
+    done = [b for b in range(-(-o.trees // size)) if _exists(spark, f"{path}/batch-{b}/_SUCCESS")]
+    if not done:
+        raise ValueError(f"{path} has no trees yet")
+    trees = [t for b in done for t in range(b * size + 1, min(o.trees, (b + 1) * size) + 1)]
+    nodes = spark.read.parquet(*[f"{path}/batch-{b}" for b in done])
+    if trees != list(range(1, len(trees) + 1)):  # a batch before others is missing: the trees get numbers in turn
+        number = F.create_map(*[F.lit(x) for i, t in enumerate(trees, 1) for x in (t, i)])
+        nodes = nodes.withColumn("tree", number[F.col("tree")])
+    return ForestModel(nodes, tuple(Feature(**f) for f in meta["features"]), replace(o, trees=len(trees)))
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return file.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(file)
+
+
 def fit_groups(ex: ExampleSet, group: str, groups: int, options: Options) -> list[tuple[ForestModel, DataFrame]]:
     """For each number of the column group a model of the other rows and its in-bag rows, as fit() of these gives.
 

@@ -387,8 +387,8 @@ def stats_of(weights: DataFrame) -> DataFrame:
     )
 
 
-def grow(ex: ExampleSet, o: Options, bags: DataFrame) -> DataFrame:
-    """The table of nodes of bags (tree, id, class, weight and the features of ex)."""
+def grow(ex: ExampleSet, o: Options, bags: DataFrame, only: range | None = None) -> DataFrame:
+    """The table of nodes of bags (tree, id, class, weight and the features of ex); only: the trees that bags has, if not all."""
     grower, spark = Grower(ex.features, o), bags.sparkSession
     words = [F.struct(F.lit(f.ordinal).alias("ordinal"), F.col(f"`{f.name}`").cast("string").alias("word")) for f in ex.features if f.kind == "categoric"]
     if words:
@@ -399,8 +399,9 @@ def grow(ex: ExampleSet, o: Options, bags: DataFrame) -> DataFrame:
     rule = F.concat(F.lit("rule: "), F.array_join(F.transform("conditions", lambda c: F.element_at(names, c["ordinal"])), ", "))
     feature = F.when(F.col("conditions").isNotNull(), rule).when(F.col("ordinal_b").isNotNull(), F.concat_ws(" & ", names[F.col("ordinal")], names[F.col("ordinal_b")])).otherwise(names[F.col("ordinal")])
     state, written = bags.select(F.col("tree").cast("int").alias("tree"), F.lit("1").alias("node"), "id", "class", "weight", *[v.alias(k) for k, v in values_of(ex.features).items()]), None
-    n = o.trees * o.groups
-    nodes = spark.range(1, n + 1).select(F.col("id").cast("int").alias("tree"), F.lit("1").alias("node"))
+    only = only or range(1, o.trees * o.groups + 1)
+    n = len(only)
+    nodes = spark.range(only[0], only[-1] + 1).select(F.col("id").cast("int").alias("tree"), F.lit("1").alias("node"))
     tables = []
     for depth in range(o.max_depth + 1):
         last = depth == o.max_depth or not ex.features

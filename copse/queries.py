@@ -6,6 +6,7 @@ hashes, for the measures.  Missing values are made by hashes too.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,11 +15,12 @@ from pyspark.sql import functions as F
 from copse import oracles
 from copse.functions import measures
 from copse.functions.rng import u
-from copse.operators import examples, metrics, neighbors, rules, sampling, split
+from copse.operators import clusters, examples, metrics, neighbors, rules, sampling, split
 from copse.operators.cells import nearest_in_cells
 from copse.operators.examples import ExampleSet
 from copse.oracles import U, ForestSQL
-from copse.plans import forest, validate
+from copse.plans import bagging, folds, forest, validate
+from copse.plans.tables import shared_dir
 
 TREES = 5
 #: Features of example set O, in order.
@@ -194,6 +196,24 @@ def _catalogue() -> dict:
         on_leaves("SELECT id, class, string_agg((pred = class)::INT::VARCHAR, ',' ORDER BY tree) AS votes FROM {at}, (SELECT DISTINCT pred AS class FROM {at}) GROUP BY id, class", max_depth=1))
     add("forest_majority", lambda s, d: metrics.predicted(fitted(s, d, trees=5)[0].transform(orders(s, d).df)), on_leaves(oracles.predicted(oracles.probabilities("SELECT * FROM {at}", 5)), trees=5))
 
+    add("query_all_trees", lambda s, d: fitted(s, d, trees=5, max_depth=1)[0].query_trees(orders(s, d).df, ["id", "actual"], ["pred"], folds.majority(5)),
+        on_leaves(oracles.predicted(oracles.probabilities("SELECT * FROM {at}", 5)), trees=5, max_depth=1))
+
+    def resumed(s, d):
+        """A forest of four trees in two batches, of which the first is there when the second run begins."""
+        path = f"{shared_dir(s)}/resumed-{uuid.uuid4().hex[:12]}"
+        forest.build(orders(s, d), replace(small, trees=4, max_depth=2), path, batch=2, most=1)
+        return forest.build(orders(s, d), replace(small, trees=4, max_depth=2), path, batch=2).nodes.select(*columns())
+
+    add("resumed_forest_nodes", resumed, nodes_sql(sql_of(trees=4, max_depth=2)))
+    bag_of = replace(small, trees=3)
+    add("bagged_centroids", lambda s, d: metrics.predicted(bagging.bagged(orders(s, d), bagging.CENTRES, bag_of)[0].transform(orders(s, d).df)).select("id", "actual", "pred", R6("prob")),
+        f"WITH o AS ({O_SQL}), b AS ({oracles.bag_sql(O_SQL, bag_of.seed, 3)}), r AS (SELECT max(o_totalprice) - min(o_totalprice) AS wp, max(month) - min(month) AS wm FROM o), "
+        "m AS (SELECT tree, class, sum(o_totalprice * weight) / sum(weight) AS p, sum(month * weight) / sum(weight) AS m FROM b GROUP BY ALL), "
+        "k AS (SELECT tree, class, o_orderpriority AS c, row_number() OVER (PARTITION BY tree, class ORDER BY sum(weight) DESC, o_orderpriority) AS nth FROM b GROUP BY tree, class, o_orderpriority), "
+        "n AS (SELECT o.id, o.class AS actual, tree::INT AS tree, m.class AS pred, row_number() OVER (PARTITION BY id, tree ORDER BY round(((o_totalprice - p) / wp) ** 2 + ((month - m) / wm) ** 2 + (o_orderpriority <> c)::INT, 9), m.class) AS near FROM o, r, m JOIN k USING (tree, class) WHERE k.nth = 1) "
+        + oracles.predicted(oracles.probabilities("SELECT id, actual, tree, pred FROM n WHERE near = 1", 3)).replace(", prob FROM", ", round(prob, 6) AS prob FROM"))
+
     def oob(s, d):
         model, bags = fitted(s, d)
         return model.oob_accuracy(orders(s, d).df, bags).select("tree", R6("accuracy"), "n")
@@ -211,6 +231,18 @@ def _catalogue() -> dict:
     add("proximity_topk", lambda s, d: fitted(s, d)[0].proximity(orders(s, d).df, orders(s, d).df.filter("id % 20 = 0"), 5).select("query", "id", R6("proximity"), "rank"),
         on_leaves(f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY proximity DESC, id) AS rank FROM ({near})) WHERE rank <= 5"))
 
+    some = forest.Options(trees=3, max_depth=4, seed=5)
+    gaps = ForestSQL(G_SQL, O_FEATURES, some)
+    at_gaps = gaps.leaves(G_SQL)
+    near_gaps = f"SELECT q.id AS query, l.id, row_number() OVER (PARTITION BY q.id ORDER BY count(*) DESC, l.id) AS nth FROM {at_gaps} q JOIN {at_gaps} l ON q.tree = l.tree AND q.node = l.node AND q.id <> l.id JOIN ({G_SQL}) g ON g.id = q.id WHERE g.o_totalprice IS NULL GROUP BY q.id, l.id"
+
+    def filled(s, d):
+        """Prices from the five rows nearest by proximity."""
+        ex = gappy_orders(s, d)
+        return forest.impute_by_proximity(ex, forest.fit(ex, some)[0], 5).df.select("id", R6("o_totalprice"))
+
+    add("missing_proximity", filled, gaps.query(f"SELECT g.id, round(coalesce(g.o_totalprice, f.price), 6) AS o_totalprice FROM ({G_SQL}) g LEFT JOIN (SELECT query, avg(o_totalprice) AS price FROM ({near_gaps}) n JOIN ({G_SQL}) x ON x.id = n.id WHERE nth <= 5 GROUP BY query) f ON f.query = g.id"))
+
     # Measures.
     pred_sql = oracles.predicted(P_SQL)
     pred = lambda s, d: metrics.predicted(probs(s, d))
@@ -244,9 +276,9 @@ def _catalogue() -> dict:
     row = "fold string, accuracy double, average_auc double, brier double, f_measure double"
     frame = lambda s, rs: s.createDataFrame([(r["fold"], *[None if r[c] is None else round(r[c], 6) for c in ("accuracy", "average auc", "brier", "f-measure")]) for r in rs], row)
     tiny = forest.Options(trees=3, max_depth=2, seed=3)
-    folds = f"SELECT *, (row_number() OVER (ORDER BY class, {U(1, q1('fold'), 'id')}, id) - 1) % 2 + 1 AS fold FROM ({O_SQL})"
+    dealt = f"SELECT *, (row_number() OVER (ORDER BY class, {U(1, q1('fold'), 'id')}, id) - 1) % 2 + 1 AS fold FROM ({O_SQL})"
     parts = {
-        "cv_average": ([(str(i), f"SELECT * EXCLUDE (fold) FROM ({folds}) WHERE fold <> {i}", f"SELECT * EXCLUDE (fold) FROM ({folds}) WHERE fold = {i}") for i in (1, 2)], lambda ex: validate.cross_validation(ex, tiny, 2)),
+        "cv_average": ([(str(i), f"SELECT * EXCLUDE (fold) FROM ({dealt}) WHERE fold <> {i}", f"SELECT * EXCLUDE (fold) FROM ({dealt}) WHERE fold = {i}") for i in (1, 2)], lambda ex: validate.cross_validation(ex, tiny, 2)),
         "in_sample_validation": ([("in-sample", O_SQL, O_SQL)], lambda ex: validate.in_sample_validation(ex, tiny)),
     }
     of_split = lambda test: f"SELECT id, class, o_totalprice, month, o_orderpriority FROM (SELECT *, row_number() OVER (PARTITION BY class ORDER BY {U(1, q1('split'), 'id')}, id) AS r, count(*) OVER (PARTITION BY class) AS n FROM ({O_SQL})) WHERE {'NOT ' if test else ''}r <= floor(n * 0.66::DOUBLE + 0.5)"
@@ -286,6 +318,49 @@ def _catalogue() -> dict:
         n AS (SELECT a.id AS from_id, b.id, b.value, b.hour, row_number() OVER (PARTITION BY a.id ORDER BY ((a.value - b.value) / wv) ** 2 + ((a.hour - b.hour) / wh) ** 2, b.id) AS r FROM e a, e b, g WHERE a.id <> b.id),
         c AS (SELECT from_id, max(least(r, 5)) AS k FROM n GROUP BY from_id), p AS (SELECT e.id, e.value, e.hour, floor({U('m', q1('pick'), 'e.id', '1')} * k)::INT + 1 AS r FROM e JOIN c ON e.id = from_id)
         SELECT p.id AS from_id, 1::BIGINT AS copy, round(p.value + {U('m', q1('value'), 'p.id', '1')} * (n.value - p.value), 6) AS value, round(p.hour + {U('m', q1('hour'), 'p.id', '1')} * (n.hour - p.hour), 6) AS hour FROM p JOIN n ON p.id = n.from_id AND p.r = n.r""")
+    # Rows with numbers of one scale, gaps and categories; centroids that start at rows, or far from all.
+    scaled = f"SELECT id, class, o_totalprice / 100000 AS price, month / 4 AS season, CASE WHEN {U('lost', 'id')} >= 0.1 THEN o_orderpriority END AS priority FROM ({G_SQL})"
+    mixed = (examples.Feature("price", "numeric", 0), examples.Feature("season", "numeric", 1), examples.Feature("priority", "categoric", 2))
+
+    def seasons(s, d):
+        lost = F.when(u("lost", F.col("id")) >= 0.1, F.col("o_orderpriority"))
+        return gappy_orders(s, d).df.select("id", "class", "weight", (F.col("o_totalprice") / 100000).alias("price"), (F.col("month") / 4).alias("season"), lost.alias("priority"))
+
+    def clusters_sql(rounds: int, start: str, refill: bool, last: str) -> str:
+        d = "coalesce((x.price - c.price) ** 2, 1) + coalesce((x.season - c.season) ** 2, 1) + CASE WHEN x.priority = c.priority THEN 0 ELSE 1 END"
+        out = [f"x AS MATERIALIZED ({scaled})", f"c0 AS MATERIALIZED ({start})"]
+        for i in range(rounds + 1):
+            out.append(f"a{i} AS MATERIALIZED (SELECT * FROM (SELECT x.*, c.cluster, round({d}, 9) AS distance, row_number() OVER (PARTITION BY x.id ORDER BY round({d}, 9), c.cluster) AS nth FROM x, c{i} c) WHERE nth = 1)")
+            mode = f"SELECT cluster, priority FROM (SELECT cluster, priority, row_number() OVER (PARTITION BY cluster ORDER BY count(*) DESC, priority) AS r FROM a{i} WHERE priority IS NOT NULL GROUP BY cluster, priority) WHERE r = 1"
+            moved = f"SELECT cluster, price, season, priority FROM (SELECT cluster, avg(price) AS price, avg(season) AS season FROM a{i} GROUP BY cluster) LEFT JOIN ({mode}) USING (cluster)"
+            if refill:
+                lost = f"SELECT cluster, row_number() OVER (ORDER BY cluster) AS place FROM c{i} WHERE cluster NOT IN (SELECT cluster FROM a{i})"
+                moved += f" UNION ALL SELECT l.cluster, price, season, priority FROM ({lost}) l JOIN (SELECT *, row_number() OVER (ORDER BY distance DESC, id) AS place FROM a{i}) USING (place)"
+            out.append(f"c{i + 1} AS MATERIALIZED ({moved})")
+        return f"WITH {', '.join(out)} {last}"
+
+    start_sql = f"SELECT row_number() OVER (ORDER BY {U('c', q1('centroid'), 'id')}, id) AS cluster, price, season, priority FROM x ORDER BY 1 LIMIT 4"
+    add("kmeans_mixed", lambda s, d: clusters.kmeans(seasons(s, d), mixed, 4, "c", 4)[0].select("id", "cluster", R6("distance")), clusters_sql(4, start_sql, False, "SELECT id, cluster, round(distance, 6) AS distance FROM a4"))
+    far = "SELECT * FROM (VALUES (1::BIGINT, 1.0::DOUBLE, 1.0::DOUBLE, '5-LOW'), (2, 3.0, 2.0, '1-URGENT'), (3, 1e6, 1e6, '5-LOW'), (4, -1e6, -1e6, '5-LOW')) t(cluster, price, season, priority)"
+    far_rows = [(1, 1.0, 1.0, "5-LOW"), (2, 3.0, 2.0, "1-URGENT"), (3, 1e6, 1e6, "5-LOW"), (4, -1e6, -1e6, "5-LOW")]
+    add("kmeans_refill", lambda s, d: clusters.kmeans(seasons(s, d), mixed, 4, "c", 3, "refill", s.createDataFrame(far_rows, "cluster long, price double, season double, priority string"))[1].select("cluster", R6("price"), R6("season"), "priority"),
+        clusters_sql(2, far, True, "SELECT cluster, round(price, 6) AS price, round(season, 6) AS season, priority FROM c3"))
+
+    def centroid_forest(s, d):
+        """A forest on the closeness of rows to centroids."""
+        rows = seasons(s, d)
+        made, features = clusters.centre_examples(rows, clusters.kmeans(rows, mixed, 4, "c", 2)[1], mixed)
+        ex = ExampleSet(made.withColumns({f.name: F.round(f.name, 6) for f in features}), features)
+        return metrics.predicted(forest.fit(ex, forest.Options(trees=3, max_depth=2, seed=5))[0].transform(ex.df))
+
+    gap_sql = "coalesce((x.price - c.price) ** 2, 1) + coalesce((x.season - c.season) ** 2, 1) + CASE WHEN x.priority = c.priority THEN 0 ELSE 1 END"
+    wide = ", ".join(f"max(round(exp(-sqrt({gap_sql})), 6)) FILTER (c.cluster = {i}) AS near{i}" for i in range(1, 5))
+    of_centres = ForestSQL("SELECT * FROM near", [(f"near{i}", "numeric") for i in range(1, 5)], forest.Options(trees=3, max_depth=2, seed=5))
+    at_centres = of_centres.leaves("SELECT * FROM near")
+    near_sql = clusters_sql(2, start_sql, False, f", near AS MATERIALIZED (SELECT x.id, x.class, {wide} FROM x, c2 c GROUP BY ALL)").rstrip()
+    add("centroid_forest", centroid_forest, near_sql.replace(" , near AS", ", near AS") + of_centres.query(oracles.predicted(oracles.probabilities(f"SELECT * FROM {at_centres}", 3))).replace("WITH ", ", ", 1))
+    add("bootstrap_average_overlap", lambda s, d: neighbors.bootstrap_average(sampling.class_bootstrap(orders(s, d).df, "a", 3, "P", 0.3), ["o_totalprice", "month"], ["o_orderpriority"]).select("tree", R6("o_totalprice"), R6("month"), "o_orderpriority"),
+        f"WITH b AS (SELECT * FROM ({oracles.bag_sql(O_SQL, 'a', 3)}) WHERE class = 'P' OR {U('a', q1('overlap'), 'tree', 'id')} < 0.3), m AS (SELECT tree, o_orderpriority, row_number() OVER (PARTITION BY tree ORDER BY sum(weight) DESC, o_orderpriority) AS nth FROM b GROUP BY tree, o_orderpriority) SELECT tree::INT AS tree, round(sum(o_totalprice * weight) / sum(weight), 6) AS o_totalprice, round(sum(month * weight) / sum(weight), 6) AS month, any_value(m.o_orderpriority) AS o_orderpriority FROM b JOIN m USING (tree) WHERE nth = 1 GROUP BY tree")
     add("bootstrap_average_example", lambda s, d: neighbors.bootstrap_average(sampling.bootstrap(orders(s, d).df, "a", 3), ["o_totalprice", "month"], ["o_orderpriority"]).select("tree", R6("o_totalprice"), R6("month"), "o_orderpriority"),
         f"WITH b AS ({oracles.bag_sql(O_SQL, 'a', 3)}), m AS (SELECT tree, o_orderpriority, row_number() OVER (PARTITION BY tree ORDER BY sum(weight) DESC, o_orderpriority) AS nth FROM b GROUP BY tree, o_orderpriority) SELECT tree::INT AS tree, round(sum(o_totalprice * weight) / sum(weight), 6) AS o_totalprice, round(sum(month * weight) / sum(weight), 6) AS month, any_value(m.o_orderpriority) AS o_orderpriority FROM b JOIN m USING (tree) WHERE nth = 1 GROUP BY tree")
 
