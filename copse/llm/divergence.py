@@ -14,7 +14,7 @@ from .common import quoted, stored
 #: A term is kept that so many documents of its language have; ranks of terms go to the second number.
 LEAST_DOCS, RANKS = 3, 200
 #: Distinct (group, term) that a task counts before it passes them on.
-AT_HAND = 200_000
+AT_HAND = 400_000
 #: A-Z to a-z, all else that is no letter of a term to a space: bytes of UTF-8.
 _LETTERS = bytes(b | 0x20 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
@@ -26,31 +26,32 @@ def terms(text: bytes) -> list[bytes]:
 
 def _counts(batches):
     """Rows (lang, source, text): for each group and term its occurrences and documents, summed within the task."""
-    n, docs, rows = Counter(), Counter(), 0
+    groups, size = {}, 0
 
-    def batch():
-        keys = list(n)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([k[i] for k in keys], pa.binary() if i == 2 else pa.string()).cast(pa.string()) for i in range(3)] + [pa.array([c[k] for k in keys], pa.int64()) for c in (n, docs)],
-            ["lang", "source", "term", "n", "docs"],
-        )
+    def out():
+        for (lang, source), (n, docs) in groups.items():
+            keys = [pa.array(list(n), pa.binary()).cast(pa.string()), pa.array(n.values(), pa.int64()), pa.array(map(docs.__getitem__, n), pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(n)), pa.repeat(source, len(n)), *keys], ["lang", "source", "term", "n", "docs"])
 
     for part in batches:
         for lang, source, text in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
-            for term, times in Counter(terms(text)).items():
-                key = (lang, source, term)
-                n[key] += times
-                docs[key] += 1
-            if len(n) >= AT_HAND:
-                yield batch()
-                n.clear(), docs.clear()
-    yield batch()
+            n, docs = groups.setdefault((lang, source), (Counter(), Counter()))
+            size -= len(n)
+            found = terms(text)
+            n.update(found)
+            docs.update(set(found))
+            size += len(n)
+            if size >= AT_HAND:
+                yield from out()
+                groups, size = {}, 0
+    yield from out()
 
 
 def kept_counts(rows: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     """lang, source, term, n and lang_n of rows (lang, source, text) for kept terms; first marks one row of each (lang, term)."""
     counts = rows.select("lang", "source", F.col("text").cast("binary")).mapInArrow(_counts, "lang string, source string, term string, n long, docs long")
-    counts = counts.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    # Summed within tasks already: rows go to their (lang, term) at once, a row for each task and source.
+    counts = counts.repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     of = Window.partitionBy("lang", "term")  # a row for each source
     wide = counts.withColumns({"in_docs": F.sum("docs").over(of), "lang_n": F.sum("n").over(of), "first": F.min("source").over(of) == F.col("source")})
     return wide.filter(F.col("in_docs") >= least_docs).select("lang", "source", "term", "n", "lang_n", "first")
