@@ -45,7 +45,9 @@ def centroid_side(vector: Column, centroid: Column, threshold: Column) -> Column
 
 
 def left_share(strategy: str, left: Column, right: Column) -> Column:
-    """The share of the rows with a missing value that goes left; by expectation where a draw decides."""
+    """The share of the rows with a missing value that goes left; by expectation where a draw decides.  A strategy may be a function of both weights."""
+    if callable(strategy):
+        return strategy(left, right)
     if strategy == "weighted":
         return F.when((left > 0) & (left / (left + right) >= 0.5), 1.0).otherwise(0.0)
     if strategy in ("random", "partition"):
@@ -57,6 +59,8 @@ def left_share(strategy: str, left: Column, right: Column) -> Column:
 
 def missing_side(strategy: str, left: Column, right: Column, draw: Column) -> Column:
     """The side of a row with a missing value; left, right: weights of the known ones; null: it goes."""
+    if callable(strategy):
+        return F.when(draw <= strategy(left, right), LEFT).otherwise(RIGHT)
     if strategy == "ignore":
         return F.lit(None).cast("string")
     if strategy not in ("weighted", "random", "partition", "randomw", "wpartition", LEFT, RIGHT):

@@ -22,6 +22,7 @@ from copse.operators import rules, split
 from copse.operators.examples import ExampleSet, Feature
 
 from .options import PAIRED, RULED, Options
+from .policies import Level, Policy, again, either, plain, ruled, significant
 from .tables import discard, small, stored
 
 AT = ["tree", "node"]
@@ -44,8 +45,12 @@ def _value(array: str, ordinal: Column) -> Column:
     return F.try_element_at(F.col(array), ordinal + 1)
 
 
-def condition_side(ordinal: Column, threshold: Column, category: Column) -> Column:
+def condition_side(ordinal: Column, threshold: Column, category: Column, o: Options | None = None) -> Column:
+    """The side by one feature, or what the option distribute says of its value and what it is split by."""
     number, word = _value("nums", ordinal), _value("cats", ordinal)
+    if o is not None and callable(o.distribute):
+        known = F.when(threshold.isNotNull(), o.distribute(number, threshold)).otherwise(o.distribute(word, category))
+        return F.when(F.when(threshold.isNotNull(), number.isNull()).otherwise(word.isNull()), split.MISSING).otherwise(known)
     return F.when(threshold.isNotNull(), split.numeric_side(number, threshold)).otherwise(split.categoric_side(word, category))
 
 
@@ -64,9 +69,9 @@ def _of_rule(conditions: Column | str = "conditions") -> Column:
 
 def side_of(o: Options, of=F.col) -> Column:
     """The side of a row by the columns of SPLIT and its node, or by what else of() gives for their names."""
-    one = condition_side(of("ordinal"), of("threshold"), of("category"))
+    one = condition_side(of("ordinal"), of("threshold"), of("category"), o)
     if o.branch in PAIRED or callable(o.branch):
-        two = condition_side(of("ordinal_b"), of("threshold_b"), of("category_b"))
+        two = condition_side(of("ordinal_b"), of("threshold_b"), of("category_b"), o)
         coin = u(o.seed, "coin", own_tree(o), of("node"), F.col("id"))
         one = F.when(of("ordinal_b").isNotNull(), split.combined_side(one, two, coin)).otherwise(one)
     if o.branch in RULED or callable(o.branch):
@@ -157,7 +162,8 @@ class Grower:
         draw = u(self.o.seed, round_, own_tree(self.o), F.col("node"), F.col(key), F.col(klass).cast("string")).alias("d")
         both = members.filter("v IS NOT NULL").groupBy(*AT, key).agg(F.array_sort(F.collect_list(F.struct(draw, klass, "v"))).alias("s"))  # a row for each class
         a, b = F.col("s")[0]["v"], F.col("s")[1]["v"]
-        mid = lambda c: (a[c] if self.o.threshold == "value" else F.coalesce((a[c] + b[c]) / 2, a[c], b[c]))
+        between = self.o.threshold if callable(self.o.threshold) else (lambda x, y: x) if self.o.threshold == "value" else (lambda x, y: (x + y) / 2)
+        mid = lambda c: F.coalesce(between(a[c], b[c]), a[c], b[c])
         word = lambda c: F.coalesce(a[c], b[c])
         return both.filter(F.size("s") > 1).select(*AT, key, mid("num").alias("threshold"), word("cat").alias("category"), mid("num_b").alias("threshold_b"), word("cat_b").alias("category_b"))
 
@@ -305,45 +311,31 @@ class Grower:
             return poor & (self.coin() <= 0.5)
         return poor & (u(o.seed, "again", round_, own_tree(o), F.col("node")) < 0.5) if o.branch == "resquare" else poor
 
+    def policy(self) -> Policy:
+        """The policy of the options: one of policies.py, or a combination of these."""
+        o, total = self.o, self.total
+        if isinstance(o.branch, Policy):
+            return o.branch
+        if callable(o.branch):
+            return Policy(lambda level, nodes, round_: o.branch(self, level.state, nodes, level.n))
+        if o.branch in RULED:
+            return {"rule": ruled(), "random-rule": either(ruled(), plain(), self.coin(), o.factor), "choose-rule": significant([plain(), ruled()])}[o.branch]
+        if rounds := redraws(o, total):
+            spent = lambda r: (o.branch == "sample-examples" and o.share * 2**r >= 1) or self.drawn(r)[1] >= total
+            return again(plain(), self.poor, rounds, spent)
+        return plain()
+
     def winners(self, state: DataFrame, nodes: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
         """Class weights of the state's nodes, and the splits of those that don't end here."""
         o = self.o
-        by_rule = o.branch in RULED
-        weights, found = self.level(state, self.asked(nodes, 0), n, 0, first=True)
+        weights, base = self.level(state, self.asked(nodes, 0), n, 0, first=True)
         stats = stats_of(weights)
         live = stats.filter((F.col("k") > 1) & (F.col("n") > o.min_examples)).select(*AT, "entropy")
-        if callable(o.branch):
-            found = o.branch(self, state, live, n)
-        elif by_rule:
-            ruled = live if o.branch != "random-rule" else live.filter(self.coin() <= o.factor)
-            best = stored(self.of_rules(state, ruled, weights, n), "ruled")
-            if o.branch == "rule":
-                found = best
-            elif o.branch == "random-rule":
-                found = best.unionByName(found.join(ruled, AT, "left_anti"))
-            else:  # the more significant of the two
-                found = stored(found, "winners")
-                both = found.unionByName(best).withColumn("_by", F.struct("chi2", F.col("conditions").isNotNull()))
-                one = both.groupBy(*AT).agg(F.max_by(F.struct(*found.columns), "_by").alias("b"))
-                found = one.select("b.*")
-        found = self._redrawn(state, live, found, n)
+        found = self.policy()(Level(self, state, weights, n, live, base), live, 0)
         found = found.filter("all_left > 0 AND all_right > 0")  # a one-sided winner is a leaf
-        return stats, stored(found if o.prune is None else found.filter(F.col("chi2") >= o.prune), "winners")
-
-    def _redrawn(self, state: DataFrame, live: DataFrame, found: DataFrame, n: int) -> DataFrame:
-        asked, rounds = live, redraws(self.o, self.total)
-        found = stored(found, "winners") if rounds else found
-        for round_ in range(1, rounds + 1):
-            poor = stored(asked.join(found, AT, "left").filter(self.poor(round_)).select(*AT, "entropy"), "poor")
-            count = poor.count()
-            if not count:
-                break
-            found, asked = found.join(poor, AT, "left_anti"), poor
-            sampled_out = self.o.branch == "sample-examples" and self.o.share * 2**round_ >= 1
-            if sampled_out or self.drawn(round_)[1] >= self.total:  # no features or rows are left: leaves
-                break
-            found = stored(found.unionByName(self.level(state, self.asked(poor, round_), count, round_)[1]), "winners")
-        return found
+        if o.prune is not None:
+            found = found.filter(o.prune(F.col("chi2"), F.col("n_left"), F.col("n_right")) if callable(o.prune) else F.col("chi2") >= o.prune)
+        return stats, stored(found, "winners")
 
     def route(self, state: DataFrame, winners: DataFrame, n: int) -> DataFrame:
         """The rows of split nodes, in their children."""

@@ -21,29 +21,32 @@ THRESHOLDS, RULE_SCORES, DISTRIBUTE = ("random", "value", "exact"), ("laplace",
 
 @dataclass(frozen=True)
 class Options:
-    """An unknown name is an error.  score, example_sampling and branch may be functions instead of names:
+    """An unknown name is an error.  These may be functions instead of names:
 
     score(counts, keys) gives keys, score, left and right of counts (keys, class, l, r); example_sampling(rows,
-    seed) gives the rows of a tree; branch(grower, state, asked, n) gives the splits of the nodes asked.
+    seed) gives the rows of a tree; branch(grower, state, asked, n) gives the splits of the nodes asked (policies.py has
+    parts of such); missing(left, right) the share of rows without a value that goes left, drawn row by row; threshold(x, y) where to
+    cut between the values of two classes; distribute(value, by) the side, left or right, of a known value; features(total)
+    how many features a node inspects; prune(chi2, left, right) whether a split stays.
     """
 
     trees: int = 10
     max_depth: int = 12
     min_examples: int = 1
     score: str | Callable = "info"
-    features: str | int = "default"  # default, sqrt, all or a number
+    features: str | int | Callable = "default"  # default, sqrt, all or a number
     branch: str | Callable = "subset"
-    missing: str = "weighted"
+    missing: str | Callable = "weighted"
     example_sampling: str | Callable = "bagging"
-    threshold: str = "random"
-    distribute: str = "default"  # rulew: rows of a rule node are dealt by the shares of its conditions
+    threshold: str | Callable = "random"
+    distribute: str | Callable = "default"  # rulew: rows of a rule node are dealt by the shares of its conditions
     rule_score: str = "laplace"
     rules: str | int = "ss"  # rules a node beside the first: ss (root of the features + 1), same, default or a number
     resamples: int = 6
     min_gain: float = 0.0
     sigma: float = 0.5  # chi-square under which a split is poor
     factor: float = 0.5  # share of nodes with pairs (combination) or rules (random-rule)
-    prune: float | None = None  # chi-square under which a node stays a leaf
+    prune: float | Callable | None = None  # chi-square under which a node stays a leaf
     variance: float = 2.0  # random-subset: how many features more or less
     variance_options: tuple[float, ...] | None = None  # of the variance samplings: threshold, low, high (and mode)
     share: float = 0.1  # sample-examples: of the rows, at first
@@ -58,9 +61,9 @@ class Options:
         allowed = {"score": MEASURES, "branch": BRANCHES, "missing": MISSING, "example_sampling": SAMPLING, "threshold": THRESHOLDS, "distribute": DISTRIBUTE, "rule_score": RULE_SCORES}
         for name, names in allowed.items():
             value = getattr(self, name)
-            if value not in names and not (callable(value) and name in ("score", "example_sampling", "branch")):
+            if value not in names and not (callable(value) and name in ("score", "example_sampling", "branch", "missing", "threshold", "distribute")):
                 raise ValueError(f"unknown {name.replace('_', ' ')}: {value!r}; one of {', '.join(names)}")
-        if not (isinstance(self.features, int) and self.features > 0 or self.features in ("default", "sqrt", "all")):
+        if not (callable(self.features) or isinstance(self.features, int) and self.features > 0 or self.features in ("default", "sqrt", "all")):
             raise ValueError(f"unknown number of features: {self.features!r}")
         if not (isinstance(self.rules, int) and self.rules > 0 or self.rules in ("ss", "same", "default")):
             raise ValueError(f"unknown number of rules: {self.rules!r}")
@@ -72,7 +75,7 @@ class Options:
             return 1
         if self.features == "all" or self.branch == "all":
             return total
-        n = int(math.log2(total)) + 1 if self.features == "default" else int(math.sqrt(total)) if self.features == "sqrt" else int(self.features)
+        n = int(self.features(total)) if callable(self.features) else int(math.log2(total)) + 1 if self.features == "default" else int(math.sqrt(total)) if self.features == "sqrt" else int(self.features)
         return max(1, min(total, n))
 
     def n_rules(self, total: int) -> int:

@@ -13,8 +13,8 @@ from copse.functions import measures
 from copse.functions.rng import running
 from copse.operators import rules, sampling, split
 from copse.operators.examples import ExampleSet
-from copse.plans import validate
-from copse.plans.forest import BRANCHES, Options, fit
+from copse.plans import bagging, folds, forest, policies, validate
+from copse.plans.forest import BRANCHES, Options, build, fit, fit_groups, partial
 from copse.sources import typed_csv
 from copse.streaming.scoring import score_stream
 
@@ -190,11 +190,25 @@ def test_every_policy_has_a_query():
     assert {f"branch_{b.replace('-', '_')}" for b in BRANCHES} <= set(queries.queries())
 
 
-def test_rows_are_not_shuffled_to_their_leaves(spark):
+def test_rows_are_not_shuffled_to_their_leaves(spark, monkeypatch):
     ex = fixture(spark)
     model, _ = fit(ex, PLAIN, max_depth=2)
     plan = model.leaves(ex.df)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+    want = sorted(map(tuple, model.leaves(ex.df).collect()))
+    monkeypatch.setattr(forest, "LITERAL", 0)
+    plan = model.leaves(ex.df)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 3
+    assert sorted(map(tuple, model.leaves(ex.df).collect())) == want
+
+
+@pytest.mark.parametrize("o", [{"branch": "correlation"}, {"branch": "rule"}, {"missing": "randomw"}, {"missing": "ignore"}])
+def test_literal_models_predict_alike(spark, monkeypatch, o):
+    ex = fixture(spark, gaps=True)
+    model, _ = fit(ex, PLAIN, max_depth=3, trees=2, features=2, **o)
+    want = sorted(map(str, model.leaves(ex.df).collect()))
+    monkeypatch.setattr(forest, "LITERAL", 0)
+    assert sorted(map(str, model.leaves(ex.df).collect())) == want
 
 
 def test_running_sums(spark):
@@ -285,3 +299,113 @@ def test_streams_score_like_batches(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out")).drop("batch")
     key = lambda df: sorted(map(tuple, df.select("id", "class", "prob", "rank").collect()))
     assert key(got) == key(model.transform(ex.df))
+
+
+def test_policies_combine(spark):
+    """Pairs for some nodes, for the others the more significant of a rule and a redrawn feature, against their parts."""
+    ex = fixture(spark, n=200)
+    o = {"max_depth": 2, "features": 1}
+    coin = F.pmod(F.xxhash64("node"), F.lit(2)).cast("double")
+    redrawn = policies.again(policies.plain(), lambda r: F.coalesce(F.col("chi2") < 3.0, F.lit(True)), 3)
+    mixed = policies.either(policies.paired(), policies.significant([policies.ruled(), redrawn]), coin, 0.5)
+    of = lambda policy: node_rows(fit(ex, PLAIN, branch=policy, **o)[0].nodes)
+    got = of(mixed)
+    coins = {r[0]: r[1] for r in spark.createDataFrame([(n,) for _, n in got], "node string").select("node", coin).collect()}
+    parts = {k: of(p) for k, p in {"pair": policies.paired(), "rule": policies.ruled(), "again": redrawn}.items()}
+    shape = lambda r: (r["kind"], r["feature"], r["threshold"], r["n_left"], r["score"])
+    root = got[1, "1"]
+    if coins["1"] <= 0.5:
+        assert shape(root) == shape(parts["pair"][1, "1"])
+    else:
+        assert shape(root) in (shape(parts["rule"][1, "1"]), shape(parts["again"][1, "1"]))
+    assert {r["feature"] is not None and " & " in r["feature"] for k, r in got.items() if r["kind"] == "node" and coins[k[1]] <= 0.5} <= {True}
+    assert not any(" & " in r["feature"] for k, r in got.items() if r["kind"] == "node" and coins[k[1]] > 0.5)
+    assert of(policies.again(policies.plain(), lambda r: F.col("chi2").isNull(), 0)) == of(policies.plain()) == node_rows(fit(ex, PLAIN, branch="subset", **o)[0].nodes)
+
+
+def test_strategies_are_functions(spark):
+    ex = fixture(spark, gaps=True)
+    same = lambda **o: sorted(map(str, fit(ex, PLAIN, **o)[0].nodes.collect()))
+    assert same(missing=lambda left, right: F.lit(0.0), features=lambda n: n) == same(missing="right")
+    assert same(threshold=lambda x, y: (x + y) / 2) == same() and same(threshold=lambda x, y: x) == same(threshold="value")
+    assert same(prune=lambda chi2, left, right: chi2 >= 1e9) == same(prune=1e9)
+    least = node_rows(fit(ex, PLAIN, prune=lambda chi2, left, right: F.least(left, right) >= 1e6)[0].nodes)
+    assert set(least) == {(1, "1")}
+    from copse.operators import split
+
+    assert same(distribute=lambda v, by: split.numeric_side(v, by) if "num" in str(v) or "nums" in str(v) else split.categoric_side(v, by)) == same()
+    turned = node_rows(fit(ex, PLAIN, threshold=lambda x, y: F.greatest(x, y), distribute=lambda v, by: F.when(v == by, "left").otherwise("right"))[0].nodes)[1, "1"]
+    rows = [r for r in ex.df.collect() if r[turned["feature"]] == (turned["threshold"] if turned["threshold"] is not None else turned["category"])]
+    assert turned["n_left"] == len(rows)
+
+
+def test_folds_over_trees_give_votes_accuracy_and_importance(spark, monkeypatch):
+    ex = fixture(spark)
+    model, bags = fit(ex, PLAIN, trees=4, max_depth=3, features=2, example_sampling="bagging")
+    want = {(r["id"], r["class"], r["prob"]) for r in model.transform(ex.df).filter("rank = 1").collect()}
+    for at_hand in (50_000, 7):
+        monkeypatch.setattr(folds, "AT_HAND", at_hand)
+        got = model.query_trees(ex.df, ["id"], ["pred"], folds.majority(4)).collect()
+        assert {tuple(r) for r in got} == want and len(got) == 120
+    out = sampling.out_of_bag(ex.df, bags, 4)
+    hit = (F.col("pred") == F.col("actual")).cast("double")
+    oob = {r["tree"]: (r["accuracy"], r["n"]) for r in model.query_trees(ex.df, ["tree"], [hit], folds.mean("accuracy"), only=out).collect()}
+    assert oob == {r["tree"]: (pytest.approx(r["accuracy"]), r["n"]) for r in model.oob_accuracy(ex.df, bags).collect()}
+    gains = model.nodes.filter("kind = 'node'")
+    gains = gains.join(gains.groupBy("tree").agg(F.sum("gain").alias("all")), "tree")
+    shares = {r["feature"]: r["importance"] for r in folds.folded(gains, ["feature"], [F.col("gain") / F.col("all") / 4], folds.total("importance")).collect()}
+    assert shares == {r["feature"]: pytest.approx(r["importance"]) for r in model.importance().collect()}
+
+
+def test_bags_of_trees_are_forests(spark):
+    ex = fixture(spark)
+    o = Options(trees=3, max_depth=2, seed=4)
+    bag, _ = bagging.bagged(ex, bagging.TREES, o)
+    model, _ = fit(ex, o)
+    assert sorted(map(tuple, bag.votes(ex.df).collect())) == sorted(map(tuple, model.votes(ex.df).collect()))
+    centres, _ = bagging.bagged(fixture(spark, gaps=True), bagging.CENTRES, o)
+    assert centres.votes(fixture(spark, gaps=True).df).count() == 360
+
+
+def test_forests_resume(spark, tmp_path):
+    ex = fixture(spark)
+    o = Options(trees=5, max_depth=3, seed=4)
+    path = str(tmp_path / "forest")
+    first = build(ex, o, path, batch=2, most=1)
+    assert first.options.trees == 2 and first.votes(ex.df).select("tree").distinct().count() == 2
+    (tmp_path / "forest" / "batch-1").mkdir()  # a run that stopped
+    (tmp_path / "forest" / "batch-1" / "part-0.parquet").write_bytes(b"half")
+    assert partial(spark, path).options.trees == 2
+    whole = build(ex, o, path, batch=2)
+    assert sorted(map(str, whole.nodes.collect())) == sorted(map(str, fit(ex, o)[0].nodes.collect()))
+    with pytest.raises(ValueError):
+        build(ex, Options(trees=5, max_depth=3, seed=5), path, batch=2)
+
+
+@pytest.mark.parametrize("kind", ["bagging", "subagging", "random"])
+def test_groups_grow_as_alone(spark, kind):
+    ex = fixture(spark)
+    dealt = ex.with_df(ex.df.withColumn("fold", F.col("id") % 3 + 1))
+    o = Options(trees=2, max_depth=2, seed=4, example_sampling=kind)
+    both = fit_groups(dealt, "fold", 3, o)
+    for fold, (model, bags) in enumerate(both, 1):
+        alone, own = fit(ex.with_df(ex.df.filter(F.col("id") % 3 + 1 != fold)), o)
+        shape = lambda nodes: sorted((r["tree"], r["node"], r["feature"] or "", r["threshold"] or 0.0, r["n"], r["class"]) for r in nodes.collect())
+        assert shape(model.nodes) == shape(alone.nodes)
+        assert sorted(map(str, bags.select("tree", "id", "weight").collect())) == sorted(map(str, own.select("tree", "id", "weight").collect()))
+
+
+def test_proximity_reads_rare_leaves_first(spark):
+    ex = fixture(spark, n=300)
+    model, _ = fit(ex, Options(trees=6, max_depth=8, seed=3))
+    at = {}
+    for r in model.leaves(ex.df).collect():
+        at.setdefault(r["id"], {})[r["tree"]] = r["node"]
+    counts = {}
+    queries = ex.df.filter("id % 10 = 0")
+    got = sorted((r["query"], r["rank"], r["id"], round(r["proximity"], 9)) for r in model.proximity(ex.df, queries, 4, counts).collect())
+    want = []
+    for q in range(10, 301, 10):
+        near = sorted((-sum(at[q][t] == at[i][t] for t in at[q]), i) for i in at if i != q)
+        want += [(q, n, i, round(-s / 6, 9)) for n, (s, i) in enumerate(near[:4], 1) if s]
+    assert got == sorted(want) and counts["compared"] < counts["all"]
