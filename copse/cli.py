@@ -77,6 +77,15 @@ def evaluator(text: str):
     return lambda ex, options: validate.EVALUATORS[words[0]](ex, options, **args)
 
 
+def outputs(text: str) -> list[str]:
+    """Names of outputs; predictions may name the folder that they go to."""
+    names = text.split(",")
+    for name in names:
+        if name not in ("default", "csv", "predictions", "vi") and not name.startswith("predictions:"):
+            raise argparse.ArgumentTypeError(f"unknown output: {name}")
+    return names
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser("copse")
     top.add_argument("--log-level", default=None, choices=("none", "error", "info", "debug"))
@@ -91,12 +100,12 @@ def parser() -> argparse.ArgumentParser:
 
     data, model = (("-i", "--input"), {"required": True}), (("-m", "--model"), {"required": True})
     classifier, ev = (("-c", "--classifier"), {"default": "rf"}), (("-e", "--evaluator"), {"default": "cv --folds 10"})
-    output = (("-o", "--output"), {"default": "default", "choices": ("default", "csv", "predictions")})
+    output = (("-o", "--output"), {"default": "default", "type": outputs, "help": "default, csv, predictions, predictions:PATH (written by all tasks) and vi, one or several with commas"})
     command("test", data, classifier, ev, output, help="evaluate a classifier on a data set")
     command("deploy", data, classifier, (("-o", "--output"), {"required": True}), help="train on all rows and save the model")
     command("employ", data, model, output, help="evaluate a saved model")
     command("predict", model, (("-i", "--input"), {"required": True, "help": "comma-separated numbers"}), help="predict one example")
-    command("predict-all", data, model, help="predict the rows of a file")
+    command("predict-all", data, model, (("-o", "--output"), {"default": None, "help": "a folder for the rows, which all tasks write"}), help="predict the rows of a file")
     command("vi", model, help="variable importance of a saved model")
     command("rex", data, classifier, (("--min-confidence",), {"type": float, "default": 0.7}), (("--min-coverage",), {"type": float, "default": 0.3}), help="extract rules")
     command("experiment", (("-d", "--datasets"), {"required": True}), (("-t", "--iterations"), {"type": int, "default": 10}), classifier, ev, help="all .txt files of a folder")
@@ -122,6 +131,10 @@ def _results(results: list[dict], output: str) -> str:
     return validate.as_csv(results) if output == "csv" else validate.as_text(results)
 
 
+def _importance(model: ForestModel) -> str:
+    return "".join(f"{r['feature']},{r['importance']:.6f}\n" for r in model.importance().orderBy(F.desc("importance"), "feature").collect())  # a row for each feature
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None, emit=None) -> str:
     """Runs a command and returns what it prints; rows of predictions go to emit one by one, where given."""
     args = parser().parse_args(argv)
@@ -139,12 +152,27 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, emit=
             emit(row)
         return ""
 
+    def dispatch(names: list[str], results, model, df) -> str:
+        """Each output in turn; results() and model() are made once, where an output needs them."""
+        made, out = {}, []
+        for name in names:
+            if name in ("default", "csv"):
+                if "results" not in made:
+                    made["results"] = results()
+                out.append(_results(made["results"], name))
+                continue
+            made["model"] = made.get("model") or model()
+            if name.startswith("predictions:"):
+                validate.write_predictions(validate.predictions(made["model"], df), path := name.partition(":")[2])
+                out.append(f"saved {path}\n")
+            else:
+                out.append(_importance(made["model"]) if name == "vi" else each(made["model"], df))
+        return "".join(out)
+
     if args.command == "test":
         ex, options = typed_csv.read(spark, args.input), forest_options(args.classifier)
         log.info("loaded %s", args.input)
-        if args.output == "predictions":
-            return each(fit(ex, options)[0], ex.df)
-        return _results(evaluator(args.evaluator)(ex, options), args.output)
+        return dispatch(args.output, lambda: evaluator(args.evaluator)(ex, options), lambda: fit(ex, options)[0], ex.df)
     if args.command == "deploy":
         fit(typed_csv.read(spark, args.input), forest_options(args.classifier))[0].save(args.output)
         return f"saved {args.output}\n"
@@ -163,13 +191,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, emit=
     model = ForestModel.load(spark, args.model)
     if args.command == "employ":
         df = typed_csv.read(spark, args.input).df
-        return each(model, df) if args.output == "predictions" else _results([{"fold": "all"} | validate.evaluate(model, df)], args.output)
+        return dispatch(args.output, lambda: [{"fold": "all"} | validate.evaluate(model, df)], lambda: model, df)
     if args.command == "vi":
-        return "".join(f"{r['feature']},{r['importance']:.6f}\n" for r in model.importance().orderBy(F.desc("importance"), "feature").collect())
+        return _importance(model)
     if args.command == "predict":
         one = typed_csv.inline(spark, args.input)
         return model.transform(one.withColumnsRenamed({f"x{i}": f.name for i, f in enumerate(model.features)})).filter("rank = 1").first()["class"] + "\n"
-    return each(model, typed_csv.read(spark, args.input).df)
+    df = typed_csv.read(spark, args.input).df
+    return dispatch([f"predictions:{args.output}" if args.output else "predictions"], None, lambda: model, df)
 
 
 def help_of(topic: str | None) -> str:

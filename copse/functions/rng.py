@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from copse.plans.tables import stored
+from copse.plans.tables import discard, stored
 
 #: Rows of a piece that one task sorts, about, and the most pieces (a row each in the table of offsets).
 PIECE, PIECES = 1_000_000, 100_000
+#: Rows in all that one task may sort for running sums.
+ALONE = 100_000
 
 
 def u(seed, *keys) -> Column:
@@ -48,10 +50,15 @@ def ranked(df: DataFrame, by: Column, ident: str, within: list[str] | None = Non
 def running(df: DataFrame, keys: list[str], by: str, sums: dict[str, str], following: str | None = None) -> DataFrame:
     """df with running sums (new column: summed column) within keys in the order of by; following: the next by.
 
-    Rows are dealt by range of keys and by into pieces; sums of the pieces before are added to those within a
+    More than ALONE rows are dealt by range of keys and by into pieces; sums of the pieces before are added to those within a
     piece.  The table of offsets has a row for each piece and key that meet.
     """
-    rows = stored(df.repartitionByRange(*keys, by).withColumn("_piece", F.spark_partition_id()), "pieces")
+    rows = stored(df, "rows")
+    if rows.count() <= ALONE:  # a window of its own for each key
+        order = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(by)
+        return rows.withColumns({new: F.sum(c).over(order) for new, c in sums.items()} | ({following: F.lead(by).over(order)} if following else {}))
+    whole, rows = rows, stored(rows.repartitionByRange(*keys, by).withColumn("_piece", F.spark_partition_id()), "pieces")
+    discard(whole)
     total = [F.sum(c).alias(f"_s{i}") for i, c in enumerate(sums.values())]
     heads = rows.groupBy(*keys, "_piece").agg(*total, F.min(by).alias("_first"))
     order = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("_piece")

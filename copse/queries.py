@@ -224,9 +224,9 @@ def _catalogue() -> dict:
     add("no_rules", lambda s, d: fitted(s, d)[0].n_rules(), on_leaves("SELECT count(*) AS n_rules FROM {nodes} WHERE kind = 'leaf'"))
     for branch in forest.BRANCHES:
         o = {"trees": 1, "max_depth": 2, "branch": branch} | ({"score": "hellinger"} if branch == "hellinger" else {})
-        sampled = branch == "sample-examples" or branch in ("rule", "random-rule", "choose-rule")  # sampled rows and rules grown in turns: tested against brute force
-        add(f"branch_{branch.replace('-', '_')}", lambda s, d, o=o: fitted(s, d, **o)[0].nodes.select(*columns()), None if sampled else nodes_sql(sql_of(**o)))
-    add("rule_weighted_nodes", lambda s, d: fitted(s, d, trees=1, max_depth=2, branch="rule", distribute="rulew")[0].nodes.select(*columns()))
+        add(f"branch_{branch.replace('-', '_')}", lambda s, d, o=o: fitted(s, d, **o)[0].nodes.select(*columns()), nodes_sql(sql_of(**o)))
+    weighted_rules = {"trees": 1, "max_depth": 2, "branch": "rule", "distribute": "rulew"}
+    add("rule_weighted_nodes", lambda s, d: fitted(s, d, **weighted_rules)[0].nodes.select(*columns()), nodes_sql(sql_of(**weighted_rules)))
     near = "SELECT q.id AS query, l.id, round(count(*) / 3.0::DOUBLE, 6) AS proximity FROM {at} q JOIN {at} l ON q.tree = l.tree AND q.node = l.node AND q.id <> l.id WHERE q.id % 20 = 0 GROUP BY ALL"
     add("proximity_topk", lambda s, d: fitted(s, d)[0].proximity(orders(s, d).df, orders(s, d).df.filter("id % 20 = 0"), 5).select("query", "id", R6("proximity"), "rank"),
         on_leaves(f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY proximity DESC, id) AS rank FROM ({near})) WHERE rank <= 5"))
@@ -375,7 +375,17 @@ def _catalogue() -> dict:
 
     for kind, form in (("laplace", "1 - (p + 1) / (p + n + 3)"), ("m", "1 - (p + 3 * pi) / (p + n + 3)"), ("purity", "1 - p / (p + n)")):
         add(f"rule_{'m_estimate' if kind == 'm' else kind}", lambda s, d, kind=kind: scored(s, d, kind), f"SELECT p AS pos, n AS neg, round({form}, 6) AS score FROM ({pn})")
-    add("rule_learning", lambda s, d: s.createDataFrame([(i, f, k, str(v), h) for i, (f, k, v, h) in enumerate(rules.learn_rule(orders(s, d), "F", "r"))], "step int, feature string, kind string, value string, holds boolean"))
+    add("rule_learning", lambda s, d: s.createDataFrame([(i, f, k, str(v), h) for i, (f, k, v, h) in enumerate(rules.learn_rule(orders(s, d), "F", "r"))], "step int, feature string, kind string, value string, holds boolean"), oracles.learned_rule(O_SQL, O_FEATURES, "F", "r"))
+    # Sides by the closeness of embeddings to a centroid, the first vector.
+    close = "exp(-sqrt(list_sum(list_transform(list_zip(v.embedding, q.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) ** 2))))"
+
+    def by_centroid(s, d):
+        rows = vectors(s, d)
+        centre = rows.filter("id = 0").select(F.transform("vector", lambda x: x.cast("double")).alias("c"))  # one row
+        side = split.centroid_side(F.transform("vector", lambda x: x.cast("double")), F.col("c"), F.lit(0.25))
+        return rows.crossJoin(F.broadcast(centre)).select("id", side.alias("side"))
+
+    add("distribute_centroid", by_centroid, f"SELECT v.vec_id AS id, CASE WHEN {close} >= 0.25 THEN 'left' ELSE 'right' END AS side FROM embeddings v, embeddings q WHERE q.vec_id = 0")
     text = lambda n, turn: f"{n}.feature || ' ' || CASE WHEN {n}.threshold IS NOT NULL THEN CASE WHEN {turn} = '0' THEN '>=' ELSE '<' END ELSE CASE WHEN {turn} = '0' THEN '=' ELSE '<>' END END || ' ' || coalesce(round({n}.threshold, 6)::VARCHAR, {n}.category)"
     extracted = (
         "SELECT * FROM (WITH g AS (SELECT tree, node, kind, class, majority_n / n AS confidence, n / (SELECT count(*) FROM orders) AS coverage FROM {nodes} WHERE CASE WHEN kind = 'leaf' THEN majority_n / n > 0.35 AND n / (SELECT count(*) FROM orders) > 0.05 ELSE majority_n / n >= 0.35 AND n / (SELECT count(*) FROM orders) >= 0.05 END), "

@@ -211,7 +211,9 @@ def test_literal_models_predict_alike(spark, monkeypatch, o):
     assert sorted(map(str, model.leaves(ex.df).collect())) == want
 
 
-def test_running_sums(spark):
+@pytest.mark.parametrize("alone", [0, 100_000])
+def test_running_sums(spark, monkeypatch, alone):
+    monkeypatch.setattr("copse.functions.rng.ALONE", alone)
     rng = np.random.default_rng(1)
     rows = [(int(k), float(v), int(w)) for k, v, w in zip(rng.integers(0, 3, 500), rng.permutation(500), rng.integers(1, 9, 500), strict=True)]
     got = running(spark.createDataFrame(rows, "k int, v double, w int").repartition(4), ["k"], "v", {"upto": "w"}, following="after").collect()
@@ -280,6 +282,10 @@ def test_commands(spark, tmp_path, capsys):
     assert run("vi", "-m", model).startswith("A,")
     assert " accuracy: " in run("employ", "-m", model, "-i", str(data)) and "class yes" in run("employ", "-m", model, "-i", str(data))
     assert run("test", "-i", str(data), "-c", rf, "-e", "sv --ratio 0.5", "-o", "csv").startswith("fold,accuracy")
+    both = run("employ", "-m", model, "-i", str(data), "-o", f"csv,vi,predictions:{tmp_path}/said")
+    assert both.startswith("fold,accuracy") and "\nA," in both and both.endswith(f"saved {tmp_path}/said\n")
+    assert run("predict-all", "-m", model, "-i", str(data), "-o", f"{tmp_path}/all").startswith("saved")
+    assert sorted(r[0] for r in spark.read.text(f"{tmp_path}/all").collect()) == sorted(r[0] for r in spark.read.text(f"{tmp_path}/said").collect()) == sorted(lines)
     assert "<-" in run("rex", "-i", str(data), "-c", rf, "--min-coverage", "0.1")
     assert run("experiment", "-d", str(data.parent), "-t", "1", "-c", rf, "-e", "in").count("in-sample") == 1
     assert "predict-all" in run("help") and "--feature-sampling" in run("help", "rf") and "--model" in run("help", "vi")
