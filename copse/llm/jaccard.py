@@ -240,7 +240,7 @@ def _between_roots(link: int):
     In a pair that may link, the larger is no larger than what the smaller one's place in the tile allows, so
     rows whose place rules out all sets of their size or more start no pair.  Sorted by size, the partners of a row are
     a range.  Rows of the tile's most frequent component start pairs with other rows only.  Cells of a split tile have two
-    sides, and pairs have one row of each.
+    sides: those that start pairs, and those that they meet.
     """
 
     def run(batches):
@@ -253,8 +253,8 @@ def _between_roots(link: int):
             frequent = _most_frequent_root(tile, root)
             out = []
             for first, second in ((~frequent, np.ones(len(n), bool)), (frequent, ~frequent)):
-                start, at = np.flatnonzero(first & (largest >= n)), np.flatnonzero(second)
-                to, own = (2 * tile + np.where(sides == 2, 1 - side, side))[start] << 40, key[at]
+                start, at = np.flatnonzero(first & (largest >= n) & (side == 0)), np.flatnonzero(second)
+                to, own = (2 * tile + (sides == 2))[start] << 40, key[at]
                 low = np.searchsorted(own, to | n[start], "left")
                 high = np.searchsorted(own, to | largest[start], "right")
                 for i, j in _ranges(low, high):
@@ -398,17 +398,30 @@ def _classes(df: DataFrame, id_col: str, text_col: str, k: int, link: int) -> tu
         last = round_ == len(FIRST_ROUNDS)
         own = rooted.select("token", "band", F.lit(False).alias("visits"), "n", "pos", "cid", "root", "sig", "times")
         dealt = own.unionByName(own.filter("band >= 0").withColumns({"visits": F.lit(True), "band": F.col("band") + 1}))
-        if last:  # a tile of one component has no pairs; large ones are split in blocks, of which any two meet in a cell
+        if last:  # a tile of one component has no pairs; large ones are split: blocks of rows that start pairs meet deals of all in cells
             dealt = dealt.withColumn("salt", salt(F.col("cid")))
-            roots = dealt.groupBy("token", "band", "salt").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("rows"))
-            mixed = roots.groupBy("token", "band").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.bit_or(salt_bit("salt")).alias("salts"), F.sum("rows").alias("rows"))
-            mixed = stored(mixed.filter("low < high").select("token", "band", "rows", "salts"), "mixed")
+            # Rows start pairs with larger ones only where their place allows a partner of their size; others must suit such a row.
+            most = F.expr(f"({100 + link}L * (n - pos)) div {link}L - n")
+            dealt = dealt.withColumn("starts", most >= F.col("n"))
+            roots = dealt.groupBy("token", "band", "salt").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.when(F.col("starts"), F.col("n"))).alias("least"), F.max(F.when(F.col("starts"), most)).alias("most"))
+            mixed = roots.groupBy("token", "band").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("least").alias("least"), F.max("most").alias("most"), F.bit_or(salt_bit("salt")).alias("salts"))
+            mixed = stored(mixed.filter("low < high AND least IS NOT NULL").select("token", "band", "least", "most", "salts"), "mixed")
             if mixed.isEmpty():
+                discard(mixed)
                 return None
-            dealt = dealt.join(mixed.select("token", "band", "rows", salts_in("salts").alias("salt")), ["token", "band", "salt"]).drop("salt")
-            dealt = dealt.withColumn("blocks", F.ceil(F.col("rows") / CELL).cast("int")).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-            cell = lambda j: F.struct((F.least("block", j) * F.col("blocks") + F.greatest("block", j)).alias("deal"), (F.col("block") > j).cast("int").alias("side"), F.when(F.col("block") == j, 1).otherwise(2).alias("sides"))
-            dealt = dealt.withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), cell))).select("token", "band", "visits", "n", "pos", "cid", "root", "sig", "cell.*")
+            suits = F.col("starts") | F.col("n").between(F.col("least"), F.col("most"))
+            dealt = dealt.join(mixed.select("token", "band", "least", "most", salts_in("salts").alias("salt")), ["token", "band", "salt"]).filter(suits).drop("least", "most")
+            sizes = dealt.groupBy("token", "band", "salt").agg(F.count(F.lit(1)).alias("rows"), F.count_if("starts").alias("firsts"))
+            sizes = sizes.groupBy("token", "band").agg(F.sum("rows").alias("rows"), F.sum("firsts").alias("firsts"), F.bit_or(salt_bit("salt")).alias("salts")).filter(F.col("rows") > CELL)
+            sizes = sizes.select("token", "band", F.ceil(F.col("rows") / CELL).cast("int").alias("deals"), F.ceil(F.col("firsts") / CELL).cast("int").alias("blocks"), salts_in("salts").alias("salt"))
+            dealt = dealt.join(sizes, ["token", "band", "salt"], "left").drop("salt")
+            at = lambda n: F.pmod(F.xxhash64("cid"), n).cast("int")
+            cell = lambda deal, side, sides: F.struct(deal.alias("deal"), F.lit(side).alias("side"), F.lit(sides).alias("sides"))
+            upto = lambda n: F.sequence(F.lit(0), n - 1)
+            second = F.transform(upto(F.col("blocks")), lambda b: cell(b * F.col("deals") + at(F.col("deals")), 1, 2))
+            first = F.transform(upto(F.col("deals")), lambda d: cell(at(F.col("blocks")) * F.col("deals") + d, 0, 2))
+            cells = F.when(F.col("deals").isNull(), F.array(cell(F.lit(0), 0, 1))).when(F.col("starts"), F.concat(second, first)).otherwise(second)
+            dealt = dealt.withColumn("cell", F.explode(cells)).select("token", "band", "visits", "n", "pos", "cid", "root", "sig", "cell.*")
             dealt = dealt.repartition("token", "band", "deal").sortWithinPartitions("token", "band", "deal", "side", "n", "cid")
             candidates = _between_roots(link)
         else:  # large tiles fall into deals, each with the first row of the tile

@@ -231,7 +231,13 @@ def tile_table(rng, n, cell, blocks):
         size, token = int(rng.integers(50, 61)), int(rng.integers(0, 2))
         row = {"token": token, "band": 0, "visits": bool(rng.random() < 0.3), "n": size, "pos": int(rng.integers(0, 7)), "cid": cid, "root": int(rng.choice([1, 1, 1, 2, cid])), "sig": b"\0" * (jaccard.BITS // 8)}
         block = int(rng.integers(0, blocks))
-        rows += [row | {"deal": min(block, j) * blocks + max(block, j), "side": int(block > j), "sides": 1 if block == j else 2} for j in range(blocks)]
+        if blocks == 1:
+            rows.append(row | {"deal": 0, "side": 0, "sides": 1})
+            continue
+        deals = blocks + 1
+        rows += [row | {"deal": b * deals + cid % deals, "side": 1, "sides": 2} for b in range(blocks)]
+        if 190 * (size - row["pos"]) // 90 - size >= size:
+            rows += [row | {"deal": block * deals + d, "side": 0, "sides": 2} for d in range(deals)]
     rows.sort(key=lambda r: (r["token"], r["band"], r["deal"], r["side"], r["n"], r["cid"]))
     table = pa.Table.from_pylist(rows, schema=pa.schema([("token", pa.int64()), ("band", pa.int32()), ("visits", pa.bool_()), ("n", pa.int64()), ("pos", pa.int32()), ("cid", pa.int64()), ("root", pa.int64()), ("sig", pa.binary()), ("deal", pa.int32()), ("side", pa.int32()), ("sides", pa.int32())]))
     return rows, table
