@@ -196,6 +196,11 @@ def _catalogue() -> dict:
         on_leaves("SELECT id, class, string_agg((pred = class)::INT::VARCHAR, ',' ORDER BY tree) AS votes FROM {at}, (SELECT DISTINCT pred AS class FROM {at}) GROUP BY id, class", max_depth=1))
     add("forest_majority", lambda s, d: metrics.predicted(fitted(s, d, trees=5)[0].transform(orders(s, d).df)), on_leaves(oracles.predicted(oracles.probabilities("SELECT * FROM {at}", 5)), trees=5))
 
+    # All options as they are by default: ten trees of depth 12.
+    whole = forest.Options(seed=5)
+    of_whole = ForestSQL(O_SQL, O_FEATURES, whole)
+    at_whole = of_whole.leaves(O_SQL)
+    add("forest_default", lambda s, d: metrics.predicted(forest.fit(orders(s, d), whole)[0].transform(orders(s, d).df)), of_whole.query(oracles.predicted(oracles.probabilities(f"SELECT * FROM {at_whole}", whole.trees))))
     add("query_all_trees", lambda s, d: fitted(s, d, trees=5, max_depth=1)[0].query_trees(orders(s, d).df, ["id", "actual"], ["pred"], folds.majority(5)),
         on_leaves(oracles.predicted(oracles.probabilities("SELECT * FROM {at}", 5)), trees=5, max_depth=1))
 
@@ -231,6 +236,9 @@ def _catalogue() -> dict:
     add("proximity_topk", lambda s, d: fitted(s, d)[0].proximity(orders(s, d).df, orders(s, d).df.filter("id % 20 = 0"), 5).select("query", "id", R6("proximity"), "rank"),
         on_leaves(f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY proximity DESC, id) AS rank FROM ({near})) WHERE rank <= 5"))
 
+    near_whole = near.format(at=at_whole).replace("/ 3.0", "/ 10.0")
+    add("proximity_default", lambda s, d: forest.fit(orders(s, d), whole)[0].proximity(orders(s, d).df, orders(s, d).df.filter("id % 20 = 0"), 5).select("query", "id", R6("proximity"), "rank"),
+        of_whole.query(f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY proximity DESC, id) AS rank FROM ({near_whole})) WHERE rank <= 5"))
     some = forest.Options(trees=3, max_depth=4, seed=5)
     gaps = ForestSQL(G_SQL, O_FEATURES, some)
     at_gaps = gaps.leaves(G_SQL)
