@@ -28,6 +28,8 @@ from .tables import discard, small, stored
 AT = ["tree", "node"]
 #: Levels after which the rows are written; between, they are routed again from the last table.
 STORE_LEVELS = 4
+#: Candidates of a node that a row counts for at once; more are rows of their own.
+SLOTS = 8
 CONDITIONS = "array<struct<ordinal: int, threshold: double, category: string, holds: boolean>>"
 #: A split: one condition, two (b) or a rule for a target class; null where it isn't of that form.
 SPLIT = "ordinal int, threshold double, category string, ordinal_b int, threshold_b double, category_b string, conditions " + CONDITIONS + ", target string"
@@ -132,8 +134,50 @@ class Grower:
             asks = F.when(self.coin() <= o.factor, pairs).otherwise(one) if o.branch == "combination" else pairs
         return nodes.select(*AT, asks.alias("asks"))
 
+    def slots(self, round_: int) -> int | None:
+        """How many candidates a node has at most, if they are single features and few enough to be columns."""
+        o = self.o
+        if o.branch in PAIRED or callable(o.branch) or isinstance(o.branch, Policy) or o.branch == "sample-examples" or o.distribute == "rulew":
+            return None
+        n = self.total if o.branch == "random-subset" else min(self.total, self.drawn(round_)[0])
+        return n if 0 < n <= SLOTS else None
+
     # Aggregations over rows.
 
+    def members_at_once(self, state: DataFrame, asked: DataFrame, n: int, round_: int, slots: int) -> DataFrame:
+        """members() of all candidates, and the class weights as candidate -1: a row counts once, each candidate has columns.
+
+        What a draw is of but the id is made once for each candidate, not for each row.
+        """
+        tag = F.concat_ws(":", F.lit(str(self.o.seed)), F.lit(str(round_)), own_tree(self.o).cast("string"), F.col("node"))
+        lead = lambda a: F.struct(a["cand"].alias("cand"), a["ordinal"].alias("ordinal"), F.concat(tag, F.lit(":"), a["cand"].cast("string"), F.lit(":")).alias("lead"))
+        rows = state.join(small(asked.select(*AT, F.transform("asks", lead).alias("asks")), n), AT)
+        after = F.pmod(F.xxhash64("id"), F.lit(2147483648))
+        columns, aggregates, each = [], [F.sum("weight").alias("w")], []
+        for i in range(slots):
+            a = F.get("asks", F.lit(i))
+            num, word = _value("nums", a["ordinal"]), _value("cats", a["ordinal"])
+            draw = F.conv(F.substring(F.md5(F.concat(a["lead"], F.col("id").cast("string"))), 1, 8), 16, 10).cast("bigint")
+            order = F.when(num.isNotNull() | word.isNotNull(), draw * 2147483648 + F.col("_after"))
+            columns += [a["cand"].alias(f"cand{i}"), order.alias(f"o{i}"), num.alias(f"num{i}"), F.when(word.isNotNull(), F.xxhash64(word)).alias(f"cat{i}")]
+            aggregates += [F.min(f"cand{i}").alias(f"cand{i}"), F.min(f"o{i}").alias(f"o{i}"), F.min_by(f"num{i}", f"o{i}").alias(f"num{i}"), F.min_by(f"cat{i}", f"o{i}").alias(f"cat{i}")]
+            v = F.struct(F.col(f"num{i}").alias("num"), F.col(f"cat{i}").alias("cat"), F.lit(None).cast("double").alias("num_b"), F.lit(None).cast("long").alias("cat_b"))
+            each.append(F.struct(F.col(f"cand{i}").alias("cand"), F.when(F.col(f"o{i}").isNotNull(), v).alias("v")))
+        found = rows.withColumn("_after", after).select(*AT, "class", "weight", *columns).groupBy(*AT, "class").agg(*aggregates)
+        whole = F.struct(F.lit(-1).alias("cand"), F.when(F.lit(False), each[0]["v"]).alias("v"))
+        return found.select(*AT, "class", "w", F.explode(F.array(whole, *each)).alias("e")).select(*AT, "e.cand", "class", "w", "e.v").filter("cand IS NOT NULL")
+
+    def sides_at_once(self, state: DataFrame, cuts: DataFrame, n: int, slots: int) -> DataFrame:
+        """tree, node, cand, class: weights left, right and missing (l, r, m) by each candidate; a row counts once, each candidate has columns."""
+        of_node = cuts.groupBy(*AT).agg(F.collect_list(F.struct("cand", *SPLIT_COLUMNS)).alias("cuts"))  # slots at most
+        at = [F.get("cuts", F.lit(i)) for i in range(slots)]
+        rows = state.join(small(of_node, n), AT).select(*AT, "class", "weight", *[c for i, a in enumerate(at) for c in (a["cand"].alias(f"cand{i}"), side_of(self.o, lambda name, a=a: a[name]).alias(f"side{i}"))])
+        on = lambda i, s: F.coalesce(F.sum(F.when(F.col(f"side{i}") == s, F.col("weight"))), F.lit(0.0))
+        aggregates = [c for i in range(slots) for c in (F.min(f"cand{i}").alias(f"cand{i}"), on(i, "left").alias(f"l{i}"), on(i, "right").alias(f"r{i}"), on(i, "?").alias(f"m{i}"))]
+        each = [F.struct(*[F.col(f"{c}{i}").alias(c) for c in ("cand", "l", "r", "m")]) for i in range(slots)]
+        found = rows.groupBy(*AT, "class").agg(*aggregates).select(*AT, "class", F.explode(F.array(*each)).alias("e"))
+        return found.select(*AT, "e.cand", "class", "e.l", "e.r", "e.m").filter("cand IS NOT NULL")
+
     def members(self, rows: DataFrame, key: str, klass: str, round_) -> DataFrame:
         """tree, node, key, class: weight and the values of the row with the least draw, for rows (.., ordinal, ordinal_b)."""
         one, two = (lambda array, c=c: _value(array, F.col(c)) for c in ("ordinal", "ordinal_b"))
@@ -180,6 +224,11 @@ class Grower:
         on = lambda s: F.coalesce(F.sum(F.when(F.col("p.side") == s, F.col("weight") * F.col("p.share"))), F.lit(0.0))
         rows = sided.select(*keys, "class", "weight", (F.explode("parts") if o.distribute == "rulew" else F.col("parts")[0]).alias("p"))
         counts = rows.groupBy(*keys, "class").agg(on("left").alias("l"), on("right").alias("r"), on("?").alias("m"))
+        return self.judged(counts, key)
+
+    def judged(self, counts: DataFrame, key: str) -> DataFrame:
+        """scored() of the weights (l, r, m) of the classes."""
+        o, keys = self.o, [*AT, key]
         c = F.array_sort(F.collect_list(F.struct("class", "l", "r", "m"))).alias("c")  # a struct for each class
         known = counts.groupBy(*keys).agg(c, F.sum("l").alias("n_left"), F.sum("r").alias("n_right"))
         share = split.left_share(o.missing, F.col("n_left"), F.col("n_right"))
@@ -204,11 +253,15 @@ class Grower:
     def level(self, state: DataFrame, asked: DataFrame, n: int, round_: int, first: bool = False) -> tuple[DataFrame | None, DataFrame]:
         """Class weights (first: of all nodes of the state) and the best splits of the nodes asked, which are n."""
         o, sampled = self.o, self.o.branch == "sample-examples"
-        stats = F.struct(F.lit(-1).alias("cand"), F.lit(None).cast("int").alias("ordinal"), F.lit(None).cast("int").alias("ordinal_b"))
-        asks = F.explode(F.concat(F.array(stats), "asks") if first else F.col("asks")).alias("a")
-        rows = state.join(small(asked, n), AT).select(*state.columns, asks).select(*state.columns, "a.*")
-        on_sample = F.col("ordinal").isNull() | (u(o.seed, "sample", round_, own_tree(o), F.col("node"), F.col("id")) < o.share * 2**round_) if sampled else None
-        members = stored(self.members(rows.filter(on_sample) if sampled else rows, "cand", "class", round_), "members")
+        if slots := self.slots(round_):
+            members = self.members_at_once(state, asked, n, round_, slots)
+        else:
+            stats = F.struct(F.lit(-1).alias("cand"), F.lit(None).cast("int").alias("ordinal"), F.lit(None).cast("int").alias("ordinal_b"))
+            asks = F.explode(F.concat(F.array(stats), "asks") if first else F.col("asks")).alias("a")
+            rows = state.join(small(asked, n), AT).select(*state.columns, asks).select(*state.columns, "a.*")
+            on_sample = F.col("ordinal").isNull() | (u(o.seed, "sample", round_, own_tree(o), F.col("node"), F.col("id")) < o.share * 2**round_) if sampled else None
+            members = self.members(rows.filter(on_sample) if sampled else rows, "cand", "class", round_)
+        members = stored(members, "members")
         weights = members.filter("cand = -1").select(*AT, "class", "w") if first else None
         if first:
             live = weights.groupBy(*AT).agg(F.sum("w").alias("n"), F.count(F.lit(1)).alias("k")).filter((F.col("k") > 1) & (F.col("n") > o.min_examples))
@@ -232,7 +285,9 @@ class Grower:
             some = state.filter(u(o.seed, "sample", round_, own_tree(o), F.col("node"), F.col("id")) < o.share * 2**round_)
             found = stored(self.best(self.scored(self.sided(some, cuts, n), "cand"), "cand").select(*AT, "cand"), "found")
             cuts = cuts.join(found, [*AT, "cand"], "left_semi")
-        return self.best(self.scored(self.sided(state, cuts, n), "cand"), "cand").join(cuts, [*AT, "cand"]).drop("cand")
+        slots = self.slots(round_)
+        scored = self.judged(self.sides_at_once(state, cuts, n, slots), "cand") if slots else self.scored(self.sided(state, cuts, n), "cand")
+        return self.best(scored, "cand").join(cuts, [*AT, "cand"]).drop("cand")
 
     def _columns(self, df: DataFrame) -> list[Column]:
         """The columns of SPLIT, null where df has none."""
@@ -415,7 +470,7 @@ def grow(ex: ExampleSet, o: Options, bags: DataFrame, only: range | None = None)
         if not count:
             break
         state = grower.route(state, winners, count)
-        if (depth + 1) % STORE_LEVELS == 0:
+        if (depth + 1) % STORE_LEVELS == 0 and depth + 1 < o.max_depth:  # the last level is read once
             before, written = written, stored(state, "level")
             state = written
             if before is not None:

@@ -202,6 +202,20 @@ def test_rows_are_not_shuffled_to_their_leaves(spark, monkeypatch):
     assert sorted(map(tuple, model.leaves(ex.df).collect())) == want
 
 
+def test_candidates_are_columns_of_a_row(spark, monkeypatch):
+    ex, o = fixture(spark, gaps=True), {"max_depth": 2, "branch": "random-subset", "features": 2}
+    from copse.plans import grow
+
+    seen = []
+    whole = grow.Grower.members_at_once
+    monkeypatch.setattr(grow.Grower, "members_at_once", lambda *a: seen.append(1) or whole(*a))
+    told = lambda: sorted(str([round(v, 6) if isinstance(v, float) else v for v in r]) for r in fit(ex, PLAIN, **o)[0].nodes.collect())
+    want = told()
+    assert seen
+    monkeypatch.setattr(grow, "SLOTS", 0)
+    assert told() == want
+
+
 @pytest.mark.parametrize("o", [{"branch": "correlation"}, {"branch": "rule"}, {"missing": "randomw"}, {"missing": "ignore"}])
 def test_literal_models_predict_alike(spark, monkeypatch, o):
     ex = fixture(spark, gaps=True)
