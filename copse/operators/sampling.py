@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from copse.functions.rng import ranked, running, triangle, u, uniform_between
-from copse.plans.tables import small, stored
+from copse.plans.tables import dealt, small, stored
 
 
 def _round(x: Column) -> Column:
@@ -28,8 +28,9 @@ def bootstrap(ex: DataFrame, seed, trees: int | None = None, within: list[str] |
     if tree:
         draws = draws.withColumn("tree", F.explode(F.sequence(F.lit(1), F.lit(trees))))
     place = (F.floor(u(seed, *map(F.col, tree), F.col("draw")) * F.col("n")) + 1).cast("bigint")
-    times = draws.select(*keys, *tree, place.alias("place")).groupBy(*keys, *tree, "place").agg(F.count(F.lit(1)).alias("times"))
-    return rows.join(times, [*keys, "place"]).withColumn("weight", F.col("weight") * F.col("times")).drop("place", "times")
+    # Draws are dealt by place alone, as the join needs them, so trees are counted and joined where they lie.
+    times = dealt(draws.select(*keys, *tree, place.alias("place")), *keys, "place").groupBy(*keys, *tree, "place").agg(F.count(F.lit(1)).alias("times"))
+    return rows.join(times.hint("merge"), [*keys, "place"]).withColumn("weight", F.col("weight") * F.col("times")).drop("place", "times")
 
 
 def class_bootstrap(ex: DataFrame, seed, trees: int, target: str, overlap: float) -> DataFrame:

@@ -54,6 +54,12 @@ def _bags(ex: ExampleSet, o: Options, group: str | None = None) -> DataFrame:
     return out.withColumn("tree", number.cast("int")).select(*[c for c in df.columns if c != "_for"], "tree")
 
 
+def _spread(ex: ExampleSet, o: Options, group: str | None = None) -> DataFrame:
+    """_bags() in as many even partitions as dealt() makes; a bootstrap has them already."""
+    bags = _bags(ex, o, group)
+    return bags if o.example_sampling == "bagging" else dealt(bags, "tree", "id")
+
+
 def _random_samples(rows: DataFrame, df: DataFrame, o: Options, seed: Column, keys: tuple[str, ...]) -> DataFrame:
     """For each tree a triangle, uniform or bootstrap sample, by one draw of its seed."""
     each = df.sparkSession.range(1, o.trees + 1).withColumnRenamed("id", "tree")
@@ -251,7 +257,7 @@ def fit(ex: ExampleSet, options: Options = Options(), **changes) -> tuple[Forest
         first, _ = fit(ex, replace(o, missing="weighted"))
         ex = impute_by_proximity(ex, first)
         o = replace(o, missing="weighted")
-    bags = stored(dealt(_bags(ex, o), "tree", "id"), "bags")
+    bags = stored(_spread(ex, o), "bags")
     return ForestModel(stored(grow(ex, o, bags), "forest"), ex.features, o), bags
 
 
@@ -271,7 +277,7 @@ def build(ex: ExampleSet, options: Options, path: str, batch: int = 5, most: int
     else:
         spark.createDataFrame([(meta,)], "value string").write.mode("overwrite").text(f"{path}/meta")
     todo = [b for b in range(-(-options.trees // batch)) if not _exists(spark, f"{path}/batch-{b}/_SUCCESS")][:most]
-    bags = stored(dealt(_bags(ex, options), "tree", "id"), "bags") if todo else None
+    bags = stored(_spread(ex, options), "bags") if todo else None
     for b in todo:
         own = range(b * batch + 1, min(options.trees, (b + 1) * batch) + 1)
         grow(ex, options, bags.filter(F.col("tree").between(own[0], own[-1])), own).write.mode("overwrite").parquet(f"{path}/batch-{b}")
@@ -306,7 +312,7 @@ def fit_groups(ex: ExampleSet, group: str, groups: int, options: Options) -> lis
     All of them grow in one plan: a tree of a group is a tree like any other, so the jobs don't grow with the groups.
     """
     o = replace(options, groups=groups)
-    bags = stored(dealt(_bags(ex, o, group), "tree", "id"), "bags")
+    bags = stored(_spread(ex, o, group), "bags")
     nodes = stored(grow(ex, o, bags), "forests")
     own = lambda df, g: df.filter(F.ceil(F.col("tree") / o.trees) == g).withColumn("tree", F.col("tree") - (g - 1) * o.trees)
     return [(ForestModel(own(nodes, g), ex.features, options), own(bags, g)) for g in range(1, groups + 1)]
