@@ -75,3 +75,12 @@ def test_tops_are_cut_before_the_shuffle(spark, capsys):
     top(spark.range(100).selectExpr("id % 3 AS key", "id"), ["key"], ["id"], 2).explain()
     plan = capsys.readouterr().out
     assert "WindowGroupLimit" in plan and plan.rindex("Partial") > plan.index("Exchange")
+
+
+def test_equal_queries_are_searched_once(spark):
+    """300 queries of 30 points; each leaves itself out, though its equals share the search."""
+    df = spark.range(600).select("id", (F.col("id") % 30).cast("double").alias("x"), F.when(F.col("id") % 4 > 0, (F.col("id") % 5).cast("double")).alias("y"))
+    counts, queries = {}, df.filter("id % 2 = 0")
+    assert rows_of(cells.nearest_in_cells(df, queries, PLAIN, 4, rows=40, counts=counts)) == rows_of(neighbors.nearest(df, queries, PLAIN, 4))
+    points = queries.select("x", "y").distinct().count()
+    assert points < 60 and counts["searched"] <= counts["all"] and counts["all"] % points == 0 and counts["all"] < 300 * 15
