@@ -26,7 +26,8 @@ from .policies import Level, Policy, again, either, plain, ruled, significant
 from .tables import discard, small, stored
 
 AT = ["tree", "node"]
-#: Levels after which the rows are written; between, they are routed again from the last table.
+#: Levels after which the rows are written; between, they are routed again from the last table.  With rules, whose levels read
+#: their rows many times, they are written after each.
 STORE_LEVELS = 4
 #: Candidates of a node that a row counts for at once; more are rows of their own.
 SLOTS = 8
@@ -34,7 +35,8 @@ CONDITIONS = "array<struct<ordinal: int, threshold: double, category: string, ho
 #: A split: one condition, two (b) or a rule for a target class; null where it isn't of that form.
 SPLIT = "ordinal int, threshold double, category string, ordinal_b int, threshold_b double, category_b string, conditions " + CONDITIONS + ", target string"
 SPLIT_COLUMNS = [c.split()[0] for c in SPLIT.replace(CONDITIONS, "x").split(", ")]
-
+#: The shares of a row on its sides.
+ON = {"on_left": split.LEFT, "on_right": split.RIGHT, "on_missing": split.MISSING}
 
 
 def values_of(features: tuple[Feature, ...]) -> dict[str, Column]:
@@ -62,6 +64,8 @@ def own_tree(o: Options) -> Column:
 
 
 def _of_rule(conditions: Column | str = "conditions") -> Column:
+    """The sides by all conditions of a rule, an array; for rules of any length."""
+
     def side(c):
         plain = condition_side(c["ordinal"], c["threshold"], c["category"])
         return F.when((plain == split.MISSING) | c["holds"], plain).when(plain == split.LEFT, split.RIGHT).otherwise(split.LEFT)
@@ -69,6 +73,23 @@ def _of_rule(conditions: Column | str = "conditions") -> Column:
     return F.transform(conditions, side)
 
 
+def _flat(conditions: Column, longest: int, name: str = "_c") -> dict[str, Column]:
+    """The conditions of a rule, which has longest at most, as columns: these are compiled, functions over an array of conditions aren't."""
+    return {f"{name}{i}_{f}": F.get(conditions, F.lit(i))[f] for i in range(longest) for f in ("ordinal", "threshold", "category", "holds")}
+
+
+def _met(name: str) -> Column:
+    """Whether a row meets the condition of these columns, whichever way it goes; null if it misses the value or there is no condition."""
+    number, word = F.get("nums", f"{name}_ordinal"), F.get("cats", f"{name}_ordinal")
+    return F.when(number.isNotNull(), number >= F.col(f"{name}_threshold")).when(word.isNotNull(), F.coalesce(word == F.col(f"{name}_category"), F.lit(False))) == F.col(f"{name}_holds")
+
+
+def longest_rule(o: Options, total: int) -> int | None:
+    """How many conditions a rule has at most: a feature each; None if unknown, or too many to be columns."""
+    n = o.n_features(total)
+    return n if o.branch in RULED and n <= SLOTS else None
+
+
 def side_of(o: Options, of=F.col) -> Column:
     """The side of a row by the columns of SPLIT and its node, or by what else of() gives for their names."""
     one = condition_side(of("ordinal"), of("threshold"), of("category"), o)
@@ -81,15 +102,33 @@ def side_of(o: Options, of=F.col) -> Column:
     return one
 
 
-def _shares(o: Options, side: Column) -> Column:
-    """(side, share) of a row: one, or with rulew one for each side that conditions of its rule give."""
-    whole = F.array(F.struct(side.alias("side"), F.lit(1.0).alias("share")))
-    if o.distribute != "rulew" or not (o.branch in RULED or callable(o.branch)):
-        return whole
-    sides = _of_rule()
-    of = lambda s: F.struct(F.lit(s).alias("side"), (F.size(F.filter(sides, lambda x: x == s)) / F.size(sides)).alias("share"))
-    parts = F.filter(F.array(of(split.LEFT), of(split.RIGHT), of(split.MISSING)), lambda p: p["share"] > 0)
-    return F.when(F.size("conditions") > 0, parts).otherwise(whole)
+def _shared(o: Options, rows: DataFrame, cuts: DataFrame, longest: int | None) -> DataFrame:
+    """Rows joined with cuts (the columns of SPLIT and more), and the shares of a row on either side and missing: the columns of ON.
+
+    With rulew these are the shares of its rule's conditions; else the row is on one side as a whole.
+    """
+    weighted = o.distribute == "rulew" and (o.branch in RULED or callable(o.branch))
+    if longest is None:
+        rows = rows.join(cuts, AT)
+        side, sides, count = side_of(o), _of_rule(), lambda s: F.size(F.filter("_sides", lambda x: x == s))
+        rows = rows.withColumn("_sides", sides) if weighted else rows
+    else:
+        rows = rows.join(cuts.withColumns(_flat(F.col("conditions"), longest)), AT)
+        rows = rows.withColumns({f"_met{i}": _met(f"_c{i}") for i in range(longest)})
+        of_met = lambda i: F.when(F.col(f"_met{i}"), split.LEFT).when(~F.col(f"_met{i}"), split.RIGHT).when(F.col(f"_c{i}_ordinal").isNotNull(), split.MISSING)
+        rows = rows.withColumns({f"_s{i}": of_met(i) for i in range(longest)})
+        sides = [F.col(f"_s{i}") for i in range(longest)]
+        count = lambda s: reduce(Column.__add__, [F.when(x == s, 1).otherwise(0) for x in sides])
+        side = F.when(F.col("conditions").isNotNull(), _first_other(sides)).otherwise(condition_side(F.col("ordinal"), F.col("threshold"), F.col("category"), o))
+    n = F.coalesce(F.when(F.col("conditions").isNotNull(), F.size("conditions")), F.lit(0)) if weighted else F.lit(0)
+    rows = rows.withColumn("_side", F.when(n == 0, side))
+    of = lambda s: F.when(F.col("_side").isNull(), count(s) / n).when(F.col("_side") == s, 1.0).otherwise(0.0) if weighted else F.when(F.col("_side") == s, 1.0).otherwise(0.0)
+    return rows.withColumns({name: of(s) for name, s in ON.items()})
+
+
+def _first_other(sides: list[Column]) -> Column:
+    """The side by a rule: all left, left; else as the first that is not left."""
+    return F.coalesce(*[F.when(s != split.LEFT, s) for s in sides], F.lit(split.LEFT))
 
 
 @dataclass
@@ -103,6 +142,10 @@ class Grower:
     def total(self) -> int:
         return len(self.features)
 
+    @property
+    def longest(self) -> int | None:
+        return longest_rule(self.o, self.total)
+
     # What nodes draw.
 
     def _order(self, *tag) -> Column:
@@ -187,7 +230,8 @@ class Grower:
         draw = u(self.o.seed, round_, own_tree(self.o), F.col("node"), F.col(key), F.col("id"))
         order = (draw * 4294967296).cast("bigint") * 2147483648 + F.pmod(F.xxhash64("id"), F.lit(2147483648))
         order = F.when(F.coalesce(*[F.when(v.isNotNull(), F.lit(True)) for v in values.values()]), order)
-        found = rows.groupBy(*AT, key, klass).agg(F.sum("weight").alias("w"), F.min(order).alias("o"), *[F.min_by(v, order).alias(k) for k, v in values.items()])
+        rows = rows.select(*AT, key, klass, "weight", order.alias("_order"), *[v.alias(k) for k, v in values.items()])
+        found = rows.groupBy(*AT, key, klass).agg(F.sum("weight").alias("w"), F.min("_order").alias("o"), *[F.min_by(k, "_order").alias(k) for k in values])
         return found.select(*AT, key, klass, "w", F.when(F.col("o").isNotNull(), F.struct(*values)).alias("v"))
 
     def named(self, cuts: DataFrame) -> DataFrame:
@@ -216,14 +260,12 @@ class Grower:
         return split.exact_thresholds(known, "num", [*AT, key]).select(*AT, key, "threshold")
 
     def scored(self, sided: DataFrame, key: str) -> DataFrame:
-        """tree, node, key: score, left, right, chi2 and weights of rows (.., class, weight, parts).
+        """tree, node, key: score, left, right, chi2 and weights of rows (.., class, weight and shares).
 
         Rows with a missing value count on the sides that the strategy gives them; random ones by expectation.
         """
-        o, keys = self.o, [*AT, key]
-        on = lambda s: F.coalesce(F.sum(F.when(F.col("p.side") == s, F.col("weight") * F.col("p.share"))), F.lit(0.0))
-        rows = sided.select(*keys, "class", "weight", (F.explode("parts") if o.distribute == "rulew" else F.col("parts")[0]).alias("p"))
-        counts = rows.groupBy(*keys, "class").agg(on("left").alias("l"), on("right").alias("r"), on("?").alias("m"))
+        on = lambda name: F.sum(F.col("weight") * F.col(name))
+        counts = sided.groupBy(*AT, key, "class").agg(on("on_left").alias("l"), on("on_right").alias("r"), on("on_missing").alias("m"))
         return self.judged(counts, key)
 
     def judged(self, counts: DataFrame, key: str) -> DataFrame:
@@ -295,9 +337,8 @@ class Grower:
         return [F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in types.items()]
 
     def sided(self, state: DataFrame, cuts: DataFrame, n: int) -> DataFrame:
-        """Rows of the state with each candidate of their node and its parts: (side, share)."""
-        rows = state.join(small(cuts, n * self.total), AT)
-        return rows.select(*AT, "cand", "class", "weight", _shares(self.o, side_of(self.o)).alias("parts"))
+        """Rows of the state with each candidate of their node and their shares on its sides."""
+        return _shared(self.o, state, small(cuts, n * self.total), self.longest).select(*AT, "cand", "class", "weight", *ON)
 
     def of_rules(self, state: DataFrame, nodes: DataFrame, weights: DataFrame, n: int) -> DataFrame:
         """The best of some rules of each node, grown in step: a condition each, while their score falls.
@@ -313,31 +354,80 @@ class Grower:
         todo = F.transform(F.slice(F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(self.total - 1)), draw)), 1, o.n_features(self.total)), lambda s: s["i"])
         start = start.withColumn("target", F.col("classes")[pick]).withColumns({"todo": todo, "prior": F.element_at("of", F.col("target")) / F.col("all"), "k": F.size("classes")})
         rules_ = stored(start.select(*AT, "rule", "target", "todo", "prior", "k", F.array().cast(CONDITIONS).alias("conditions"), F.lit(None).cast("double").alias("best"), F.lit(True).alias("open")), "rules")
+        wide = self.longest is not None and count * o.n_features(self.total) <= SLOTS
         for step in range(o.n_features(self.total)):
             live = rules_.filter(F.col("open") & (F.size("todo") > 0))
             if step and live.isEmpty():
                 break
-            rows = state.join(small(live, n * count), AT).filter(~F.exists(_of_rule(), lambda s: s != split.LEFT))
-            rows = rows.select(*state.columns, "rule", (F.col("class") == F.col("target")).alias("pos"), F.explode("todo").alias("ordinal"))
-            rows = rows.withColumns({"ordinal_b": F.lit(None).cast("int"), "key": F.struct("rule", "ordinal")})
-            keyed = rows.withColumn("cand", F.col("rule") * self.total + F.col("ordinal")).drop("key")
-            cuts = self.cuts(self.members(keyed, "cand", "pos", f"rule{step}"), "cand", "pos", f"rule{step}")
+            asks = live.select(*AT, "rule", "target", "conditions", F.explode("todo").alias("ordinal")).withColumn("cand", F.col("rule") * self.total + F.col("ordinal"))
+            rows = state.join(small(asks, n * count * self.total), AT).filter(~F.exists(_of_rule(), lambda s: s != split.LEFT))
+            rows = rows.select(*state.columns, "rule", "cand", (F.col("class") == F.col("target")).alias("pos"), "ordinal", F.lit(None).cast("int").alias("ordinal_b"))
+            slots = count * (o.n_features(self.total) - step)  # an open rule took a feature in each step
+            members = self._members_of_rules(state, asks, n, step, slots) if wide else self.members(rows, "cand", "pos", f"rule{step}")
+            cuts = self.cuts(members, "cand", "pos", f"rule{step}")
             if o.threshold == "exact":
-                exact = self.exact(keyed.withColumn("class", F.col("pos").cast("string")), "cand").withColumnRenamed("threshold", "_exact")
+                exact = self.exact(rows.withColumn("class", F.col("pos").cast("string")), "cand").withColumnRenamed("threshold", "_exact")
                 cuts = cuts.join(exact, [*AT, "cand"], "left").withColumn("threshold", F.when(F.col("threshold").isNotNull(), F.col("_exact")))
-            cuts = cuts.withColumns({"rule": F.floor(F.col("cand") / self.total).cast("int"), "ordinal": (F.col("cand") % self.total).cast("int")}).drop("cand", "threshold_b", "category_b")
+            cuts = cuts.withColumns({"rule": F.floor(F.col("cand") / self.total).cast("int"), "ordinal": (F.col("cand") % self.total).cast("int")}).drop("threshold_b", "category_b")
             cuts = stored(self.named(cuts), "cuts")
-            rules_ = stored(self._longer(rules_, keyed.drop("cand", "ordinal_b"), cuts, n * count), "rules")
+            counts = self._sides_of_rules(state, asks, cuts, n, step, slots) if wide else self._sides(rows, cuts, n * count)
+            rules_ = stored(self._longer(rules_, counts, cuts), "rules")
         chosen = rules_.filter(F.size("conditions") > 0).select(*AT, F.col("rule").alias("cand"), "conditions", "target")
         cuts = stored(chosen.select(*AT, "cand", *self._columns(chosen)), "cuts")
         return self.best(self.scored(self.sided(state, cuts, n * count), "cand"), "cand").join(cuts, [*AT, "cand"]).drop("cand")
 
-    def _longer(self, rules_: DataFrame, rows: DataFrame, cuts: DataFrame, n: int) -> DataFrame:
-        """The rules with their best next condition, and whether they are still open."""
-        o, keys = self.o, [*AT, "rule", "ordinal"]
-        sided = rows.join(small(cuts, n * self.total), keys).withColumn("side", condition_side(F.col("ordinal"), F.col("threshold"), F.col("category")))
+    def _beside(self, state: DataFrame, asks: DataFrame, n: int, step: int, slots: int, columns: dict[str, Column]) -> DataFrame:
+        """Rows with columns of each candidate of their node (cand0, .. and those named), and _in0, ..: whether its rule covers the row so far."""
+        of_node = asks.groupBy(*AT).agg(F.collect_list(F.struct("cand", "conditions", *[c.alias(k) for k, c in columns.items()])).alias("a"))  # slots at most
+        flat = {}
+        for i in range(slots):
+            a = F.get("a", F.lit(i))
+            flat |= {f"{k}{i}": a[k] for k in ("cand", *columns)} | _flat(a["conditions"], step, f"_c{i}_")
+        rows = state.join(small(of_node.select(*AT, *[c.alias(k) for k, c in flat.items()]), n), AT)
+        covers = lambda i: reduce(Column.__and__, [F.coalesce(_met(f"_c{i}_{j}"), F.lit(False)) for j in range(step)], F.col(f"cand{i}").isNotNull())
+        return rows.withColumns({f"_in{i}": covers(i) for i in range(slots)})
+
+    def _members_of_rules(self, state: DataFrame, asks: DataFrame, n: int, step: int, slots: int) -> DataFrame:
+        """members() by cand and pos of the rows that rules cover; a row counts once, each candidate has columns."""
+        lead = F.concat(F.concat_ws(":", F.lit(str(self.o.seed)), F.lit(f"rule{step}"), own_tree(self.o).cast("string"), F.col("node"), F.col("cand").cast("string")), F.lit(":"))
+        rows = self._beside(state, asks.withColumn("lead", lead), n, step, slots, {"ordinal": F.col("ordinal"), "lead": F.col("lead")})
+        rows = rows.withColumn("_after", F.pmod(F.xxhash64("id"), F.lit(2147483648)))
+        columns, aggregates, each = [], [], []
+        for i in range(slots):
+            num, word = F.get("nums", f"ordinal{i}"), F.get("cats", f"ordinal{i}")
+            draw = F.conv(F.substring(F.md5(F.concat(F.col(f"lead{i}"), F.col("id").cast("string"))), 1, 8), 16, 10).cast("bigint")
+            columns += [F.when(F.col(f"_in{i}") & (num.isNotNull() | word.isNotNull()), draw * 2147483648 + F.col("_after")).alias(f"o{i}")]
+            columns += [num.alias(f"num{i}"), F.when(word.isNotNull(), F.xxhash64(word)).alias(f"cat{i}"), f"cand{i}"]
+            aggregates += [F.min(f"cand{i}").alias(f"cand{i}"), F.min(f"o{i}").alias(f"o{i}"), F.min_by(f"num{i}", f"o{i}").alias(f"num{i}"), F.min_by(f"cat{i}", f"o{i}").alias(f"cat{i}")]
+            v = F.struct(F.col(f"num{i}").alias("num"), F.col(f"cat{i}").alias("cat"), F.lit(None).cast("double").alias("num_b"), F.lit(None).cast("long").alias("cat_b"))
+            each.append(F.struct(F.col(f"cand{i}").alias("cand"), F.col(f"o{i}").alias("o"), v.alias("v")))
+        found = rows.select(*AT, "class", *columns).groupBy(*AT, "class").agg(*aggregates).select(*AT, "class", F.explode(F.array(*each)).alias("e"))
+        found = found.select(*AT, "class", "e.*").filter("o IS NOT NULL").join(asks.select(*AT, "cand", "target"), [*AT, "cand"])
+        return found.groupBy(*AT, "cand", (F.col("class") == F.col("target")).alias("pos")).agg(F.min_by("v", "o").alias("v"))
+
+    def _sides_of_rules(self, state: DataFrame, asks: DataFrame, cuts: DataFrame, n: int, step: int, slots: int) -> DataFrame:
+        """_sides(); a row counts once, each candidate has columns."""
+        asked = asks.select(*AT, "cand", "conditions", "target").join(cuts, [*AT, "cand"])
+        rows = self._beside(state, asked, n, step, slots, {c: F.col(c) for c in ("ordinal", "threshold", "category")})
+        rows = rows.select(*AT, "class", "weight", *[c for i in range(slots) for c in (f"cand{i}", F.when(F.col(f"_in{i}"), condition_side(F.col(f"ordinal{i}"), F.col(f"threshold{i}"), F.col(f"category{i}"))).alias(f"side{i}"))])
+        on = lambda i, s: F.coalesce(F.sum(F.when(F.col(f"side{i}") == s, F.col("weight"))), F.lit(0.0))
+        aggregates = [c for i in range(slots) for c in (F.min(f"cand{i}").alias(f"cand{i}"), F.count(f"side{i}").alias(f"n{i}"), on(i, "left").alias(f"l{i}"), on(i, "right").alias(f"r{i}"), on(i, "?").alias(f"m{i}"))]
+        each = [F.struct(*[F.col(f"{c}{i}").alias(c) for c in ("cand", "n", "l", "r", "m")]) for i in range(slots)]
+        found = rows.groupBy(*AT, "class").agg(*aggregates).select(*AT, "class", F.explode(F.array(*each)).alias("e")).select(*AT, "class", "e.*").filter("n > 0")
+        found = found.join(asked.select(*AT, "cand", "rule", "ordinal", "target"), [*AT, "cand"]).withColumn("pos", F.col("class") == F.col("target"))
+        sums = [F.sum(F.when(F.col("pos") == p, F.col(c)).otherwise(0.0)).alias(f"{c}{'p' if p else 'n'}") for c in ("l", "r", "m") for p in (True, False)]
+        return found.groupBy(*AT, "rule", "ordinal").agg(*sums)
+
+    def _sides(self, rows: DataFrame, cuts: DataFrame, n: int) -> DataFrame:
+        """tree, node, rule, ordinal: weights left, right and missing of the target class and others (lp, ln, rp, ...)."""
+        keys = [*AT, "rule", "ordinal"]
+        sided = rows.drop("cand", "ordinal_b").join(small(cuts.drop("cand"), n * self.total), keys).withColumn("side", condition_side(F.col("ordinal"), F.col("threshold"), F.col("category")))
         on = lambda s, pos: F.coalesce(F.sum(F.when((F.col("side") == s) & (F.col("pos") == pos), F.col("weight"))), F.lit(0.0))
-        c = sided.groupBy(*keys).agg(*[on(s, p).alias(f"{name}{'p' if p else 'n'}") for s, name in (("left", "l"), ("right", "r"), ("?", "m")) for p in (True, False)])
+        return sided.groupBy(*keys).agg(*[on(s, p).alias(f"{name}{'p' if p else 'n'}") for s, name in (("left", "l"), ("right", "r"), ("?", "m")) for p in (True, False)])
+
+    def _longer(self, rules_: DataFrame, c: DataFrame, cuts: DataFrame) -> DataFrame:
+        """The rules with their best next condition by the weights c, and whether they are still open."""
+        o, keys = self.o, [*AT, "rule", "ordinal"]
         share = split.left_share(o.missing, F.col("lp") + F.col("ln"), F.col("rp") + F.col("rn"))
         lost = lambda x: F.lit(0.0) if o.missing == "ignore" else F.col(x)
         c = c.withColumn("share", share).select(*keys, *[(F.col(f"l{x}") + lost(f"m{x}") * F.col("share")).alias(f"l{x}") for x in "pn"], *[(F.col(f"r{x}") + lost(f"m{x}") * (1 - F.col("share"))).alias(f"r{x}") for x in "pn"])
@@ -383,7 +473,10 @@ class Grower:
     def winners(self, state: DataFrame, nodes: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
         """Class weights of the state's nodes, and the splits of those that don't end here."""
         o = self.o
-        weights, base = self.level(state, self.asked(nodes, 0), n, 0, first=True)
+        if o.branch == "rule":  # rules draw their own features
+            weights, base = stored(state.groupBy(*AT, "class").agg(F.sum("weight").alias("w")), "weights"), None
+        else:
+            weights, base = self.level(state, self.asked(nodes, 0), n, 0, first=True)
         stats = stats_of(weights)
         live = stats.filter((F.col("k") > 1) & (F.col("n") > o.min_examples)).select(*AT, "entropy")
         found = self.policy()(Level(self, state, weights, n, live, base), live, 0)
@@ -395,12 +488,14 @@ class Grower:
     def route(self, state: DataFrame, winners: DataFrame, n: int) -> DataFrame:
         """The rows of split nodes, in their children."""
         o = self.o
-        rows = state.join(small(winners.select(*AT, *SPLIT_COLUMNS, "n_left", "n_right"), n), AT)
+        cuts = small(winners.select(*AT, *SPLIT_COLUMNS, "n_left", "n_right"), n)
         draw = u(o.seed, "missing", own_tree(o), F.col("node"), F.col("id"))
         if o.distribute == "rulew":
-            rows = rows.withColumn("_p", F.explode(_shares(o, side_of(o)))).withColumns({"side": F.col("_p.side"), "weight": F.col("weight") * F.col("_p.share")})
+            parts = F.array(*[F.struct(F.lit(s).alias("side"), F.col(name).alias("share")) for name, s in ON.items()])
+            rows = _shared(o, state, cuts, self.longest).withColumn("_p", F.explode(parts)).filter("_p.share > 0")
+            rows = rows.withColumns({"side": F.col("_p.side"), "weight": F.col("weight") * F.col("_p.share")})
         else:
-            rows = rows.withColumn("side", side_of(o))
+            rows = state.join(cuts, AT).withColumn("side", side_of(o))
         rows = split.placed(rows, o.missing, F.col("n_left"), F.col("n_right"), draw)
         return rows.withColumn("node", F.concat("node", F.when(F.col("side") == "left", "0").otherwise("1"))).select(*state.columns)
 
@@ -470,7 +565,7 @@ def grow(ex: ExampleSet, o: Options, bags: DataFrame, only: range | None = None)
         if not count:
             break
         state = grower.route(state, winners, count)
-        if (depth + 1) % STORE_LEVELS == 0 and depth + 1 < o.max_depth:  # the last level is read once
+        if (depth + 1) % (1 if o.branch in RULED else STORE_LEVELS) == 0 and depth + 1 < o.max_depth:  # the last level is read once
             before, written = written, stored(state, "level")
             state = written
             if before is not None:

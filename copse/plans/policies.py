@@ -22,7 +22,8 @@ AT = ["tree", "node"]
 class Level:
     """What policies work on: the grower, the rows of the level, its class weights, and how many nodes it has.
 
-    live: the nodes that may split; base: their splits by plain() in round 0, from the aggregation that gives the weights.
+    live: the nodes that may split; base: their splits by plain() in round 0, from the aggregation that gives the weights;
+    None where the option branch is rule, which doesn't ask plain().
     """
 
     grower: object
@@ -30,7 +31,7 @@ class Level:
     weights: DataFrame
     n: int
     live: DataFrame
-    base: DataFrame
+    base: DataFrame | None
 
 
 @dataclass(frozen=True)

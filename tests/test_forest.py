@@ -13,7 +13,7 @@ from copse.functions import measures
 from copse.functions.rng import running
 from copse.operators import rules, sampling, split
 from copse.operators.examples import ExampleSet
-from copse.plans import bagging, folds, forest, policies, validate
+from copse.plans import bagging, folds, forest, grow, policies, validate
 from copse.plans.forest import BRANCHES, Options, build, fit, fit_groups, partial
 from copse.sources import typed_csv
 from copse.streaming.scoring import score_stream
@@ -429,3 +429,25 @@ def test_proximity_reads_rare_leaves_first(spark):
         near = sorted((-sum(at[q][t] == at[i][t] for t in at[q]), i) for i in at if i != q)
         want += [(q, n, i, round(-s / 6, 9)) for n, (s, i) in enumerate(near[:4], 1) if s]
     assert got == sorted(want) and counts["compared"] < counts["all"]
+
+
+@pytest.mark.parametrize("o", [{"branch": "rule"}, {"branch": "rule", "distribute": "rulew", "missing": "partition"}])
+def test_rules_by_columns_and_by_rows_agree(spark, monkeypatch, o):
+    """Candidates as columns of their rows, or, where they are too many, as rows of their own."""
+    ex = fixture(spark, gaps=True)
+    of = lambda: sorted((str(tuple(r)) for r in fit(ex, PLAIN, max_depth=2, features=2, **o)[0].nodes.collect()))
+    columns = of()
+    monkeypatch.setattr(grow, "SLOTS", 0)
+    assert of() == columns and "rule: " in "".join(columns)
+
+
+def test_rules_meet_rows_in_compiled_columns(spark, capsys):
+    """No function over an array of conditions is called row by row."""
+    grower = grow.Grower(fixture(spark).features, Options(branch="rule", distribute="rulew"))
+    state = spark.createDataFrame([(1, "1", 7, "x", 1.0, [1.0, None], ["u", None])], "tree int, node string, id long, class string, weight double, nums array<double>, cats array<string>")
+    cuts = spark.createDataFrame([(1, "1", 1, None, None, None, None, None, None, [(0, 0.5, None, True), (1, 2.0, None, False)], "x")], f"tree int, node string, cand int, {grow.SPLIT}")
+    rows = grower.sided(state, cuts, 1)
+    assert [tuple(r)[-3:] for r in rows.collect()] == [(0.5, 0.0, 0.5)]
+    rows.explain()
+    grower.route(state, cuts.withColumns({"n_left": F.lit(1.0), "n_right": F.lit(1.0)}), 1).explain()
+    assert "lambda" not in capsys.readouterr().out
