@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from copse.functions.tops import top
 from copse.operators import cells, neighbors
 from copse.operators.examples import Feature
+from copse.plans import tables
 
 MIXED = (Feature("x", "numeric"), Feature("kind", "categoric", 1), Feature("y", "numeric", 2))
 PLAIN = (MIXED[0], Feature("y", "numeric", 1))
@@ -84,3 +85,31 @@ def test_equal_queries_are_searched_once(spark):
     assert rows_of(cells.nearest_in_cells(df, queries, PLAIN, 4, rows=40, counts=counts)) == rows_of(neighbors.nearest(df, queries, PLAIN, 4))
     points = queries.select("x", "y").distinct().count()
     assert points < 60 and counts["searched"] <= counts["all"] and counts["all"] % points == 0 and counts["all"] < 300 * 15
+
+
+def test_rows_come_to_cells_by_compiled_joins(spark, monkeypatch):
+    """Joins of each level's cuts lead to the cells that the walk along arrays of cuts leads to, and no row takes such arrays along."""
+    monkeypatch.setattr(cells, "LEVELS", 3)
+    monkeypatch.setattr(cells, "NODES", 16)
+    df = mixed(spark, 600)
+    asked = df.unionByName(spark.createDataFrame([(-1, None, None, None), (-2, 99.0, "zz", -5.0), (-3, float("nan"), "", 1.0)], df.schema))
+    space = cells.partition(df, MIXED, rows=10)
+    assert len(space.rounds) > 1 and all(c.nodes is not None for c in space.rounds)
+    joined = {r["id"]: r["cell"] for r in space.of(asked).collect()}
+    plan = cells._moved(space.space, df.withColumn("cell", F.lit(0).cast("long")), space.rounds[0])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") + plan.count("BroadcastNestedLoopJoin") == space.rounds[0].levels and "lambda" not in plan and "axes" not in plan.split("BroadcastExchange")[0]
+    walked = cells.Cells(space.space, space.rows, [cells.Cuts(c.by_cell, c.levels, None) for c in space.rounds], space.boxes)
+    assert {r["id"]: r["cell"] for r in walked.of(asked).collect()} == joined and len(set(joined.values())) > 10
+    assert {r["id"]: r["cell"] for r in space.rows.collect()} == {i: c for i, c in joined.items() if i >= 0}
+    monkeypatch.setattr(tables, "BROADCAST_ROWS", 0)
+    many = cells.partition(df, MIXED, rows=10)
+    assert all(c.nodes is None for c in many.rounds) and {r["id"]: r["cell"] for r in many.rows.collect()} == {r["id"]: r["cell"] for r in space.rows.collect()}
+
+
+def test_ranges_are_those_of_the_points(spark, monkeypatch):
+    """The ranges come from the table of distinct points that is written anyway; rows aren't made once more for them."""
+    seen, ranges_of = [], cells.ranges_of
+    monkeypatch.setattr(cells, "ranges_of", lambda df, features: seen.append((hasattr(df, "stored_at"), ranges_of(df, features))) or seen[-1][1])
+    df = mixed(spark, 200)
+    cells.nearest_in_cells(df, df.filter("id % 7 = 0"), MIXED, 3, rows=40).count()
+    assert seen == [(True, ranges_of(df, MIXED))]
