@@ -11,7 +11,12 @@ from copse.functions.rng import running
 
 def probabilities(votes: DataFrame, trees: int) -> DataFrame:
     """The share of the configured trees that votes for each class; unvoted classes are absent."""
-    per = votes.groupBy("id", "actual", F.col("pred").alias("class")).agg((F.count(F.lit(1)) / F.lit(float(trees))).alias("prob"))
+    return probabilities_of(votes.select("id", "actual", F.col("pred").alias("class"), F.lit(1).alias("n")), trees)
+
+
+def probabilities_of(counts: DataFrame, trees: int) -> DataFrame:
+    """probabilities() of rows that stand for n votes for a class."""
+    per = counts.groupBy("id", "actual", "class").agg((F.sum("n") / F.lit(float(trees))).alias("prob"))
     order = Window.partitionBy("id").orderBy(F.desc("prob"), "class")
     return per.withColumn("rank", F.row_number().over(order).cast("bigint"))
 

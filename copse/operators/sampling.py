@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from copse.functions.draws import Leads
 from copse.functions.rng import ranked, running, triangle, u, uniform_between
 from copse.plans.tables import dealt, small, stored
 
+#: Draws of a block of places, about, which are counted at once.
+DRAWS = 2_000_000
+
 
 def _round(x: Column) -> Column:
     return F.floor(x + 0.5).cast("bigint")
@@ -27,12 +33,47 @@ def bootstrap(ex: DataFrame, seed, trees: int | None = None, within: list[str] |
     draws = draws.withColumn("_of", F.explode(each)).select("draw", "_of.*").filter(F.col("draw") <= F.col("n"))
     if tree:
         draws = draws.withColumn("tree", F.explode(F.sequence(F.lit(1), F.lit(trees))))
+    if not keys and not isinstance(seed, Column):
+        return _dealt_draws(rows, sizes[0]["n"], seed, trees)
     place = (F.floor(u(seed, *map(F.col, tree), F.col("draw")) * F.col("n")) + 1).cast("bigint")
     # Draws are dealt by place alone, as the join needs them, so trees are counted and joined where they lie.
     times = dealt(draws.select(*keys, *tree, place.alias("place")), *keys, "place").groupBy(*keys, *tree, "place").agg(F.count(F.lit(1)).alias("times"))
     return rows.join(times.hint("merge"), [*keys, "place"]).withColumn("weight", F.col("weight") * F.col("times")).drop("place", "times")
 
 
+def _dealt_draws(rows: DataFrame, n: int, seed, trees: int | None) -> DataFrame:
+    """rows (which have a place, 1 to n) in the samples that draw them.
+
+    Tasks make the draws as arrays and deal them in blocks of places; each block's are counted at once.  A place has one row for all samples.
+    """
+    count = trees or 1
+    block = max(1, DRAWS // count)
+    leads = Leads([f"{seed}:{t}:" for t in range(1, count + 1)] if trees is not None else [f"{seed}:"])
+
+    def draw(batches):
+        for batch in batches:
+            draws = batch["draw"].to_numpy()
+            tree = np.repeat(np.arange(count), len(draws))
+            own = np.floor(leads.heads(tree, np.tile(draws, count)) / 4294967296.0 * n).astype(np.int64) * count + tree
+            own.sort()
+            part = own // (block * count)
+            first = np.flatnonzero(np.diff(part, prepend=-1))
+            yield pa.RecordBatch.from_arrays([pa.array(part[first]), pa.array([(x - p * block * count).astype(np.uint32).tobytes() for x, p in zip(np.split(own, first[1:]), part[first], strict=True)], pa.binary())], names=["part", "draws"])
+
+    def counted(key, table):
+        own = np.frombuffer(b"".join(table["draws"].to_pylist()), np.uint32)
+        times = np.bincount(own, minlength=block * count).reshape(block, count).astype(np.int32)
+        there = np.flatnonzero(times.any(1))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(there) + 1, dtype=np.int32) * count), pa.array(times[there].reshape(-1)))
+        return pa.table({"place": pa.array(key[0].as_py() * block + there + 1), "times": lists})
+
+    draws = rows.sparkSession.range(1, n + 1).withColumnRenamed("id", "draw").mapInArrow(draw, "part bigint, draws binary")
+    times = draws.groupBy("part").applyInArrow(counted, "place bigint, times array<int>")
+    out = dealt(rows, "place").join(dealt(times, "place").hint("merge"), "place").select("*", F.posexplode("times").alias("_nth", "_n")).filter("_n > 0")
+    out = out.withColumn("weight", F.col("weight") * F.col("_n"))
+    return (out if trees is None else out.withColumn("tree", (F.col("_nth") + 1).cast("int"))).drop("place", "times", "_nth", "_n")
+
+
 def class_bootstrap(ex: DataFrame, seed, trees: int, target: str, overlap: float) -> DataFrame:
     """In-bag rows of the target class in each of the samples, and a share of those of the other classes."""
     some = u(seed, "overlap", F.col("tree"), F.col("id")) < overlap

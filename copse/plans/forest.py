@@ -6,6 +6,9 @@ import json
 from dataclasses import asdict, dataclass, replace
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
@@ -18,12 +21,15 @@ from copse.operators.examples import ExampleSet, Feature
 
 from .grow import AT, SPLIT_COLUMNS, drawn, grow, side_of, values_of
 from .folds import folded
-from .options import ALIASES, BRANCHES, REDRAW, Options
-from .tables import dealt, discard, small, stored
+from .options import ALIASES, BRANCHES, PAIRED, REDRAW, RULED, Options
+from .packed import DECIDED, Nodes, ended, kept, walked
+from .tables import BROADCAST_ROWS, dealt, discard, small, stored
 
 __all__ = ["ALIASES", "BRANCHES", "REDRAW", "ForestModel", "Options", "build", "drawn", "fit", "fit_groups", "impute_by_proximity", "partial"]
 
 VERSION = "2"
+#: Nodes of a model over which rows walk arrays in tasks.
+ARRAYS = 2000
 #: Nodes of a model that is a literal of the plan; salts of queries in the same leaves; classes of a leaf's list in one deal.
 LITERAL, DEALS, LIST = 2000, 16, 10_000
 
@@ -82,10 +88,15 @@ class ForestModel:
         """id, actual, tree, node, pred and laplace of each row in each tree.
 
         A missing value goes where most of the known ones went, or as the strategy draws; with ignore the row stays.
-        Up to LITERAL nodes are a literal of the plan, an array for each tree, which rows walk.  Rows of larger models walk a
-        level a time, joined with its nodes.
+        Up to LITERAL nodes are a literal of the plan, an array for each tree, which rows walk.  Rows of larger models walk
+        arrays in tasks; where splits aren't of single features, or rows draw, they walk a level a time, joined with its nodes.
         """
-        sizes = dict(map(tuple, self.nodes.groupBy("depth").count().collect()))  # a row for each depth
+        sizes = self._sizes()
+        if self._walks(sizes):
+            place, nodes = F.posexplode("ends").alias("_tree", "_end"), self._own_nodes()
+            ends = self._ends(df.select("id", F.col("class").alias("actual"), *[f"`{f.name}`" for f in self.features]), ["id", "actual"])
+            rows = ends.select("id", "actual", place).join(small(nodes.drop("tree"), sum(sizes.values())), "_end")
+            return rows.select("id", "actual", (F.col("_tree") + 1).alias("tree"), "node", F.col("class").alias("pred"), "laplace")
         at = df.select("id", F.col("class").alias("actual"), *[v.alias(k) for k, v in values_of(self.features).items()])
         at = dealt(at, "id").withColumn("tree", F.explode(F.sequence(F.lit(1), F.lit(self.options.trees))))  # votes meet by id anyway
         if not 0 < sum(sizes.values()) <= LITERAL:
@@ -95,6 +106,35 @@ class ForestModel:
         rows = at.select("id", "actual", "tree", end.alias("_end"))
         return rows.select("id", "actual", "tree", F.col("_end.node").alias("node"), F.col("_end.class").alias("pred"), F.col("_end.laplace").alias("laplace"))
 
+    def _sizes(self) -> dict[int, int]:
+        return dict(map(tuple, self.nodes.groupBy("depth").count().collect()))  # a row for each depth
+
+    def _walks(self, sizes: dict[int, int]) -> bool:
+        """Whether rows walk arrays in tasks."""
+        o = self.options
+        alone = isinstance(o.branch, str) and o.branch not in (*PAIRED, *RULED) and not callable(o.distribute)
+        return alone and isinstance(o.missing, str) and o.missing in (*DECIDED, "proximity") and ARRAYS < sum(sizes.values()) <= BROADCAST_ROWS
+
+    def _collected(self) -> tuple[pa.Table, Nodes, dict[int, list[str]], np.ndarray]:
+        """The nodes, BROADCAST_ROWS at most, as a table and as arrays, the words of their splits, and the places of the table's rows in the arrays."""
+        table = self.nodes.select("tree", "node", "kind", "ordinal", "threshold", "category", "n_left", "n_right", "class", "laplace").toArrow()
+        return table, *walked(table, self.options.trees, "weighted" if self.options.missing == "proximity" else self.options.missing)
+
+    def _ends(self, df: DataFrame, keep: list[str]) -> DataFrame:
+        """The columns kept of df (which has the features) and ends: for each tree the place of the node where the row ends."""
+        _, nodes, words, _ = self._collected()
+
+        def give(rows: pa.Table, ends: np.ndarray) -> pa.Table:
+            starts = pa.array(np.arange(len(ends) + 1, dtype=np.int32) * ends.shape[1])
+            return rows.append_column("ends", pa.ListArray.from_arrays(starts, pa.array(ends.reshape(-1))))
+
+        return ended(dealt(df, "id"), keep, self.features, nodes, words, self.options.trees, give, f"{kept(df, keep)}, ends array<int>")
+
+    def _own_nodes(self) -> DataFrame:
+        """tree, node, class and laplace of the nodes by their places, as _end."""
+        table, _, _, places = self._collected()
+        return self.nodes.sparkSession.createDataFrame(table.select(["tree", "node", "class", "laplace"]).append_column("_end", pa.array(places, pa.int32())))
+
     def _packed(self) -> Column:
         """For each tree an array of its nodes, in which a node knows the places of its children."""
         own = self.nodes.select("tree", F.struct("node", *SPLIT_COLUMNS, "kind", "n_left", "n_right", "class", "laplace").alias("n"))
@@ -141,8 +181,26 @@ class ForestModel:
         return self.leaves(df).select("id", "actual", "tree", "pred")
 
     def transform(self, df: DataFrame) -> DataFrame:
+        if self._walks(self._sizes()):
+            return metrics.probabilities_of(self._counted(df), self.options.trees)
         return metrics.probabilities(self.votes(df), self.options.trees)
 
+    def _counted(self, df: DataFrame) -> DataFrame:
+        """id, actual, class and n: how many trees vote for a class, a row for each class with votes."""
+        table, nodes, words, places = self._collected()
+        classes = pc.dictionary_encode(table["class"], null_encoding="encode").combine_chunks()
+        vote = np.zeros(len(table), np.int64)
+        vote[places] = classes.indices.to_numpy()
+        k, known = len(classes.dictionary), classes.dictionary
+
+        def give(rows: pa.Table, ends: np.ndarray) -> pa.Table:
+            pairs, n = np.unique(np.arange(len(ends))[:, None] * k + vote[ends], return_counts=True)
+            return rows.take(pa.array(pairs // k)).append_column("class", known.take(pa.array(pairs % k))).append_column("n", pa.array(n.astype(np.int64)))
+
+        df = df.select("id", F.col("class").alias("actual"), *[f"`{f.name}`" for f in self.features])
+        keep = ["id", "actual"]
+        return ended(dealt(df, "id"), keep, self.features, nodes, words, self.options.trees, give, f"{kept(df, keep)}, class string, n bigint")
+
     def vote_lists(self, df: DataFrame) -> DataFrame:
         """id, class and a 0 or 1 for each tree in order."""
         v = self.votes(df)
@@ -182,9 +240,11 @@ class ForestModel:
         at once.  A class in none of the lists read shares no more than the other trees, so a query ends when its k + 1-th
         place shares more than that.  Long lists are split in deals.  counts: gets the classes compared, and all pairs.
         """
-        n_trees = self.options.trees
+        n_trees, depths = self.options.trees, self._sizes()
 
         def paths(rows: DataFrame, name: str) -> DataFrame:
+            if self._walks(depths):
+                return self._ends(rows.select("id", *[f"`{f.name}`" for f in self.features]), ["id"]).withColumnRenamed("ends", name)
             by_tree = F.array_sort(F.collect_list(F.struct("tree", F.xxhash64("node").alias("leaf"))))  # a struct for each tree
             return self.leaves(rows).groupBy("id").agg(F.transform(by_tree, lambda s: s["leaf"]).alias(name))
 

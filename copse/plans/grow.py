@@ -13,15 +13,17 @@ import math
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from copse.functions import measures
-from copse.functions.rng import u
+from copse.functions.rng import among_equals, u
 from copse.operators import rules, split
 from copse.operators.examples import ExampleSet, Feature
 
 from .options import PAIRED, RULED, Options
+from .packed import DECIDED, PLAIN, WORDS, Packed, packed
 from .policies import Level, Policy, again, either, plain, ruled, significant
 from .tables import discard, small, stored
 
@@ -137,6 +139,8 @@ class Grower:
     o: Options
     codes: DataFrame | None = None  # ordinal, code and word of the categories
     n_codes: int = 0
+    words: dict[int, list[str]] | None = None  # the words of each categoric feature, if they are few
+    code_arrays: dict | None = None  # and their codes
 
     @property
     def total(self) -> int:
@@ -146,6 +150,11 @@ class Grower:
     def longest(self) -> int | None:
         return longest_rule(self.o, self.total)
 
+    def walks(self) -> bool:
+        """Whether rows may be arrays that walk the nodes: single features are asked once, and rows stay whole."""
+        o = self.o
+        return isinstance(o.branch, str) and o.branch in PLAIN and self.slots(0) is not None and o.threshold != "exact" and o.distribute == "default" and isinstance(o.missing, str) and o.missing in DECIDED and self.n_codes <= WORDS
+
     # What nodes draw.
 
     def _order(self, *tag) -> Column:
@@ -195,7 +204,7 @@ class Grower:
         tag = F.concat_ws(":", F.lit(str(self.o.seed)), F.lit(str(round_)), own_tree(self.o).cast("string"), F.col("node"))
         lead = lambda a: F.struct(a["cand"].alias("cand"), a["ordinal"].alias("ordinal"), F.concat(tag, F.lit(":"), a["cand"].cast("string"), F.lit(":")).alias("lead"))
         rows = state.join(small(asked.select(*AT, F.transform("asks", lead).alias("asks")), n), AT)
-        after = F.pmod(F.xxhash64("id"), F.lit(2147483648))
+        after = among_equals(rows)
         columns, aggregates, each = [], [F.sum("weight").alias("w")], []
         for i in range(slots):
             a = F.get("asks", F.lit(i))
@@ -228,7 +237,7 @@ class Grower:
         values = {"num": one("nums"), "cat": code(one("cats")), "num_b": two("nums"), "cat_b": code(two("cats"))}
         # One number orders rows, and categories are codes, so that the aggregation needs no sort.
         draw = u(self.o.seed, round_, own_tree(self.o), F.col("node"), F.col(key), F.col("id"))
-        order = (draw * 4294967296).cast("bigint") * 2147483648 + F.pmod(F.xxhash64("id"), F.lit(2147483648))
+        order = (draw * 4294967296).cast("bigint") * 2147483648 + among_equals(rows)
         order = F.when(F.coalesce(*[F.when(v.isNotNull(), F.lit(True)) for v in values.values()]), order)
         rows = rows.select(*AT, key, klass, "weight", order.alias("_order"), *[v.alias(k) for k, v in values.items()])
         found = rows.groupBy(*AT, key, klass).agg(F.sum("weight").alias("w"), F.min("_order").alias("o"), *[F.min_by(k, "_order").alias(k) for k in values])
@@ -295,7 +304,11 @@ class Grower:
     def level(self, state: DataFrame, asked: DataFrame, n: int, round_: int, first: bool = False) -> tuple[DataFrame | None, DataFrame]:
         """Class weights (first: of all nodes of the state) and the best splits of the nodes asked, which are n."""
         o, sampled = self.o, self.o.branch == "sample-examples"
-        if slots := self.slots(round_):
+        slots = self.slots(round_)
+        if isinstance(state, Packed):
+            lead = lambda tree, node, cand: f"{o.seed}:{round_}:{(tree - 1) % o.trees + 1 if o.groups > 1 else tree}:{node}:{cand}:"
+            members = state.members(asked, lead, slots, self.code_arrays)
+        elif slots:
             members = self.members_at_once(state, asked, n, round_, slots)
         else:
             stats = F.struct(F.lit(-1).alias("cand"), F.lit(None).cast("int").alias("ordinal"), F.lit(None).cast("int").alias("ordinal_b"))
@@ -328,6 +341,9 @@ class Grower:
             found = stored(self.best(self.scored(self.sided(some, cuts, n), "cand"), "cand").select(*AT, "cand"), "found")
             cuts = cuts.join(found, [*AT, "cand"], "left_semi")
         slots = self.slots(round_)
+        if isinstance(state, Packed):
+            cuts = stored(cuts, "cuts")
+            return self.best(self.judged(state.sides(cuts, slots), "cand"), "cand").join(cuts, [*AT, "cand"]).drop("cand")
         scored = self.judged(self.sides_at_once(state, cuts, n, slots), "cand") if slots else self.scored(self.sided(state, cuts, n), "cand")
         return self.best(scored, "cand").join(cuts, [*AT, "cand"]).drop("cand")
 
@@ -391,7 +407,7 @@ class Grower:
         """members() by cand and pos of the rows that rules cover; a row counts once, each candidate has columns."""
         lead = F.concat(F.concat_ws(":", F.lit(str(self.o.seed)), F.lit(f"rule{step}"), own_tree(self.o).cast("string"), F.col("node"), F.col("cand").cast("string")), F.lit(":"))
         rows = self._beside(state, asks.withColumn("lead", lead), n, step, slots, {"ordinal": F.col("ordinal"), "lead": F.col("lead")})
-        rows = rows.withColumn("_after", F.pmod(F.xxhash64("id"), F.lit(2147483648)))
+        rows = rows.withColumn("_after", among_equals(rows))
         columns, aggregates, each = [], [], []
         for i in range(slots):
             num, word = F.get("nums", f"ordinal{i}"), F.get("cats", f"ordinal{i}")
@@ -537,18 +553,32 @@ def grow(ex: ExampleSet, o: Options, bags: DataFrame, only: range | None = None)
         known = bags.select(F.explode(F.array(*words)).alias("w")).select("w.*").filter("word IS NOT NULL").distinct()
         grower.codes = stored(known.withColumn("code", F.xxhash64("word")), "codes")
         grower.n_codes = grower.codes.count()
+    only = only or range(1, o.trees * o.groups + 1)
+    rows = None
+    if grower.walks():
+        known = sorted(map(tuple, grower.codes.select("ordinal", "word", "code").collect())) if words else []  # WORDS at most
+        grower.words = {f.ordinal: [w for i, w, _ in known if i == f.ordinal] for f in ex.features if f.kind == "categoric"}
+        grower.code_arrays = {i: np.array([c for j, _, c in known if j == i], np.int64) for i in grower.words}
+        rows = packed(ex, bags, only, o.missing, grower.words)
     names = F.create_map(*[F.lit(x) for f in ex.features for x in (f.ordinal, f.name)])
     rule = F.concat(F.lit("rule: "), F.array_join(F.transform("conditions", lambda c: F.element_at(names, c["ordinal"])), ", "))
     feature = F.when(F.col("conditions").isNotNull(), rule).when(F.col("ordinal_b").isNotNull(), F.concat_ws(" & ", names[F.col("ordinal")], names[F.col("ordinal_b")])).otherwise(names[F.col("ordinal")])
     state, written = bags.select(F.col("tree").cast("int").alias("tree"), F.lit("1").alias("node"), "id", "class", "weight", *[v.alias(k) for k, v in values_of(ex.features).items()]), None
-    only = only or range(1, o.trees * o.groups + 1)
     n = len(only)
+    unpacked, routed = state, []
+    state = rows or state
     nodes = spark.range(only[0], only[-1] + 1).select(F.col("id").cast("int").alias("tree"), F.lit("1").alias("node"))
     tables = []
     for depth in range(o.max_depth + 1):
         last = depth == o.max_depth or not ex.features
+        if isinstance(state, Packed) and not state.fits(n, 0 if last else grower.slots(0)):  # too many nodes for a task: the rows go on as a table
+            for i, (w, k) in enumerate(routed, 1):
+                unpacked = grower.route(unpacked, w, k)
+                unpacked = stored(unpacked, "level") if i % STORE_LEVELS == 0 else unpacked
+            state = unpacked
         if last:
-            stats, count = stats_of(state.groupBy(*AT, "class").agg(F.sum("weight").alias("w"))), 0
+            weights = state.members(None, None, 0, {}).select(*AT, "class", "w") if isinstance(state, Packed) else state.groupBy(*AT, "class").agg(F.sum("weight").alias("w"))
+            stats, count = stats_of(weights), 0
             none = dict.fromkeys(("n_left", "n_right", "score", "left", "right"), F.lit(None).cast("double"))
             winners = nodes.limit(0).select(*AT, *grower._columns(nodes), *[v.alias(k) for k, v in none.items()])
         else:
@@ -564,8 +594,12 @@ def grow(ex: ExampleSet, o: Options, bags: DataFrame, only: range | None = None)
         )
         if not count:
             break
-        state = grower.route(state, winners, count)
-        if (depth + 1) % (1 if o.branch in RULED else STORE_LEVELS) == 0 and depth + 1 < o.max_depth:  # the last level is read once
+        routed.append((winners, count))
+        if isinstance(state, Packed):
+            state.split(winners)
+        else:
+            state = grower.route(state, winners, count)
+        if not isinstance(state, Packed) and (depth + 1) % (1 if o.branch in RULED else STORE_LEVELS) == 0 and depth + 1 < o.max_depth:  # the last level is read once
             before, written = written, stored(state, "level")
             state = written
             if before is not None:
