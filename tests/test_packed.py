@@ -78,3 +78,12 @@ def test_draws_are_counted_in_blocks(spark, monkeypatch, trees):
             want[key] = want.get(key, 0) + 1
     got = sampling.bootstrap(ex.df, 9, trees)
     assert {(r["tree"] if trees else 1, r["id"]): r["weight"] for r in got.collect()} == want
+
+
+def test_proximity_makes_no_row_for_each_tree(spark, monkeypatch):
+    """The leaves of a row come as one array."""
+    ex = fixture(spark, 60)
+    model, _ = fit(ex, Options(trees=2, max_depth=3, seed=5))
+    monkeypatch.setattr(forest, "ARRAYS", 0)
+    monkeypatch.setattr(forest.ForestModel, "leaves", None)
+    assert model.proximity(ex.df, ex.df.filter("id % 4 = 0"), 2).count() == 2 * ex.df.filter("id % 4 = 0").count()
